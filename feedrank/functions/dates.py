@@ -21,7 +21,7 @@ def parse_run_date(d) -> Column:
 
     ``today``, NULL and malformed strings all fall back to ``current_date()``.
     """
-    return F.coalesce(F.try_to_date(_as_col(d), F.lit("yyyy-MM-dd")), F.current_date())
+    return F.coalesce(F.try_to_date(_as_col(d), "yyyy-MM-dd"), F.current_date())
 
 
 def file_date(d) -> Column:

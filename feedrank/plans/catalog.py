@@ -173,3 +173,325 @@ def vector_append(spark, sf):
     out = vectors.append_vectors(lib.withColumn("origin", F.lit("base")),
                                  new.withColumn("origin", F.lit("added")), dim=64)
     return out.select("set_id", "src_id", "origin")
+
+
+# ======================================================================= text, ids, dates
+from ..functions import dates as D  # noqa: E402
+from ..functions import ids as I  # noqa: E402
+from ..functions import scores as S  # noqa: E402
+from ..functions import text as X  # noqa: E402
+from ..operators import sequence  # noqa: E402
+from .sqlparts import strip_ws as _sql_strip  # noqa: E402
+
+# Fixed values from the reference configuration: the explanation prompt, the
+# built-in default prompt, the target language and the date used by the checks.
+PROMPT_TEMPLATE = ("以下の論文について、主要な貢献と新規性を中心に{target_language}で簡潔に解説してください。\n"
+                   "Title: {title}\n"
+                   "Abstract: {abstract}\n")
+DEFAULT_PROMPT = ("以下の論文について、主要な貢献と新規性を中心に{target_language}で簡潔に解説してください。\n"
+                  "専門用語は必要に応じて簡単な言葉で補足してください。\n"
+                  "\n"
+                  "Title: {title}\n"
+                  "\n"
+                  "Abstract: {abstract}")
+TARGET_LANGUAGE = "Japanese"
+RUN_DATE = "2024-01-15"
+MAX_RESULTS = 2000
+BATCH_SIZE = 10
+DEBUG_ROWS = 100
+
+
+def _sql_lit(s: str) -> str:
+    return "'" + s.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+def _sql_template(tpl: str, values: dict) -> str:
+    parts = X.parse_template(tpl, set(values))
+    out = []
+    for kind, v in parts:
+        if kind == "lit":
+            if v:
+                out.append(_sql_lit(v))
+        else:
+            out.append(values[v])
+    return " || ".join(out)
+
+
+_AUTHORS_SQL = (
+    "SELECT conv_id, list_transform(string_split(trim(regexp_replace(author_raw, '\\s+', ' ', 'g')), ' and '),"
+    " lambda x: trim(x)) AS authors FROM (SELECT conv_id, string_agg(role, ' and ' ORDER BY turn) AS author_raw"
+    " FROM conversations GROUP BY conv_id)")
+
+
+def authors(spark, sf):
+    a = T.raw_authors(spark, sf)
+    return a.select("conv_id", X.split_authors("author_raw").alias("authors"))
+
+
+@register("paper_text", sql=f"""
+WITH p AS ({PAPERS}), au AS ({_AUTHORS_SQL}),
+t AS (SELECT p.paper_id, {_sql_strip("concat_ws(chr(10), nullif(p.title, ''), nullif(p.abstract, ''), "
+                                     "CASE WHEN array_to_string(au.authors, ', ') <> '' "
+                                     "THEN 'Authors: ' || array_to_string(au.authors, ', ') END)")} AS text
+      FROM p LEFT JOIN au ON au.conv_id = p.paper_id)
+SELECT paper_id, md5(text) AS text_md5, CAST(strlen(text) AS BIGINT) AS n_bytes FROM t WHERE text <> ''
+""")
+def paper_text(spark, sf):
+    p = T.papers(spark, sf).join(authors(spark, sf), F.col("paper_id") == F.col("conv_id"), "left")
+    t = p.select("paper_id", X.paper_text("title", "abstract", "authors").alias("text")).filter(F.col("text") != "")
+    return t.select("paper_id", F.md5("text").alias("text_md5"), F.octet_length("text").cast("bigint").alias("n_bytes"))
+
+
+@register("abstract_fallback", sql=f"""
+WITH p AS ({PAPERS})
+SELECT paper_id, md5(coalesce(abstract, source, '')) AS abstract_md5,
+       CASE WHEN abstract IS NOT NULL THEN 'abstract' WHEN source IS NOT NULL THEN 'annote' ELSE 'none' END AS used
+FROM p
+""")
+def abstract_fallback(spark, sf):
+    p = T.papers(spark, sf)
+    used = (F.when(F.col("abstract").isNotNull(), "abstract")
+            .when(F.col("source").isNotNull(), "annote").otherwise("none"))
+    return p.select("paper_id", F.md5(X.abstract_fallback("abstract", "source")).alias("abstract_md5"),
+                    used.alias("used"))
+
+
+@register("flatten_text", sql=f"""
+WITH p AS ({PAPERS})
+SELECT paper_id, md5(replace(coalesce(abstract, ''), chr(10), ' ')) AS flat_md5,
+       CAST(strlen(coalesce(abstract, '')) - strlen(replace(coalesce(abstract, ''), chr(10), '')) AS BIGINT) AS n_breaks
+FROM p
+""")
+def flatten_text(spark, sf):
+    a = F.coalesce(F.col("abstract"), F.lit(""))
+    return T.papers(spark, sf).select(
+        "paper_id", F.md5(X.flatten(a)).alias("flat_md5"),
+        (F.octet_length(a) - F.octet_length(F.regexp_replace(a, "\n", ""))).cast("bigint").alias("n_breaks"))
+
+
+def _latex_input():
+    return F.concat(F.lit("{\\textbf{"), F.col("title"), F.lit("}\\footnote{"), F.col("source"), F.lit("} "),
+                    F.coalesce(F.col("abstract"), F.lit("")), F.lit(" \\textit{"), F.col("lang"), F.lit("}}"))
+
+
+_LATEX_SQL = ("'{\\textbf{' || title || '}\\footnote{' || source || '} ' || coalesce(abstract, '') "
+              "|| ' \\textit{' || lang || '}}'")
+
+
+def _latex_sql(x):
+    s = f"regexp_replace({x}, '(?s)\\\\footnote\\{{.*?\\}}', '', 'g')"
+    for cmd in ("textbf", "textit", "texttt"):
+        s = f"regexp_replace({s}, '(?s)\\\\{cmd}\\{{(.*?)\\}}', '\\1', 'g')"
+    return _sql_strip(f"trim({s}, '{{}}')")
+
+
+@register("latex_strip", sql=f"""
+WITH p AS ({PAPERS})
+SELECT paper_id, md5({_latex_sql(_LATEX_SQL)}) AS clean_md5, CAST(strlen({_latex_sql(_LATEX_SQL)}) AS BIGINT) AS n_bytes
+FROM p
+""")
+def latex_strip(spark, sf):
+    t = T.papers(spark, sf).select("paper_id", X.latex_strip(_latex_input()).alias("c"))
+    return t.select("paper_id", F.md5("c").alias("clean_md5"), F.octet_length("c").cast("bigint").alias("n_bytes"))
+
+
+_PROMPT_VALUES_SQL = {"title": "title", "abstract": "coalesce(abstract, '')",
+                      "target_language": _sql_lit(TARGET_LANGUAGE)}
+_BROKEN_TEMPLATE = "Title: {title}\n{target_language}"
+
+
+@register("prompt_fill", sql=f"""
+WITH p AS ({PAPERS})
+SELECT paper_id, md5({_sql_template(PROMPT_TEMPLATE, _PROMPT_VALUES_SQL)}) AS prompt_md5,
+       md5({_sql_template(DEFAULT_PROMPT, _PROMPT_VALUES_SQL)}) AS fallback_md5
+FROM p
+""")
+def prompt_fill(spark, sf):
+    vals = {"title": F.col("title"), "abstract": F.coalesce(F.col("abstract"), F.lit("")),
+            "target_language": TARGET_LANGUAGE}
+    good = X.fill_template(PROMPT_TEMPLATE, DEFAULT_PROMPT, vals)
+    broken = X.fill_template(_BROKEN_TEMPLATE, DEFAULT_PROMPT, vals)
+    return T.papers(spark, sf).select("paper_id", F.md5(good).alias("prompt_md5"), F.md5(broken).alias("fallback_md5"))
+
+
+@register("fence_strip", sql="""
+SELECT doc_id,
+  md5(regexp_replace(regexp_replace('```markdown' || chr(10) || text || chr(10) || '```',
+      '\\A```markdown\\n', ''), '\\n```\\z', '')) AS wrapped_md5,
+  md5(regexp_replace(regexp_replace(text, '\\A```markdown\\n', ''), '\\n```\\z', '')) AS plain_md5
+FROM documents
+""")
+def fence_strip(spark, sf):
+    d = T.read(spark, sf, "documents")
+    wrapped = F.concat(F.lit("```markdown\n"), F.col("text"), F.lit("\n```"))
+    return d.select("doc_id", F.md5(X.fence_strip(wrapped)).alias("wrapped_md5"),
+                    F.md5(X.fence_strip("text")).alias("plain_md5"))
+
+
+@register("label_clean", sql=f"""
+SELECT doc_id, nullif(split_part({_sql_strip('text')}, chr(10), 1), '') AS label FROM documents
+""")
+def label_clean(spark, sf):
+    return T.read(spark, sf, "documents").select("doc_id", X.label_clean("text").alias("label"))
+
+
+@register("batch_ids", sql=f"""
+WITH t AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM documents
+           WHERE {_sql_strip("coalesce(text, '')")} <> '')
+SELECT CAST(floor(pos / {BATCH_SIZE}) AS BIGINT) AS batch_id, count(*) AS n_rows,
+       min(doc_id) AS first_id, max(doc_id) AS last_id FROM t GROUP BY 1
+""")
+def batch_ids(spark, sf):
+    d = T.read(spark, sf, "documents").filter(X.strip_ws(F.coalesce(F.col("text"), F.lit(""))) != "")
+    b = sequence.batch_numbers(d.select("doc_id"), "doc_id", BATCH_SIZE)
+    return b.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n_rows"), F.min("doc_id").alias("first_id"),
+                                     F.max("doc_id").alias("last_id"))
+
+
+@register("seq_ids", sql="""
+SELECT doc_id, (SELECT coalesce(max(doc_id) + 1, 0) FROM labels) + row_number() OVER (ORDER BY doc_id) - 1 AS seq_id
+FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)
+""")
+def seq_ids(spark, sf):
+    lab = T.read(spark, sf, "labels")
+    new = T.read(spark, sf, "documents").select("doc_id").join(lab.select("doc_id"), "doc_id", "left_anti")
+    return sequence.with_sequence(new, "doc_id", out="seq_id", start=sequence.next_id(lab, "doc_id"))
+
+
+@register("debug_limit", sql=f"""
+SELECT doc_id, source FROM documents ORDER BY source, doc_id LIMIT {DEBUG_ROWS}
+""")
+def debug_limit(spark, sf):
+    return T.read(spark, sf, "documents").select("doc_id", "source").orderBy("source", "doc_id").limit(DEBUG_ROWS)
+
+
+@register("ingest_counts", sql=f"""
+WITH p AS ({PAPERS})
+SELECT count(*) AS n_raw, count(*) FILTER (WHERE title <> '') AS n_processed,
+       count(*) FILTER (WHERE title = '') AS n_skipped FROM p
+""")
+def ingest_counts(spark, sf):
+    p = T.papers(spark, sf)
+    return p.agg(F.count(F.lit(1)).alias("n_raw"), F.count_if(F.col("title") != "").alias("n_processed"),
+                 F.count_if(F.col("title") == "").alias("n_skipped"))
+
+
+@register("authors_split", sql=f"""
+WITH au AS ({_AUTHORS_SQL})
+SELECT conv_id, CAST(len(authors) AS INTEGER) AS n_authors, array_to_string(authors, '|') AS authors FROM au
+""")
+def authors_split(spark, sf):
+    a = authors(spark, sf)
+    return a.select("conv_id", F.size("authors").alias("n_authors"), F.array_join("authors", "|").alias("authors"))
+
+
+@register("person_names", sql="""
+WITH per AS (
+  SELECT conv_id, turn, concat_ws(' ', nullif(role, ''), NULL, nullif(regexp_extract(text, '^(\\p{L}+)', 1), ''), NULL) AS name
+  FROM conversations),
+au AS (SELECT conv_id, list(name ORDER BY turn) FILTER (WHERE name <> '') AS names FROM per GROUP BY conv_id)
+SELECT conv_id, array_to_string(names, '; ') AS names FROM au
+""")
+def person_names(spark, sf):
+    c = T.read(spark, sf, "conversations")
+    person = F.struct(F.col("role").alias("first"), F.lit("").alias("von"),
+                      F.regexp_extract("text", r"^(\p{L}+)", 1).alias("last"), F.lit("").alias("jr"))
+    per = c.select("conv_id", "turn", X.person_name(person).alias("name"))
+    g = per.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "name"))).alias("s"))
+    names = F.filter(F.transform("s", lambda x: x["name"]), lambda n: n != "")
+    return g.select("conv_id", F.array_join(names, "; ").alias("names"))
+
+
+@register("id_tail", sql="SELECT page_id, string_split(url, '/')[-1] AS tail FROM pages")
+def id_tail(spark, sf):
+    return T.read(spark, sf, "pages").select("page_id", I.id_tail("url").alias("tail"))
+
+
+@register("safe_ids", sql="""
+SELECT page_id, replace(url, '/', '_') AS file_id, translate(url, './', '-_') AS html_id,
+       translate(url, '/:', '--') AS model_key FROM pages
+""")
+def safe_ids(spark, sf):
+    p = T.read(spark, sf, "pages")
+    return p.select("page_id", I.file_safe_id("url").alias("file_id"), I.html_safe_id("url").alias("html_id"),
+                    I.model_key("url").alias("model_key"))
+
+
+@register("config_hash", sql="""
+SELECT DISTINCT source, lang, substr(md5(source || '-' || lang), 1, 8) AS config_hash FROM documents
+""")
+def config_hash(spark, sf):
+    d = T.read(spark, sf, "documents").select("source", "lang").distinct()
+    return d.select("source", "lang", I.config_hash("source", "lang").alias("config_hash"))
+
+
+_ISO_SQL = ("strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us(ts) % 1000000 <> 0 THEN '.' || "
+            "lpad(CAST(epoch_us(ts) % 1000000 AS VARCHAR), 6, '0') ELSE '' END || '+00:00'")
+_CATS_SQL = ", ".join(f"'{c}'" for c in T.FEED_CATEGORIES)
+
+
+def feed(spark, sf):
+    """The feed stand-in: ``(paper_id, category, published)`` from ``events``."""
+    e = T.read(spark, sf, "events")
+    return e.select(F.col("event_id").alias("paper_id"), F.col("event_type").alias("category"),
+                    F.col("ts").alias("published"), "user_id")
+
+
+@register("feed_window", sql=f"""
+SELECT event_id AS paper_id, event_type AS category, {_ISO_SQL} AS published FROM events
+WHERE event_type IN ({_CATS_SQL})
+  AND ts >= CAST(coalesce(try_strptime('{RUN_DATE}', '%Y-%m-%d')::DATE, current_date) - 1 AS TIMESTAMP)
+  AND ts < CAST(coalesce(try_strptime('{RUN_DATE}', '%Y-%m-%d')::DATE, current_date) AS TIMESTAMP)
+""")
+def feed_window(spark, sf):
+    from ..sources.feed import feed_for_day
+    f = feed_for_day(feed(spark, sf), RUN_DATE, list(T.FEED_CATEGORIES))
+    return f.select("paper_id", "category", D.iso_utc("published").alias("published"))
+
+
+@register("feed_recent", sql=f"""
+SELECT CAST(row_number() OVER (ORDER BY ts DESC, event_id) AS INTEGER) AS rank, event_id AS paper_id,
+       {_ISO_SQL} AS published
+FROM events WHERE event_type IN ({_CATS_SQL}) ORDER BY ts DESC, event_id LIMIT {MAX_RESULTS}
+""")
+def feed_recent(spark, sf):
+    from ..sources.feed import newest_first
+    f = feed(spark, sf).filter(F.col("category").isin(list(T.FEED_CATEGORIES)))
+    top = newest_first(f, MAX_RESULTS)
+    return top.select("rank", "paper_id", D.iso_utc("published").alias("published"))
+
+
+_RAW_DATE_SQL = ("CASE event_type WHEN 'view' THEN strftime(ts, '%Y-%m-%d') WHEN 'click' THEN 'today' "
+                 "WHEN 'error' THEN 'not-a-date' WHEN 'purchase' THEN strftime(ts, '%Y/%m/%d') END")
+
+
+@register("run_date", sql=f"""
+SELECT event_id, strftime(coalesce(try_strptime({_RAW_DATE_SQL}, '%Y-%m-%d')::DATE, current_date), '%Y%m%d') AS file_date
+FROM events
+""")
+def run_date(spark, sf):
+    e = T.read(spark, sf, "events")
+    t = e.event_type
+    raw = (F.when(t == "view", F.date_format("ts", "yyyy-MM-dd")).when(t == "click", "today")
+           .when(t == "error", "not-a-date").when(t == "purchase", F.date_format("ts", "yyyy/MM/dd")))
+    return e.select("event_id", D.file_date(raw).alias("file_date"))
+
+
+# Model replies exercised by score parsing (fixed cases from the reference's handling).
+REPLY_CASES = ("0.7", " 1.4 ", "-2", "nan", "inf", "abc", "", "-inf")
+
+
+@register("score_clamp", sql=f"""
+WITH r AS (SELECT event_id, CASE WHEN event_id % 9 < 8
+             THEN [{", ".join(_sql_lit(c) for c in REPLY_CASES)}][event_id % 9 + 1]
+             ELSE '0.' || json_extract_string(props, '$.k') END AS reply FROM events)
+SELECT event_id, round(greatest(0.0, least(1.0, coalesce(TRY_CAST({_sql_strip('reply')} AS DOUBLE), 0.0))), 6) AS score
+FROM r
+""")
+def score_clamp(spark, sf):
+    e = T.read(spark, sf, "events")
+    cases = F.array(*[F.lit(c) for c in REPLY_CASES])
+    m = F.pmod(F.col("event_id"), F.lit(9))
+    reply = F.when(m < 8, F.element_at(cases, (m + 1).cast("int"))).otherwise(
+        F.concat(F.lit("0."), F.get_json_object("props", "$.k")))
+    return e.select("event_id", _r6(S.clamp_score(reply)).alias("score"))
