@@ -28,7 +28,8 @@ def lookup_join(big: DataFrame, small: DataFrame, on, how: str = "inner",
     keys = [on] if isinstance(on, str) else list(on)
     if how not in ("inner", "left", "left_outer", "left_semi", "left_anti"):
         return big.join(small, on, how)
-    salt = F.pmod(F.xxhash64(*[F.col(k) for k in keys], F.monotonically_increasing_id()), F.lit(salts))
+    # Deterministic salt (a hash of the whole row) so a retried task salts alike.
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in big.columns]), F.lit(salts))
     b = big.withColumn("_salt", salt.cast("int"))
     s = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return b.join(s, keys + ["_salt"], how).drop("_salt")

@@ -495,3 +495,380 @@ def score_clamp(spark, sf):
     reply = F.when(m < 8, F.element_at(cases, (m + 1).cast("int"))).otherwise(
         F.concat(F.lit("0."), F.get_json_object("props", "$.k")))
     return e.select("event_id", _r6(S.clamp_score(reply)).alias("score"))
+
+
+# ======================================================================= groups, plans, caches, scorers
+from ..operators import cache as C  # noqa: E402
+from ..operators import groups as G  # noqa: E402
+from ..operators import lexical as LX  # noqa: E402
+from ..sources.feed import lookup_ids as _lookup_ids  # noqa: E402
+from . import recommend as R  # noqa: E402
+from .sqlparts import IDF, PTEXT, SAMPLES, UNSEEN, cosine, tok, weights  # noqa: E402,F401
+
+# The explanation model of the reference configuration.
+EXPLAIN_MODEL = "gemini-2.0-flash-lite"
+LABEL_MAX_WORDS = 10
+MISSING_ID_OFFSET = 1_000_000
+
+
+def texts(spark, sf):
+    """Paper texts ``(paper_id, text)`` (PRJ1 without authors), empty ones dropped (FLT2)."""
+    p = T.papers(spark, sf)
+    t = p.select("paper_id", X.paper_text("title", "abstract", F.array().cast("array<string>")).alias("text"))
+    return t.filter(F.col("text") != "")
+
+
+def collection(spark, sf):
+    return T.read(spark, sf, "documents").select("doc_id", "text")
+
+
+def _samples(spark, sf):
+    return R.cluster_samples(T.library_vectors(spark, sf), texts(spark, sf))
+
+
+_BASE = f"lib AS ({LIB}), cor AS ({COR}), papers AS ({PAPERS}), pt AS ({PTEXT})"
+
+
+@register("samples", sql=f"""
+WITH {_BASE}, s AS ({SAMPLES})
+SELECT cluster_id, CAST(count(*) AS INTEGER) AS n_samples, string_agg(CAST(entry_id AS VARCHAR), '|' ORDER BY entry_id) AS sample_ids
+FROM s GROUP BY cluster_id
+""")
+def samples(spark, sf):
+    g = G.gather_samples(_samples(spark, sf))
+    return g.select("cluster_id", F.size("ids").alias("n_samples"),
+                    F.array_join(F.transform("ids", lambda x: x.cast("string")), "|").alias("sample_ids"))
+
+
+@register("profile_text", sql=f"""
+WITH {_BASE}, s AS ({SAMPLES}),
+p AS (SELECT cluster_id, string_agg(text, chr(10) || '---' || chr(10) ORDER BY entry_id) AS profile_text FROM s GROUP BY cluster_id)
+SELECT cluster_id, md5(profile_text) AS profile_md5, CAST(strlen(profile_text) AS BIGINT) AS n_bytes FROM p
+""")
+def profile_text(spark, sf):
+    p = G.profile_text(G.gather_samples(_samples(spark, sf)))
+    return p.select("cluster_id", F.md5("profile_text").alias("profile_md5"),
+                    F.octet_length("profile_text").cast("bigint").alias("n_bytes"))
+
+
+def _clusters_with_far(spark, sf):
+    """Centroids plus one far-away centroid that no paper is nearest to."""
+    cents = _centroids(spark, sf)
+    far = cents.agg((F.max("cluster_id") + 1).cast("int").alias("cluster_id"),
+                    F.array_repeat(F.lit(10.0), F.max(F.size("centroid"))).alias("centroid"),
+                    F.lit(0).cast("bigint").alias("n"))
+    return cents.unionByName(far)
+
+
+_CENT_FAR = ("SELECT cluster_id, centroid FROM cent UNION ALL SELECT max(cluster_id) + 1, "
+             "list_transform(range(max(len(centroid))), lambda x: 10.0) FROM cent")
+
+
+def _labels(spark, sf):
+    """Stand-in label cache: first line of a cluster's first sample; a label
+    longer than the word limit counts as failed (NULL)."""
+    first = _samples(spark, sf).filter(F.col("sample_rank") == 1)
+    lab = X.label_clean("text")
+    ok = F.size(F.split(lab, " ")) <= LABEL_MAX_WORDS
+    return first.select("cluster_id", F.when(ok, lab).alias("label"))
+
+
+_LABELS_SQL = (f"SELECT cluster_id, CASE WHEN len(string_split(lab, ' ')) <= {LABEL_MAX_WORDS} THEN lab END AS label "
+               f"FROM (SELECT cluster_id, nullif(split_part({_sql_strip('text')}, chr(10), 1), '') AS lab "
+               f"FROM s WHERE sr = 1)")
+_LABEL_DEFAULT_SQL = ("SELECT k.cluster_id, coalesce(l.label, 'Cluster ' || CAST(k.cluster_id AS VARCHAR)) AS label "
+                      "FROM kf k LEFT JOIN lab l USING (cluster_id)")
+
+
+@register("label_default", sql=f"""
+WITH {_BASE}, cent AS ({CENT}), kf AS ({_CENT_FAR}), s AS ({SAMPLES}), lab AS ({_LABELS_SQL})
+{_LABEL_DEFAULT_SQL}
+""")
+def label_default(spark, sf):
+    lab = G.attach_labels(_clusters_with_far(spark, sf).select("cluster_id"), _labels(spark, sf))
+    return lab.select("cluster_id", "label")
+
+
+@register("hydrate", sql=f"""
+WITH {_BASE}, cent AS ({CENT}), a AS ({ASSIGN}),
+r AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY round(distance, 9), paper_id) AS rank FROM a)
+SELECT r.cluster_id, CAST(r.rank AS INTEGER) AS rank, r.paper_id, p.title FROM r JOIN papers p USING (paper_id)
+WHERE r.rank <= {TOPK}
+""")
+def hydrate(spark, sf):
+    top = cluster_candidates(spark, sf, TOPK)
+    return top.join(T.papers(spark, sf).select("paper_id", "title"), "paper_id").select(
+        "cluster_id", "rank", "paper_id", "title")
+
+
+_CAND_SQL = (f"cand AS (SELECT k.* FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY round(distance, 9), "
+             f"paper_id) AS crank FROM a) k JOIN pt USING (paper_id) WHERE k.crank <= {TOPK * OVERSAMPLE})")
+
+
+@register("pairs", sql=f"""
+WITH {_BASE}, cent AS ({CENT}), a AS ({ASSIGN}), {_CAND_SQL}, s AS ({SAMPLES}),
+p AS (SELECT cluster_id, string_agg(text, chr(10) || '---' || chr(10) ORDER BY entry_id) AS profile_text FROM s GROUP BY cluster_id)
+SELECT c.cluster_id, c.paper_id, md5(p.profile_text) AS profile_md5, md5(t.text) AS cand_md5
+FROM cand c JOIN p USING (cluster_id) JOIN pt t USING (paper_id)
+""")
+def pairs(spark, sf):
+    t = texts(spark, sf)
+    cand = R.cluster_candidates(T.corpus_vectors(spark, sf), _centroids(spark, sf), TOPK * OVERSAMPLE).join(
+        t.select("paper_id"), "paper_id")
+    prof = G.profile_text(G.gather_samples(_samples(spark, sf)))
+    j = cand.join(prof, "cluster_id").join(t, "paper_id")   # profiles: one row per cluster
+    return j.select("cluster_id", "paper_id", F.md5("profile_text").alias("profile_md5"),
+                    F.md5("text").alias("cand_md5"))
+
+
+def _ranked_far(spark, sf):
+    cents = _clusters_with_far(spark, sf)
+    a = knn.assign_nearest(T.corpus_vectors(spark, sf), cents)
+    top = knn.top_per_group(a, ["cluster_id"], [F.round("distance", 9), F.col("paper_id")], TOPK)
+    return cents, top.withColumn("score", _r6(-F.col("distance")))
+
+
+_ASSIGN_FAR = ASSIGN.replace("FROM cor c, cent k", "FROM cor c, kf k")
+_RANKED_FAR = (f"ranked AS (SELECT cluster_id, paper_id, round(-distance, 6) AS score, rank FROM ("
+               f"SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY round(distance, 9), paper_id) AS rank "
+               f"FROM ({_ASSIGN_FAR})) WHERE rank <= {TOPK})")
+
+
+@register("result_nested", sql=f"""
+WITH {_BASE}, cent AS ({CENT}), kf AS ({_CENT_FAR}), {_RANKED_FAR}
+SELECT k.cluster_id, CAST(count(r.paper_id) AS INTEGER) AS n_items,
+       coalesce(string_agg(CAST(r.paper_id AS VARCHAR) || ':' || printf('%.6f', r.score), ';' ORDER BY r.rank), '') AS items
+FROM kf k LEFT JOIN ranked r USING (cluster_id) GROUP BY k.cluster_id
+""")
+def result_nested(spark, sf):
+    cents, ranked = _ranked_far(spark, sf)
+    nested = G.nest_results(cents, ranked, ["paper_id", "score"])
+    item = lambda x: F.concat(x["paper_id"].cast("string"), F.lit(":"), F.format_string("%.6f", x["score"]))
+    return nested.select("cluster_id", F.size("items").alias("n_items"),
+                         F.array_join(F.transform("items", item), ";").alias("items"))
+
+
+_AUTH_JOINED_SQL = f"SELECT conv_id AS paper_id, array_to_string(authors, ', ') AS authors FROM ({_AUTHORS_SQL})"
+
+
+@register("report_rows", sql=f"""
+WITH {_BASE}, cent AS ({CENT}), kf AS ({_CENT_FAR}), s AS ({SAMPLES}), lab AS ({_LABELS_SQL}),
+lbl AS ({_LABEL_DEFAULT_SQL}), {_RANKED_FAR}, au AS ({_AUTH_JOINED_SQL}),
+items AS (SELECT r.cluster_id, CAST(r.rank AS INTEGER) AS line_no,
+  '<li><a href="https://arxiv.org/abs/' || CAST(r.paper_id AS VARCHAR) || '" target="_blank">' || p.title
+  || '</a><br><small><i>' || coalesce(au.authors, '') || '</i> [' || p.lang || ']</small> – score '
+  || printf('%.3f', round(r.score, 3)) || '</li>' AS line
+  FROM ranked r JOIN papers p USING (paper_id) LEFT JOIN au USING (paper_id))
+SELECT cluster_id, 0 AS line_no, '<h2>' || label || '</h2><ol>' AS line FROM lbl
+UNION ALL SELECT * FROM items
+UNION ALL SELECT l.cluster_id, CAST(coalesce(max(i.line_no), 0) + 1 AS INTEGER), '</ol>' FROM lbl l
+  LEFT JOIN items i USING (cluster_id) GROUP BY l.cluster_id
+""")
+def report_rows(spark, sf):
+    from ..sinks import report_lines
+    cents, ranked = _ranked_far(spark, sf)
+    labels = G.attach_labels(cents.select("cluster_id"), _labels(spark, sf))
+    au = authors(spark, sf).select(F.col("conv_id").alias("paper_id"), "authors")
+    papers = T.papers(spark, sf).select("paper_id", "title", F.col("lang").alias("category")).join(au, "paper_id", "left")
+    return report_lines(labels, ranked.join(papers, "paper_id"))
+
+
+_FLAT_SQL = f"""
+WITH {_BASE}, prof AS ({PROFILE}), {IDF},
+d AS (SELECT c.paper_id, {l2('c.vector', 'p.vector')} AS distance FROM cor c, prof p),
+cand AS (SELECT 0 AS group_id, k.* FROM (SELECT paper_id, distance, row_number() OVER (ORDER BY round(distance, 9), paper_id) AS crank
+         FROM d) k JOIN pt USING (paper_id) WHERE k.crank <= {TOPK * OVERSAMPLE}),
+ptf AS (SELECT g AS group_id, term, count(*) AS tf FROM ({tok('(SELECT t.text FROM lib l JOIN pt t ON t.paper_id = l.entry_id)', '0 AS g')}) GROUP BY g, term),
+pw AS ({weights('ptf', 'group_id')}),
+ctf AS (SELECT paper_id, term, count(*) AS tf FROM ({tok('(SELECT * FROM pt WHERE paper_id IN (SELECT paper_id FROM cand))', 'paper_id')}) GROUP BY paper_id, term),
+cw AS ({weights('ctf', 'paper_id')}),
+prs AS (SELECT group_id, paper_id FROM cand),
+{cosine('pw', 'cw', 'prs', 'group_id', 'paper_id')},
+fin AS (SELECT s.paper_id, s.score, c.distance, row_number() OVER (ORDER BY round(s.score, 9) DESC, c.crank) AS rank
+        FROM scored s JOIN cand c USING (paper_id))
+SELECT CAST(rank AS INTEGER) AS rank, paper_id, round(score, 6) AS score, round(distance, 6) AS distance FROM fin WHERE rank <= {TOPK}
+"""
+
+
+@register("recommend_flat", sql=_FLAT_SQL)
+def recommend_flat(spark, sf):
+    r = R.recommend_flat(T.library_vectors(spark, sf), texts(spark, sf), T.corpus_vectors(spark, sf),
+                         texts(spark, sf), collection(spark, sf), topk=TOPK, oversample=OVERSAMPLE)
+    return r.select("rank", "paper_id", _r6("score").alias("score"), _r6("distance").alias("distance"))
+
+
+_CLUSTERED_SQL = f"""
+WITH {_BASE}, cent AS ({CENT}), a AS ({ASSIGN}), {_CAND_SQL}, s AS ({SAMPLES}), {IDF},
+ptf AS (SELECT cluster_id, term, count(*) AS tf FROM ({tok('s', 'cluster_id')}) GROUP BY cluster_id, term),
+pw AS ({weights('ptf', 'cluster_id')}),
+ctf AS (SELECT paper_id, term, count(*) AS tf FROM ({tok('(SELECT * FROM pt WHERE paper_id IN (SELECT paper_id FROM cand))', 'paper_id')}) GROUP BY paper_id, term),
+cw AS ({weights('ctf', 'paper_id')}),
+prs AS (SELECT cluster_id, paper_id FROM cand),
+{cosine('pw', 'cw', 'prs', 'cluster_id', 'paper_id')},
+fin AS (SELECT s.cluster_id, s.paper_id, s.score, c.distance,
+        row_number() OVER (PARTITION BY s.cluster_id ORDER BY round(s.score, 9) DESC, c.crank) AS rank
+        FROM scored s JOIN cand c USING (cluster_id, paper_id))
+SELECT cluster_id, CAST(rank AS INTEGER) AS rank, paper_id, round(score, 6) AS score, round(distance, 6) AS distance
+FROM fin WHERE rank <= {TOPK}
+"""
+
+
+@register("recommend_clustered", sql=_CLUSTERED_SQL)
+def recommend_clustered(spark, sf):
+    r = R.recommend_clustered(T.library_vectors(spark, sf), texts(spark, sf), T.corpus_vectors(spark, sf),
+                              texts(spark, sf), collection(spark, sf), topk=TOPK, oversample=OVERSAMPLE)
+    return r.select("cluster_id", "rank", "paper_id", _r6("score").alias("score"), _r6("distance").alias("distance"))
+
+
+@register("cache_split", sql="""
+SELECT d.doc_id, CASE WHEN l.doc_id IS NOT NULL THEN 'hit' ELSE 'miss' END AS status
+FROM documents d LEFT JOIN (SELECT doc_id FROM labels WHERE toxic = 0) l USING (doc_id)
+""")
+def cache_split(spark, sf):
+    req = T.read(spark, sf, "documents").select("doc_id")
+    hits, misses = C.split_cache(req, T.read(spark, sf, "labels"), ["doc_id"], valid=F.col("toxic") == 0)
+    return hits.select("doc_id", F.lit("hit").alias("status")).unionByName(
+        misses.select("doc_id", F.lit("miss").alias("status")))
+
+
+@register("cache_upsert", sql="""
+WITH new AS (SELECT d.doc_id, CASE WHEN d.n_chars >= 1000 THEN 1 ELSE 0 END AS quality, 0 AS toxic
+             FROM documents d WHERE d.doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 0))
+SELECT doc_id, quality, toxic, 'old' AS origin FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM new)
+UNION ALL SELECT doc_id, quality, toxic, 'new' AS origin FROM new
+""")
+def cache_upsert(spark, sf):
+    d = T.read(spark, sf, "documents")
+    lab = T.read(spark, sf, "labels")
+    _, misses = C.split_cache(d.select("doc_id", "n_chars"), lab, ["doc_id"], valid=F.col("toxic") == 0)
+    new = misses.select("doc_id", F.when(F.col("n_chars") >= 1000, 1).otherwise(0).cast("int").alias("quality"),
+                        F.lit(0).cast("int").alias("toxic"), F.lit("new").alias("origin"))
+    old = lab.select("doc_id", "quality", "toxic", F.lit("old").alias("origin"))
+    return C.upsert(old, new, ["doc_id"])
+
+
+@register("explain_cache", sql=f"""
+WITH papers AS ({PAPERS}),
+req AS (SELECT paper_id, substr(md5('{EXPLAIN_MODEL}' || '-' || lang), 1, 8) AS config_hash, abstract FROM papers),
+cache AS (SELECT p.paper_id, substr(md5('{EXPLAIN_MODEL}' || '-' || p.lang), 1, 8) AS config_hash, p.title AS explanation
+          FROM labels l JOIN papers p ON p.paper_id = l.doc_id WHERE l.quality = 1),
+gen AS (SELECT r.paper_id, r.config_hash, nullif(split_part({_sql_strip("coalesce(r.abstract, '')")}, chr(10), 1), '') AS explanation
+        FROM req r ANTI JOIN cache c USING (paper_id, config_hash))
+SELECT r.paper_id, r.config_hash, 'cache' AS origin, md5(c.explanation) AS explanation_md5
+FROM req r JOIN cache c USING (paper_id, config_hash)
+UNION ALL SELECT paper_id, config_hash, CASE WHEN explanation IS NULL THEN 'none' ELSE 'generated' END,
+       md5(explanation) FROM gen
+""")
+def explain_cache(spark, sf):
+    p = T.papers(spark, sf)
+    req = p.select("paper_id", I.config_hash(F.lit(EXPLAIN_MODEL), "lang").alias("config_hash"), "abstract")
+    cached = (T.read(spark, sf, "labels").filter(F.col("quality") == 1).select(F.col("doc_id").alias("paper_id"))
+              .join(p, "paper_id").select("paper_id", I.config_hash(F.lit(EXPLAIN_MODEL), "lang").alias("config_hash"),
+                                         F.col("title").alias("explanation")))
+    hits, misses = C.split_cache(req, cached, ["paper_id", "config_hash"])
+    gen = misses.select("paper_id", "config_hash", X.label_clean(F.coalesce(F.col("abstract"), F.lit(""))).alias("explanation"))
+    return hits.select("paper_id", "config_hash", F.lit("cache").alias("origin"), F.md5("explanation").alias("explanation_md5")
+                       ).unionByName(gen.select("paper_id", "config_hash",
+                                                F.when(F.col("explanation").isNull(), "none").otherwise("generated").alias("origin"),
+                                                F.md5("explanation").alias("explanation_md5")))
+
+
+@register("lookup_ids", sql=f"""
+WITH papers AS ({PAPERS}),
+req AS (SELECT doc_id AS paper_id FROM labels UNION SELECT doc_id + {MISSING_ID_OFFSET} FROM labels)
+SELECT r.paper_id, p.paper_id IS NOT NULL AS found, p.title FROM req r LEFT JOIN papers p USING (paper_id)
+""")
+def lookup_ids(spark, sf):
+    lab = T.read(spark, sf, "labels")
+    ids = lab.select(F.col("doc_id").alias("paper_id")).unionByName(
+        lab.select((F.col("doc_id") + MISSING_ID_OFFSET).alias("paper_id")))
+    found, missing = _lookup_ids(T.papers(spark, sf).select("paper_id", "title"), ids)
+    return found.select("paper_id", F.lit(True).alias("found"), "title").unionByName(
+        missing.select("paper_id", F.lit(False).alias("found"), F.lit(None).cast("string").alias("title")))
+
+
+_RERANK_SQL = f"""
+WITH {IDF},
+ptf AS (SELECT g AS group_id, term, count(*) AS tf FROM ({tok('benchmark', '0 AS g')}) GROUP BY g, term),
+pw AS ({weights('ptf', 'group_id')}),
+cw AS ({weights('dtf', 'doc_id')}),
+prs AS (SELECT 0 AS group_id, doc_id FROM documents),
+{cosine('pw', 'cw', 'prs', 'group_id', 'doc_id')}"""
+
+
+def _rerank_scores(spark, sf):
+    docs = collection(spark, sf)
+    prof = T.read(spark, sf, "benchmark").select(F.lit(0).alias("group_id"), "text")
+    prs = docs.select(F.lit(0).alias("group_id"), F.col("doc_id").alias("cand_id"))
+    cand = docs.select(F.col("doc_id").alias("cand_id"), "text")
+    return LX.rerank_lexical(prs, prof, cand, docs, "group_id", "cand_id").select(
+        F.col("cand_id").alias("doc_id"), "score")
+
+
+@register("rerank_lexical", sql=_RERANK_SQL + "\nSELECT doc_id, round(score, 6) AS score FROM scored")
+def rerank_lexical(spark, sf):
+    return _rerank_scores(spark, sf).select("doc_id", _r6(S.clamp_score(F.col("score").cast("string"))).alias("score"))
+
+
+RERANK_K = 20
+
+
+@register("rerank_topk", sql=_RERANK_SQL + f"""
+SELECT * FROM (SELECT CAST(row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS INTEGER) AS rank, doc_id,
+  round(score, 6) AS score FROM scored) WHERE rank <= {RERANK_K}
+""")
+def rerank_topk(spark, sf):
+    s = _rerank_scores(spark, sf)
+    top = knn.top_overall(s, [F.round("score", 9).desc(), F.col("doc_id")], RERANK_K)
+    return top.select("rank", "doc_id", _r6("score").alias("score"))
+
+
+@register("label_terms", sql=f"""
+WITH {_BASE}, s AS ({SAMPLES}),
+ctf AS (SELECT cluster_id, term, count(*) AS tf FROM ({tok('s', 'cluster_id')}) GROUP BY cluster_id, term),
+g AS (SELECT term, count(*) AS gdf FROM ctf GROUP BY term),
+w AS (SELECT c.cluster_id, c.term, c.tf * (ln((1 + (SELECT count(DISTINCT cluster_id) FROM s)) / (1 + g.gdf)) + 1) AS w
+      FROM ctf c JOIN g USING (term)),
+r AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY round(w, 9) DESC, term) AS r FROM w)
+SELECT cluster_id, string_agg(term, ' ' ORDER BY r) AS label FROM r WHERE r <= 3 GROUP BY cluster_id
+""")
+def label_terms(spark, sf):
+    s = _samples(spark, sf).select("cluster_id", "text")
+    return LX.top_terms(s, "cluster_id", 3)
+
+
+_EXTRACT_SQL = f"""{IDF},
+lines AS (SELECT doc_id, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos,
+          unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM docs),
+lt AS ({tok('lines', 'doc_id, pos', 'line')}),
+sc AS (SELECT lt.doc_id, lt.pos, avg(coalesce(i.idf, {UNSEEN})) AS score FROM lt LEFT JOIN idf i USING (term) GROUP BY lt.doc_id, lt.pos),
+rk AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, pos) AS r FROM sc),
+ex AS (SELECT rk.doc_id, string_agg(l.line, ' ' ORDER BY rk.pos) AS explanation, CAST(count(*) AS INTEGER) AS n_lines
+       FROM rk JOIN lines l USING (doc_id, pos) WHERE rk.r <= 2 GROUP BY rk.doc_id)"""
+
+
+@register("explain_extractive", sql=f"""
+WITH docs AS (SELECT doc_id, text FROM documents), {_EXTRACT_SQL}
+SELECT doc_id, md5(explanation) AS explanation_md5, n_lines FROM ex
+""")
+def explain_extractive(spark, sf):
+    docs = collection(spark, sf)
+    e = LX.extractive_summary(docs, docs)
+    return e.select("doc_id", F.md5("explanation").alias("explanation_md5"), "n_lines")
+
+
+@register("explain_attach", sql=f"""
+WITH {_BASE}, cent AS ({CENT}), a AS ({ASSIGN}),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY round(distance, 9), paper_id) AS rank FROM a)
+        WHERE rank <= {TOPK}),
+docs AS (SELECT doc_id, text FROM documents WHERE doc_id IN (SELECT paper_id FROM top)), {_EXTRACT_SQL}
+SELECT t.cluster_id, CAST(t.rank AS INTEGER) AS rank, t.paper_id, md5(ex.explanation) AS explanation_md5
+FROM top t LEFT JOIN ex ON ex.doc_id = t.paper_id
+""")
+def explain_attach(spark, sf):
+    top = cluster_candidates(spark, sf, TOPK)
+    docs = collection(spark, sf)
+    wanted = docs.join(top.select(F.col("paper_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    ex = LX.extractive_summary(wanted, docs)       # once per distinct recommended id
+    j = top.join(ex.withColumnRenamed("doc_id", "paper_id"), "paper_id", "left")
+    return j.select("cluster_id", "rank", "paper_id", F.md5("explanation").alias("explanation_md5"))

@@ -31,3 +31,41 @@ ASSIGN = (f"SELECT paper_id, cluster_id, distance FROM ("
           f" SELECT c.paper_id, k.cluster_id, {l2('c.vector', 'k.centroid')} AS distance,"
           f"  row_number() OVER (PARTITION BY c.paper_id ORDER BY round({l2('c.vector', 'k.centroid')}, 9),"
           f"  k.cluster_id) AS rn FROM cor c, cent k) WHERE rn = 1")
+
+
+def tok(src: str, keys: str, text: str = "text") -> str:
+    """Token rows ``(keys..., term)`` of a text column (same rule as functions.tokens)."""
+    return (f"SELECT {keys}, unnest(list_filter(regexp_split_to_array(lower(coalesce({text}, '')), "
+            f"'[^\\p{{L}}]+'), lambda t: t <> '')) AS term FROM {src}")
+
+
+PTEXT = ("SELECT paper_id, text FROM (SELECT paper_id, "
+         + strip_ws("concat_ws(chr(10), nullif(title, ''), nullif(abstract, ''))")
+         + " AS text FROM papers) WHERE text <> ''")
+
+IDF = (f"dtf AS (SELECT doc_id, term, count(*) AS tf FROM ({tok('documents', 'doc_id')}) GROUP BY doc_id, term),\n"
+       "ndoc AS (SELECT count(DISTINCT doc_id) AS n FROM documents),\n"
+       "idf AS (SELECT term, ln((1 + (SELECT n FROM ndoc)) / (1 + count(*))) + 1 AS idf FROM dtf GROUP BY term)")
+UNSEEN = "(ln(1 + (SELECT n FROM ndoc)) + 1)"
+
+
+def weights(tf: str, key: str) -> str:
+    return (f"SELECT t.{key}, t.term, t.tf * coalesce(i.idf, {UNSEEN}) AS w "
+            f"FROM {tf} t LEFT JOIN idf i ON i.term = t.term")
+
+
+def cosine(pw: str, cw: str, pairs: str, group: str, cand: str) -> str:
+    """CTEs ending in ``scored(pairs.*, score)``."""
+    return f"""pn AS (SELECT {group}, sqrt(sum(w * w)) AS pn FROM {pw} GROUP BY {group}),
+cn AS (SELECT {cand}, sqrt(sum(w * w)) AS cn FROM {cw} GROUP BY {cand}),
+dots AS (SELECT pr.{group}, pr.{cand}, sum(c.w * p.w) AS dot FROM {pairs} pr
+         JOIN {cw} c ON c.{cand} = pr.{cand} JOIN {pw} p ON p.{group} = pr.{group} AND p.term = c.term
+         GROUP BY pr.{group}, pr.{cand}),
+scored AS (SELECT pr.*, CASE WHEN pn.pn > 0 AND cn.cn > 0 THEN coalesce(d.dot, 0) / (pn.pn * cn.cn) ELSE 0.0 END AS score
+           FROM {pairs} pr LEFT JOIN dots d ON d.{group} = pr.{group} AND d.{cand} = pr.{cand}
+           LEFT JOIN pn ON pn.{group} = pr.{group} LEFT JOIN cn ON cn.{cand} = pr.{cand})"""
+
+
+SAMPLES = ("SELECT * FROM (SELECT l.cluster_id, l.entry_id, t.text, row_number() OVER "
+           "(PARTITION BY l.cluster_id ORDER BY l.entry_id) AS sr FROM lib l JOIN pt t ON t.paper_id = l.entry_id "
+           "WHERE l.cluster_id <> -1) WHERE sr <= 8")
