@@ -90,16 +90,20 @@ def _packer(block_rows: int):
 
 
 def pack_blocks(df: DataFrame, id_col: str, vec_col: str, block_rows: int = 1024,
-                stripes: int | None = None) -> DataFrame:
+                stripes: int | None = None, stripe_col: str | None = None) -> DataFrame:
     """Pack ``(id, vector)`` rows into blocks inside each partition.
 
-    With ``stripes`` each row's stripe is a hash of its id, so block contents
-    may differ between task attempts while every row's stripe does not.
+    With ``stripes`` each row's stripe is a hash of its id; with ``stripe_col``
+    it is that column (a cell or bucket id).  Block contents may differ
+    between task attempts while every row's stripe does not.
     """
-    stripe = (F.pmod(F.xxhash64(F.col("_id")), F.lit(stripes)) if stripes else F.lit(0)).cast("int")
-    rows = (df.select(F.col(id_col).cast("bigint").alias("_id"), F.col(vec_col).alias("_v"))
+    if stripe_col:
+        stripe = F.col(stripe_col)
+    else:
+        stripe = F.pmod(F.xxhash64(F.col(id_col).cast("bigint")), F.lit(stripes)) if stripes else F.lit(0)
+    rows = (df.select(F.col(id_col).cast("bigint").alias("_id"), F.col(vec_col).alias("_v"),
+                      stripe.cast("int").alias("_stripe"))
             .filter(F.col("_v").isNotNull())
-            .withColumn("_stripe", stripe)
             .sortWithinPartitions("_stripe", "_id"))
     return rows.mapInPandas(_packer(block_rows), BLOCK_SCHEMA)
 
@@ -187,7 +191,18 @@ def knn_join(left: DataFrame, right: DataFrame, k: int, left_id: str = "id", rig
             rb = _prefix(pack_blocks(R, "_rid", "_rv", block_rows), "r")
             rb = rb.select(seq, *[c for c in rb.columns if c != "stripe"])
         pairs = lb.join(rb, "stripe")
+    return pair_topk(pairs, k)
+
+
+def pair_topk(pairs: DataFrame, k: int, dedup: bool = False) -> DataFrame:
+    """Score joined block pairs and keep the k nearest per query.
+
+    ``dedup`` drops repeated (query, neighbour) rows first, for probes that can
+    meet the same neighbour through several cells or hash tables.
+    """
     cand = pairs.mapInPandas(_pair_scorer(k), PAIR_SCHEMA)
+    if dedup:
+        cand = cand.dropDuplicates(["query_id", "neighbor_id"])
     return top_per_group(cand, ["query_id"], [F.round("distance", 9), F.col("neighbor_id")], k)
 
 

@@ -872,3 +872,58 @@ def explain_attach(spark, sf):
     ex = LX.extractive_summary(wanted, docs)       # once per distinct recommended id
     j = top.join(ex.withColumnRenamed("doc_id", "paper_id"), "paper_id", "left")
     return j.select("cluster_id", "rank", "paper_id", F.md5("explanation").alias("explanation_md5"))
+
+
+# ======================================================================= approximate search (rows-only checks)
+from ..operators import ann  # noqa: E402
+
+IVF_NLIST, IVF_NPROBE = 16, 4
+LSH_BUCKET, LSH_TABLES = 0.125, 8
+
+
+@register("knn_ivf")
+def knn_ivf(spark, sf):
+    nn = ann.knn_ivf(T.library_vectors(spark, sf), T.corpus_vectors(spark, sf), K_NEIGHBOURS,
+                     nlist=IVF_NLIST, nprobe=IVF_NPROBE, query_id="entry_id", index_id="paper_id")
+    return nn.select("query_id", "neighbor_id", _r6("distance").alias("distance"), "rank")
+
+
+@register("knn_lsh")
+def knn_lsh(spark, sf):
+    nn = ann.knn_lsh(T.library_vectors(spark, sf), T.corpus_vectors(spark, sf), K_NEIGHBOURS,
+                     bucket_length=LSH_BUCKET, num_tables=LSH_TABLES, query_id="entry_id", index_id="paper_id")
+    return nn.select("query_id", "neighbor_id", _r6("distance").alias("distance"), "rank")
+
+
+# ======================================================================= inference, streaming (rows-only checks)
+EMBED_DIM = 256
+
+
+@register("embed_native")
+def embed_native(spark, sf):
+    e = LX.hashed_embedding(collection(spark, sf), "doc_id", "text", dim=EMBED_DIM)
+    from ..functions.vectors import norm2
+    return e.select("doc_id", F.size(F.filter("vector", lambda x: x != 0)).alias("n_nonzero"),
+                    _r6(norm2("vector")).alias("norm"))
+
+
+@register("stream_assign", sql=f"""
+WITH lib AS ({LIB}), cor AS ({COR}), cent AS ({CENT})
+SELECT paper_id, cluster_id, round(distance, 6) AS distance FROM ({ASSIGN})
+""")
+def stream_assign(spark, sf):
+    """Corpus vectors landed as files (with a timestamp from ``events``), scored
+    by the streaming job; returns what the stream wrote."""
+    import uuid
+
+    from ..session import scratch_path
+    from ..streaming.assign_stream import start_assign_stream
+    run = scratch_path(spark, f"stream_assign/{uuid.uuid4().hex}")
+    ev = T.read(spark, sf, "events").select(F.col("event_id").alias("paper_id"), F.col("ts").alias("published"))
+    landed = T.corpus_vectors(spark, sf).join(ev, "paper_id", "left").withColumn(
+        "published", F.coalesce(F.col("published"), F.lit("2024-01-01")).cast("timestamp"))
+    landed.write.parquet(f"{run}/landing")
+    q = start_assign_stream(spark, f"{run}/landing", landed.schema, _centroids(spark, sf),
+                            f"{run}/sink", f"{run}/checkpoint")
+    q.awaitTermination()
+    return spark.read.parquet(f"{run}/sink").select("paper_id", "cluster_id", _r6("distance").alias("distance"))

@@ -19,6 +19,7 @@ DEFAULT_CONF = {
     # Block-packed vector pairs are large rows: bound Arrow batches by bytes.
     "spark.sql.execution.arrow.maxBytesPerBatch": str(64 * 1024 * 1024),
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
 }
 
 
