@@ -157,6 +157,36 @@ def _prefix(blocks: DataFrame, p: str) -> DataFrame:
     return blocks.select("stripe", *[F.col(c).alias(f"{p}_{c}") for c in ("n", "dim", "ids", "mat")])
 
 
+def block_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_vec: str,
+                right_vec: str, block_rows: int = 1024, broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
+                stripes: int | None = None) -> DataFrame:
+    """Every (left block, right block) pair as one row: ``stripe, l_n, l_dim, l_ids,
+    l_mat, r_n, r_dim, r_ids, r_mat``.  Placement as described in the module doc."""
+    spark = left.sparkSession
+    L = left.select(F.col(left_id).alias("_lid"), F.col(left_vec).alias("_lv"))
+    R = right.select(F.col(right_id).alias("_rid"), F.col(right_vec).alias("_rv"))
+    if is_bounded(R, broadcast_rows):
+        lb = _prefix(pack_blocks(L, "_lid", "_lv", block_rows), "l")
+        rb = _prefix(pack_blocks(R, "_rid", "_rv", block_rows), "r")
+        return lb.join(F.broadcast(rb), "stripe")
+    if is_bounded(L, broadcast_rows):
+        lb = _prefix(pack_blocks(L, "_lid", "_lv", block_rows), "l")
+        rb = _prefix(pack_blocks(R, "_rid", "_rv", block_rows), "r")
+        return rb.join(F.broadcast(lb), "stripe")
+    s = stripes or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    n_left, n_right = L.count(), R.count()
+    seq = F.explode(F.sequence(F.lit(0), F.lit(s - 1))).alias("stripe")
+    if n_left <= n_right:   # replicate the smaller side to every stripe
+        lb = _prefix(pack_blocks(L, "_lid", "_lv", block_rows), "l")
+        lb = lb.select(seq, *[c for c in lb.columns if c != "stripe"])
+        rb = _prefix(pack_blocks(R, "_rid", "_rv", block_rows, stripes=s), "r")
+    else:
+        lb = _prefix(pack_blocks(L, "_lid", "_lv", block_rows, stripes=s), "l")
+        rb = _prefix(pack_blocks(R, "_rid", "_rv", block_rows), "r")
+        rb = rb.select(seq, *[c for c in rb.columns if c != "stripe"])
+    return lb.join(rb, "stripe")
+
+
 def knn_join(left: DataFrame, right: DataFrame, k: int, left_id: str = "id", right_id: str = "id",
              left_vec: str = "vector", right_vec: str = "vector", block_rows: int = 1024,
              broadcast_rows: int = DEFAULT_BROADCAST_ROWS, stripes: int | None = None) -> DataFrame:
@@ -167,30 +197,7 @@ def knn_join(left: DataFrame, right: DataFrame, k: int, left_id: str = "id", rig
     """
     if k <= 0:
         raise ValueError("k must be positive")
-    spark = left.sparkSession
-    L = left.select(F.col(left_id).alias("_lid"), F.col(left_vec).alias("_lv"))
-    R = right.select(F.col(right_id).alias("_rid"), F.col(right_vec).alias("_rv"))
-    if is_bounded(R, broadcast_rows):
-        lb = _prefix(pack_blocks(L, "_lid", "_lv", block_rows), "l")
-        rb = _prefix(pack_blocks(R, "_rid", "_rv", block_rows), "r")
-        pairs = lb.join(F.broadcast(rb), "stripe")
-    elif is_bounded(L, broadcast_rows):
-        lb = _prefix(pack_blocks(L, "_lid", "_lv", block_rows), "l")
-        rb = _prefix(pack_blocks(R, "_rid", "_rv", block_rows), "r")
-        pairs = rb.join(F.broadcast(lb), "stripe")
-    else:
-        s = stripes or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-        n_left, n_right = L.count(), R.count()
-        seq = F.explode(F.sequence(F.lit(0), F.lit(s - 1))).alias("stripe")
-        if n_left <= n_right:   # replicate the smaller (query) side to every stripe
-            lb = _prefix(pack_blocks(L, "_lid", "_lv", block_rows), "l")
-            lb = lb.select(seq, *[c for c in lb.columns if c != "stripe"])
-            rb = _prefix(pack_blocks(R, "_rid", "_rv", block_rows, stripes=s), "r")
-        else:
-            lb = _prefix(pack_blocks(L, "_lid", "_lv", block_rows, stripes=s), "l")
-            rb = _prefix(pack_blocks(R, "_rid", "_rv", block_rows), "r")
-            rb = rb.select(seq, *[c for c in rb.columns if c != "stripe"])
-        pairs = lb.join(rb, "stripe")
+    pairs = block_pairs(left, right, left_id, right_id, left_vec, right_vec, block_rows, broadcast_rows, stripes)
     return pair_topk(pairs, k)
 
 
