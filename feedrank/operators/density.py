@@ -19,6 +19,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -27,6 +29,7 @@ from pyspark.sql import functions as F
 from .lineage import cut
 
 from .graph import connected_components
+from .joins import DEFAULT_BROADCAST_ROWS
 from .knn import block_pairs, knn_join, sq_distances
 
 BEST_SCHEMA = "query_id bigint, neighbor_id bigint, w double"
@@ -61,41 +64,66 @@ def _best_other_scorer(dim: int):
     return score
 
 
+def _jump_to_roots(parent: DataFrame, rounds: int) -> DataFrame:
+    """Follow ``parent`` pointers ``rounds`` times by doubling: ``(node, root)``."""
+    cur = parent
+    for i in range(rounds):
+        p = cur.select(F.col("node").alias("parent"), F.col("parent").alias("pp"))
+        cur = cur.join(p, "parent", "left").select("node", F.coalesce(F.col("pp"), F.col("parent")).alias("parent"))
+        if (i + 1) % 6 == 0:
+            cur = cut(cur, "mst-jump")
+    return cur
+
+
 def mutual_reachability_mst(points: DataFrame, core: DataFrame, id_col: str = "id", vec: str = "vector",
-                            max_rounds: int = 64) -> DataFrame:
-    """Exact minimum spanning forest ``(u, v, w)`` of the mutual reachability graph."""
+                            max_rounds: int = 64, broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+    """Exact minimum spanning forest ``(u, v, w)`` of the mutual reachability graph.
+
+    Borůvka: each round every component takes its lightest outgoing edge
+    under the total order ``(w, lo, hi)``.  The chosen edges point each
+    component to another; every resulting tree has exactly one mutual pair,
+    whose smaller id becomes the root, and pointer jumping merges the rest.
+    """
     spark = points.sparkSession
     pts = points.select(F.col(id_col).alias("id"), F.col(vec).cast("array<double>").alias("v")).join(
         core.select(F.col(id_col).alias("id"), "core"), "id")
     pts = cut(pts, "mst-points")
-    dim = pts.select(F.max(F.size("v"))).first()[0]
+    stats = pts.agg(F.max(F.size("v")).alias("dim"), F.count(F.lit(1)).alias("n")).first()
+    dim, n_pts = stats["dim"], stats["n"]
+    side = "right" if n_pts <= broadcast_rows else "none"
     comp = pts.select("id", F.col("id").alias("comp"))
+    n_comp = n_pts
     edges = None
+    order = lambda c: F.struct(c("w"), F.least(c("query_id"), c("neighbor_id")),
+                               F.greatest(c("query_id"), c("neighbor_id")))
     for _ in range(max_rounds):
-        if comp.select("comp").distinct().limit(2).count() < 2:
+        if n_comp < 2:
             break
         ext = pts.join(comp, "id").select(
             "id", F.concat("v", F.array(F.col("core"), F.col("comp").cast("double"))).alias("x"))
-        pairs = block_pairs(ext, ext, "id", "id", "x", "x")
+        pairs = block_pairs(ext, ext, "id", "id", "x", "x", broadcast=None if side == "none" else side,
+                            broadcast_rows=broadcast_rows)
         best = pairs.mapInPandas(_best_other_scorer(dim), BEST_SCHEMA)
-        order = F.struct(F.col("w"), F.least("query_id", "neighbor_id"), F.greatest("query_id", "neighbor_id"))
-        per_point = best.groupBy("query_id").agg(F.min_by(F.struct("query_id", "neighbor_id", "w"), order).alias("e"))
-        per_comp = (per_point.select("e.*").join(comp.withColumnRenamed("id", "query_id"), "query_id")
-                    .groupBy("comp").agg(F.min_by(F.struct("query_id", "neighbor_id", "w"),
-                                                  F.struct(F.col("w"), F.least("query_id", "neighbor_id"),
-                                                           F.greatest("query_id", "neighbor_id"))).alias("e")))
-        chosen = per_comp.select(F.least("e.query_id", "e.neighbor_id").alias("u"),
-                                 F.greatest("e.query_id", "e.neighbor_id").alias("v"), F.col("e.w").alias("w")
-                                 ).distinct()
-        chosen = cut(chosen, "mst-chosen")
-        edges = cut(chosen if edges is None else edges.unionByName(chosen))
-        ca = comp.withColumnRenamed("id", "u").withColumnRenamed("comp", "cu")
-        cb = comp.withColumnRenamed("id", "v").withColumnRenamed("comp", "cv")
-        cedges = chosen.join(ca, "u").join(cb, "v").select(F.col("cu").alias("src"), F.col("cv").alias("dst"))
-        merged = connected_components(comp.select(F.col("comp").alias("node")), cedges)
-        comp = (comp.join(merged.select(F.col("node").alias("comp"), "label"), "comp")
-                .select("id", F.col("label").alias("comp")))
-        comp = cut(comp, "mst-comp")
+        e = F.struct("query_id", "neighbor_id", "w")
+        per_point = best.groupBy("query_id").agg(F.min_by(e, order(F.col)).alias("e")).select("e.*")
+        per_comp = (per_point.join(comp.withColumnRenamed("id", "query_id"), "query_id")
+                    .groupBy("comp").agg(F.min_by(F.struct("query_id", "neighbor_id", "w"), order(F.col)).alias("e"))
+                    .select("comp", "e.*"))
+        per_comp = cut(per_comp.join(comp.select(F.col("id").alias("neighbor_id"), F.col("comp").alias("target")),
+                                     "neighbor_id"), "mst-choice")
+        chosen = per_comp.select(F.least("query_id", "neighbor_id").alias("u"),
+                                 F.greatest("query_id", "neighbor_id").alias("v"), "w").distinct()
+        edges = cut(chosen if edges is None else edges.unionByName(chosen), "mst-edges")
+        # component -> target; in a mutual pair the smaller id is the root
+        back = per_comp.select(F.col("comp").alias("target"), F.col("target").alias("comp"))
+        mutual = per_comp.join(back.withColumn("m", F.lit(True)), ["comp", "target"], "left")
+        parent = mutual.select(F.col("comp").alias("node"), F.when(
+            F.col("m").isNotNull() & (F.col("comp") < F.col("target")), F.col("comp")).otherwise(
+            F.col("target")).alias("parent"))
+        roots = _jump_to_roots(parent, max(1, math.ceil(math.log2(n_comp)) + 1))
+        comp = cut(comp.join(roots.select(F.col("node").alias("comp"), "parent"), "comp")
+                   .select("id", F.col("parent").alias("comp")), "mst-comp")
+        n_comp = comp.select("comp").distinct().count()
     if edges is None:
         return spark.createDataFrame([], "u bigint, v bigint, w double")
     return edges

@@ -159,17 +159,18 @@ def _prefix(blocks: DataFrame, p: str) -> DataFrame:
 
 def block_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_vec: str,
                 right_vec: str, block_rows: int = 1024, broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
-                stripes: int | None = None) -> DataFrame:
+                stripes: int | None = None, broadcast: str | None = None) -> DataFrame:
     """Every (left block, right block) pair as one row: ``stripe, l_n, l_dim, l_ids,
-    l_mat, r_n, r_dim, r_ids, r_mat``.  Placement as described in the module doc."""
+    l_mat, r_n, r_dim, r_ids, r_mat``.  Placement as described in the module doc;
+    ``broadcast="right"`` skips the size check when the caller already proved it."""
     spark = left.sparkSession
     L = left.select(F.col(left_id).alias("_lid"), F.col(left_vec).alias("_lv"))
     R = right.select(F.col(right_id).alias("_rid"), F.col(right_vec).alias("_rv"))
-    if is_bounded(R, broadcast_rows):
+    if broadcast == "right" or (broadcast is None and is_bounded(R, broadcast_rows)):
         lb = _prefix(pack_blocks(L, "_lid", "_lv", block_rows), "l")
         rb = _prefix(pack_blocks(R, "_rid", "_rv", block_rows), "r")
         return lb.join(F.broadcast(rb), "stripe")
-    if is_bounded(L, broadcast_rows):
+    if broadcast is None and is_bounded(L, broadcast_rows):
         lb = _prefix(pack_blocks(L, "_lid", "_lv", block_rows), "l")
         rb = _prefix(pack_blocks(R, "_rid", "_rv", block_rows), "r")
         return rb.join(F.broadcast(lb), "stripe")

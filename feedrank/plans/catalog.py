@@ -927,3 +927,44 @@ def stream_assign(spark, sf):
                             f"{run}/sink", f"{run}/checkpoint")
     q.awaitTermination()
     return spark.read.parquet(f"{run}/sink").select("paper_id", "cluster_id", _r6("distance").alias("distance"))
+
+
+# ======================================================================= reduction and clustering (rows-only checks)
+from ..operators import density as DN  # noqa: E402
+from ..operators import reduce as RD  # noqa: E402
+
+# Fixed parameters of the reference's clustering step.
+N_COMPONENTS, N_NEIGHBORS, MIN_CLUSTER_SIZE, RANDOM_STATE = 50, 50, 40, 0
+LAYOUT_EPOCHS = 30
+
+
+@register("reduce_pca")
+def reduce_pca(spark, sf):
+    lib = T.library_vectors(spark, sf)
+    r = RD.reduce_pca(lib, N_COMPONENTS, "entry_id")
+    return r.select("entry_id", F.size("reduced").alias("dims"), _r6(F.aggregate(
+        "reduced", F.lit(0.0), lambda acc, x: acc + x * x)).alias("sq_norm"))
+
+
+@register("reduce_graph")
+def reduce_graph(spark, sf):
+    lib = T.library_vectors(spark, sf)
+    r = RD.reduce_graph(lib, N_COMPONENTS, N_NEIGHBORS, RANDOM_STATE, n_epochs=LAYOUT_EPOCHS, id_col="entry_id")
+    return r.select("entry_id", F.size("reduced").alias("dims"))
+
+
+@register("density_cluster")
+def density_cluster(spark, sf):
+    lib = T.library_vectors(spark, sf)
+    return DN.density_cluster(lib.select("entry_id", "vector"), MIN_CLUSTER_SIZE, id_col="entry_id")
+
+
+@register("cluster_pipeline")
+def cluster_pipeline(spark, sf):
+    from .recommend import cluster_library
+    labels, cents = cluster_library(T.library_vectors(spark, sf).select("entry_id", "vector"),
+                                    n_components=N_COMPONENTS, n_neighbors=N_NEIGHBORS,
+                                    min_cluster_size=MIN_CLUSTER_SIZE, random_state=RANDOM_STATE,
+                                    method="pca")
+    sizes = labels.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n_members"))
+    return sizes.join(cents.select("cluster_id", F.size("centroid").alias("dims")), "cluster_id", "left")

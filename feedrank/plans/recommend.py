@@ -80,3 +80,27 @@ def recommend_clustered(library: DataFrame, library_texts: DataFrame, corpus: Da
         "cand_id", "paper_id")
     r = rerank(c, sc, ["cluster_id"], topk)
     return r.select("cluster_id", "rank", "paper_id", "score", "distance")
+
+
+def cluster_library(library: DataFrame, n_components: int = 50, n_neighbors: int = 50,
+                    min_cluster_size: int = 40, random_state: int = 0, method: str = "graph",
+                    id_col: str = "entry_id", vec: str = "vector", n_epochs: int = 50):
+    """Reduce, density-cluster and average in the original space (CL3).
+
+    Returns ``(labels (entry_id, cluster_id), centroids (cluster_id, centroid, n))``.
+    Empty input is an error, as in the reference.
+    """
+    from ..operators import density, reduce as rd
+    if library.limit(1).count() == 0:
+        raise ValueError("No vectors provided for clustering.")
+    if method == "graph":
+        red = rd.reduce_graph(library, n_components, n_neighbors, random_state, n_epochs=n_epochs,
+                              id_col=id_col, vec=vec)
+    elif method == "pca":
+        dim = library.select(F.max(F.size(vec))).first()[0]
+        red = rd.reduce_pca(library, min(n_components, dim), id_col, vec)
+    else:
+        red = library.select(id_col, F.col(vec).alias("reduced"))
+    labels = density.density_cluster(red, min_cluster_size, id_col=id_col, vec="reduced")
+    cents = vectors.centroids(library.join(labels, id_col))
+    return labels, cents
