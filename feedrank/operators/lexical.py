@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.tokens import tokens
 from .joins import lookup_join
+from .lineage import cut
 
 
 def term_counts(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
@@ -28,12 +29,17 @@ def term_counts(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame
 
 
 def idf_table(df: DataFrame, key: str, text: str = "text") -> tuple[DataFrame, int]:
-    """Per-term idf over the texts of ``df`` and the collection size N."""
+    """Per-term idf over the texts of ``df`` and the collection size N.
+
+    The table is written once (a lineage cut with real size statistics), so
+    the size checks and joins that follow read it instead of re-tokenising
+    the collection.
+    """
     n_docs = df.select(key).distinct().count()
     tf = term_counts(df, [key], text)
     idf = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select(
         "term", (F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + 1.0).alias("idf"))
-    return idf, n_docs
+    return cut(idf, "idf"), n_docs
 
 
 def unseen_idf(n_docs: int) -> float:
