@@ -58,14 +58,15 @@ def cosine_scores(pairs: DataFrame, profile_w: DataFrame, cand_w: DataFrame,
     """Cosine similarity of each ``(group, cand)`` pair's weighted term vectors.
 
     ``profile_w``: ``(group, term, w)``; ``cand_w``: ``(cand, term, w)``.
-    Pairs without shared terms score 0.0.
+    One aggregation over the candidate terms gives both the dot product and
+    the candidate norm.  Pairs without shared terms score 0.0.
     """
     p_norm = profile_w.groupBy(group).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("pn"))
-    c_norm = cand_w.groupBy(cand).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("cn"))
     cw = cand_w.join(pairs.select(group, cand), cand)                      # terms of paired candidates
-    shared = lookup_join(cw, profile_w.withColumnRenamed("w", "pw"), [group, "term"])
-    dots = shared.groupBy(group, cand).agg(F.sum(F.col("w") * F.col("pw")).alias("dot"))
-    s = (pairs.join(dots, [group, cand], "left").join(p_norm, group, "left").join(c_norm, cand, "left"))
+    j = lookup_join(cw, profile_w.withColumnRenamed("w", "pw"), [group, "term"], "left")
+    agg = j.groupBy(group, cand).agg(F.sum(F.col("w") * F.coalesce(F.col("pw"), F.lit(0.0))).alias("dot"),
+                                     F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("cn"))
+    s = pairs.join(agg, [group, cand], "left").join(p_norm, group, "left")
     score = F.when((F.col("pn") > 0) & (F.col("cn") > 0),
                    F.coalesce(F.col("dot"), F.lit(0.0)) / (F.col("pn") * F.col("cn"))).otherwise(F.lit(0.0))
     return s.select(*pairs.columns, score.alias("score"))
@@ -81,7 +82,7 @@ def rerank_lexical(pairs: DataFrame, profiles: DataFrame, candidates: DataFrame,
     ``(cand, text)``; ``collection`` supplies the idf.
     """
     idf, n = idf_table(collection, collection_key, text)
-    pw = weights(term_counts(profiles, [group], text).groupBy(group, "term").agg(F.sum("tf").alias("tf")), idf, n)
+    pw = weights(term_counts(profiles, [group], text), idf, n)
     needed = candidates.join(pairs.select(cand).distinct(), cand, "left_semi")
     cw = weights(term_counts(needed, [cand], text), idf, n)
     return cosine_scores(pairs, pw.select(group, "term", "w"), cw.select(cand, "term", "w"), group, cand)
