@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import groups, knn, lexical, vectors
+from ..operators.lineage import cut
 
 
 def flat_candidates(library: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
@@ -38,7 +39,8 @@ def recommend_flat(library: DataFrame, library_texts: DataFrame, corpus: DataFra
         return c.select(F.col("crank").alias("rank"), "paper_id", (-F.col("distance")).alias("score"), "distance")
     c = flat_candidates(library, corpus, topk * oversample).join(
         corpus_texts.select("paper_id"), "paper_id")                       # only candidates with a text
-    c = c.withColumn("group_id", F.lit(0))
+    # k * oversample rows, read twice below: write once (Python-UDF plans are not exchange-reused)
+    c = cut(c.withColumn("group_id", F.lit(0)), "flat-candidates")
     prof = library.select(F.col("entry_id").alias("paper_id")).join(library_texts, "paper_id").select(
         F.lit(0).alias("group_id"), "text")
     cand_t = corpus_texts.select(F.col("paper_id").alias("cand_id"), "text")
@@ -73,6 +75,7 @@ def recommend_clustered(library: DataFrame, library_texts: DataFrame, corpus: Da
         return c.select("cluster_id", F.col("crank").alias("rank"), "paper_id",
                         (-F.col("distance")).alias("score"), "distance")
     c = cluster_candidates(corpus, cents, topk * oversample).join(corpus_texts.select("paper_id"), "paper_id")
+    c = cut(c, "cluster-candidates")      # bounded by clusters * k * oversample, read twice below
     prof = cluster_samples(library, library_texts).select("cluster_id", "text")
     cand_t = corpus_texts.select(F.col("paper_id").alias("cand_id"), "text")
     pairs = c.select("cluster_id", F.col("paper_id").alias("cand_id"))
