@@ -136,6 +136,8 @@ def hashed_embedding(docs: DataFrame, key: str = "doc_id", text: str = "text", d
     from pyspark.ml.functions import vector_to_array
 
     t = docs.select(key, tokens(text).alias("tokens"))
+    if t.limit(1).count() == 0:       # nothing to fit on: an empty table of the same shape
+        return t.select(key, F.array().cast("array<float>").alias("vector")).limit(0)
     pipe = Pipeline(stages=[HashingTF(inputCol="tokens", outputCol="tf", numFeatures=dim),
                             IDF(inputCol="tf", outputCol="tfidf"),
                             Normalizer(inputCol="tfidf", outputCol="nv", p=2.0)])

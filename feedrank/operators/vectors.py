@@ -21,7 +21,8 @@ def mean_vector(df: DataFrame, vec: str = "vector", by: list[str] | None = None,
     aggs = [vector_to_array(Summarizer.mean(v)).alias(out), F.count(F.lit(1)).alias("n")]
     if by:
         return df.groupBy(*by).agg(*aggs)
-    return df.agg(*aggs)
+    # a constant group instead of a global aggregate: empty input gives no row
+    return df.groupBy(F.lit(0).alias("_all")).agg(*aggs).drop("_all")
 
 
 def profile_mean(library: DataFrame, vec: str = "vector") -> DataFrame:

@@ -107,3 +107,61 @@ def cluster_library(library: DataFrame, n_components: int = 50, n_neighbors: int
     labels = density.density_cluster(red, min_cluster_size, id_col=id_col, vec="reduced")
     cents = vectors.centroids(library.join(labels, id_col))
     return labels, cents
+
+
+def run_daily(spark, bib_paths, feed: DataFrame, run_date: str | None, out_dir: str, topk: int = 200,
+              oversample: int = 4, cluster: bool = False, categories=None, use_rerank: bool = False,
+              embed_dim: int = 256, min_cluster_size: int = 40, debug_limit: int | None = None):
+    """The whole daily run (PIPE3): bibliography + feed -> texts -> vectors ->
+    flat or clustered recommendation -> dated nested JSON and report rows.
+
+    ``feed``: ``(paper_id, title, abstract, authors, published, category |
+    categories)``.  Vectors come from the native embedder fitted on both
+    sides' texts (one vector space); a user model plugs in through
+    ``operators.infer``.  Returns the long result ``(cluster_id, rank,
+    paper_id, score)``; an empty library or feed gives an empty result.
+    """
+    from .. import sinks
+    from ..functions.text import paper_text
+    from ..sources.bibtex import load_library
+    from ..sources.feed import feed_for_day
+
+    lib = load_library(spark, bib_paths, debug_limit=debug_limit)
+    lib_t = lib.select(F.col("entry_id").alias("key"), paper_text("title", "abstract", "authors").alias("text"),
+                       F.struct("src_file", "src_block", "src_row").alias("src_pos")).filter(F.col("text") != "")
+    day = feed_for_day(feed, run_date, categories)
+    feed_t = day.select(F.col("paper_id").cast("string").alias("key"),
+                        paper_text("title", "abstract", "authors").alias("text")).filter(F.col("text") != "")
+    both = (lib_t.select(F.concat(F.lit("L:"), "key").alias("doc_key"), "text")
+            .unionByName(feed_t.select(F.concat(F.lit("F:"), "key").alias("doc_key"), "text")))
+    vecs = cut(lexical.hashed_embedding(both, "doc_key", "text", dim=embed_dim), "run-vectors")
+    lib_ids = lib_t.select("key", "src_pos").withColumn(
+        "src_pos", F.dense_rank().over(__import__("pyspark.sql", fromlist=["Window"]).Window.orderBy("src_pos")))
+    library = (vecs.filter(F.col("doc_key").startswith("L:"))
+               .select(F.substring("doc_key", 3, 1 << 20).alias("key"), "vector").join(lib_ids, "key")
+               .withColumn("entry_id", F.xxhash64("key")))
+    corpus = (vecs.filter(F.col("doc_key").startswith("F:"))
+              .select(F.substring("doc_key", 3, 1 << 20).cast("bigint").alias("paper_id"), "vector"))
+    lib_texts = lib_t.select(F.xxhash64("key").alias("paper_id"), "text")
+    corpus_texts = feed_t.select(F.col("key").cast("bigint").alias("paper_id"), "text")
+    collection = lib_texts.unionByName(corpus_texts).select(F.col("paper_id").alias("doc_id"), "text")
+    if cluster:
+        labels, cents = cluster_library(library.select("entry_id", "vector"), min_cluster_size=min_cluster_size,
+                                        method="pca")
+        lib_c = library.join(labels, "entry_id")
+        ranked = recommend_clustered(lib_c, lib_texts, corpus, corpus_texts, collection, topk, oversample,
+                                     use_rerank, cents=cents)
+        clusters = cents.select("cluster_id")
+    else:
+        ranked = recommend_flat(library, lib_texts, corpus, corpus_texts, collection, topk, oversample,
+                                use_rerank).withColumn("cluster_id", F.lit(0))
+        clusters = ranked.select("cluster_id").distinct()
+    ranked = cut(ranked.select("cluster_id", "rank", "paper_id", "score"), "run-ranked")
+    info = day.select(F.col("paper_id").cast("bigint").alias("paper_id"), "title", "authors",
+                      (F.col("category") if "category" in day.columns else F.col("categories")[0]).alias("category"))
+    hydrated = ranked.join(info, "paper_id")
+    nested = groups.nest_results(clusters, hydrated, ["paper_id", "title", "score"])
+    labels_tbl = groups.attach_labels(clusters, spark.createDataFrame([], "cluster_id int, label string"))
+    sinks.write_nested_json(nested.join(labels_tbl, "cluster_id"), f"{out_dir}/json", run_date)
+    sinks.write_report(sinks.report_lines(labels_tbl, hydrated), f"{out_dir}/report", run_date)
+    return ranked
