@@ -22,8 +22,18 @@ from .joins import lookup_join
 from .lineage import cut
 
 
-def term_counts(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """``(keys..., term, tf)`` for every token of every text."""
+def term_counts(df: DataFrame, keys: list[str], text: str = "text", by_key: bool = False) -> DataFrame:
+    """``(keys..., term, tf)`` for every token of every text.
+
+    ``by_key`` (for document-keyed input) hash-partitions the texts by key
+    before tokenising: that partitioning already satisfies the
+    ``(key, term)`` aggregation, so the one shuffle moves the raw text
+    instead of token pairs and tokenisation runs in parallel even when the
+    input has few splits.  Never used for group keys, where one group may be
+    a large share of all texts.
+    """
+    if by_key:
+        df = df.repartition(*keys)
     ex = df.select(*keys, F.explode(tokens(text)).alias("term"))
     return ex.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"))
 
@@ -36,7 +46,7 @@ def idf_table(df: DataFrame, key: str, text: str = "text") -> tuple[DataFrame, i
     the collection.
     """
     n_docs = df.select(key).distinct().count()
-    tf = term_counts(df, [key], text)
+    tf = term_counts(df, [key], text, by_key=True)
     idf = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select(
         "term", (F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + 1.0).alias("idf"))
     return cut(idf, "idf"), n_docs
@@ -84,7 +94,7 @@ def rerank_lexical(pairs: DataFrame, profiles: DataFrame, candidates: DataFrame,
     idf, n = idf_table(collection, collection_key, text)
     pw = weights(term_counts(profiles, [group], text), idf, n)
     needed = candidates.join(pairs.select(cand).distinct(), cand, "left_semi")
-    cw = weights(term_counts(needed, [cand], text), idf, n)
+    cw = weights(term_counts(needed, [cand], text, by_key=True), idf, n)
     return cosine_scores(pairs, pw.select(group, "term", "w"), cw.select(cand, "term", "w"), group, cand)
 
 
@@ -112,7 +122,8 @@ def extractive_summary(docs: DataFrame, collection: DataFrame, key: str = "doc_i
     Returns ``(key, explanation, n_lines)`` for texts with at least one scored line.
     """
     idf, n = idf_table(collection, collection_key, text)
-    lines = docs.select(key, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("pos", "line"))
+    lines = docs.repartition(key).select(   # document-keyed: spread long texts by id
+        key, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("pos", "line"))
     toks = lines.select(key, "pos", F.explode(tokens("line")).alias("term"))
     scored = (lookup_join(toks, idf, "term", "left")
               .withColumn("idf", F.coalesce(F.col("idf"), F.lit(unseen_idf(n))))
