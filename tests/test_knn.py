@@ -66,3 +66,32 @@ def test_plan_uses_group_limit_and_no_row_udf(spark):
     plan = knn.knn_join(q, c, 3)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan or "AdaptiveSparkPlan" in plan
     assert "BatchEvalPython" not in plan
+
+
+@pytest.mark.parametrize("k", [1, 7])
+def test_high_dim_prefilter_is_exact(spark, k):
+    rng = np.random.default_rng(11)
+    Q = rng.normal(size=(40, 96))
+    C = rng.normal(size=(300, 96))
+    C[5] = C[4]                                   # exact duplicate: tie broken by id
+    q = spark.createDataFrame([(i, [float(v) for v in x]) for i, x in enumerate(Q)], "id bigint, vector array<double>")
+    c = spark.createDataFrame([(i, [float(v) for v in x]) for i, x in enumerate(C)], "id bigint, vector array<double>")
+    res = knn.knn_join(q, c, k, block_rows=64).collect()
+    assert {(r["query_id"], r["neighbor_id"]) for r in res} == _brute(Q, C, k)
+    D = {(r["query_id"], r["neighbor_id"]): r["distance"] for r in res}
+    for (i, j), d in D.items():
+        acc = 0.0
+        for t in range(96):
+            acc += (Q[i, t] - C[j, t]) * (Q[i, t] - C[j, t])
+        assert d == acc
+
+
+def test_block_topk_matches_plain_scoring():
+    rng = np.random.default_rng(2)
+    Q, C = rng.normal(size=(50, 128)), rng.normal(size=(200, 128))
+    ids = np.arange(200, dtype=np.int64)
+    qi, ci, d = knn.block_topk(Q, C, ids, 9)
+    D = knn.sq_distances(Q, C)
+    mi, mj = np.nonzero(knn.topk_mask(D, ids, 9))
+    assert set(zip(qi.tolist(), ci.tolist())) == set(zip(mi.tolist(), mj.tolist()))
+    assert np.array_equal(np.sort(d), np.sort(D[mi, mj]))
