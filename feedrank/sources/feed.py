@@ -53,3 +53,36 @@ def lookup_ids(papers: DataFrame, ids: DataFrame, key: str = "paper_id",
     found = papers.join(side, key, "left_semi")
     missing = req.join(papers.select(key), key, "left_anti")
     return found, missing
+
+
+# Atom dumps of feed API responses, read with the built-in XML source.  The
+# schema is explicit: inference would make single and repeated elements
+# (authors, categories, links) differ between files.
+ATOM_SCHEMA = (
+    "id STRING, published STRING, title STRING, summary STRING, "
+    "author ARRAY<STRUCT<name: STRING>>, "
+    "link ARRAY<STRUCT<_href: STRING, _rel: STRING, _title: STRING, _type: STRING>>, "
+    "`arxiv:primary_category` STRUCT<_term: STRING>, category ARRAY<STRUCT<_term: STRING>>"
+)
+
+
+def read_atom(spark, path) -> DataFrame:
+    """Feed papers from Atom files: ``(paper_id, title, abstract, published,
+    url, authors, primary_category, categories)``.
+
+    ``paper_id`` is the last segment of the entry id (version kept), the
+    abstract has newlines replaced by spaces, ``url`` is the PDF link.
+    """
+    from ..functions.ids import id_tail
+    raw = spark.read.schema(ATOM_SCHEMA).option("rowTag", "entry").xml(path)
+    pdf = F.filter("link", lambda l: l["_title"] == "pdf")
+    return raw.select(
+        id_tail("id").alias("paper_id"),
+        F.col("title").alias("title"),
+        F.translate(F.col("summary"), "\n", " ").alias("abstract"),
+        F.to_timestamp("published").alias("published"),
+        F.when(F.size(pdf) > 0, pdf[0]["_href"]).alias("url"),
+        F.transform("author", lambda a: a["name"]).alias("authors"),
+        F.col("`arxiv:primary_category`._term").alias("primary_category"),
+        F.transform("category", lambda c: c["_term"]).alias("categories"),
+    )

@@ -95,3 +95,13 @@ def test_block_topk_matches_plain_scoring():
     mi, mj = np.nonzero(knn.topk_mask(D, ids, 9))
     assert set(zip(qi.tolist(), ci.tolist())) == set(zip(mi.tolist(), mj.tolist()))
     assert np.array_equal(np.sort(d), np.sort(D[mi, mj]))
+
+
+def test_wrong_dimension_fails_the_job(spark):
+    from feedrank.operators import vectors
+    base = spark.createDataFrame([(0, 0, [1.0, 2.0])], "set_id bigint, src_id bigint, vector array<double>")
+    new = spark.createDataFrame([(5, [1.0, 2.0]), (6, [1.0])], "src_id bigint, vector array<double>")
+    with pytest.raises(Exception, match="vector dimension must be 2"):
+        vectors.append_vectors(base, new, dim=2).collect()
+    ok = vectors.append_vectors(base, new.filter(F.size("vector") == 2), dim=2)
+    assert sorted((r["set_id"], r["src_id"]) for r in ok.collect()) == [(0, 0), (1, 5)]
