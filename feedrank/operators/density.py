@@ -29,8 +29,7 @@ from pyspark.sql import functions as F
 from .lineage import cut
 
 from .graph import connected_components
-from .joins import DEFAULT_BROADCAST_ROWS
-from .knn import block_pairs, knn_join, sq_distances
+from .knn import BROADCAST_BYTES, block_pairs, knn_join, sq_distances
 
 BEST_SCHEMA = "query_id bigint, neighbor_id bigint, w double"
 MIN_WEIGHT = 1e-12
@@ -76,7 +75,7 @@ def _jump_to_roots(parent: DataFrame, rounds: int) -> DataFrame:
 
 
 def mutual_reachability_mst(points: DataFrame, core: DataFrame, id_col: str = "id", vec: str = "vector",
-                            max_rounds: int = 64, broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+                            max_rounds: int = 64, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Exact minimum spanning forest ``(u, v, w)`` of the mutual reachability graph.
 
     Borůvka: each round every component takes its lightest outgoing edge
@@ -90,6 +89,7 @@ def mutual_reachability_mst(points: DataFrame, core: DataFrame, id_col: str = "i
     pts = cut(pts, "mst-points")
     stats = pts.agg(F.max(F.size("v")).alias("dim"), F.count(F.lit(1)).alias("n")).first()
     dim, n_pts = stats["dim"], stats["n"]
+    broadcast_rows = max(1, broadcast_bytes // (8 * (dim + 2) + 16))   # vector + core + component
     side = "right" if n_pts <= broadcast_rows else "none"
     comp = pts.select("id", F.col("id").alias("comp"))
     n_comp = n_pts

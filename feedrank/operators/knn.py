@@ -7,7 +7,8 @@ query, so all-pairs distances never become rows.  A final ``row_number``
 window (planned as a partial + final ``WindowGroupLimit``) keeps the k best
 per query.
 
-Placement: a side whose row count is proven under ``broadcast_rows`` is
+Placement: a side whose row count is proven under ``broadcast_rows`` (by
+default the rows that fit ``BROADCAST_BYTES`` at the vectors' dimension) is
 broadcast as blocks and the other side streams without a shuffle.  When both
 sides are large, the larger side is hash-striped once and the smaller side's
 blocks are replicated to every stripe.
@@ -27,6 +28,17 @@ from pyspark.sql import functions as F
 from .joins import DEFAULT_BROADCAST_ROWS, is_bounded
 
 BLOCK_SCHEMA = "stripe int, n int, dim int, ids array<bigint>, mat binary"
+
+# Packed vectors may be broadcast up to this many bytes (rows * dim * 8).
+BROADCAST_BYTES = 128 * 1024 * 1024
+
+
+def broadcast_row_bound(df: DataFrame, vec: str, budget: int = BROADCAST_BYTES,
+                        cap: int = DEFAULT_BROADCAST_ROWS) -> int:
+    """Rows of ``vec`` that fit the broadcast byte budget (one-row probe for the dimension)."""
+    row = df.select(F.size(F.col(vec)).alias("d")).filter(F.col("d") > 0).limit(1).first()
+    dim = row["d"] if row else 1
+    return max(1, min(cap, budget // (8 * dim + 16)))
 PAIR_SCHEMA = "query_id bigint, neighbor_id bigint, distance double"
 
 
@@ -201,7 +213,7 @@ def _prefix(blocks: DataFrame, p: str) -> DataFrame:
 
 
 def block_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_vec: str,
-                right_vec: str, block_rows: int = 1024, broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
+                right_vec: str, block_rows: int = 1024, broadcast_rows: int | None = None,
                 stripes: int | None = None, broadcast: str | None = None) -> DataFrame:
     """Every (left block, right block) pair as one row: ``stripe, l_n, l_dim, l_ids,
     l_mat, r_n, r_dim, r_ids, r_mat``.  Placement as described in the module doc;
@@ -209,6 +221,8 @@ def block_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
     spark = left.sparkSession
     L = left.select(F.col(left_id).alias("_lid"), F.col(left_vec).alias("_lv"))
     R = right.select(F.col(right_id).alias("_rid"), F.col(right_vec).alias("_rv"))
+    if broadcast is None and broadcast_rows is None:
+        broadcast_rows = broadcast_row_bound(R, "_rv")
     if broadcast == "right" or (broadcast is None and is_bounded(R, broadcast_rows)):
         lb = _prefix(pack_blocks(L, "_lid", "_lv", block_rows), "l")
         rb = _prefix(pack_blocks(R, "_rid", "_rv", block_rows), "r")
@@ -233,7 +247,7 @@ def block_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
 
 def knn_join(left: DataFrame, right: DataFrame, k: int, left_id: str = "id", right_id: str = "id",
              left_vec: str = "vector", right_vec: str = "vector", block_rows: int = 1024,
-             broadcast_rows: int = DEFAULT_BROADCAST_ROWS, stripes: int | None = None) -> DataFrame:
+             broadcast_rows: int | None = None, stripes: int | None = None) -> DataFrame:
     """For each ``left`` row, its ``k`` nearest ``right`` rows (exact, squared L2).
 
     Returns ``(query_id, neighbor_id, distance, rank)``; fewer than ``k`` rows
