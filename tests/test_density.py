@@ -54,3 +54,10 @@ def test_clusters_respect_min_size_and_order_invariance(spark):
     shuffled = _df(spark, X).repartition(3).orderBy(F.rand(7))
     b = {r["id"]: r["cluster_id"] for r in density.density_cluster(shuffled, 15).collect()}
     assert a == b
+
+
+def test_min_samples_differs_from_min_cluster_size(spark):
+    X = _blobs(seed=8, sizes=(40, 35, 30), noise=15)
+    got = {r["id"]: r["cluster_id"] for r in density.density_cluster(_df(spark, X), 12, min_samples=4).collect()}
+    ref = hdbscan_labels(X, 12, min_samples=4)
+    assert [got[i] for i in range(len(X))] == ref.tolist()
