@@ -81,3 +81,27 @@ def test_split_and_upsert(spark):
     assert sorted(r["k"] for r in misses.collect()) == [1, 3, 4, 5]
     new = spark.createDataFrame([(1, "b"), (2, "C")], "k bigint, label string")
     assert sorted((r["k"], r["label"]) for r in upsert(cache, new, ["k"]).collect()) == [(0, "a"), (1, "b"), (2, "C")]
+
+
+def test_cache_write_skips_empty_and_missing_cache_reads_empty(spark):
+    from feedrank.operators.cache import write_cache
+    schema = spark.createDataFrame([], "paper_id string, config_hash string, explanation string").schema
+    path = scratch_path(spark, "test-expl-" + __import__("uuid").uuid4().hex)
+    assert read_cache(spark, path, schema).count() == 0                      # absent cache -> empty
+    rows = spark.createDataFrame([("a", "h", "text"), ("b", "h", ""), ("c", "h", None)], schema)
+    write_cache(rows, path, only_nonempty="explanation")
+    assert [r["paper_id"] for r in read_cache(spark, path, schema).collect()] == ["a"]
+
+
+def test_pacing_between_batches(spark):
+    waited = spark.sparkContext.accumulator(0.0)
+
+    def fn(pdf):
+        return pd.DataFrame({"score": [1.0] * len(pdf)})
+
+    df = spark.range(7).coalesce(1).select("id", F.lit("x").alias("text"))
+    out = infer.batch_infer(df, fn, ["id"], ["text"], OUT, batch_size=3, pacing=0.05,
+                            sleep=lambda s: waited.add(s))
+    rows = out.collect()                      # one action: 3 sub-batches -> 2 pauses
+    assert len(rows) == 7 and all(r["infer_error"] is None for r in rows)
+    assert abs(waited.value - 0.1) < 1e-9
