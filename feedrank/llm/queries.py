@@ -6,11 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.registry import register
 from ..sources.tables import read
+from . import quality_model, quality_rules
 from .packing import retrieval_pack
 from .token_files import token_files
 from .wordbpe import byte_bpe_path
 
 
+@register("op1_quality_classifier")
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learned from ``labels.quality`` outside fold 0."""
+    return quality_model.score_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 @register("op2_packing")
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Retrieval packing of all documents into windows of 2048 ids."""
@@ -21,3 +28,9 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token files of all documents in key order, read back."""
     return token_files(read(spark, sf_dir, "documents"), byte_bpe_path(), end_id=0)
+
+
+@register("op9_quality_rules", quality_rules.oracle())
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality rules of every document with thresholds per language and source."""
+    return quality_rules.score_documents(read(spark, sf_dir, "documents"))
