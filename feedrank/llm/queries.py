@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..plans.registry import register
 from ..sources.tables import read
 from . import quality_model, quality_rules
+from .jaccard_join import jaccard_components
 from .packing import retrieval_pack
 from .token_files import token_files
 from .wordbpe import byte_bpe_path
@@ -24,6 +25,12 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval_pack(read(spark, sf_dir, "documents"), byte_bpe_path(), end_id=1, window=2048)
 
 
+@register("op5_jaccard_join")
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents linked by 3-word shingle sets with Jaccard similarity of at least 0.9."""
+    return jaccard_components(read(spark, sf_dir, "documents"), size=3, percent=90)
+
+
 @register("op7_token_files")
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token files of all documents in key order, read back."""
