@@ -1,22 +1,37 @@
 """Byte-level BPE ids through the ``tokenizers`` library, cached per text unit.
 
-The byte-level pre-tokenizer always starts a new piece at a space that is
-followed by a non-space, so a text cut at its single spaces encodes to the
-concatenation of its units' ids.  Units repeat heavily; each distinct one is
-encoded once by the library and its ids are kept as little-endian bytes, which
-makes encoding a document one ``bytes.join``.  Units not seen yet are encoded
-together as one spaced line, whose ids are dealt back to the units by their
-byte lengths (every id of this vocabulary stands for a fixed byte string).
-A text with a run of two or more spaces (where a cut could fall inside a
-white-space piece) is encoded whole.
+The byte-level pre-tokenizer always starts a new piece at a space that does not
+lie between two white-space characters, so a text cut at its spaces encodes to
+the concatenation of its units' ids.  Units repeat heavily; each distinct one
+is numbered and encoded once by the library, and a batch of texts is put
+together by gathering the units' ids.  Units not seen yet are encoded many at
+a time as one spaced line, whose ids are dealt back to the units by their byte
+lengths (every id of this vocabulary stands for a fixed byte string).  A text
+with a unit that is empty or begins with white space is encoded whole.
 """
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 
-CACHE_UNITS = 300_000       # units per cache generation (two generations are kept per worker)
+CACHE_UNITS = 700_000       # units numbered by a worker; it starts anew beyond that
 LINE_UNITS = 2_000          # new units encoded in one line
+BATCH_CHARS = 4 << 20       # text put together at a time
+
+
+class _Numbers(dict):
+    """Unit -> number in order of appearance; new units are noted."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, unit: str) -> int:
+        n = self[unit] = len(self)
+        self.new.append(unit)
+        return n
 
 
 class UnitEncoder:
@@ -29,49 +44,78 @@ class UnitEncoder:
         self.width = np.zeros(self.size, dtype=np.int64)       # bytes of each id
         for token, i in self.tok.get_vocab(with_added_tokens=False).items():
             self.width[i] = len(token)                 # one character stands for one byte
-        self.units: dict[str, bytes] = {}              # unit preceded by its space
-        self.older: dict[str, bytes] = {}
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        out = self.tok.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype=self.dtype).tobytes() for e in out]
-
-    def _learn(self, units: list[str]) -> None:
-        lines = [units[i:i + LINE_UNITS] for i in range(0, len(units), LINE_UNITS)]
-        for part, ids in zip(lines, self._whole([" " + " ".join(p) for p in lines])):
-            ends = np.cumsum(self.width[np.frombuffer(ids, self.dtype)])
+        self._forget()
+
+    def _forget(self) -> None:
+        self.units = _Numbers()
+        self.flat = np.zeros(1 << 16, self.dtype)      # ids of all numbered units, one after the other
+        self.end = np.zeros(1 << 14, np.int64)         # where those of each unit end
+        self.odd = np.zeros(1 << 14, bool)             # units that cannot be put together
+        self.known = self.used = 0
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype=self.dtype) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self) -> None:
+        """Encode the units noted since the last call."""
+        new, self.units.new = self.units.new, []
+        for at in range(0, len(new), LINE_UNITS):
+            part = new[at:at + LINE_UNITS]
+            odd = np.array([not u or u[0].isspace() for u in part])
+            (ids,) = self._whole([" " + " ".join(part)]) if not odd.any() else (np.zeros(0, self.dtype),)
             want = np.cumsum([len(u.encode("utf-8")) + 1 for u in part])
+            ends = np.cumsum(self.width[ids])
             cut = np.searchsorted(ends, want)
-            if not np.array_equal(ends[cut], want):    # a piece over a unit boundary: encode one by one
-                self.units.update(zip(part, self._whole([" " + u for u in part])))
-                continue
-            step = self.dtype.itemsize
-            at = [0, *((cut + 1) * step).tolist()]
-            self.units.update({u: ids[a:b] for u, a, b in zip(part, at, at[1:])})
+            if odd.any() or not np.array_equal(ends[cut], want):
+                each = self._whole([" " + u for u in part])
+                ids, cut = np.concatenate(each), np.cumsum([len(x) for x in each]) - 1
+            k, n = self.known, len(part)
+            if self.used + len(ids) > len(self.flat):
+                self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), self.dtype)])
+            if k + n + 1 > len(self.end):
+                self.end = np.concatenate([self.end, np.zeros(max(len(self.end), n + 1), np.int64)])
+                self.odd = np.concatenate([self.odd, np.zeros(max(len(self.odd), n + 1), bool)])
+            self.flat[self.used:self.used + len(ids)] = ids
+            self.end[k + 1:k + n + 1] = self.used + cut + 1
+            self.odd[k:k + n] = odd
+            self.used += len(ids)
+            self.known += n
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of every text as bytes of ``dtype``."""
+        out: list[bytes] = []
+        at = 0
+        while at < len(texts):
+            stop, size = at, 0
+            while stop < len(texts) and (stop == at or size + len(texts[stop]) <= BATCH_CHARS):
+                size += len(texts[stop])
+                stop += 1
+            out += self._batch(texts[at:stop])
+            at = stop
+        return out
+
+    def _batch(self, texts: list[str]) -> list[bytes]:
         if len(self.units) > CACHE_UNITS:
-            self.units, self.older = {}, self.units
-        cut = [t.find(" ") for t in texts]
-        split = [None if "  " in t else t[c + 1:].split(" ") if c >= 0 else [] for t, c in zip(texts, cut)]
-        need: set[str] = set()
-        for u in split:
-            if u:
-                need.update(u)
-        need.difference_update(self.units)
-        if need:
-            old = {u: self.older[u] for u in need.intersection(self.older)}
-            self.units.update(old)
-            miss = need.difference(old)
-            odd = [u for u in miss if not u or u[-1].isspace() or u[0].isspace()]
-            self._learn(list(miss.difference(odd)))
-            self.units.update(zip(odd, self._whole([" " + u for u in odd])))
-        # the first unit of a text has no space before it; texts with a run of spaces go whole
-        alone = self._whole([t if u is None else t[:c] if c >= 0 else t
-                             for t, u, c in zip(texts, split, cut)])
-        get = self.units.__getitem__
-        return [a + b"".join(map(get, u)) if u else a for a, u in zip(alone, split)]
+            self._forget()
+        split = [t.split(" ") for t in texts]
+        # the first unit of a text has no space before it
+        first = self._whole([u[0] for u in split])
+        count = np.array([len(u) - 1 for u in split])
+        unit = np.fromiter(map(self.units.__getitem__, chain.from_iterable(u[1:] for u in split)), np.int64, int(count.sum()))
+        del split
+        self._learn()
+        begin = self.end[unit]
+        size = self.end[unit + 1] - begin
+        stop = np.cumsum(size)
+        ids = self.flat[np.repeat(begin - stop + size, size) + np.arange(int(stop[-1]) if len(stop) else 0)]
+        last = np.cumsum(count)
+        cut = np.concatenate([[0], np.concatenate([[0], stop])[last]])
+        out = [f.tobytes() + ids[a:b].tobytes() for f, a, b in zip(first, cut, cut[1:])]
+        if self.odd[unit].any():
+            doc = np.unique(np.repeat(np.arange(len(texts)), count)[self.odd[unit]]).tolist()
+            for i, x in zip(doc, self._whole([texts[i] for i in doc])):
+                out[i] = x.tobytes()
+        return out
 
     def word_starts(self) -> np.ndarray:
         """Per id: does it begin with white space (the first piece of a spaced unit)?"""
