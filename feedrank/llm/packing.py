@@ -33,22 +33,24 @@ SHARD_BYTES = 6 << 20        # text bytes per BM25 shard
 QUERY_TERMS = 24             # a seed is queried by its highest-weighted terms
 K1, B = 1.2, 0.75            # BM25 parameters
 TOP = 32                     # neighbours ranked at first; all are ranked when those do not fill the window
+_STEP = np.uint32(0x9E3779B1)
 PIECE = ("doc_id {key}, start long, length long, ids_crc32 long, doc_tokens long, "
          "sequence_id long, offset long")
 
 
 def word_terms(ids: np.ndarray, doc_of: np.ndarray, first: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hash of every word (ids up to the next white space) and its document."""
+    """32-bit hash of every word (ids up to the next white space) and its document."""
     flag = starts[ids]
     flag[first[first < len(ids)]] = True
     at = np.flatnonzero(flag)
     if not len(at):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    pos = np.arange(len(ids)) - np.repeat(at, np.diff(np.append(at, len(ids))))
-    mult = np.full(64, 0x9E3779B97F4A7C15, dtype=np.uint64) * (2 * np.arange(64, dtype=np.uint64) + 1)
-    mixed = (ids.astype(np.uint64) + np.uint64(1)) * mult[np.minimum(pos, 63)]
-    mixed ^= mixed >> np.uint64(29)
-    return np.add.reduceat(mixed * np.uint64(0xBF58476D1CE4E5B9), at), doc_of[at]
+        return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+    pos = np.arange(len(ids), dtype=np.int32) - np.repeat(at.astype(np.int32), np.diff(np.append(at, len(ids))))
+    mixed = (ids.astype(np.uint32) + np.uint32(1)) * (pos.view(np.uint32) * _STEP + _STEP)
+    mixed ^= mixed >> np.uint32(15)
+    mixed *= np.uint32(0x85EBCA6B)
+    mixed ^= mixed >> np.uint32(13)
+    return np.add.reduceat(mixed, at), doc_of[at]
 
 
 class Bm25Index:
@@ -56,20 +58,27 @@ class Bm25Index:
 
     def __init__(self, terms: np.ndarray, docs: np.ndarray, n: int):
         self.n = n
-        _, inv = np.unique(terms, return_inverse=True)
-        pair, tf = np.unique(inv * n + docs, return_counts=True)       # sorted by term, then document
-        term, self.doc = pair // n, pair % n
-        df = np.bincount(term)
+        bits = np.uint64(32)
+        key = np.sort(terms.astype(np.uint64) << bits | docs.astype(np.uint64))    # by term, then document
+        new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        tf = np.diff(np.append(new, len(key)))
+        key = key[new]
+        self.doc = (key & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+        key >>= bits
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        df = np.diff(np.append(first, len(key)))
         length = np.bincount(docs, minlength=n)
         norm = K1 * (1 - B + B * length / max(length.mean(), 1e-9))
         idf = np.log1p((n - df + 0.5) / (df + 0.5))
+        term = np.repeat(np.arange(len(df)), df)
         self.weight = idf[term] * tf * (K1 + 1) / (tf + norm[self.doc])
         self.begin = np.concatenate([[0], np.cumsum(df)])
-        shared = df[term] > 1                                          # a term of one document finds nothing
-        order = np.flatnonzero(shared)
-        order = order[np.lexsort((-self.weight[order], self.doc[order]))]
-        self.own_term = term[order]                                    # a document's terms, heaviest first
-        self.own_begin = np.searchsorted(self.doc[order], np.arange(n + 1))
+        own = np.flatnonzero(df[term] > 1)                             # a term of one document finds nothing
+        # by document, then heaviest first: positive floats order like their bits
+        rank = np.uint64(0xFFFFFFFF) - self.weight[own].astype(np.float32).view(np.uint32)
+        own = own[np.argsort(self.doc[own].astype(np.uint64) << np.uint64(32) | rank, kind="stable")]
+        self.own_term = term[own]                                      # a document's terms, heaviest first
+        self.own_begin = np.searchsorted(self.doc[own], np.arange(n + 1))
 
     def scores(self, doc: int) -> np.ndarray | None:
         """BM25 of every document for the seed's heaviest terms (None: it shares none)."""
@@ -168,7 +177,7 @@ def retrieval_pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
         ids = np.frombuffer(b"".join(coded), enc.dtype)
         del coded
         begin = np.concatenate([[0], np.cumsum(lengths)])
-        terms, owner = word_terms(ids, np.repeat(np.arange(len(lengths)), lengths), begin[:-1], enc.word_starts())
+        terms, owner = word_terms(ids, np.repeat(np.arange(len(lengths), dtype=np.int32), lengths), begin[:-1], enc.word_starts)
         index = Bm25Index(terms, owner, len(lengths))
         pieces = pack_shard(lengths.copy(), index, window)
         base = TaskContext.get().partitionId() << 32

@@ -4,14 +4,17 @@ The byte-level pre-tokenizer always starts a new piece at a space that does not
 lie between two white-space characters, so a text cut at its spaces encodes to
 the concatenation of its units' ids.  Units repeat heavily; each distinct one
 is numbered and encoded once by the library, and a batch of texts is put
-together by gathering the units' ids.  Units not seen yet are encoded many at
-a time as one spaced line, whose ids are dealt back to the units by their byte
-lengths (every id of this vocabulary stands for a fixed byte string).  A text
+together by gathering the units' ids.  New units of letters (and one comma or
+full stop behind them) are single pieces and go straight to the library's
+merge model; others are encoded many at a time as one spaced line, whose ids
+are dealt back to the units by their byte lengths (every id of this vocabulary
+stands for a fixed byte string).  A text
 with a unit that is empty or begins with white space is encoded whole.
 """
 
 from __future__ import annotations
 
+import json
 from itertools import chain
 
 import numpy as np
@@ -44,6 +47,18 @@ class UnitEncoder:
         self.width = np.zeros(self.size, dtype=np.int64)       # bytes of each id
         for token, i in self.tok.get_vocab(with_added_tokens=False).items():
             self.width[i] = len(token)                 # one character stands for one byte
+        self.word_starts = np.zeros(self.size, dtype=bool)     # ids that begin with white space
+        for token, i in self.tok.get_vocab().items():
+            self.word_starts[i] = token[:1] in "ĠĊĉčĈċČ"
+        spec = json.loads(self.tok.to_str())
+        pre = spec["pre_tokenizer"] or {}
+        if (pre.get("type"), pre.get("add_prefix_space"), pre.get("use_regex"), spec["normalizer"], spec["model"]["type"]) != (
+                "ByteLevel", False, True, None, "BPE"):
+            raise ValueError("a byte-level BPE tokenizer without prefix space and normalizer is needed")
+        # the library writes bytes as printable characters: those that are not, in order, as 256, 257, ...
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.alphabet = {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in plain)}
+        self.ends = {c: int(self._whole([c])[0][0]) for c in ",."}
         self._forget()
 
     def _forget(self) -> None:
@@ -59,27 +74,48 @@ class UnitEncoder:
     def _learn(self) -> None:
         """Encode the units noted since the last call."""
         new, self.units.new = self.units.new, []
-        for at in range(0, len(new), LINE_UNITS):
-            part = new[at:at + LINE_UNITS]
-            odd = np.array([not u or u[0].isspace() for u in part])
-            (ids,) = self._whole([" " + " ".join(part)]) if not odd.any() else (np.zeros(0, self.dtype),)
-            want = np.cumsum([len(u.encode("utf-8")) + 1 for u in part])
+        got: list = [None] * len(new)
+        rest: list[int] = []
+        model, ends, alphabet = self.tok.model.tokenize, self.ends, self.alphabet
+        for i, u in enumerate(new):
+            word = u[:-1] if u[-1:] in ends else u
+            if word.isalpha():                         # one piece of letters: straight to the merges
+                piece = word if word.isascii() else word.encode("utf-8").decode("latin-1").translate(alphabet)
+                got[i] = ids = [t.id for t in model("Ġ" + piece)]
+                if word is not u:
+                    ids.append(ends[u[-1]])
+            else:
+                rest.append(i)
+        for at in range(0, len(rest), LINE_UNITS):
+            self._line(new, rest[at:at + LINE_UNITS], got)
+        size = np.fromiter(map(len, got), np.int64, len(got))
+        k, n, total = self.known, len(new), int(size.sum())
+        if self.used + total > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), total), self.dtype)])
+        if k + n + 1 > len(self.end):
+            self.end = np.concatenate([self.end, np.zeros(max(len(self.end), n + 1), np.int64)])
+            self.odd = np.concatenate([self.odd, np.zeros(max(len(self.odd), n + 1), bool)])
+        self.flat[self.used:self.used + total] = np.fromiter(chain.from_iterable(got), self.dtype, total)
+        self.end[k + 1:k + n + 1] = self.used + np.cumsum(size)
+        self.odd[k:k + n] = False
+        self.odd[[k + i for i in rest if not new[i] or new[i][0].isspace()]] = True
+        self.used += total
+        self.known += n
+
+    def _line(self, units: list[str], at: list[int], got: list) -> None:
+        """Encode other units as one spaced line and deal its ids back."""
+        part = [units[i] for i in at]
+        if not any(not u or u[0].isspace() for u in part):
+            (ids,) = self._whole([" " + " ".join(part)])
             ends = np.cumsum(self.width[ids])
+            want = np.cumsum([len(u.encode("utf-8")) + 1 for u in part])
             cut = np.searchsorted(ends, want)
-            if odd.any() or not np.array_equal(ends[cut], want):
-                each = self._whole([" " + u for u in part])
-                ids, cut = np.concatenate(each), np.cumsum([len(x) for x in each]) - 1
-            k, n = self.known, len(part)
-            if self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), self.dtype)])
-            if k + n + 1 > len(self.end):
-                self.end = np.concatenate([self.end, np.zeros(max(len(self.end), n + 1), np.int64)])
-                self.odd = np.concatenate([self.odd, np.zeros(max(len(self.odd), n + 1), bool)])
-            self.flat[self.used:self.used + len(ids)] = ids
-            self.end[k + 1:k + n + 1] = self.used + cut + 1
-            self.odd[k:k + n] = odd
-            self.used += len(ids)
-            self.known += n
+            if np.array_equal(ends[cut], want):
+                for i, x in zip(at, np.split(ids, cut[:-1] + 1)):
+                    got[i] = x.tolist()
+                return
+        for i, x in zip(at, self._whole([" " + u for u in part])):
+            got[i] = x.tolist()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of every text as bytes of ``dtype``."""
@@ -117,13 +153,6 @@ class UnitEncoder:
                 out[i] = x.tobytes()
         return out
 
-    def word_starts(self) -> np.ndarray:
-        """Per id: does it begin with white space (the first piece of a spaced unit)?"""
-        flags = np.zeros(self.size, dtype=bool)
-        for token, i in self.tok.get_vocab().items():
-            flags[i] = token[:1] in "ĠĊĉčĈċČ"
-        return flags
-
 
 _ENCODERS: dict[str, UnitEncoder] = {}
 
