@@ -89,7 +89,7 @@ class SharedFiles:
     def create(self, stem: str, suffix: str):
         self.fs.create_dir(self.root, recursive=True)
         name = f"{stem}-{uuid.uuid4().hex}{suffix}"
-        return name, self.fs.open_output_stream(f"{self.root}/{name}")
+        return name, self.fs.open_output_stream(f"{self.root}/{name}", compression=None)
 
     def open(self, name: str):
         return self.fs.open_input_file(f"{self.root}/{name}")

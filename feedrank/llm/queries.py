@@ -7,9 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from ..plans.registry import register
 from ..sources.tables import read
 from . import quality_model, quality_rules
+from .html_text import extract
 from .jaccard_join import jaccard_components
 from .packing import retrieval_pack
 from .token_files import token_files
+from .warc import archive
 from .wordbpe import byte_bpe_path
 
 
@@ -41,3 +43,27 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality rules of every document with thresholds per language and source."""
     return quality_rules.score_documents(read(spark, sf_dir, "documents"))
+
+
+@register("op6_html_extraction")
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page by composite text density."""
+    return extract(read(spark, sf_dir, "pages"))
+
+
+_OP10_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes,
+                  sha256(encode(coalesce(html, ''))) AS payload_digest FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
+FROM f
+"""
+
+
+@register("op10_warc", _OP10_SQL)
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives of all pages, written, indexed by merging sorted runs, and read back through the index."""
+    return archive(read(spark, sf_dir, "pages"), least_bytes=100).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
