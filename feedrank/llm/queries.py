@@ -9,7 +9,9 @@ from ..sources.tables import read
 from . import quality_model, quality_rules
 from .html_text import extract
 from .jaccard_join import jaccard_components
+from .merge_dropout import piece_path, roundtrip
 from .packing import retrieval_pack
+from .paragraph_sketch import fingerprints
 from .token_files import token_files
 from .warc import archive
 from .wordbpe import byte_bpe_path
@@ -27,6 +29,18 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval_pack(read(spark, sf_dir, "documents"), byte_bpe_path(), end_id=1, window=2048)
 
 
+@register("op3_fingerprints")
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraph sketches of every document and of its edited text, and their likeness."""
+    return fingerprints(read(spark, sf_dir, "documents"))
+
+
+@register("op4_merge_dropout")
+def op4_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded with merge dropout and decoded again (length and digest of the decoded text)."""
+    return roundtrip(read(spark, sf_dir, "documents"), piece_path(), seed=17, rate=0.1)
+
+
 @register("op5_jaccard_join")
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents linked by 3-word shingle sets with Jaccard similarity of at least 0.9."""

@@ -24,7 +24,7 @@ LINE_UNITS = 2_000          # new units encoded in one line
 BATCH_CHARS = 4 << 20       # text put together at a time
 
 
-class _Numbers(dict):
+class Numbers(dict):
     """Unit -> number in order of appearance; new units are noted."""
 
     def __init__(self):
@@ -62,7 +62,7 @@ class UnitEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.units = _Numbers()
+        self.units = Numbers()
         self.flat = np.zeros(1 << 16, self.dtype)      # ids of all numbered units, one after the other
         self.end = np.zeros(1 << 14, np.int64)         # where those of each unit end
         self.odd = np.zeros(1 << 14, bool)             # units that cannot be put together
