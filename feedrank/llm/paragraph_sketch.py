@@ -187,7 +187,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kind = df.schema[id_col].dataType.simpleString()
     src = df.select(F.col(id_col).alias("k"), text_or_empty(text_col).alias("t"))
     ids = src.select("k").filter("k is not null").repartitionByRange(n, F.col("k").desc())
-    heads = sorted(r[0] for r in ids.groupBy(F.spark_partition_id()).agg(F.max("k")).collect())       # one a range
+    heads = sorted(r["head"] for r in ids.groupBy(F.spark_partition_id()).agg(F.max("k").alias("head")).collect())   # one a range
     last = max(0, len(heads) - 1)
     placed_schema = arrow_schema(f"part int, carry boolean, k {kind}, t string")
     out = (f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
