@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from .common import arrow_schema, text_bytes, text_or_empty, to_batch
 
 CELLS = 8                    # cells a row of the smallest sketch
-LONG = 400                   # characters; longer lines are cut
-CUT_WORDS = 32
+LONG = 120                   # characters; longer lines are cut
+CUT_WORDS = 12
 SHARD_BYTES = 8 << 20
 M64 = (1 << 64) - 1
 _C1, _C2 = 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53
