@@ -146,7 +146,7 @@ def difference(a: Sketch, b: Sketch) -> tuple[list[int], list[int]] | None:
 def likeness(x: np.ndarray, y: np.ndarray, sx: Sketch, sy: Sketch) -> float:
     """Jaccard similarity of two key sets, from their sketches; larger ones are made while peeling stalls."""
     m = sx.m
-    top = 1024 * (CELLS + sx.n + sy.n)
+    top = 64 * (CELLS + sx.n + sy.n)
     while (found := difference(sx, sy)) is None:
         m *= 2
         if m > top:                          # two keys with one hash: out of reach for distinct digests

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.registry import register
 from ..sources.tables import read
-from . import quality_model, quality_rules
+from . import maxent_lm, quality_model, quality_rules
 from .html_text import extract
 from .jaccard_join import jaccard_components
 from .merge_dropout import piece_path, roundtrip
@@ -53,6 +53,12 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(read(spark, sf_dir, "documents"), byte_bpe_path(), end_id=0)
 
 
+@register("op8_lm_scoring")
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and model log10 probability of every document."""
+    return maxent_lm.score_documents(read(spark, sf_dir, "documents"), folds=5, held_out_fold=1)
+
+
 @register("op9_quality_rules", quality_rules.oracle())
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality rules of every document with thresholds per language and source."""
