@@ -17,18 +17,20 @@ so a few more slices are taken: of ``m`` slices ``m - k`` agree, and a set with
 fewer empty ones than that needs only its full slices.  The rare others also
 enter, for each empty slice, the regions of a second, independent slicing.
 
-**Recursion.**  Each region takes pivots (lowest key hashes), and the exact
-distance from every member to every pivot is computed.  Members within ``e``
-of a pivot are linked to it, hence in one component.  Every member belongs to
-the Voronoi cell of its nearest pivot, and is replicated to each other cell
-whose pivot is at most ``2e`` farther (the triangle inequality puts every
-partner of a cell's own members there).  In a cell only pairs with a member
-outside the pivot's ball are open, and only within the window
-``|d(x,p) - d(y,p)| <= e``; members no such pair needs are dropped, the pivots
-leave, and cells that still have open pairs are regions of the next round, with
-more pivots.  Each round removes its pivots, so the recursion ends with every
-linked pair connected: by an edge, or through a pivot that both link to.
-No round forms all pairs of a region.
+**Recursion.**  In the first round every region takes one pivot, the member in
+most regions, and the exact distance of every member to it is computed.  Those
+within ``e`` are linked to it.  Components are formed, and a region whose members
+are one component is done, as is one without a member outside its pivot's ball.
+In the others only pairs with an outer member are open, and only within the
+window ``|d(x,p) - d(y,p)| <= e``; inner members that no outer one can reach are
+dropped, the pivot leaves.  A region with few outer members is finished by
+comparing those with the members of other components in their windows.  A
+larger one takes several outer pivots: each member belongs to the Voronoi cell
+of the nearest, and is replicated to the cells whose pivot is at most ``2e``
+farther (the triangle inequality puts every partner of a cell's own members
+there); the cells are the regions of the next round.  Each round removes its
+pivots, so the recursion ends with every linked pair in one component, and links
+are only ever drawn on exact intersections of whole sets.
 """
 
 from __future__ import annotations
@@ -52,8 +54,9 @@ BUCKET_BYTES = 12 << 20       # text bytes per bucket of slice signatures
 FLUSH = 2_000_000            # signatures a task packs at a time
 SEEN = 1_000_000             # classes a task remembers, to emit a copy's signatures once
 LEAST_PERCENT = 75           # below, slices hold about one shingle and say too little
-FIRST_PIVOTS, PIVOTS = 1, 32  # pivots of a region in the first round, and in the second (four times more in each later one)
-MAX_ROUNDS = 40              # raises beyond; four-fold pivots outgrow any region long before
+CELLS = 8                    # Voronoi cells of a large region in the second round; twice as many in each later one
+FEW = 32                     # a region with so few outer members is finished by comparing those alone
+MAX_ROUNDS = 40              # raises beyond; pivots that double outgrow any region long before
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -252,63 +255,68 @@ def regions(df: DataFrame, text_col: str, size: int, scheme: SliceScheme) -> Dat
 
 def _distinct_regions(r: DataFrame) -> DataFrame:
     """Keep one of the regions with the same members in the same roles."""
-    h = F.xxhash64("node", "host")
+    h = F.xxhash64("node", "outer", "host")
     mark = (r.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.sum(F.shiftright(h, 34)).alias("a"), F.bit_xor(h).alias("b"))
             .groupBy("n", "a", "b").agg(F.min("region").alias("region")).select("region"))
     return r.join(mark, "region", "left_semi")
 
 
-def link_classes(region: DataFrame, sets: DataFrame, percent: int,
-                 first_pivots: int = FIRST_PIVOTS, pivots: int = PIVOTS) -> DataFrame:
-    """Edges ``(src, dst)`` that connect exactly the components of the linked classes.
+def link_classes(region: DataFrame, sets: DataFrame, percent: int, cells: int = CELLS, few: int = FEW) -> DataFrame:
+    """Labels ``(node, label)`` of the components of linked classes.
 
     ``region (region, node)``: every linked pair shares one; ``sets (node, s)``: each node's shingles.
     """
+    spark = region.sparkSession
     eps = 1.0 - percent / 100.0
     slack = 1e-9                                   # windows are widened by rounding; links are tested on integers
-    state = cut(_distinct_regions(region.select("region", "node", F.lit(True).alias("host"))), "regions")
-    edges: DataFrame | None = None
+    region = cut(_distinct_regions(region.select("region", "node", F.lit(True).alias("outer"))), "regions")
+    # a class in many regions shares much with many: the most central member is the best pivot
+    degree = region.groupBy("node").agg(F.count(F.lit(1)).alias("deg"))
+    state = cut(region.join(degree, "node").withColumn("d", F.lit(None).cast("double")), "regions")
+    edges = spark.createDataFrame([], "src long, dst long")
+    label = spark.createDataFrame([], "node long, label long")
     for round_ in range(MAX_ROUNDS):
         if state.limit(1).count() == 0:
-            break
-        k = first_pivots if round_ == 0 else pivots * 4 ** (round_ - 1)
-        # pivots: the hosts of lowest hash; the group limit runs before the shuffle, so a hot region sends k rows a task
-        rank = F.row_number().over(Window.partitionBy("region").orderBy(F.xxhash64("node"), "node"))
-        chosen = cut(state.filter("host").select("region", "node").withColumn("r", rank).filter(F.col("r") <= k)
-                     .select("region", F.col("node").alias("pivot"), F.col("r").alias("cell")), "pivots")
-        pairs = state.join(chosen, "region").filter("node <> pivot")
-        wanted = pairs.select("node", "pivot").distinct()
-        measured = cut(_distances(wanted, sets, percent), "distances")
-        new = measured.filter("linked").select(F.col("node").alias("src"), F.col("pivot").alias("dst"))
-        edges = new if edges is None else edges.unionByName(new)
+            return label
+        k = 1 if round_ == 0 else cells * 2 ** (round_ - 1)
+        size = state.filter("outer").groupBy("region").agg(F.count(F.lit(1)).alias("outers"))
+        # pivots: one in the first round; later all outer members of a region with few, else the k most central.
+        # The group limit runs before the shuffle, so a hot region sends few rows a task.
+        rank = F.row_number().over(Window.partitionBy("region").orderBy(F.desc("deg"), F.xxhash64("node"), "node"))
+        most = 1 if round_ == 0 else max(k, few)
+        chosen = (state.filter("outer").withColumn("r", rank).filter(F.col("r") <= most).join(size, "region")
+                  .withColumn("last", F.lit(round_ > 0) & (F.col("outers") <= most)).filter(F.col("last") | (F.col("r") <= k))
+                  .select("region", F.col("node").alias("pivot"), F.col("r").alias("cell"), F.col("d").alias("pd"), "last"))
+        chosen = cut(chosen.join(label.select(F.col("node").alias("pivot"), F.col("label").alias("pl")), "pivot", "left"), "pivots")
+        pairs = (state.join(label, "node", "left").join(chosen, "region").filter("node <> pivot")
+                 # a region that ends here only needs pairs of two components, within the window
+                 .filter(~F.col("last") | ((F.coalesce("label", "node") != F.coalesce("pl", "pivot"))
+                                           & F.coalesce(F.abs(F.col("d") - F.col("pd")) <= eps + slack, F.lit(True)))))
+        pairs = cut(pairs.select("region", "node", "outer", "host", "deg", "pivot", "cell", "last"), "pairs")
+        measured = cut(_distances(pairs.select(F.least("node", "pivot").alias("node"), F.greatest("node", "pivot").alias("pivot")).distinct(),
+                                  sets, percent), "distances")
+        edges = cut(edges.unionByName(measured.filter("linked").select(F.col("node").alias("src"), F.col("pivot").alias("dst"))), "links")
+        label = cut(components(edges), "labels")
+        far = (pairs.filter("not last").withColumns({"a": F.least("node", "pivot"), "b": F.greatest("node", "pivot")})
+               .join(measured.select(F.col("node").alias("a"), F.col("pivot").alias("b"), F.col("d"), "linked"), ["a", "b"]))
         # Voronoi cells: home at the nearest pivot, guests where the window of 2e reaches
-        far = pairs.join(measured, ["node", "pivot"])
         if k > 1:
             best = F.min(F.struct("d", "cell")).over(Window.partitionBy("region", "node"))
-            own = chosen.select("region", F.col("pivot").alias("node"), F.lit(True).alias("is_pivot"))
-            far = (far.join(own, ["region", "node"], "left").filter("is_pivot is null")
+            own = chosen.select("region", F.col("pivot").alias("node"))
+            far = (far.join(own, ["region", "node"], "left_anti")
                    .withColumn("best", best).filter(F.col("d") <= F.col("best.d") + 2 * eps + slack)
                    .withColumn("host", F.col("host") & (F.col("cell") == F.col("best.cell"))))
-        cell = F.when(F.lit(k == 1), F.col("region")).otherwise(F.xxhash64("region", "cell"))
-        far = far.select(cell.alias("region"), "node", "host", "d", "linked")
-        far = cut(far, "cells")
-        # open pairs: a host with a member, at least one of the two outside the pivot's ball, within the window
-        out = far.filter("not linked").groupBy("region").agg(
-            F.min("d").alias("near_out"), F.min(F.when(F.col("host"), F.col("d"))).alias("near_out_host"))
-        host_in = far.filter("linked and host").groupBy("region").agg(F.max("d").alias("far_in_host"))
-        reach = F.when(F.col("host"), F.col("near_out")).otherwise(F.col("near_out_host"))
-        nxt = (far.join(out, "region").join(host_in, "region", "left")
-               .filter((~F.col("linked") & (F.col("host") | F.col("near_out_host").isNotNull()
-                                            | (F.col("d") <= F.col("far_in_host") + eps + slack)))
-                       | (F.col("linked") & (reach <= F.col("d") + eps + slack)))
-               .select("region", "node", "host"))
-        live = nxt.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.max("host").alias("h")).filter("n > 1 and h")
-        state = cut(_distinct_regions(nxt.join(live.select("region"), "region", "left_semi")), "regions")
-    else:
-        raise RuntimeError(f"regions were still open after {MAX_ROUNDS} rounds")
-    if edges is None:
-        edges = region.sparkSession.createDataFrame([], "src long, dst long")
-    return edges
+        cell = F.col("region") if k == 1 else F.xxhash64("region", "cell")
+        far = (far.select(cell.alias("region"), "node", "host", "deg", "d", (~F.col("linked")).alias("outer"))
+               .join(label, "node", "left").withColumn("label", F.coalesce("label", "node")))
+        # a cell is open while it holds two components and an outer member
+        live = (far.groupBy("region").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.max("outer").alias("o"),
+                                          F.max("host").alias("h"), F.min(F.when(F.col("outer"), F.col("d"))).alias("near"))
+                .filter("l0 <> l1 and o and h").select("region", "near"))
+        # inner members stay while the window of an outer one reaches them
+        nxt = far.join(live, "region").filter(F.col("outer") | (F.col("near") <= F.col("d") + eps + slack))
+        state = cut(_distinct_regions(nxt.select("region", "node", "host", "deg", "d", "outer")), "regions")
+    raise RuntimeError(f"regions were still open after {MAX_ROUNDS} rounds")
 
 
 def _distances(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -322,7 +330,7 @@ def _distances(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                       (100 * F.col("i") >= percent * union).alias("linked"))
 
 
-def _grouped(df: DataFrame, id_col: str, text_col: str, size: int, percent: int, first_pivots: int, pivots: int) -> DataFrame:
+def _grouped(df: DataFrame, id_col: str, text_col: str, size: int, percent: int, cells: int, few: int) -> DataFrame:
     """``(doc_id, text_hash, n_shingles, node, label, component_id)`` per row; ``label`` is its component's smallest node."""
     src = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     member = cut(members(src, "doc_id", "text", size), "members")
@@ -339,7 +347,7 @@ def _grouped(df: DataFrame, id_col: str, text_col: str, size: int, percent: int,
     sets = map_batches(texts.select(text_or_empty("text").alias("t")), sets_of, "node long, s array<long>")
     # several rows may carry a representative's key; one set is kept for each class
     sets = cut(sets.join(need.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
-    label = components(link_classes(region, sets, percent, first_pivots, pivots))
+    label = link_classes(region, sets, percent, cells, few)
     named = classes.join(label, "node").select("node", "rep", "label")
     least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
     # only classes with links can have another id than their own representative
@@ -351,7 +359,7 @@ def _grouped(df: DataFrame, id_col: str, text_col: str, size: int, percent: int,
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, percent: int = 90,
-                       first_pivots: int = FIRST_PIVOTS, pivots: int = PIVOTS) -> DataFrame:
+                       cells: int = CELLS, few: int = FEW) -> DataFrame:
     """Per row ``(doc_id, n_shingles, component_id)``.
 
     ``component_id`` is the smallest key reachable by links, the row's own
@@ -359,7 +367,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     nothing; equal rows are one class; a null key is a component's id only
     where every key of it is null; an empty table gives no row.
     """
-    return _grouped(df, id_col, text_col, size, percent, first_pivots, pivots).select("doc_id", "n_shingles", "component_id")
+    return _grouped(df, id_col, text_col, size, percent, cells, few).select("doc_id", "n_shingles", "component_id")
 
 
 def keep_representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5,
@@ -370,7 +378,7 @@ def keep_representatives(df: DataFrame, id_col: str = "doc_id", text_col: str =
     the smallest text hash stays for its group; rows equal in key and text are
     reduced to one.
     """
-    found = _grouped(df, id_col, text_col, size, percent, FIRST_PIVOTS, PIVOTS)
+    found = _grouped(df, id_col, text_col, size, percent, CELLS, FEW)
     empty = found.filter("n_shingles = 0").select("doc_id", "text_hash")
     first = (found.filter("n_shingles > 0").groupBy("label")
              .agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_hash"))).alias("m"))
