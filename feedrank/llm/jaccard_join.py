@@ -269,7 +269,7 @@ def link_classes(region: DataFrame, sets: DataFrame, percent: int, cells: int =
     spark = region.sparkSession
     eps = 1.0 - percent / 100.0
     slack = 1e-9                                   # windows are widened by rounding; links are tested on integers
-    region = cut(_distinct_regions(region.select("region", "node", F.lit(True).alias("outer"))), "regions")
+    region = cut(_distinct_regions(region.select("region", "node", F.lit(True).alias("outer"), F.lit(True).alias("host"))), "regions")
     # a class in many regions shares much with many: the most central member is the best pivot
     degree = region.groupBy("node").agg(F.count(F.lit(1)).alias("deg"))
     state = cut(region.join(degree, "node").withColumn("d", F.lit(None).cast("double")), "regions")
