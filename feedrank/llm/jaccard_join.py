@@ -10,7 +10,7 @@ every border.  The universe is therefore cut into slices by shingle hash.
 Linked sets differ in at most ``k = floor((100-P)/(100+P) (|x|+|y|))`` shingles,
 so of ``k + 1`` slices at least one holds the same shingles in both: the slice
 content is a pivot at distance 0 within its slice, and the classes with equal
-content are its region.  ``k`` follows the size class of the larger set (sizes
+content are its region; regions that share members are joined into one.  ``k`` follows the size class of the larger set (sizes
 between powers of ``100/P``), so a class enters the regions of its own size
 class and, as the smaller partner, of the next.  An empty slice says nothing,
 so a few more slices are taken: of ``m`` slices ``m - k`` agree, and a set with
@@ -269,10 +269,13 @@ def link_classes(region: DataFrame, sets: DataFrame, percent: int, cells: int =
     spark = region.sparkSession
     eps = 1.0 - percent / 100.0
     slack = 1e-9                                   # windows are widened by rounding; links are tested on integers
-    region = cut(_distinct_regions(region.select("region", "node", F.lit(True).alias("outer"), F.lit(True).alias("host"))), "regions")
     # a class in many regions shares much with many: the most central member is the best pivot
     degree = region.groupBy("node").agg(F.count(F.lit(1)).alias("deg"))
-    state = cut(region.join(degree, "node").withColumn("d", F.lit(None).cast("double")), "regions")
+    # regions that share members are one, so that a class is in one region only
+    first = region.groupBy("region").agg(F.min("node").alias("dst"))
+    whole = components(region.join(first, "region").select(F.col("node").alias("src"), "dst"))
+    state = cut(whole.select(F.col("label").alias("region"), "node").join(degree, "node")
+                .withColumns({"outer": F.lit(True), "host": F.lit(True), "d": F.lit(None).cast("double")}), "regions")
     edges = spark.createDataFrame([], "src long, dst long")
     label = spark.createDataFrame([], "node long, label long")
     for round_ in range(MAX_ROUNDS):
@@ -292,7 +295,7 @@ def link_classes(region: DataFrame, sets: DataFrame, percent: int, cells: int =
                  # a region that ends here only needs pairs of two components, within the window
                  .filter(~F.col("last") | ((F.coalesce("label", "node") != F.coalesce("pl", "pivot"))
                                            & F.coalesce(F.abs(F.col("d") - F.col("pd")) <= eps + slack, F.lit(True)))))
-        pairs = cut(pairs.select("region", "node", "outer", "host", "deg", "pivot", "cell", "last"), "pairs")
+        pairs = cut(pairs.select("region", "node", "host", "deg", "pivot", "cell", "last"), "pairs")
         measured = cut(_distances(pairs.select(F.least("node", "pivot").alias("node"), F.greatest("node", "pivot").alias("pivot")).distinct(),
                                   sets, percent), "distances")
         edges = cut(edges.unionByName(measured.filter("linked").select(F.col("node").alias("src"), F.col("pivot").alias("dst"))), "links")
