@@ -277,8 +277,7 @@ def link_classes(region: DataFrame, sets: DataFrame, percent: int,
         chosen = cut(state.filter("host").select("region", "node").withColumn("r", rank).filter(F.col("r") <= k)
                      .select("region", F.col("node").alias("pivot"), F.col("r").alias("cell")), "pivots")
         pairs = state.join(chosen, "region").filter("node <> pivot")
-        wanted = pairs.select("node", "pivot").distinct()
-        measured = cut(_distances(wanted, sets, percent), "distances")
+        measured = cut(_distances(pairs.select("region", "node", "pivot"), sets, percent), "distances")
         new = measured.filter("linked").select(F.col("node").alias("src"), F.col("pivot").alias("dst"))
         edges = new if edges is None else edges.unionByName(new)
         # Voronoi cells: home at the nearest pivot, guests where the window of 2e reaches
@@ -312,9 +311,16 @@ def link_classes(region: DataFrame, sets: DataFrame, percent: int,
 
 
 def _distances(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Exact ``(node, pivot, d, linked)`` of every pair, from the whole sets."""
-    left = pairs.join(sets.select("node", F.col("s").alias("sx")), "node")
-    both = left.join(sets.select(F.col("node").alias("pivot"), F.col("s").alias("sy")), "pivot")
+    """Exact ``(node, pivot, d, linked)`` of every distinct pair of ``pairs (region, node, pivot)``, from the whole sets.
+
+    A pair meets in the first region that has it, so a member's set travels
+    once a region for all the pivots it meets there, not once a pivot.
+    """
+    meet = pairs.groupBy("node", "pivot").agg(F.min("region").alias("region"))
+    asked = meet.groupBy("region", "node").agg(F.collect_list("pivot").alias("pivots"))     # at most a region's pivots
+    left = asked.join(sets.select("node", F.col("s").alias("sx")), "node")
+    right = meet.select("region", "pivot").distinct().join(sets.select(F.col("node").alias("pivot"), F.col("s").alias("sy")), "pivot")
+    both = left.join(right, "region").filter(F.array_contains("pivots", F.col("pivot")))
     inter = F.size(F.array_intersect("sx", "sy"))
     got = both.select("node", "pivot", inter.alias("i"), (F.size("sx") + F.size("sy")).alias("n"))
     union = F.col("n") - F.col("i")
