@@ -7,6 +7,7 @@ appended, and an upsert lets a new value win over an old one.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -15,8 +16,9 @@ from pyspark.sql.types import StructType
 def split_cache(requests: DataFrame, cache: DataFrame, keys: list[str],
                 valid: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """``(hits, misses)``: hits carry the cached columns; a cached row counts
-    only when ``valid`` holds (e.g. a label that is present and not failed)."""
-    good = cache.filter(valid) if valid is not None else cache
+    only when ``valid`` holds (e.g. a label that is present and not failed).
+    Of several such rows of one key one is used, so hits are never multiplied."""
+    good = (cache.filter(valid) if valid is not None else cache).dropDuplicates(keys)
     hits = requests.join(good, keys, "inner")
     misses = requests.join(good.select(*keys), keys, "left_anti")
     return hits, misses
@@ -27,17 +29,22 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return old.join(new.select(*keys), keys, "left_anti").unionByName(new)
 
 
-def read_cache(spark: SparkSession, path: str, schema: StructType, fmt: str = "parquet") -> DataFrame:
-    """Read a cache; a missing or unreadable cache is an empty table (SRC8).
+def read_cache(spark: SparkSession, path: str, schema: StructType, fmt: str = "parquet",
+               skip_corrupt: bool = False) -> DataFrame:
+    """Read a cache; a missing one is an empty table (SRC8).
 
-    JSON caches drop malformed records instead of failing the job.
+    JSON caches drop malformed records instead of failing the job.  Unreadable
+    Parquet files fail the job, unless ``skip_corrupt`` asks to leave them out
+    (their keys are then misses).  Any other error is raised.
     """
+    reader = spark.read.schema(schema)
     try:
-        reader = spark.read.schema(schema)
         if fmt == "json":
             return reader.option("mode", "DROPMALFORMED").json(path)
-        return reader.parquet(path)
-    except Exception:  # noqa: BLE001  (absent path -> empty cache)
+        return reader.option("ignoreCorruptFiles", str(skip_corrupt).lower()).parquet(path)
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
 
 

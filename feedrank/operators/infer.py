@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .cache import split_cache, write_cache
+from .cache import write_cache
+from .lineage import cut
 
 
 def exponential_backoff(base: float) -> Callable[[int], float]:
@@ -91,17 +92,22 @@ def cached_inference(requests: DataFrame, cache: DataFrame, keys: list[str],
                      valid=None, partition_by: list[str] | None = None) -> DataFrame:
     """Serve hits from ``cache`` and run ``infer`` on misses only.
 
-    ``infer`` maps the miss rows to rows with ``keys`` plus outputs (and may
-    carry ``infer_error``).  Successful new rows are appended to
-    ``cache_path``.  Returns hits and new results together.
+    ``infer`` maps the miss rows, one a distinct key, to rows with ``keys``
+    plus outputs (and may carry ``infer_error``).  Returns one row per request
+    row: ``keys``, the outputs and, where ``infer`` gives it, ``infer_error``.
+    A failed row stays in the result with its error and NULL outputs; only
+    successful new rows are appended to ``cache_path``.  Of several cached
+    rows of one key one is used.  A request with a NULL key matches nothing
+    and has NULL outputs.
     """
-    hits, misses = split_cache(requests, cache, keys, valid)
-    new = infer(misses)
-    if "infer_error" in new.columns:
-        new = new.filter(F.col("infer_error").isNull()).drop("infer_error")
+    good = (cache.filter(valid) if valid is not None else cache).dropDuplicates(keys)
+    asked = requests.dropDuplicates(keys).dropna(subset=keys)
+    new = infer(asked.join(good.select(*keys), keys, "left_anti"))
     if cache_path:
-        new = new.checkpoint()            # run the model once; reuse for the write and the result
-        write_cache(new, cache_path, partition_by)
-    out_cols = [c for c in new.columns]
-    return hits.select(*[c for c in out_cols if c in hits.columns]).unionByName(new.select(*out_cols),
-                                                                                allowMissingColumns=True)
+        new = cut(new, "inferred")        # run the model once; reuse for the write and the result
+        done = new
+        if "infer_error" in new.columns:
+            done = new.filter(F.col("infer_error").isNull()).drop("infer_error")
+        write_cache(done, cache_path, partition_by)
+    known = good.select(*[c for c in new.columns if c in good.columns])
+    return requests.select(*keys).join(known.unionByName(new, allowMissingColumns=True), keys, "left")

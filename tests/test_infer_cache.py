@@ -12,12 +12,13 @@ OUT = StructType([StructField("score", DoubleType())])
 
 
 def test_retry_then_success(spark):
+    import tempfile
+    folder = tempfile.mkdtemp(prefix="feedrank-flaky-")
     df = spark.range(10).select(F.col("id"), F.col("id").cast("string").alias("text"))
 
     def flaky(pdf):
         import os
-        import tempfile
-        marker = os.path.join(tempfile.gettempdir(), f"feedrank-flaky-{pdf['text'].iloc[0]}")
+        marker = os.path.join(folder, f"flaky-{pdf['text'].iloc[0]}")
         if not os.path.exists(marker):
             open(marker, "w").close()
             raise RuntimeError("quota")
@@ -105,3 +106,21 @@ def test_pacing_between_batches(spark):
     rows = out.collect()                      # one action: 3 sub-batches -> 2 pauses
     assert len(rows) == 7 and all(r["infer_error"] is None for r in rows)
     assert abs(waited.value - 0.1) < 1e-9
+
+
+def test_repeated_requests_and_failures_keep_every_request(spark):
+    path = scratch_path(spark, "test-cache-dup-" + __import__("uuid").uuid4().hex)
+    req = spark.createDataFrame([("a", "1"), ("a", "1"), ("b", "2"), ("bad", "x")], "k string, text string")
+    empty = spark.createDataFrame([], "k string, score double")
+
+    def run(misses):
+        return infer.batch_infer(misses, lambda p: pd.DataFrame({"score": p["text"].astype(float)}), ["k"], ["text"],
+                                 OUT, batch_size=1, retries=1)
+
+    first = infer.cached_inference(req, empty, ["k"], run, cache_path=path).collect()
+    assert sorted((r["k"], r["score"]) for r in first if r["k"] != "bad") == [("a", 1.0), ("a", 1.0), ("b", 2.0)]
+    assert [r["score"] for r in first if r["infer_error"]] == [None] and len(first) == 4
+    cache = spark.read.parquet(path)
+    assert cache.count() == 2
+    again = infer.cached_inference(req, cache.unionByName(cache), ["k"], run)
+    assert again.count() == 4
