@@ -25,11 +25,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-
-from .lineage import cut
+from pyspark.sql.types import IntegralType
 
 from .graph import connected_components
 from .knn import BROADCAST_BYTES, block_pairs, knn_join, sq_distances
+from .lineage import cut
 
 BEST_SCHEMA = "query_id bigint, neighbor_id bigint, w double"
 MIN_WEIGHT = 1e-12
@@ -52,7 +52,8 @@ def _best_other_scorer(dim: int):
                 rid = np.asarray(row.r_ids, dtype=np.int64)
                 M = np.sqrt(sq_distances(Q[:, :dim], C[:, :dim]))
                 M = np.maximum(M, np.maximum(Q[:, dim][:, None], C[:, dim][None, :]))
-                M[Q[:, dim + 1][:, None] == C[:, dim + 1][None, :]] = np.inf
+                same = Q[:, dim + 1][:, None] == C[:, dim + 1][None, :]
+                M[same & (Q[:, dim + 2][:, None] == C[:, dim + 2][None, :])] = np.inf
                 j = np.argmin(M, axis=1)        # columns are in id order: first minimum = smallest id
                 w = M[np.arange(len(lid)), j]
                 ok = np.isfinite(w)
@@ -84,12 +85,12 @@ def mutual_reachability_mst(points: DataFrame, core: DataFrame, id_col: str = "i
     whose smaller id becomes the root, and pointer jumping merges the rest.
     """
     spark = points.sparkSession
-    pts = points.select(F.col(id_col).alias("id"), F.col(vec).cast("array<double>").alias("v")).join(
-        core.select(F.col(id_col).alias("id"), "core"), "id")
+    pts = points.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec).cast("array<double>").alias("v")).join(
+        core.select(F.col(id_col).cast("bigint").alias("id"), "core"), "id")
     pts = cut(pts, "mst-points")
     stats = pts.agg(F.max(F.size("v")).alias("dim"), F.count(F.lit(1)).alias("n")).first()
     dim, n_pts = stats["dim"], stats["n"]
-    broadcast_rows = max(1, broadcast_bytes // (8 * (dim + 2) + 16))   # vector + core + component
+    broadcast_rows = max(1, broadcast_bytes // (8 * (dim + 3) + 16))   # vector + core + component
     side = "right" if n_pts <= broadcast_rows else "none"
     comp = pts.select("id", F.col("id").alias("comp"))
     n_comp = n_pts
@@ -99,8 +100,9 @@ def mutual_reachability_mst(points: DataFrame, core: DataFrame, id_col: str = "i
     for _ in range(max_rounds):
         if n_comp < 2:
             break
-        ext = pts.join(comp, "id").select(
-            "id", F.concat("v", F.array(F.col("core"), F.col("comp").cast("double"))).alias("x"))
+        # the component as two halves of 32 bits, which doubles hold exactly
+        halves = [F.shiftright("comp", 32).cast("double"), F.col("comp").bitwiseAND(F.lit(0xFFFFFFFF)).cast("double")]
+        ext = pts.join(comp, "id").select("id", F.concat("v", F.array(F.col("core"), *halves)).alias("x"))
         pairs = block_pairs(ext, ext, "id", "id", "x", "x", broadcast=None if side == "none" else side,
                             broadcast_rows=broadcast_rows)
         best = pairs.mapInPandas(_best_other_scorer(dim), BEST_SCHEMA)
@@ -256,9 +258,18 @@ def _select_and_label(tree: DataFrame, member: DataFrame, nodes: DataFrame, id_c
 
 def density_cluster(points: DataFrame, min_cluster_size: int = 40, min_samples: int | None = None,
                     id_col: str = "id", vec: str = "vector", max_levels: int = 512) -> DataFrame:
-    """HDBSCAN-style labels ``(id, cluster_id)``; -1 marks noise."""
+    """HDBSCAN-style labels ``(id, cluster_id)``; -1 marks noise.
+
+    Ids that are not integers are numbered in their order first, in a written
+    table, so a retried task cannot number them anew.
+    """
     if min_cluster_size < 2:
         raise ValueError("min_cluster_size must be at least 2")
+    if not isinstance(points.schema[id_col].dataType, IntegralType):
+        numbered = cut(points.select(id_col, vec).orderBy(id_col).withColumn("_node", F.monotonically_increasing_id()),
+                       "density-ids")
+        found = density_cluster(numbered, min_cluster_size, min_samples, "_node", vec, max_levels)
+        return numbered.join(found, "_node").select(id_col, "cluster_id")
     ms = min_samples or min_cluster_size
     core = core_distances(points, ms, id_col, vec)
     mst = mutual_reachability_mst(points, core, id_col, vec)

@@ -16,6 +16,9 @@ blocks are replicated to every stripe.
 Distances are squared L2 in double precision, summed left to right over the
 dimensions, so they equal the Catalyst expression ``functions.vectors.l2sq``.
 Ties are broken by ``round(distance, 9)`` and then the neighbour id.
+
+Ids keep the caller's type (integers or strings) through blocks and pairs.
+Rows without an id or a vector take no part.
 """
 
 from __future__ import annotations
@@ -27,7 +30,10 @@ from pyspark.sql import functions as F
 
 from .joins import DEFAULT_BROADCAST_ROWS, is_bounded
 
-BLOCK_SCHEMA = "stripe int, n int, dim int, ids array<bigint>, mat binary"
+
+def block_schema(id_type: str) -> str:
+    return f"stripe int, n int, dim int, ids array<{id_type}>, mat binary"
+
 
 # Packed vectors may be broadcast up to this many bytes (rows * dim * 8).
 BROADCAST_BYTES = 128 * 1024 * 1024
@@ -39,7 +45,6 @@ def broadcast_row_bound(df: DataFrame, vec: str, budget: int = BROADCAST_BYTES,
     row = df.select(F.size(F.col(vec)).alias("d")).filter(F.col("d") > 0).limit(1).first()
     dim = row["d"] if row else 1
     return max(1, min(cap, budget // (8 * dim + 16)))
-PAIR_SCHEMA = "query_id bigint, neighbor_id bigint, distance double"
 
 
 # ----------------------------------------------------------------- packing
@@ -77,7 +82,7 @@ def _packer(block_rows: int):
             if len(pdf) == 0:
                 continue
             st = pdf["_stripe"].to_numpy()
-            ids = pdf["_id"].to_numpy(dtype=np.int64)
+            ids = pdf["_id"].to_numpy()
             mat = _stack(pdf["_v"])
             cuts = np.flatnonzero(np.diff(st)) + 1
             for a, b in zip([0, *cuts], [*cuts, len(st)]):
@@ -112,12 +117,11 @@ def pack_blocks(df: DataFrame, id_col: str, vec_col: str, block_rows: int = 1024
     if stripe_col:
         stripe = F.col(stripe_col)
     else:
-        stripe = F.pmod(F.xxhash64(F.col(id_col).cast("bigint")), F.lit(stripes)) if stripes else F.lit(0)
-    rows = (df.select(F.col(id_col).cast("bigint").alias("_id"), F.col(vec_col).alias("_v"),
-                      stripe.cast("int").alias("_stripe"))
-            .filter(F.col("_v").isNotNull())
+        stripe = F.pmod(F.xxhash64(id_col), F.lit(stripes)) if stripes else F.lit(0)
+    rows = (df.select(F.col(id_col).alias("_id"), F.col(vec_col).alias("_v"), stripe.cast("int").alias("_stripe"))
+            .filter(F.col("_id").isNotNull() & F.col("_v").isNotNull())
             .sortWithinPartitions("_stripe", "_id"))
-    return rows.mapInPandas(_packer(block_rows), BLOCK_SCHEMA)
+    return rows.mapInPandas(_packer(block_rows), block_schema(rows.schema["_id"].dataType.simpleString()))
 
 
 # ----------------------------------------------------------------- scoring
@@ -190,6 +194,21 @@ def block_topk(Q: np.ndarray, C: np.ndarray, col_ids: np.ndarray, k: int):
     return qi, ci, E[qi, ci]
 
 
+def id_array(ids) -> np.ndarray:
+    """Ids of a block: an integer array, or Python strings."""
+    a = np.asarray(ids)
+    return a if a.dtype.kind in "iu" else np.array(ids, dtype=object)
+
+
+def id_ranks(ids: np.ndarray) -> np.ndarray:
+    """Integers in the order of the ids (strings by code point, as Spark orders them)."""
+    if ids.dtype.kind != "O":
+        return ids
+    ranks = np.empty(len(ids), dtype=np.int64)
+    ranks[np.argsort(ids, kind="stable")] = np.arange(len(ids))
+    return ranks
+
+
 def _pair_scorer(k: int):
     def score(batches):
         for pdf in batches:
@@ -199,9 +218,8 @@ def _pair_scorer(k: int):
                     raise ValueError(f"query dim {row.l_dim} != index dim {row.r_dim}")
                 Q = np.frombuffer(row.l_mat, dtype=np.float64).reshape(row.l_n, row.l_dim)
                 C = np.frombuffer(row.r_mat, dtype=np.float64).reshape(row.r_n, row.r_dim)
-                lid = np.asarray(row.l_ids, dtype=np.int64)
-                rid = np.asarray(row.r_ids, dtype=np.int64)
-                qi, ci, d = block_topk(Q, C, rid, k)
+                lid, rid = id_array(row.l_ids), id_array(row.r_ids)
+                qi, ci, d = block_topk(Q, C, id_ranks(rid), k)
                 outs.append(pd.DataFrame({"query_id": lid[qi], "neighbor_id": rid[ci], "distance": d}))
             if outs:
                 yield pd.concat(outs, ignore_index=True)
@@ -265,7 +283,8 @@ def pair_topk(pairs: DataFrame, k: int, dedup: bool = False) -> DataFrame:
     ``dedup`` drops repeated (query, neighbour) rows first, for probes that can
     meet the same neighbour through several cells or hash tables.
     """
-    cand = pairs.mapInPandas(_pair_scorer(k), PAIR_SCHEMA)
+    left, right = (pairs.schema[c].dataType.elementType.simpleString() for c in ("l_ids", "r_ids"))
+    cand = pairs.mapInPandas(_pair_scorer(k), f"query_id {left}, neighbor_id {right}, distance double")
     if dedup:
         cand = cand.dropDuplicates(["query_id", "neighbor_id"])
     return top_per_group(cand, ["query_id"], [F.round("distance", 9), F.col("neighbor_id")], k)
@@ -296,5 +315,4 @@ def assign_nearest(points: DataFrame, centers: DataFrame, point_id: str = "paper
                    center_vec: str = "centroid", **kw) -> DataFrame:
     """Nearest centre of every point (JN4): ``(point_id, center_id, distance)``."""
     nn = knn_join(points, centers, 1, point_id, center_id, point_vec, center_vec, **kw)
-    return nn.select(F.col("query_id").alias(point_id), F.col("neighbor_id").cast("int").alias(center_id),
-                     "distance")
+    return nn.select(F.col("query_id").alias(point_id), F.col("neighbor_id").alias(center_id), "distance")

@@ -109,6 +109,13 @@ def cluster_library(library: DataFrame, n_components: int = 50, n_neighbors: int
     return labels, cents
 
 
+def _one_version(day: DataFrame) -> DataFrame:
+    """``(paper_id, published, title, abstract, authors, category)``: each paper once, the newest version."""
+    category = F.col("category") if "category" in day.columns else F.get("categories", F.lit(0))
+    row = F.struct("published", "title", "abstract", "authors", category.alias("category"))
+    return day.groupBy("paper_id").agg(F.max(row).alias("r")).select("paper_id", "r.*")
+
+
 def run_daily(spark, bib_paths, feed: DataFrame, run_date: str | None, out_dir: str, topk: int = 200,
               oversample: int = 4, cluster: bool = False, categories=None, use_rerank: bool = False,
               embed_dim: int = 256, min_cluster_size: int = 40, debug_limit: int | None = None):
@@ -120,6 +127,11 @@ def run_daily(spark, bib_paths, feed: DataFrame, run_date: str | None, out_dir:
     sides' texts (one vector space); a user model plugs in through
     ``operators.infer``.  Returns the long result ``(cluster_id, rank,
     paper_id, score)``; an empty library or feed gives an empty result.
+
+    ``paper_id`` keeps the feed's type.  A paper listed several times counts
+    once, in its newest version; library entries with the same citation key
+    stay separate.  Clusters are labelled by the heaviest terms of their
+    samples.
     """
     from .. import sinks
     from ..functions.text import paper_text
@@ -127,24 +139,22 @@ def run_daily(spark, bib_paths, feed: DataFrame, run_date: str | None, out_dir:
     from ..sources.feed import feed_for_day
 
     lib = load_library(spark, bib_paths, debug_limit=debug_limit)
-    lib_t = lib.select(F.col("entry_id").alias("key"), paper_text("title", "abstract", "authors").alias("text"),
-                       F.struct("src_file", "src_block", "src_row").alias("src_pos")).filter(F.col("text") != "")
-    day = feed_for_day(feed, run_date, categories)
-    feed_t = day.select(F.col("paper_id").cast("string").alias("key"),
-                        paper_text("title", "abstract", "authors").alias("text")).filter(F.col("text") != "")
-    both = (lib_t.select(F.concat(F.lit("L:"), "key").alias("doc_key"), "text")
-            .unionByName(feed_t.select(F.concat(F.lit("F:"), "key").alias("doc_key"), "text")))
+    # an entry is its place in the files: two entries may carry the same citation key
+    place = F.struct("src_file", "src_block", "src_row")
+    lib_t = lib.select(F.to_json(place).alias("entry_id"), place.alias("src_pos"),
+                       paper_text("title", "abstract", "authors").alias("text")).filter(F.col("text") != "")
+    lib_t = cut(lib_t, "run-library")          # one scan of the files numbers the entries
+    day = _one_version(feed_for_day(feed, run_date, categories))
+    feed_t = day.select("paper_id", paper_text("title", "abstract", "authors").alias("text")).filter(F.col("text") != "")
+    lib_t = lib_t.withColumn("doc_key", F.concat(F.lit("L:"), "entry_id"))
+    feed_t = feed_t.withColumn("doc_key", F.concat(F.lit("F:"), F.col("paper_id").cast("string")))
+    both = lib_t.select("doc_key", "text").unionByName(feed_t.select("doc_key", "text"))
     vecs = cut(lexical.hashed_embedding(both, "doc_key", "text", dim=embed_dim), "run-vectors")
-    lib_ids = lib_t.select("key", "src_pos").withColumn(
-        "src_pos", F.dense_rank().over(__import__("pyspark.sql", fromlist=["Window"]).Window.orderBy("src_pos")))
-    library = (vecs.filter(F.col("doc_key").startswith("L:"))
-               .select(F.substring("doc_key", 3, 1 << 20).alias("key"), "vector").join(lib_ids, "key")
-               .withColumn("entry_id", F.xxhash64("key")))
-    corpus = (vecs.filter(F.col("doc_key").startswith("F:"))
-              .select(F.substring("doc_key", 3, 1 << 20).cast("bigint").alias("paper_id"), "vector"))
-    lib_texts = lib_t.select(F.xxhash64("key").alias("paper_id"), "text")
-    corpus_texts = feed_t.select(F.col("key").cast("bigint").alias("paper_id"), "text")
-    collection = lib_texts.unionByName(corpus_texts).select(F.col("paper_id").alias("doc_id"), "text")
+    library = lib_t.select("entry_id", "src_pos", "doc_key").join(vecs, "doc_key").drop("doc_key")
+    corpus = feed_t.select("paper_id", "doc_key").join(vecs, "doc_key").select("paper_id", "vector")
+    lib_texts = lib_t.select(F.col("entry_id").alias("paper_id"), "text")
+    corpus_texts = feed_t.select("paper_id", "text")
+    collection = both.withColumnRenamed("doc_key", "doc_id")
     if cluster:
         labels, cents = cluster_library(library.select("entry_id", "vector"), min_cluster_size=min_cluster_size,
                                         method="pca")
@@ -152,16 +162,16 @@ def run_daily(spark, bib_paths, feed: DataFrame, run_date: str | None, out_dir:
         ranked = recommend_clustered(lib_c, lib_texts, corpus, corpus_texts, collection, topk, oversample,
                                      use_rerank, cents=cents)
         clusters = cents.select("cluster_id")
+        named = lexical.top_terms(cluster_samples(lib_c, lib_texts), "cluster_id")
     else:
         ranked = recommend_flat(library, lib_texts, corpus, corpus_texts, collection, topk, oversample,
                                 use_rerank).withColumn("cluster_id", F.lit(0))
         clusters = ranked.select("cluster_id").distinct()
+        named = spark.createDataFrame([], "cluster_id int, label string")
     ranked = cut(ranked.select("cluster_id", "rank", "paper_id", "score"), "run-ranked")
-    info = day.select(F.col("paper_id").cast("bigint").alias("paper_id"), "title", "authors",
-                      (F.col("category") if "category" in day.columns else F.col("categories")[0]).alias("category"))
-    hydrated = ranked.join(info, "paper_id")
+    hydrated = ranked.join(day.select("paper_id", "title", "authors", "category"), "paper_id")
     nested = groups.nest_results(clusters, hydrated, ["paper_id", "title", "score"])
-    labels_tbl = groups.attach_labels(clusters, spark.createDataFrame([], "cluster_id int, label string"))
+    labels_tbl = groups.attach_labels(clusters, named)
     sinks.write_nested_json(nested.join(labels_tbl, "cluster_id"), f"{out_dir}/json", run_date)
     sinks.write_report(sinks.report_lines(labels_tbl, hydrated), f"{out_dir}/report", run_date)
     return ranked

@@ -61,3 +61,17 @@ def test_min_samples_differs_from_min_cluster_size(spark):
     got = {r["id"]: r["cluster_id"] for r in density.density_cluster(_df(spark, X), 12, min_samples=4).collect()}
     ref = hdbscan_labels(X, 12, min_samples=4)
     assert [got[i] for i in range(len(X))] == ref.tolist()
+
+
+def test_large_and_string_ids(spark):
+    X = np.random.default_rng(3).normal(size=(30, 3))
+    small, big = (spark.createDataFrame([(b + i, [float(v) for v in x]) for i, x in enumerate(X)],
+                                        "id bigint, vector array<double>") for b in (0, 2**60))
+    trees = []
+    for df, b in ((small, 0), (big, 2**60)):
+        mst = density.mutual_reachability_mst(df, density.core_distances(df, 3))
+        trees.append({(r["u"] - b, r["v"] - b) for r in mst.collect()})
+    assert len(trees[0]) == 29 and trees[0] == trees[1]
+    named = small.selectExpr("lpad(id, 3, '0') as id", "vector")
+    want = {f"{r['id']:03d}": r["cluster_id"] for r in density.density_cluster(small, 5, 3).collect()}
+    assert {r["id"]: r["cluster_id"] for r in density.density_cluster(named, 5, 3).collect()} == want

@@ -105,3 +105,14 @@ def test_wrong_dimension_fails_the_job(spark):
         vectors.append_vectors(base, new, dim=2).collect()
     ok = vectors.append_vectors(base, new.filter(F.size("vector") == 2), dim=2)
     assert sorted((r["set_id"], r["src_id"]) for r in ok.collect()) == [(0, 0), (1, 5)]
+
+
+def test_string_ids_and_ids_beyond_doubles(spark):
+    from feedrank.operators import knn
+    vecs = [[0.0, 0.0], [1.0, 0.0], [1.0, 0.0], [3.0, 0.0]]
+    for ids, kind in [(["d", "b/9", "a.10v1", "c"], "string"), ([2**60 + i for i in range(4)], "bigint")]:
+        df = spark.createDataFrame(list(zip(ids, vecs)), f"id {kind}, vector array<double>")
+        for rows in (None, 0):                     # broadcast, and striped
+            got = knn.knn_join(df, df, 2, broadcast_rows=rows, stripes=3).filter(F.col("query_id") == F.lit(ids[0]))
+            want = [ids[0], min(ids[1], ids[2])]   # the tie goes to the smaller id
+            assert [r["neighbor_id"] for r in got.orderBy("rank").collect()] == want

@@ -45,6 +45,28 @@ def test_daily_run_writes_dated_outputs(spark):
     assert report[0]["value"].startswith("<h2>") or any(r["value"].startswith("<h2>") for r in report)
 
 
+def _day_of_papers(spark, ids):
+    rows = [(i, f"Paper {n}", words, ["A"], "2024-01-01 08:00:00", "cs.LG")
+            for n, (i, words) in enumerate(zip(ids, ["graph neural networks", "deep learning vision", "soil chemistry"]))]
+    feed = spark.createDataFrame(rows + rows[:1], "paper_id string, title string, abstract string, "
+                                 "authors array<string>, published string, category string")
+    return feed.withColumn("published", F.col("published").cast("timestamp"))
+
+
+def test_daily_run_with_feed_ids_and_repeated_keys(spark):
+    """Ids as the feed gives them; two entries with one citation key; a paper listed twice."""
+    bib_dir = tempfile.mkdtemp(prefix="feedrank-run-", dir=os.environ.get("TMPDIR", "/tmp"))
+    with open(os.path.join(bib_dir, "me.bib"), "w") as f:
+        f.write("".join(f"@article{{{k},\n  title = {{{t}}}\n}}\n" for k, t in
+                        [("same", "Graph neural networks"), ("same", "Graph networks"), ("other", "Neural graph models")]))
+    out = scratch_path(spark, f"test-run-ids/{uuid.uuid4().hex}")
+    ids = ["2305.15334v1", "2305.15335v2", "cs/0101001v1"]
+    ranked = run_daily(spark, bib_dir, _day_of_papers(spark, ids), "2024-01-02", out, topk=5, use_rerank=True)
+    rows = sorted(ranked.collect(), key=lambda r: r["rank"])
+    assert [r["rank"] for r in rows] == [1, 2, 3] and {r["paper_id"] for r in rows} == set(ids)
+    assert rows[0]["paper_id"] == "2305.15334v1"
+
+
 def test_empty_inputs_give_empty_results(spark):
     empty = spark.createDataFrame([], "id bigint, vector array<double>")
     some = spark.createDataFrame([(1, [0.0, 1.0])], "id bigint, vector array<double>")
