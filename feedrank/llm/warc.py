@@ -139,8 +139,11 @@ def write_archives(df: DataFrame, folder: str, id_col: str = "page_id", url_col:
     revisit = cut(plan_records(df, id_col, payload_col, least_bytes), "revisits")
     kind = df.schema[id_col].dataType.simpleString()
     ts = F.date_format(F.col(ts_col), "yyyy-MM-dd'T'HH:mm:ss'Z'") if ts_col else F.lit(None).cast("string")
-    src = df.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), text_or_empty(payload_col).alias("payload"), ts.alias("ts"))
-    joined = src.join(revisit.select("id", "digest", "refers").distinct(), "id", "left")
+    payload = text_or_empty(payload_col)
+    src = df.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"), ts.alias("ts"),
+                    F.sha2(payload.cast("binary"), 256).alias("digest"))
+    # by id and payload: rows that share an id may differ in payload
+    joined = src.join(revisit.distinct(), ["id", "digest"], "left")
     line = LINE.format(id=kind)
     schema = arrow_schema(line)
 
@@ -152,7 +155,7 @@ def write_archives(df: DataFrame, folder: str, id_col: str = "page_id", url_col:
                 if out is None:
                     name, out = files.create(f"captures-{TaskContext.get().partitionId():06d}", ".warc.gz")
                 body = row["payload"].encode("utf-8")
-                digest = hashlib.sha256(body).hexdigest()
+                digest = row["digest"]
                 n = row["id"]
                 second = n if isinstance(n, int) else zlib.crc32(str(n).encode()) if n is not None else 0
                 date = row["ts"] or (EPOCH + timedelta(seconds=second % (1 << 31))).strftime("%Y-%m-%dT%H:%M:%SZ")

@@ -378,6 +378,18 @@ def test_warc_round_trip(spark):
     assert warc.archive(_pages(spark).filter("false")).count() == 0
 
 
+def test_warc_repeated_ids_with_other_payloads(spark):
+    a, b, c = ("<p>" + x * 200 + "</p>" for x in "abc")
+    rows = [(1, a), (2, c), (5, a), (5, b), (5, c), (5, c), (6, b), (7, "tiny"), (7, a), (None, a)]
+    got = warc.archive(spark.createDataFrame([(i, "u", h) for i, h in rows], "page_id long, url string, html string").repartition(3)).collect()
+    want = []
+    for i, h in rows:
+        first = min(k for k, x in rows if x == h and k is not None)
+        again = len(h) >= 100 and i is not None and i != first
+        want.append((i, hashlib.sha256(h.encode()).hexdigest(), "revisit" if again else "response", first if again else None))
+    assert collections.Counter((r["page_id"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in got) == collections.Counter(want)
+
+
 def test_lm_scoring_equals_brute_force_base(spark, rows):
     got = {r["doc_id"]: r for r in maxent_lm.score_documents(spark.read.parquet(f"{SF_SMALL}/documents.parquet")).collect()}
     tokens = {k: [*t.encode().lower().split(), b""] for k, t in rows.items()}
