@@ -9,7 +9,8 @@ full stop behind them) are single pieces and go straight to the library's
 merge model; others are encoded many at a time as one spaced line, whose ids
 are dealt back to the units by their byte lengths (every id of this vocabulary
 stands for a fixed byte string).  A text
-with a unit that is empty or begins with white space is encoded whole.
+with a unit that is empty or begins with white space, or with an added token
+of the vocabulary, is encoded whole.
 """
 
 from __future__ import annotations
@@ -41,7 +42,6 @@ class UnitEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True          # their strings in a text are ordinary text
         self.size = self.tok.get_vocab_size()
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self.width = np.zeros(self.size, dtype=np.int64)       # bytes of each id
@@ -51,6 +51,7 @@ class UnitEncoder:
         for token, i in self.tok.get_vocab().items():
             self.word_starts[i] = token[:1] in "ĠĊĉčĈċČ"
         spec = json.loads(self.tok.to_str())
+        self.added = [t["content"] for t in spec["added_tokens"]]
         pre = spec["pre_tokenizer"] or {}
         if (pre.get("type"), pre.get("add_prefix_space"), pre.get("use_regex"), spec["normalizer"], spec["model"]["type"]) != (
                 "ByteLevel", False, True, None, "BPE"):
@@ -105,8 +106,10 @@ class UnitEncoder:
     def _line(self, units: list[str], at: list[int], got: list) -> None:
         """Encode other units as one spaced line and deal its ids back."""
         part = [units[i] for i in at]
-        if not any(not u or u[0].isspace() for u in part):
-            (ids,) = self._whole([" " + " ".join(part)])
+        line = " " + " ".join(part)
+        # units of different texts may form an added token side by side
+        if not any(not u or u[0].isspace() for u in part) and not any(a in line for a in self.added):
+            (ids,) = self._whole([line])
             ends = np.cumsum(self.width[ids])
             want = np.cumsum([len(u.encode("utf-8")) + 1 for u in part])
             cut = np.searchsorted(ends, want)
@@ -133,7 +136,11 @@ class UnitEncoder:
     def _batch(self, texts: list[str]) -> list[bytes]:
         if len(self.units) > CACHE_UNITS:
             self._forget()
+        # the library cuts at added tokens before anything else
+        whole = [i for i, t in enumerate(texts) if any(a in t for a in self.added)]
         split = [t.split(" ") for t in texts]
+        for i in whole:
+            split[i] = [""]
         # the first unit of a text has no space before it
         first = self._whole([u[0] for u in split])
         count = np.array([len(u) - 1 for u in split])
@@ -147,8 +154,8 @@ class UnitEncoder:
         last = np.cumsum(count)
         cut = np.concatenate([[0], np.concatenate([[0], stop])[last]])
         out = [f.tobytes() + ids[a:b].tobytes() for f, a, b in zip(first, cut, cut[1:])]
-        if self.odd[unit].any():
-            doc = np.unique(np.repeat(np.arange(len(texts)), count)[self.odd[unit]]).tolist()
+        if whole or self.odd[unit].any():
+            doc = whole + np.unique(np.repeat(np.arange(len(texts)), count)[self.odd[unit]]).tolist()
             for i, x in zip(doc, self._whole([texts[i] for i in doc])):
                 out[i] = x.tobytes()
         return out

@@ -55,6 +55,17 @@ def test_unit_encoder_equals_library():
     assert [np.frombuffer(x, "<u2").tolist() for x in got] == _encode(texts)
 
 
+def test_unit_encoder_equals_a_fresh_library_on_added_tokens():
+    from tokenizers import Tokenizer
+    fresh = Tokenizer.from_file(wordbpe.byte_bpe_path())
+    r = random.Random(6)
+    parts = ["<|endoftext|>", "<|endoftext|>", "<|endoftext", "|>", "a", "é", " ", "  ", "\n", "word", "1", "."]
+    texts = ["a <|endoftext|> b", "<|endoftext|>", *("".join(r.choice(parts) for _ in range(r.randrange(0, 12))) for _ in range(2000))]
+    got = wordbpe.encoder(wordbpe.byte_bpe_path()).encode(texts)
+    assert np.frombuffer(got[0], "<u2").tolist() == [64, 220, 50256, 275]
+    assert [np.frombuffer(x, "<u2").tolist() for x in got] == [e.ids for e in fresh.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_elias_fano_select():
     r = np.random.default_rng(3)
     for n, top in ((1, 0), (1, 9), (5, 0), (1000, 50), (3000, 10**7)):
