@@ -940,7 +940,7 @@ LAYOUT_EPOCHS = 30
 
 @register("reduce_pca")
 def reduce_pca(spark, sf):
-    lib = T.library_vectors(spark, sf)
+    lib = T.all_vectors(spark, sf)
     r = RD.reduce_pca(lib, N_COMPONENTS, "entry_id")
     return r.select("entry_id", F.size("reduced").alias("dims"), _r6(F.aggregate(
         "reduced", F.lit(0.0), lambda acc, x: acc + x * x)).alias("sq_norm"))
@@ -948,21 +948,21 @@ def reduce_pca(spark, sf):
 
 @register("reduce_graph")
 def reduce_graph(spark, sf):
-    lib = T.library_vectors(spark, sf)
+    lib = T.all_vectors(spark, sf)
     r = RD.reduce_graph(lib, N_COMPONENTS, N_NEIGHBORS, RANDOM_STATE, n_epochs=LAYOUT_EPOCHS, id_col="entry_id")
     return r.select("entry_id", F.size("reduced").alias("dims"))
 
 
 @register("density_cluster")
 def density_cluster(spark, sf):
-    lib = T.library_vectors(spark, sf)
-    return DN.density_cluster(lib.select("entry_id", "vector"), MIN_CLUSTER_SIZE, id_col="entry_id")
+    lib = T.all_vectors(spark, sf)
+    return DN.density_cluster(lib, MIN_CLUSTER_SIZE, id_col="entry_id")
 
 
 @register("cluster_pipeline")
 def cluster_pipeline(spark, sf):
     from .recommend import cluster_library
-    labels, cents = cluster_library(T.library_vectors(spark, sf).select("entry_id", "vector"),
+    labels, cents = cluster_library(T.all_vectors(spark, sf),
                                     n_components=N_COMPONENTS, n_neighbors=N_NEIGHBORS,
                                     min_cluster_size=MIN_CLUSTER_SIZE, random_state=RANDOM_STATE,
                                     method="pca")

@@ -4,7 +4,7 @@ Mapping of the domain onto the driver tables (see FIXTURES.md):
 
 * library vectors: ``embeddings`` rows with ``vec_id % 10 = 0``; the corpus
   (feed) vectors are the rest.  ``label`` stands in for a cluster id, with
-  label 9 playing noise (-1).
+  label 9 playing noise (-1).  Reduction and clustering read all rows.
 * papers: ``documents``; first line = title, rest = abstract (absent when the
   text has no newline); ``doc_id`` = ``vec_id``.
 * authors: ``conversations.role`` joined by `` and `` in turn order.
@@ -48,6 +48,12 @@ def library_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
         cluster_of("label").alias("cluster_id"), F.col("vec_id").alias("src_pos"))
 
 
+def all_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors, as library entries to reduce and cluster: ``(entry_id, vector)``."""
+    e = read(spark, sf_dir, "embeddings")
+    return e.select(F.col("vec_id").alias("entry_id"), F.col("embedding").alias("vector"))
+
+
 def corpus_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feed papers' vectors: ``(paper_id, vector)``."""
     e = read(spark, sf_dir, "embeddings")
