@@ -4,13 +4,14 @@ A text is read as SentencePiece reads it: a space in front, spaces as U+2581.
 Characters that stand side by side in no piece are never merged, so a text is cut
 there into units, mostly words with the space before them, encoded one by one.  Each unit's agenda holds the adjacent pairs whose
 concatenation is a piece, best score first, leftmost first.  A candidate taken
-from the agenda is skipped when the keyed hash of (seed, variant, unit, place,
+from the agenda is skipped when the keyed hash of (seed, occurrence, unit, place,
 piece) falls below the dropout rate, and merged otherwise; what no piece covers
 becomes byte pieces.  Without dropout the ids are the library's own.
 
-The variant of a unit is a keyed hash of the document and the unit's position,
-modulo ``VARIANTS``: one word gets up to that many segmentations, spread over
-its occurrences, and every (unit, variant) is encoded once by a worker.  Agendas
+An occurrence is a keyed hash of the document and the unit's position, so each
+occurrence of a word draws its own merges.  A worker keeps every unit's
+undropped encoding with the candidates of its agenda: an occurrence that skips
+none of them has that encoding, any other has its agenda run.  Agendas
 run for many units at once, one merge of each at a time, in numpy.
 
 Decoding joins the pieces' bytes and drops the first space, for any
@@ -35,8 +36,7 @@ from .wordbpe import Numbers
 SPACE = "\u2581"
 LITERAL = "\ud800"           # stands for a U+2581 of the text: no text holds a lone surrogate
 RATE = 0.1                   # dropout rate
-VARIANTS = 8
-CACHE_UNITS = 300_000        # units kept by a worker, each with up to VARIANTS encodings
+CACHE_UNITS = 300_000        # units kept by a worker, each with its undropped encoding
 CHUNK = 20_000               # units whose agendas run together
 WIDE = 48                    # longer units have an agenda of their own
 UNKNOWN = 0xFFFF             # symbol of a character that is no piece
@@ -112,10 +112,11 @@ class DropoutEncoder:
             open_ = open_[(got != key[open_]) & (got >= 0)]
         return at
 
-    def _agendas(self, sym: np.ndarray, size: np.ndarray, salt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Run the agendas of all rows of ``sym`` (symbols, ``UNKNOWN`` where none).
+    def _agendas(self, sym: np.ndarray, size: np.ndarray, salt: np.ndarray | None, steps: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Run the agendas of all rows of ``sym`` (symbols, ``UNKNOWN`` where none); without ``salt`` nothing is skipped.
 
-        Returns every row's cells (place << 16 | symbol) and how many are left.
+        Returns every row's cells (place << 16 | symbol) and how many are left;
+        ``steps`` gets the rows and the coin keys of the candidates taken.
         A cell packs (rank of joining it with the next, place, symbol), so the
         least cell of a row is the next candidate of its agenda.
         """
@@ -131,6 +132,9 @@ class DropoutEncoder:
         del rank
         out, left = np.zeros((m, width), np.int64), np.zeros(m, np.int64)
         row, size = np.arange(m), size.copy()
+        coins = salt is not None and self.limit > 0
+        if salt is None:
+            salt = np.zeros(m, np.uint64)
         while len(row):
             j = cell.argmin(axis=1)
             best = cell[np.arange(len(row)), j]
@@ -143,7 +147,9 @@ class DropoutEncoder:
                     break
             at = np.arange(len(row))
             new = self.slot_piece[self._find(best & low, cell[at, j + 1] & low)].astype(np.int64)
-            if self.limit:
+            if steps is not None:
+                steps.append((row.copy(), (best >> 16 & low).astype(np.uint64) * _A + (new.astype(np.uint64) << np.uint64(40))))
+            if coins:
                 coin = _mix(salt + (best >> 16 & low).astype(np.uint64) * _A + (new.astype(np.uint64) << np.uint64(40)))
                 drop = (coin >> np.uint64(32)) < np.uint64(self.limit)
                 cell[at[drop], j[drop]] |= none
@@ -172,7 +178,7 @@ class DropoutEncoder:
         from heapq import heapify, heappop, heappush
         n = len(sym)
         nxt, prev, sym = list(range(1, n + 1)), list(range(-1, n - 1)), list(sym)
-        pairs, rank, mask = self.pairs, self.rank, (1 << 64) - 1
+        pairs, rank, mask, limit = self.pairs, self.rank, (1 << 64) - 1, self.limit
 
         def candidate(i: int) -> tuple | None:
             j = nxt[i]
@@ -186,8 +192,12 @@ class DropoutEncoder:
             _, i, piece, a, b = heappop(heap)
             if gone[i] or sym[i] != a or nxt[i] >= n or sym[nxt[i]] != b:
                 continue
-            if self.limit and _mix(np.array([(salt + i * int(_A) + (piece << 40)) & mask], np.uint64))[0] >> np.uint64(32) < self.limit:
-                continue
+            if limit:
+                h = (salt + i * int(_A) + (piece << 40)) & mask
+                h = (h ^ h >> 32) * int(_B) & mask
+                h = (h ^ h >> 32) * int(_B) & mask
+                if (h ^ h >> 32) >> 32 < limit:
+                    continue
             j = nxt[i]
             gone[j], sym[i], nxt[i] = True, piece, nxt[j]
             if nxt[j] < n:
@@ -197,12 +207,15 @@ class DropoutEncoder:
                     heappush(heap, c)
         return [(i, sym[i]) for i in range(n) if not gone[i]]
 
-    def _salts(self, code: np.ndarray, size: np.ndarray, variant: np.ndarray) -> np.ndarray:
-        """Keyed hash of every unit (its code points), its variant and the seed."""
+    def _salts(self, code: np.ndarray, size: np.ndarray, occurrence: np.ndarray) -> np.ndarray:
+        """Keyed hash of every unit (its code points), its occurrence (document and position) and the seed."""
         col = np.arange(len(code)) - np.repeat(np.cumsum(size) - size, size)
         h = _mix(code.astype(np.uint64) + col.astype(np.uint64) * _A)
         unit = np.add.reduceat(h, np.cumsum(size) - size)
-        return _mix(unit + variant.astype(np.uint64) * _B + _mix(np.array([self.seed], np.int64).view(np.uint64)))
+        return self._salt(unit, occurrence.astype(np.uint64))
+
+    def _salt(self, unit: np.ndarray, occurrence: np.ndarray) -> np.ndarray:
+        return _mix(unit + occurrence * _B + _mix(np.array([self.seed], np.int64).view(np.uint64)))
 
     def _ids(self, unit: str, left: list[tuple[int, int]]) -> list[int]:
         """Pieces, and bytes where no piece covers a character."""
@@ -214,16 +227,20 @@ class DropoutEncoder:
                 got += [self.bytes_id[bytes([b])] for b in (SPACE if unit[place] == LITERAL else unit[place]).encode("utf-8")]
         return got
 
-    def encode_units(self, units: list[str], variants: np.ndarray) -> list[list[int]]:
-        """Ids of every (unit, variant)."""
+    def encode_units(self, units: list[str], occurrences: np.ndarray) -> list[list[int]]:
+        """Ids of every (unit, occurrence)."""
         out: list = [None] * len(units)
-        for at, flat, size in self._runs(units, np.asarray(variants, np.int64)):
+        for at, flat, size in self._runs(units, np.asarray(occurrences).astype(np.uint64)):
             for i, ids in zip(at, np.split(flat, np.cumsum(size)[:-1])):
                 out[i] = ids.tolist()
         return out
 
-    def _runs(self, units: list[str], variants: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """``(places in units, their ids in one array, ids of each)``, units of similar length together."""
+    def _runs(self, units: list[str], occurrences: np.ndarray | None, traces: list | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """``(places in units, their ids in one array, ids of each)``, units of similar length together.
+
+        Without ``occurrences`` nothing is skipped, ``traces`` gets the places in units and the coin
+        keys of the candidates taken, and units longer than ``WIDE`` are left out.
+        """
         length = np.fromiter(map(len, units), np.int64, len(units))
         order = np.argsort(length, kind="stable")
         at = 0
@@ -232,10 +249,12 @@ class DropoutEncoder:
             top = np.searchsorted(length[order], min(WIDE, first + 3), side="right") if first <= WIDE else at + 1
             part = order[at:min(at + CHUNK, int(top))]
             at += len(part)
+            if first > WIDE and occurrences is None:
+                continue
             text = [units[i] for i in part]
             code = np.frombuffer("".join(text).encode("utf-32-le", "surrogatepass"), np.uint32)
             size = length[part]
-            salt = self._salts(code, size, variants[part])
+            salt = None if occurrences is None else self._salts(code, size, occurrences[part])
             if first > WIDE:
                 got = np.array(self._ids(text[0], self._agenda(self.of_char[code].tolist(), int(salt[0]))), "<u2")
                 yield part, got, np.array([len(got)])
@@ -243,7 +262,10 @@ class DropoutEncoder:
             row = np.repeat(np.arange(len(part)), size)
             sym = np.full((len(part), max(2, int(size.max()))), UNKNOWN, np.int32)
             sym[row, np.arange(len(code)) - np.repeat(np.cumsum(size) - size, size)] = self.of_char[code]
-            cells, left = self._agendas(sym, size, salt)
+            steps: list | None = None if traces is None else []
+            cells, left = self._agendas(sym, size, salt, steps)
+            if steps:
+                traces += [(part[r], key) for r, key in steps]
             used = np.arange(cells.shape[1]) < left[:, None]
             ids = cells & 0xFFFF
             odd = ((ids == UNKNOWN) & used).any(axis=1)
@@ -268,10 +290,57 @@ class DropoutEncoder:
     def _forget(self) -> None:
         self.numbers, self.names = Numbers(), []
         self.flat, self.used = np.zeros(1 << 16, "<u2"), 0
-        self.begin, self.size = np.full(1 << 16, -1, np.int64), np.zeros(1 << 16, np.int32)
+        self.begin, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.hash = np.zeros(0, np.uint64)                     # of the units' code points
+        self.keys = np.zeros(0, np.uint64)                     # coin keys of their undropped agendas, and where each unit's lie
+        self.key_begin, self.key_size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.wide = np.zeros(0, bool)
+
+    def _keep(self, ids: np.ndarray, used: int) -> None:
+        if used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), "<u2")])
+        self.flat[used:used + len(ids)] = ids
+
+    def _learn(self) -> None:
+        """The undropped encodings of the units noted since the last call, and the coins that must all fall for them."""
+        new, self.numbers.new = self.numbers.new, []
+        if not new:
+            return
+        self.names += new
+        begin, size = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
+        traces: list = []
+        for at, ids, n in self._runs(new, None, traces):
+            self._keep(ids, self.used)
+            begin[at] = self.used + np.cumsum(n) - n
+            size[at] = n
+            self.used += len(ids)
+        length = np.fromiter(map(len, new), np.int64, len(new))
+        code = np.frombuffer("".join(new).encode("utf-32-le", "surrogatepass"), np.uint32)
+        col = np.arange(len(code)) - np.repeat(np.cumsum(length) - length, length)
+        unit = np.add.reduceat(_mix(code.astype(np.uint64) + col.astype(np.uint64) * _A), np.cumsum(length) - length)
+        owner = np.concatenate([o for o, _ in traces]) if traces else np.zeros(0, np.int64)
+        keys = np.concatenate([k for _, k in traces]) if traces else np.zeros(0, np.uint64)
+        key_size = np.bincount(owner, minlength=len(new))
+        self.begin, self.size = np.concatenate([self.begin, begin]), np.concatenate([self.size, size])
+        self.hash, self.wide = np.concatenate([self.hash, unit]), np.concatenate([self.wide, length > WIDE])
+        self.key_begin = np.concatenate([self.key_begin, len(self.keys) + np.cumsum(key_size) - key_size])
+        self.key_size = np.concatenate([self.key_size, key_size])
+        self.keys = np.concatenate([self.keys, keys[np.argsort(owner, kind="stable")]])
+
+    def _dropped(self, unit: np.ndarray, occurrence: np.ndarray) -> np.ndarray:
+        """Places of the occurrences whose agendas skip a candidate, or are run in any case."""
+        out = self.wide[unit]
+        if self.limit:
+            salt = self._salt(self.hash[unit], occurrence)
+            n = self.key_size[unit]
+            stop = np.cumsum(n)
+            key = self.keys[np.repeat(self.key_begin[unit] - stop + n, n) + np.arange(int(stop[-1]) if len(stop) else 0)]
+            hit = (_mix(np.repeat(salt, n) + key) >> np.uint64(32)) < np.uint64(self.limit)
+            out[np.searchsorted(stop, np.flatnonzero(hit), side="right")] = True
+        return np.flatnonzero(out)
 
     def encode(self, texts: list[str], doc_keys: list) -> list[bytes]:
-        """Ids (2 bytes each) of every text; the document key chooses the variants."""
+        """Ids (2 bytes each) of every text; each occurrence of a unit draws its own merges by document key and position."""
         if len(self.numbers) > CACHE_UNITS:
             self._forget()
         split = [self.units(t) for t in texts]
@@ -280,24 +349,18 @@ class DropoutEncoder:
         base = np.array([int.from_bytes(hashlib.blake2b(f"{self.seed}:{k}".encode("utf-8"), digest_size=8).digest(), "little")
                          for k in doc_keys], np.uint64)
         place = np.arange(len(unit)) - np.repeat(np.cumsum(count) - count, count)
-        code = unit * VARIANTS + (_mix(place.astype(np.uint64) * _A + np.repeat(base, count)) % np.uint64(VARIANTS)).astype(np.int64)
-        self.names += self.numbers.new
-        self.numbers.new = []
-        if len(self.names) * VARIANTS > len(self.begin):
-            more = max(len(self.begin), len(self.names) * VARIANTS - len(self.begin))
-            self.begin = np.concatenate([self.begin, np.full(more, -1, np.int64)])
-            self.size = np.concatenate([self.size, np.zeros(more, np.int32)])
-        miss = np.unique(code[self.begin[code] < 0])
-        for at, ids, size in self._runs([self.names[i] for i in (miss // VARIANTS).tolist()], miss % VARIANTS):
-            if self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), "<u2")])
-            self.flat[self.used:self.used + len(ids)] = ids
-            self.begin[miss[at]] = self.used + np.cumsum(size) - size
-            self.size[miss[at]] = size
-            self.used += len(ids)
-        size = self.size[code].astype(np.int64)
+        occurrence = _mix(place.astype(np.uint64) * _A + np.repeat(base, count))
+        self._learn()
+        begin, size = self.begin[unit], self.size[unit]
+        run = self._dropped(unit, occurrence)
+        used = self.used                                       # what follows holds for this call only
+        for at, ids, n in self._runs([self.names[i] for i in unit[run].tolist()], occurrence[run]):
+            self._keep(ids, used)
+            begin[run[at]] = used + np.cumsum(n) - n
+            size[run[at]] = n
+            used += len(ids)
         stop = np.cumsum(size)
-        ids = self.flat[np.repeat(self.begin[code] - stop + size, size) + np.arange(int(stop[-1]) if len(stop) else 0)]
+        ids = self.flat[np.repeat(begin - stop + size, size) + np.arange(int(stop[-1]) if len(stop) else 0)]
         cut = np.concatenate([[0], stop])[np.concatenate([[0], np.cumsum(count)])]
         return [ids[a:b].tobytes() for a, b in zip(cut, cut[1:])]
 

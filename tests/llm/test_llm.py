@@ -315,6 +315,18 @@ def test_merge_dropout_batches_equal_the_heap_agenda(rows):
         assert ids == enc._ids(u, enc._agenda(enc.of_char[code].tolist(), salt))
 
 
+def test_merge_dropout_draws_each_occurrence_and_equals_its_agenda(rows):
+    enc = merge_dropout.DropoutEncoder(merge_dropout.piece_path(), 5, 0.1)
+    word = " internationalisation"
+    got = {x for x in enc.encode([word] * 2000, list(range(2000)))}
+    assert len(got) > 20 and {enc.decode(x) for x in got} == {word}
+    texts = [*list(rows.values())[:10], "a" * 200 + " b"]
+    keys = list(range(len(texts)))
+    plain = enc.encode(texts, keys)
+    enc._dropped = lambda unit, occurrence: np.arange(len(unit))     # every agenda is run
+    assert enc.encode(texts, keys) == plain
+
+
 def test_merge_dropout_odd_rows(spark):
     got = merge_dropout.roundtrip(_docs(spark), merge_dropout.piece_path()).collect()
     want = collections.Counter(hashlib.sha256((r["text"] or "").encode()).hexdigest() for r in _docs(spark).collect())
