@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..plans.registry import register
 from ..sources.tables import read
-from . import maxent_lm, quality_model, quality_rules
+from . import conversation_repair, maxent_lm, quality_model, quality_rules
 from .html_text import extract
 from .jaccard_join import jaccard_components
 from .merge_dropout import piece_path, roundtrip
 from .packing import retrieval_pack
 from .paragraph_sketch import fingerprints
 from .token_files import token_files
+from .spaced_bpe import word_bpe_path
+from .vector_packing import vector_pack
 from .warc import archive
+from .whitening import whiten
 from .wordbpe import byte_bpe_path
 
 
@@ -87,3 +91,23 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archives of all pages, written, indexed by merging sorted runs, and read back through the index."""
     return archive(read(spark, sf_dir, "pages"), least_bytes=100).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@register("op11_conversation_repair", conversation_repair.ORACLE)
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest repair and repaired digest of every damaged conversation."""
+    return conversation_repair.repair_conversations(read(spark, sf_dir, "conversations"))
+
+
+@register("op12_whitening")
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened components of every usable vector, with the fit's figures."""
+    return whiten(read(spark, sf_dir, "embeddings"), most=32)
+
+
+@register("op13_vector_packing")
+def op13_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vector best-fit packing of all documents into sequences of at most 2048 ids."""
+    pieces = vector_pack(read(spark, sf_dir, "documents"), word_bpe_path(), end_id=0, window=2048,
+                         weights=(1.0, 0.1, 0.1))
+    return pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
