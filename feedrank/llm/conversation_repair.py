@@ -29,8 +29,9 @@ per conversation.  SHA-256 of a conversation can only be taken in order: the
 last pass streams a conversation's rows, one Arrow batch in memory at a time.
 
 Rows with equal turns (and null turns, which come first) are ordered by role,
-then by the SHA-256 of the text.  Null roles and texts are one space, null
-conversation ids are one conversation.  An empty table gives no row; extra
+then by the SHA-256 of the text.  Null roles and texts are one space, an
+empty role has no initial and fits nowhere, null conversation ids are one
+conversation.  An empty table gives no row; extra
 columns are ignored.
 """
 

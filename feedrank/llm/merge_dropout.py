@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_batches, text_or_empty
-from .wordbpe import Numbers
+from .units import Numbers
 
 SPACE = "\u2581"
 LITERAL = "\ud800"           # stands for a U+2581 of the text: no text holds a lone surrogate

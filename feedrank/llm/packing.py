@@ -169,7 +169,7 @@ def retrieval_pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
         for b in batches:
             for x in range(0, b.num_rows, 1_000):
                 part = b.slice(x, 1_000)
-                coded += [ids + end for ids in enc.encode(part.column("t").to_pylist())]
+                coded += [ids + end for ids in enc.encode(part.column("t"))]
                 names += part.column("k").to_pylist()
         if not coded:
             return

@@ -2,23 +2,23 @@
 
 The tokenizer drops white space, lower-cases and marks word ends, so a text's
 ids are those of its units (runs without ASCII white space) one after the other.
-Arrow splits a batch and numbers its distinct units; only units a worker has not
-met are encoded, plain words by the merge model itself, others by the library
-with an added token between them.
+Arrow splits a batch and numbers its distinct units (:mod:`.units`); only units a
+worker has not met are encoded, plain words by the merge model itself, others by
+the library with an added token between them.
 """
 
 from __future__ import annotations
 
 import json
-from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHE_UNITS = 700_000           # units kept by a worker; it starts anew beyond that
+from .units import UnitTable
+from .wordbpe import SIGNS
+
 LINE_UNITS = 1_000              # units encoded by one call
-BATCH_BYTES = 4 << 20           # text encoded at a time
 
 
 class SpacedEncoder:
@@ -39,14 +39,8 @@ class SpacedEncoder:
         # the library writes bytes as printable characters: those that are not, in order, as 256, 257, ...
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.alphabet = {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in plain)}
-        self.ends = {c: self._alone([c])[0][0] for c in ",."}
-        self._forget()
-
-    def _forget(self) -> None:
-        self.number: dict[str, int] = {}
-        self.flat = np.zeros(1 << 16, self.dtype)      # ids of all numbered units, one after the other
-        self.end = np.zeros(1 << 14, np.int32)         # where those of each unit end, in bytes
-        self.used = 0
+        self.tails: dict[str, list[int]] = {}          # ids of runs of signs
+        self.table = UnitTable(self.dtype, self._coded)
 
     def _alone(self, units: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tok.encode_batch_fast(units, add_special_tokens=False)]
@@ -54,17 +48,21 @@ class SpacedEncoder:
     def _coded(self, new: list[str]) -> list[list[int]]:
         got: list = [None] * len(new)
         rest = []
-        model, ends, alphabet = self.tok.model.tokenize, self.ends, self.alphabet
+        model, tails, alphabet = self.tok.model.tokenize, self.tails, self.alphabet
         for i, unit in enumerate(new):
-            word = unit[:-1] if unit[-1:] in ends else unit
+            word = unit.rstrip(SIGNS)
             if word.isalpha() and (word.isascii() or max(word) < "İ"):     # precomposed letters, simple lower case
                 piece = word.lower()
                 if not piece.isascii():
                     piece = piece.encode("utf-8").decode("latin-1").translate(alphabet)
-                ids = [t.id for t in model(piece)]
+                got[i] = ids = [t.id for t in model(piece)]
                 if word is not unit:
-                    ids.append(ends[unit[-1]])
-                got[i] = ids
+                    tail = unit[len(word):]
+                    if tail not in tails:
+                        if len(tails) > LINE_UNITS:
+                            tails.clear()
+                        tails[tail] = self._alone([tail])[0]
+                    ids += tails[tail]
             else:
                 rest.append(i)
         apart = self.added[-1] if self.added else None
@@ -82,42 +80,14 @@ class SpacedEncoder:
                 got[i] = x
         return got
 
-    def _learn(self, units: list[str]) -> np.ndarray:
-        """Numbers of distinct units, after encoding the new ones."""
-        if len(self.number) > CACHE_UNITS:
-            self._forget()
-        number = self.number
-        known = np.fromiter(map(number.get, units, repeat(-1)), np.int64, len(units))
-        at = np.flatnonzero(known < 0)
-        if len(at):
-            new = [units[i] for i in at.tolist()]
-            got = self._coded(new)
-            k, n = len(number), len(new)
-            number.update(zip(new, range(k, k + n)))
-            known[at] = np.arange(k, k + n)
-            size = np.fromiter(map(len, got), np.int64, n)
-            total = int(size.sum())
-            if self.used + total > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), total), self.dtype)])
-            if k + n + 1 > len(self.end):
-                self.end = np.concatenate([self.end, np.zeros(max(len(self.end), n + 1), np.int32)])
-            self.flat[self.used:self.used + total] = np.fromiter(chain.from_iterable(got), self.dtype, total)
-            self.end[k + 1:k + n + 1] = (self.used + np.cumsum(size)) * self.dtype.itemsize
-            self.used += total
-        return known
-
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """``(ids, lengths)``: the ids of all texts of a string array one after the other, and how many each has."""
         lists = pc.ascii_split_whitespace(texts)
         coded = lists.flatten().dictionary_encode()
         count = lists.value_lengths().to_numpy(zero_copy_only=False)
-        unit = self._learn(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)]
-        table = pa.Array.from_buffers(pa.binary(), len(self.number), [None, pa.py_buffer(self.end), pa.py_buffer(self.flat)])
-        taken = table.take(pa.array(unit))
-        ids = np.frombuffer(taken.buffers()[2] or b"", self.dtype)
-        stop = np.frombuffer(taken.buffers()[1], np.int32)[:len(unit) + 1] // self.dtype.itemsize
-        until = stop[np.concatenate([[0], np.cumsum(count)])].astype(np.int64)
-        return ids[:until[-1]], np.diff(until)
+        unit = self.table.numbers(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)]
+        ids, stop = self.table.join(unit)
+        return ids, np.diff(stop[np.concatenate([[0], np.cumsum(count)])])
 
 
 _ENCODERS: dict[str, SpacedEncoder] = {}
@@ -132,16 +102,6 @@ def spaced_encoder(path: str) -> SpacedEncoder:
     return _ENCODERS[path]
 
 
-def byte_slices(texts: pa.Array, most: int = BATCH_BYTES):
-    """``(start, stop)`` of slices of about ``most`` bytes (a longer text stands alone)."""
-    size = np.maximum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False), 1)
-    at, total = 0, np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
-    while at < len(size):
-        stop = max(at + 1, int(np.searchsorted(total, total[at] + most, side="right")) - 1)
-        yield at, stop
-        at = stop
-
-
 def word_bpe_path() -> str:
     """The public 49k word vocabulary installed beside Python."""
     import public_tokenizers

@@ -166,7 +166,7 @@ def write_token_files(df: DataFrame, folder: str, tokenizer: str, id_col: str =
                 out.write(MAGIC)
             for at in range(0, b.num_rows, 1_000):
                 part = b.slice(at, 1_000)
-                coded = enc.encode(part.column("t").to_pylist())
+                coded = enc.encode(part.column("t"))
                 for ids in coded:
                     out.write(ids)
                     out.write(end)

@@ -33,7 +33,8 @@ from pyspark.sql import functions as F
 from ..operators.joins import lookup_join
 from ..operators.lineage import cut
 from .common import arrow_schema, text_or_empty, to_batch
-from .spaced_bpe import byte_slices, spaced_encoder
+from .spaced_bpe import spaced_encoder
+from .units import byte_slices
 
 WINDOW = 2_048
 NORM, DOT = "norm", "dot"

@@ -2,13 +2,11 @@
 
 The byte-level pre-tokenizer always starts a new piece at a space that does not
 lie between two white-space characters, so a text cut at its spaces encodes to
-the concatenation of its units' ids.  Units repeat heavily; each distinct one
-is numbered and encoded once by the library, and a batch of texts is put
-together by gathering the units' ids.  New units of letters (and one comma or
-full stop behind them) are single pieces and go straight to the library's
-merge model; others are encoded many at a time as one spaced line, whose ids
-are dealt back to the units by their byte lengths (every id of this vocabulary
-stands for a fixed byte string).  A text
+the concatenation of its units' ids, and a batch of texts is put together from
+its distinct units (:mod:`.units`).  In new units of letters and signs behind them the pieces are known, so
+they go straight to the library's merge model; others are encoded many at a
+time as one spaced line, whose ids are dealt back to the units by their byte
+lengths (every id of this vocabulary stands for a fixed byte string).  A text
 with a unit that is empty or begins with white space, or with an added token
 of the vocabulary, is encoded whole.
 """
@@ -16,26 +14,30 @@ of the vocabulary, is encoded whole.
 from __future__ import annotations
 
 import json
-from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from .units import UnitTable, byte_slices
 
-CACHE_UNITS = 700_000       # units numbered by a worker; it starts anew beyond that
 LINE_UNITS = 2_000          # new units encoded in one line
-BATCH_CHARS = 4 << 20       # text put together at a time
+SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"     # ASCII punctuation but the apostrophe, which may start a contraction
 
 
-class Numbers(dict):
-    """Unit -> number in order of appearance; new units are noted."""
+class Tails(dict):
+    """Ids of what follows a piece of letters: a run of signs, or one line feed."""
 
-    def __init__(self):
-        super().__init__()
-        self.new: list[str] = []
+    def __init__(self, encoder: "UnitEncoder"):
+        super().__init__({"": []})
+        self.encoder = encoder
 
-    def __missing__(self, unit: str) -> int:
-        n = self[unit] = len(self)
-        self.new.append(unit)
-        return n
+    def __missing__(self, tail: str) -> list[int]:
+        if len(self) > LINE_UNITS:
+            self.clear()
+            self[""] = []
+        ids = self[tail] = self.encoder._whole([tail])[0].tolist()
+        return ids
 
 
 class UnitEncoder:
@@ -59,49 +61,42 @@ class UnitEncoder:
         # the library writes bytes as printable characters: those that are not, in order, as 256, 257, ...
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.alphabet = {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in plain)}
-        self.ends = {c: int(self._whole([c])[0][0]) for c in ",."}
-        self._forget()
-
-    def _forget(self) -> None:
-        self.units = Numbers()
-        self.flat = np.zeros(1 << 16, self.dtype)      # ids of all numbered units, one after the other
-        self.end = np.zeros(1 << 14, np.int64)         # where those of each unit end
-        self.odd = np.zeros(1 << 14, bool)             # units that cannot be put together
-        self.known = self.used = 0
+        self.tails = Tails(self)
+        self.table = UnitTable(self.dtype, self._coded)
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype=self.dtype) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self) -> None:
-        """Encode the units noted since the last call."""
-        new, self.units.new = self.units.new, []
+    def _word(self, lead: str, word: str) -> list[int]:
+        """Ids of a piece of letters, by the library's merge model."""
+        piece = word if word.isascii() else word.encode("utf-8").decode("latin-1").translate(self.alphabet)
+        return [t.id for t in self.tok.model.tokenize(lead + piece)]
+
+    def _coded(self, new: list[str]) -> list:
+        """Ids of new units behind a space; None for those that must be encoded with their text."""
         got: list = [None] * len(new)
         rest: list[int] = []
-        model, ends, alphabet = self.tok.model.tokenize, self.ends, self.alphabet
+        tails, word_ids = self.tails, self._word
         for i, u in enumerate(new):
-            word = u[:-1] if u[-1:] in ends else u
-            if word.isalpha():                         # one piece of letters: straight to the merges
-                piece = word if word.isascii() else word.encode("utf-8").decode("latin-1").translate(alphabet)
-                got[i] = ids = [t.id for t in model("Ġ" + piece)]
+            word = u.rstrip(SIGNS)
+            if word.isalpha():                         # a piece of letters, then one of signs
+                got[i] = ids = word_ids("Ġ", word)
                 if word is not u:
-                    ids.append(ends[u[-1]])
-            else:
-                rest.append(i)
+                    ids += tails[u[len(word):]]
+                continue
+            head, feed, tail = u.partition("\n")
+            if feed:                                   # two such units in a text's next lines
+                a, b = head.rstrip(SIGNS), tail.rstrip(SIGNS)
+                if a.isalpha() and b.isalpha():
+                    got[i] = [*word_ids("Ġ", a), *tails[head[len(a):]], *tails["\n"], *word_ids("", b), *tails[tail[len(b):]]]
+                    continue
+            rest.append(i)
         for at in range(0, len(rest), LINE_UNITS):
             self._line(new, rest[at:at + LINE_UNITS], got)
-        size = np.fromiter(map(len, got), np.int64, len(got))
-        k, n, total = self.known, len(new), int(size.sum())
-        if self.used + total > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), total), self.dtype)])
-        if k + n + 1 > len(self.end):
-            self.end = np.concatenate([self.end, np.zeros(max(len(self.end), n + 1), np.int64)])
-            self.odd = np.concatenate([self.odd, np.zeros(max(len(self.odd), n + 1), bool)])
-        self.flat[self.used:self.used + total] = np.fromiter(chain.from_iterable(got), self.dtype, total)
-        self.end[k + 1:k + n + 1] = self.used + np.cumsum(size)
-        self.odd[k:k + n] = False
-        self.odd[[k + i for i in rest if not new[i] or new[i][0].isspace()]] = True
-        self.used += total
-        self.known += n
+        for i in rest:
+            if not new[i] or new[i][0].isspace():
+                got[i] = None
+        return got
 
     def _line(self, units: list[str], at: list[int], got: list) -> None:
         """Encode other units as one spaced line and deal its ids back."""
@@ -120,43 +115,42 @@ class UnitEncoder:
         for i, x in zip(at, self._whole([" " + u for u in part])):
             got[i] = x.tolist()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
         """Ids of every text as bytes of ``dtype``."""
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
         out: list[bytes] = []
-        at = 0
-        while at < len(texts):
-            stop, size = at, 0
-            while stop < len(texts) and (stop == at or size + len(texts[stop]) <= BATCH_CHARS):
-                size += len(texts[stop])
-                stop += 1
-            out += self._batch(texts[at:stop])
-            at = stop
+        for a, z in byte_slices(texts):
+            out += self._batch(texts.slice(a, z - a))
         return out
 
-    def _batch(self, texts: list[str]) -> list[bytes]:
-        if len(self.units) > CACHE_UNITS:
-            self._forget()
+    def _batch(self, texts: pa.Array) -> list[bytes]:
         # the library cuts at added tokens before anything else
-        whole = [i for i, t in enumerate(texts) if any(a in t for a in self.added)]
-        split = [t.split(" ") for t in texts]
-        for i in whole:
-            split[i] = [""]
+        whole = np.zeros(len(texts), bool)
+        for a in self.added:
+            whole |= pc.match_substring(texts, a).to_numpy(zero_copy_only=False)
+        if whole.any():
+            texts_split = pc.if_else(pa.array(whole), pa.scalar("", texts.type), texts)
+        else:
+            texts_split = texts
+        lists = pc.split_pattern(texts_split, " ")
+        flat = lists.flatten()
+        count = lists.value_lengths().to_numpy(zero_copy_only=False)
+        lead = np.cumsum(count) - count
         # the first unit of a text has no space before it
-        first = self._whole([u[0] for u in split])
-        count = np.array([len(u) - 1 for u in split])
-        unit = np.fromiter(map(self.units.__getitem__, chain.from_iterable(u[1:] for u in split)), np.int64, int(count.sum()))
-        del split
-        self._learn()
-        begin = self.end[unit]
-        size = self.end[unit + 1] - begin
-        stop = np.cumsum(size)
-        ids = self.flat[np.repeat(begin - stop + size, size) + np.arange(int(stop[-1]) if len(stop) else 0)]
-        last = np.cumsum(count)
-        cut = np.concatenate([[0], np.concatenate([[0], stop])[last]])
+        first = self._whole(flat.take(pa.array(lead)).to_pylist())
+        behind = np.ones(len(flat), bool)
+        behind[lead] = False
+        coded = flat.filter(pa.array(behind)).dictionary_encode()
+        unit = self.table.numbers(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)]
+        ids, stop = self.table.join(unit)
+        cut = stop[np.concatenate([[0], np.cumsum(count - 1)])].tolist()
         out = [f.tobytes() + ids[a:b].tobytes() for f, a, b in zip(first, cut, cut[1:])]
-        if whole or self.odd[unit].any():
-            doc = whole + np.unique(np.repeat(np.arange(len(texts)), count)[self.odd[unit]]).tolist()
-            for i, x in zip(doc, self._whole([texts[i] for i in doc])):
+        odd = self.table.odd[unit]
+        if odd.any():
+            whole[np.repeat(np.arange(len(texts)), count - 1)[odd]] = True
+        at = np.flatnonzero(whole)
+        if len(at):
+            for i, x in zip(at.tolist(), self._whole(texts.take(pa.array(at)).to_pylist())):
                 out[i] = x.tobytes()
         return out
 
