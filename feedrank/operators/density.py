@@ -1,118 +1,112 @@
 """Hierarchical density clustering (CL2, HDBSCAN semantics) and the clustering step (CL3).
 
 1. Core distance of a point: distance to its ``min_samples``-th nearest point,
-   the point itself counted first (exact block k-NN).
+   the point itself counted first (exact k-NN over near blocks, ``balls.ball_knn``).
 2. Mutual reachability ``mrd(a, b) = max(core_a, core_b, d(a, b))``; its
-   minimum spanning tree is built exactly by Borůvka rounds: every point finds
-   its best edge to another component by block scoring (one row per point,
-   never all pairs), each component keeps its best edge under the total order
-   ``(w, lo, hi)``, and components merge by connected components.
-3. Condensed tree on weight levels: removing MST edges from the heaviest down
-   splits components; all levels are computed together with ``(level, node)``
-   keys.  Levels are the distinct edge weights when there are at most
-   ``max_levels`` of them (exact), else weight quantiles (an approximation).
-4. Stability ``sum(lambda_p - lambda_birth)`` per cluster and excess-of-mass
-   selection, bottom-up by depth on the small cluster table; the root is
-   never selected.  Labels are numbered by each cluster's smallest member id;
-   noise is -1.
+   minimum spanning tree is built exactly by Borůvka rounds: every component
+   keeps its lightest edge to another one under the total order ``(w, lo, hi)``,
+   and components merge along them.
+3. Condensed tree, excess of mass and labels: exact at any size (``condensed``);
+   edges of equal weight are removed together.  Labels are numbered by each
+   cluster's smallest member id; noise is -1.
 """
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from .graph import connected_components
-from .knn import BROADCAST_BYTES, block_pairs, knn_join, sq_distances
+from .balls import BLOCK_ROWS, ball_blocks, ball_knn, lightest_edges, pivots
+from .condensed import BAND_EDGES, label_points
+from .joins import is_bounded
+from .knn import knn_join
 from .lineage import cut
 
-BEST_SCHEMA = "query_id bigint, neighbor_id bigint, w double"
-MIN_WEIGHT = 1e-12
+FEW_BLOCKS = 32                 # below so many blocks every pair is scored
+
+
+def nearest(points: DataFrame, min_samples: int, id_col: str = "id", vec: str = "vector") -> DataFrame:
+    """Every point's ``min_samples`` nearest points, itself among them.
+
+    Both joins give the same rows; a table of few blocks is not worth bounds.
+    """
+    join = knn_join if is_bounded(points, FEW_BLOCKS * BLOCK_ROWS) else ball_knn
+    return join(points, points, min_samples, id_col, id_col, vec, vec)
 
 
 def core_distances(points: DataFrame, min_samples: int, id_col: str = "id", vec: str = "vector") -> DataFrame:
     """``(id, core)``: Euclidean distance to the ``min_samples``-th nearest point (self first)."""
-    nn = knn_join(points, points, min_samples, id_col, id_col, vec, vec)
+    nn = nearest(points, min_samples, id_col, vec)
     return nn.groupBy(F.col("query_id").alias(id_col)).agg(F.sqrt(F.max("distance")).alias("core"))
 
 
-def _best_other_scorer(dim: int):
-    def score(batches):
-        for pdf in batches:
-            outs = []
-            for row in pdf.itertuples(index=False):
-                Q = np.frombuffer(row.l_mat, dtype=np.float64).reshape(row.l_n, row.l_dim)
-                C = np.frombuffer(row.r_mat, dtype=np.float64).reshape(row.r_n, row.r_dim)
-                lid = np.asarray(row.l_ids, dtype=np.int64)
-                rid = np.asarray(row.r_ids, dtype=np.int64)
-                M = np.sqrt(sq_distances(Q[:, :dim], C[:, :dim]))
-                M = np.maximum(M, np.maximum(Q[:, dim][:, None], C[:, dim][None, :]))
-                same = Q[:, dim + 1][:, None] == C[:, dim + 1][None, :]
-                M[same & (Q[:, dim + 2][:, None] == C[:, dim + 2][None, :])] = np.inf
-                j = np.argmin(M, axis=1)        # columns are in id order: first minimum = smallest id
-                w = M[np.arange(len(lid)), j]
-                ok = np.isfinite(w)
-                if ok.any():
-                    outs.append(pd.DataFrame({"query_id": lid[ok], "neighbor_id": rid[j[ok]], "w": w[ok]}))
-            if outs:
-                yield pd.concat(outs, ignore_index=True)
-    return score
-
-
-def _jump_to_roots(parent: DataFrame, rounds: int) -> DataFrame:
-    """Follow ``parent`` pointers ``rounds`` times by doubling: ``(node, root)``."""
+def _jump_to_roots(parent: DataFrame) -> DataFrame:
+    """Follow ``parent`` pointers to the roots by doubling: ``(node, parent)``."""
     cur = parent
-    for i in range(rounds):
-        p = cur.select(F.col("node").alias("parent"), F.col("parent").alias("pp"))
-        cur = cur.join(p, "parent", "left").select("node", F.coalesce(F.col("pp"), F.col("parent")).alias("parent"))
-        if (i + 1) % 6 == 0:
-            cur = cut(cur, "mst-jump")
-    return cur
+    while True:         # each turn follows 8 times as many pointers
+        for _ in range(3):
+            p = cur.select(F.col("node").alias("parent"), F.col("parent").alias("pp"))
+            cur = cur.join(p, "parent", "left").select("node", F.coalesce(F.col("pp"), F.col("parent")).alias("parent"))
+        cur = cut(cur, "mst-jump")
+        root = cur.filter("node = parent").select("node")
+        if cur.join(root.withColumnRenamed("node", "parent"), "parent", "left_anti").limit(1).count() == 0:
+            return cur
 
 
 def mutual_reachability_mst(points: DataFrame, core: DataFrame, id_col: str = "id", vec: str = "vector",
-                            max_rounds: int = 64, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+                            max_rounds: int = 64, near: DataFrame | None = None, counts: dict | None = None) -> DataFrame:
     """Exact minimum spanning forest ``(u, v, w)`` of the mutual reachability graph.
 
     Borůvka: each round every component takes its lightest outgoing edge
     under the total order ``(w, lo, hi)``.  The chosen edges point each
     component to another; every resulting tree has exactly one mutual pair,
     whose smaller id becomes the root, and pointer jumping merges the rest.
+
+    ``near (query_id, neighbor_id, distance)`` are known neighbours; with the
+    lightest edges that points found in earlier rounds they bound what a
+    component still has to look for, so far blocks are not scored
+    (``balls.lightest_edges``).  ``counts`` receives the pairs scored a round.
     """
     spark = points.sparkSession
     pts = points.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec).cast("array<double>").alias("v")).join(
         core.select(F.col(id_col).cast("bigint").alias("id"), "core"), "id")
     pts = cut(pts, "mst-points")
-    stats = pts.agg(F.max(F.size("v")).alias("dim"), F.count(F.lit(1)).alias("n")).first()
-    dim, n_pts = stats["dim"], stats["n"]
-    broadcast_rows = max(1, broadcast_bytes // (8 * (dim + 3) + 16))   # vector + core + component
-    side = "right" if n_pts <= broadcast_rows else "none"
+    n_pts = pts.count()
+    if n_pts < 2:
+        return spark.createDataFrame([], "u bigint, v bigint, w double")
+    mid = pivots(pts, "id", "v", -(-n_pts // BLOCK_ROWS))
+    blocks = ball_blocks(pts, "id", "v", mid)
     comp = pts.select("id", F.col("id").alias("comp"))
-    n_comp = n_pts
-    edges = None
-    order = lambda c: F.struct(c("w"), F.least(c("query_id"), c("neighbor_id")),
-                               F.greatest(c("query_id"), c("neighbor_id")))
+    cores = pts.select("id", "core")
+    known = None                    # edges that bound the search: (query_id, neighbor_id, w)
+    if near is not None:
+        of = lambda c, out: cores.select(F.col("id").alias(c), F.col("core").alias(out))
+        known = cut(near.filter("query_id <> neighbor_id").select(F.col("query_id").cast("bigint"), F.col("neighbor_id").cast("bigint"), "distance")
+                    .join(of("query_id", "a"), "query_id").join(of("neighbor_id", "b"), "neighbor_id")
+                    .select("query_id", "neighbor_id", F.greatest(F.sqrt("distance"), "a", "b").alias("w")), "mst-known")
+    n_comp, edges = n_pts, None
+    order = F.struct("w", F.least("query_id", "neighbor_id"), F.greatest("query_id", "neighbor_id"))
+    lightest = F.min_by(F.struct("query_id", "neighbor_id", "w"), order).alias("e")
     for _ in range(max_rounds):
         if n_comp < 2:
             break
-        # the component as two halves of 32 bits, which doubles hold exactly
-        halves = [F.shiftright("comp", 32).cast("double"), F.col("comp").bitwiseAND(F.lit(0xFFFFFFFF)).cast("double")]
-        ext = pts.join(comp, "id").select("id", F.concat("v", F.array(F.col("core"), *halves)).alias("x"))
-        pairs = block_pairs(ext, ext, "id", "id", "x", "x", broadcast=None if side == "none" else side,
-                            broadcast_rows=broadcast_rows)
-        best = pairs.mapInPandas(_best_other_scorer(dim), BEST_SCHEMA)
-        e = F.struct("query_id", "neighbor_id", "w")
-        per_point = best.groupBy("query_id").agg(F.min_by(e, order(F.col)).alias("e")).select("e.*")
-        per_comp = (per_point.join(comp.withColumnRenamed("id", "query_id"), "query_id")
-                    .groupBy("comp").agg(F.min_by(F.struct("query_id", "neighbor_id", "w"), order(F.col)).alias("e"))
-                    .select("comp", "e.*"))
-        per_comp = cut(per_comp.join(comp.select(F.col("id").alias("neighbor_id"), F.col("comp").alias("target")),
-                                     "neighbor_id"), "mst-choice")
+        q = comp.select(F.col("id").alias("query_id"), "comp")
+        t = comp.select(F.col("id").alias("neighbor_id"), F.col("comp").alias("target"))
+        state = cores.join(comp, "id")
+        if known is None:
+            state = state.withColumn("far", F.lit(float("inf")))
+        else:       # a known edge that leaves its component bounds it
+            known = cut(known.join(q, "query_id").join(t, "neighbor_id").filter("comp <> target")
+                        .select("query_id", "neighbor_id", "w", "comp"), "mst-known")
+            far = known.groupBy("comp").agg(F.min("w").alias("far"))
+            state = state.join(far, "comp", "left").withColumn("far", F.coalesce("far", F.lit(float("inf"))))
+        found = lightest_edges(blocks, state.select("id", "core", "comp", "far"), counts)
+        per_point = cut(found.groupBy("query_id").agg(lightest).select("e.*"), "mst-points-best")
+        fresh = per_point.join(q, "query_id")
+        both = fresh if known is None else fresh.unionByName(known)
+        per_comp = both.groupBy("comp").agg(lightest).select("comp", "e.*")
+        per_comp = cut(per_comp.join(t, "neighbor_id"), "mst-choice")
         chosen = per_comp.select(F.least("query_id", "neighbor_id").alias("u"),
                                  F.greatest("query_id", "neighbor_id").alias("v"), "w").distinct()
         edges = cut(chosen if edges is None else edges.unionByName(chosen), "mst-edges")
@@ -122,142 +116,18 @@ def mutual_reachability_mst(points: DataFrame, core: DataFrame, id_col: str = "i
         parent = mutual.select(F.col("comp").alias("node"), F.when(
             F.col("m").isNotNull() & (F.col("comp") < F.col("target")), F.col("comp")).otherwise(
             F.col("target")).alias("parent"))
-        roots = _jump_to_roots(parent, max(1, math.ceil(math.log2(n_comp)) + 1))
+        roots = _jump_to_roots(parent)
         comp = cut(comp.join(roots.select(F.col("node").alias("comp"), "parent"), "comp")
                    .select("id", F.col("parent").alias("comp")), "mst-comp")
+        known = both.select("query_id", "neighbor_id", "w").distinct()
         n_comp = comp.select("comp").distinct().count()
-    if edges is None:
-        return spark.createDataFrame([], "u bigint, v bigint, w double")
-    return edges
-
-
-def _levels(edges: DataFrame, max_levels: int) -> DataFrame:
-    """``(level, e)``: level l >= 1 removes MST edges of weight >= e_l (descending e)."""
-    distinct_w = edges.select("w").distinct()
-    if distinct_w.limit(max_levels + 1).count() <= max_levels:
-        ws = distinct_w
     else:
-        probs = [i / max_levels for i in range(1, max_levels)]
-        row = edges.agg(F.percentile_approx("w", probs, 100_000).alias("q"), F.min("w").alias("lo")).first()
-        spark = edges.sparkSession
-        # the smallest weight is always a level, so the deepest level has no edges left
-        ws = spark.createDataFrame([(float(x),) for x in sorted(set(row["q"]) | {row["lo"]})], "w double")
-    w = Window.orderBy(F.col("w").desc())   # at most max_levels rows
-    return ws.select(F.row_number().over(w).alias("level"), F.col("w").alias("e"))
-
-
-def condensed_clusters(ids: DataFrame, edges: DataFrame, min_cluster_size: int, max_levels: int = 512,
-                       id_col: str = "id") -> DataFrame:
-    """Cluster labels ``(id, cluster_id)`` from a spanning forest ``(u, v, w)``."""
-    spark = ids.sparkSession
-    nodes = ids.select(F.col(id_col).alias("node"))
-    lv = cut(_levels(edges, max_levels))
-    lv0 = lv.unionByName(spark.createDataFrame([(0, float("inf"))], "level int, e double"))
-    # edges present at level l: weight < e_l (level 0: all)
-    lvl_edges = edges.join(F.broadcast(lv0), F.col("w") < F.col("e")).select(
-        "level", F.col("u").alias("src"), F.col("v").alias("dst"))
-    # every node at every level (the level table is bounded by max_levels + 1 rows)
-    lvl_nodes = nodes.join(F.broadcast(lv0.select("level")), F.lit(True))
-    cc = cut(connected_components(lvl_nodes, lvl_edges, keys=["level"]))
-    sizes = cc.groupBy("level", "label").agg(F.count(F.lit(1)).alias("size"))
-    big = sizes.filter(F.col("size") >= min_cluster_size)
-    # parent component of a big component at level l: the label of its smallest member at l-1
-    par = cc.select((F.col("level") + 1).alias("level"), F.col("node").alias("label"), F.col("label").alias("parent"))
-    bigp = big.join(par, ["level", "label"], "left")
-    nbig = bigp.groupBy("level", "parent").agg(F.count(F.lit(1)).alias("siblings"))
-    comps = (bigp.join(nbig, ["level", "parent"], "left")
-             .withColumn("continues", (F.col("level") > 0) & (F.col("siblings") == 1))
-             .select("level", "label", "parent", "continues", "size"))
-    comps = cut(comps, "tree-comps")
-    # cluster identity: follow "continues" links down to the birth component
-    ptr = comps.select("level", "label", F.when(F.col("continues"), F.col("level") - 1).otherwise(F.col("level")).alias("pl"),
-                       F.when(F.col("continues"), F.col("parent")).otherwise(F.col("label")).alias("pc"))
-    for _ in range(64):
-        nxt = ptr.alias("a").join(ptr.alias("b"), (F.col("a.pl") == F.col("b.level")) & (F.col("a.pc") == F.col("b.label")),
-                                  "left").select(F.col("a.level"), F.col("a.label"),
-                                                 F.coalesce(F.col("b.pl"), F.col("a.pl")).alias("pl"),
-                                                 F.coalesce(F.col("b.pc"), F.col("a.pc")).alias("pc"))
-        nxt = cut(nxt, "tree-ptr")
-        moved = nxt.join(ptr.select("level", "label", F.col("pl").alias("opl")), ["level", "label"]).filter(
-            F.col("pl") != F.col("opl")).limit(1).count()
-        ptr = nxt
-        if moved == 0:
-            break
-    comp_cluster = ptr.select("level", "label", F.concat_ws(":", F.col("pl").cast("string"), F.col("pc").cast("string")).alias("cid"),
-                              F.col("pl").alias("birth"))
-    lam = lv0.select("level", F.when(F.col("level") == 0, F.lit(0.0)).otherwise(
-        F.lit(1.0) / F.greatest(F.col("e"), F.lit(MIN_WEIGHT))).alias("lam"))
-    # cluster tree: parent cluster of a born cluster is the cluster of its parent component
-    births = comps.filter(~F.col("continues")).join(comp_cluster, ["level", "label"]).select("cid", "level", "parent")
-    parent_of = (births.join(comp_cluster.select((F.col("level") + 1).alias("level"), F.col("label").alias("parent"),
-                                                 F.col("cid").alias("pcid")), ["level", "parent"], "left")
-                 .join(lam.withColumnRenamed("lam", "lam_birth"), "level")
-                 .select("cid", "pcid", "lam_birth", F.col("level").alias("birth_level")))
-    parent_of = cut(parent_of, "tree-parent")
-    # membership: lmax(p, C) = last level at which p is in C
-    member = cc.join(comp_cluster, ["level", "label"]).groupBy("node", "cid").agg(F.max("level").alias("lmax"))
-    member = member.join(lam.select((F.col("level") - 1).alias("lmax"), F.col("lam").alias("lam_p")), "lmax", "left")
-    member = cut(member.withColumn("lam_p", F.coalesce(F.col("lam_p"), F.lit(float("inf")))))
-    stab = (member.join(parent_of.select("cid", "lam_birth"), "cid")
-            .groupBy("cid").agg(F.sum(F.col("lam_p") - F.col("lam_birth")).alias("stability"),
-                                F.min("node").alias("min_node")))
-    tree = cut(parent_of.join(stab, "cid"))
-    return _select_and_label(tree, member, nodes, id_col)
-
-
-def _select_and_label(tree: DataFrame, member: DataFrame, nodes: DataFrame, id_col: str) -> DataFrame:
-    """Excess-of-mass selection by depth, then point labels."""
-    # depth of each cluster (root: pcid NULL, depth 0)
-    depth = tree.filter(F.col("pcid").isNull()).select("cid", F.lit(0).alias("depth"))
-    frontier = depth
-    for d in range(1, 10_000):
-        nxt = tree.join(frontier.select(F.col("cid").alias("pcid")), "pcid").select("cid", F.lit(d).alias("depth"))
-        if nxt.limit(1).count() == 0:
-            break
-        depth = cut(depth.unionByName(nxt))
-        frontier = nxt
-    t = cut(tree.join(depth, "cid"))
-    max_depth = t.agg(F.max("depth")).first()[0] or 0
-    best = None     # (cid, best, selected)
-    for d in range(max_depth, 0, -1):
-        level = t.filter(F.col("depth") == d)
-        if best is not None:
-            kids = best.join(t.select("cid", "pcid"), "cid").groupBy(F.col("pcid").alias("cid")).agg(
-                F.sum("best").alias("kids"))
-            level = level.join(kids, "cid", "left")
-        else:
-            level = level.withColumn("kids", F.lit(None).cast("double"))
-        kids = F.coalesce(F.col("kids"), F.lit(0.0))
-        sel = F.col("stability") >= kids
-        cur = level.select("cid", F.when(sel, F.col("stability")).otherwise(kids).alias("best"),
-                           sel.alias("selected"), F.col("kids").isNull().alias("leaf"))
-        best = cur if best is None else best.unionByName(cur)
-        best = cut(best)
-    if best is None:
-        return nodes.select(F.col("node").alias(id_col), F.lit(-1).alias("cluster_id"))
-    # top-down: chosen = selected with no chosen ancestor; cas = chosen ancestor-or-self
-    sel = t.join(best.select("cid", "selected"), "cid", "left").withColumn(
-        "selected", F.coalesce(F.col("selected"), F.lit(False)))
-    cas = sel.filter(F.col("depth") == 0).select("cid", F.lit(None).cast("string").alias("cas"))
-    frontier = cas
-    for d in range(1, max_depth + 1):
-        lvl = sel.filter(F.col("depth") == d).join(frontier.select(F.col("cid").alias("pcid"), F.col("cas").alias("pcas")), "pcid")
-        cur = lvl.select("cid", F.coalesce(F.col("pcas"), F.when(F.col("selected"), F.col("cid"))).alias("cas"))
-        cas = cut(cas.unionByName(cur))
-        frontier = cur
-    chosen = cas.filter(F.col("cas") == F.col("cid")).join(t.select("cid", "min_node"), "cid")
-    numbered = chosen.select("cid", F.row_number().over(Window.orderBy("min_node")).alias("n"))  # one row per cluster
-    # each point: deepest cluster it belongs to -> its chosen ancestor-or-self
-    deepest = member.join(t.select("cid", "depth"), "cid").groupBy("node").agg(
-        F.max_by("cid", F.struct("depth", "lmax")).alias("cid"))
-    lab = (deepest.join(cas, "cid", "left").join(numbered.select(F.col("cid").alias("cas"), "n"), "cas", "left")
-           .select("node", (F.coalesce(F.col("n"), F.lit(0)) - 1).cast("int").alias("cluster_id")))
-    return nodes.join(lab, "node", "left").select(
-        F.col("node").alias(id_col), F.coalesce(F.col("cluster_id"), F.lit(-1)).alias("cluster_id"))
+        raise RuntimeError(f"the spanning tree did not close in {max_rounds} rounds")
+    return edges
 
 
 def density_cluster(points: DataFrame, min_cluster_size: int = 40, min_samples: int | None = None,
-                    id_col: str = "id", vec: str = "vector", max_levels: int = 512) -> DataFrame:
+                    id_col: str = "id", vec: str = "vector", band_edges: int = BAND_EDGES) -> DataFrame:
     """HDBSCAN-style labels ``(id, cluster_id)``; -1 marks noise.
 
     Ids that are not integers are numbered in their order first, in a written
@@ -268,9 +138,9 @@ def density_cluster(points: DataFrame, min_cluster_size: int = 40, min_samples:
     if not isinstance(points.schema[id_col].dataType, IntegralType):
         numbered = cut(points.select(id_col, vec).orderBy(id_col).withColumn("_node", F.monotonically_increasing_id()),
                        "density-ids")
-        found = density_cluster(numbered, min_cluster_size, min_samples, "_node", vec, max_levels)
+        found = density_cluster(numbered, min_cluster_size, min_samples, "_node", vec, band_edges)
         return numbered.join(found, "_node").select(id_col, "cluster_id")
-    ms = min_samples or min_cluster_size
-    core = core_distances(points, ms, id_col, vec)
-    mst = mutual_reachability_mst(points, core, id_col, vec)
-    return condensed_clusters(points.select(id_col), mst, min_cluster_size, max_levels, id_col)
+    near = cut(nearest(points, min_samples or min_cluster_size, id_col, vec), "density-near")
+    core = near.groupBy(F.col("query_id").alias(id_col)).agg(F.sqrt(F.max("distance")).alias("core"))
+    mst = mutual_reachability_mst(points, core, id_col, vec, near=near)
+    return label_points(points.select(id_col), mst, min_cluster_size, id_col, band_edges)

@@ -11,9 +11,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import knn, vectors
+from ..operators.lineage import cut
 from ..sources import tables as T
 from .registry import register
-from .sqlparts import ASSIGN, CENT, COR, LIB, PAPERS, PROFILE, l2
+from .sqlparts import ASSIGN, CENT, COR, LIB, PAPERS, PROFILE, density_sql, l2, tree_ctes
 
 # Fixed parameters of the checked queries.
 K_NEIGHBOURS = 10       # knn_exact
@@ -953,10 +954,34 @@ def reduce_graph(spark, sf):
     return r.select("entry_id", F.size("reduced").alias("dims"))
 
 
-@register("density_cluster")
+# The given vectors hardly cluster; these sizes form several clusters at every scale.
+DENSE_SIZE, DENSE_SAMPLES = 5, 3
+
+
+@register("core_distance", sql=f"""
+SELECT id AS entry_id, round(c, 6) AS core FROM (
+  WITH RECURSIVE {tree_ctes(DENSE_SAMPLES)} SELECT pts.id, core.c FROM core JOIN pts USING (i))
+""")
+def core_distance(spark, sf):
+    r = DN.core_distances(T.all_vectors(spark, sf), DENSE_SAMPLES, "entry_id")
+    return r.select("entry_id", _r6("core").alias("core"))
+
+
+@register("spanning_tree", sql=f"""
+WITH RECURSIVE {tree_ctes(DENSE_SAMPLES)}
+SELECT count(w) AS edges, round(sum(w), 6) AS weight, round(max(w), 6) AS heaviest FROM seq
+""")
+def spanning_tree(spark, sf):
+    points = T.all_vectors(spark, sf)
+    near = cut(DN.nearest(points, DENSE_SAMPLES, "entry_id"), "tree-near")
+    core = near.groupBy(F.col("query_id").alias("entry_id")).agg(F.sqrt(F.max("distance")).alias("core"))
+    mst = DN.mutual_reachability_mst(points, core, "entry_id", near=near)
+    return mst.agg(F.count("w").alias("edges"), _r6(F.sum("w")).alias("weight"), _r6(F.max("w")).alias("heaviest"))
+
+
+@register("density_cluster", sql=density_sql(DENSE_SIZE, DENSE_SAMPLES))
 def density_cluster(spark, sf):
-    lib = T.all_vectors(spark, sf)
-    return DN.density_cluster(lib, MIN_CLUSTER_SIZE, id_col="entry_id")
+    return DN.density_cluster(T.all_vectors(spark, sf), DENSE_SIZE, DENSE_SAMPLES, id_col="entry_id")
 
 
 @register("cluster_pipeline")

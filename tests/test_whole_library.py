@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 
 from feedrank.plans import catalog, recommend
-from hdbscan_reference import hdbscan_labels
+from level_reference import level_labels
+from test_condensed_balls import _tree
 
 
 @pytest.fixture(scope="module")
@@ -20,7 +21,8 @@ def table(spark, tmp_path_factory):
 def test_density_cluster_equals_brute_force_on_all_vectors(spark, table):
     folder, X = table
     got = {r["entry_id"]: r["cluster_id"] for r in catalog.density_cluster(spark, folder).collect()}
-    assert got == dict(enumerate(hdbscan_labels(X, catalog.MIN_CLUSTER_SIZE).tolist()))
+    want = level_labels(len(X), _tree(X, catalog.DENSE_SAMPLES), catalog.DENSE_SIZE)
+    assert got == dict(enumerate(want)) and len(set(want)) > 2
 
 
 def test_reductions_and_pipeline_are_given_all_vectors(spark, table, monkeypatch):
