@@ -22,7 +22,7 @@ def test_density_cluster_equals_brute_force_on_all_vectors(spark, table):
     folder, X = table
     got = {r["entry_id"]: r["cluster_id"] for r in catalog.density_cluster(spark, folder).collect()}
     want = level_labels(len(X), _tree(X, catalog.DENSE_SAMPLES), catalog.DENSE_SIZE)
-    assert got == dict(enumerate(want)) and len(set(want)) > 2
+    assert got == dict(enumerate(want)) and len(set(want) - {-1}) >= 2
 
 
 def test_reductions_and_pipeline_are_given_all_vectors(spark, table, monkeypatch):
