@@ -10,21 +10,23 @@ composite density ::
 where ``b`` is the body and zeros count as one: characters per tag, lowered
 where text sits in links.  A node's density sum is that of its children.  The
 node of maximum sum is the core of the article; the lowest density on its path
-from the body is the threshold, and the core grows to its highest ancestor
-below the body that reaches the threshold, but not beyond an ``article`` or
-``main``.  Parts that are never the article (menus, page headers and footers,
-sidebars, notices, adverts, forms, comments, scripts) are known by tag, role,
-class or id and count for nothing; lists and boxes in the article that are
-mostly links are dropped.
+from the body is the threshold.  The article is the ``article`` or ``main``
+around the core, or else every part of the body that reaches the threshold, the
+core's own among them.  Parts that are never the article (menus, page headers and
+footers, sidebars, notices, adverts, forms, comments, scripts) are known by tag,
+role, or a whole class token or id -- unless an article or first heading stands
+in them -- and count for nothing.  Lists and boxes that are mostly links are left
+out around the core, but not inside it or the ``article``.
 
 Blocks are the texts between block-level tags, white space folded to one space
-and trimmed, joined by a line feed in page order.
+and trimmed, joined by two line feeds in page order.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from html import unescape
 
 from pyspark.sql import DataFrame
@@ -48,11 +50,14 @@ ITEM_SCOPE = {"li": ("ul", "ol", "menu", "body"), "dt": ("dl", "body"), "dd": ("
 NOT_ARTICLE = frozenset("nav footer aside form button select menu dialog fieldset head".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar form".split())
 BOXES = frozenset("ul ol dl div section table tbody tr td".split())
-NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|adbox|banner|sponsor\w*|promo\w*|cookie\w*|consent|gdpr|notice\w*|notification\w*|alert|"
-    r"nav|navbar|navigation|menu\w*|breadcrumb\w*|sidebar\w*|side-bar|aside|widget\w*|footer|foot|masthead|topbar|site-header|"
-    r"page-header|comment|comments|commentlist|comment-list|disqus\w*|respond|replies|reply|related|recommend\w*|share|sharing|social\w*|"
-    r"newsletter|subscribe|subscription|signup|login|popup|modal|overlay|toolbar|pagination|pager|skip-link)(?:$|[\s_-])", re.I)
+# class tokens and ids of parts that are no article, each matched as a whole
+NAMES = frozenset("""ad ads advert adverts advertisement advertising adsense adbox ad-banner ad-container banner sponsor sponsored promo
+promotion cookie cookies cookie-notice cookie-banner cookie-consent cookie-bar consent gdpr notice notices notification notifications alert
+alerts nav navbar navigation main-nav site-nav menu main-menu breadcrumb breadcrumbs sidebar side-bar aside widget widgets widget-area footer
+foot site-footer page-footer masthead topbar top-bar site-header page-header comment comments commentlist comment-list comments-area
+comment-section user-comments reader-comments disqus disqus_thread respond replies reply related related-posts related-articles recommended
+recommendations share sharing share-buttons social social-links social-media social-share newsletter subscribe subscription signup sign-up
+login popup modal overlay toolbar pagination pager skip-link""".split())
 
 _TOKEN = re.compile(r"<(?:!--(?P<c>)|(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attr>(?>[^>\"']+|\"[^\"]*\"|'[^']*')*+)>|[!?/])")
 _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -65,7 +70,15 @@ class _Page:
         self.tag, self.parent, self.dead = ["#root"], [-1], [False]
         self.last: list[int] = [0]
         self.events: list[tuple[int, str | None]] = []       # (node, text, or None where a block ends)
+        self.named: list[int] = []           # nodes with a name of NAMES
+        self.heads: list[int] = []           # articles, mains and first headings
         self._read(html)
+        heads = [x for x in self.heads if not self.dead[x]]
+        for node in self.named:              # a name does not decide against an article or headline inside
+            k = bisect_right(heads, node)
+            if not self.dead[node] and not (k < len(heads) and heads[k] <= self.last[node]):
+                for i in range(node, self.last[node] + 1):
+                    self.dead[i] = True
 
     def _open(self, tag: str, dead: bool, stack: list[int]) -> int:
         node = len(self.tag)
@@ -126,17 +139,21 @@ class _Page:
             if tag in ENDS_ITEM:
                 self._close_to(stack, ENDS_ITEM[tag], ITEM_SCOPE[tag])
             dead = tag in RAW or tag in NOT_ARTICLE or (tag == "header" and not any(self.tag[x] in ("article", "main") for x in stack))
-            attr = m["attr"]
+            attr, named = m["attr"], False
             if attr and not dead and tag not in ("html", "body", "article", "main"):
                 for a in _ATTR.finditer(attr):
                     name, value = a[1].lower(), a[2] or a[3] or a[4] or ""
                     if name in ("class", "id"):
-                        dead = dead or bool(NAMES.search(value))
+                        named = named or not NAMES.isdisjoint(value.lower().split())
                     elif name == "role":
                         dead = dead or value.lower() in ROLES
                     else:
                         dead = dead or name == "hidden" or value.lower() == "true"
             node = self._open(tag, dead, stack)
+            if named:
+                self.named.append(node)
+            if tag in ("article", "main", "h1"):
+                self.heads.append(node)
             if tag == "br":
                 self.events.append((node, " "))
             elif tag not in INLINE:
@@ -208,21 +225,22 @@ def main_text(html: str) -> str:
     path = [core]
     while path[-1] != body:
         path.append(page.parent[path[-1]])
-    threshold = min(density[i] for i in path)
-    top = core
     article = next((i for i in path if page.tag[i] in ("article", "main")), None)
     if article is not None:
-        top = article
-    elif core != body:
-        for i in path[:-1]:
-            if density[i] >= threshold:
-                top = i
-    stop = page.last[top] if top else n - 1
-    # boxes that are mostly links
-    drop = list(page.dead)
-    for i in range(top + 1, stop + 1):
-        drop[i] = drop[i] or drop[page.parent[i]] and page.parent[i] != top or (
-            page.tag[i] in BOXES and link_chars[i] * 10 > chars[i] * 6)
+        tops, inner = [article], article
+    elif core == body:
+        tops, inner = [body], body
+    else:
+        threshold = min(density[i] for i in path)
+        tops = [i for i in inside if page.parent[i] == body and i != body and not page.dead[i] and (i == path[-2] or density[i] >= threshold)]
+        inner = core
+    # boxes that are mostly links, around the core but not in it
+    keep = [False] * n
+    for top in tops:
+        keep[top] = True
+        for i in range(top + 1, (page.last[top] if top else n - 1) + 1):
+            keep[i] = keep[page.parent[i]] and not page.dead[i] and not (
+                page.tag[i] in BOXES and link_chars[i] * 10 > chars[i] * 6 and not inner <= i <= (page.last[inner] if inner else n - 1))
     blocks: list[str] = []
     piece: list[str] = []
     for node, text in page.events:
@@ -230,11 +248,11 @@ def main_text(html: str) -> str:
             if piece:
                 blocks.append("".join(piece))
                 piece = []
-        elif top <= node <= stop and not drop[node]:
+        elif keep[node]:
             piece.append(text)
     if piece:
         blocks.append("".join(piece))
-    return "\n".join(b for b in (" ".join(x.split()) for x in blocks) if b)
+    return "\n\n".join(b for b in (" ".join(x.split()) for x in blocks) if b)
 
 
 def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

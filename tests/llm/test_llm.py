@@ -340,7 +340,7 @@ def test_html_extraction_on_pages(spark):
     for r in html_text.extract(pages).collect():
         body = re.search(r"<article>(.*?)(?:</article>|$)", html[r["page_id"]], re.S)[1]
         blocks = [" ".join(unescape(re.sub(r"<[^>]*>", "", x)).split()) for x in re.split(r"</?(?:p|h1)>", body)]
-        want = "\n".join(x for x in blocks if x)
+        want = "\n\n".join(x for x in blocks if x)
         assert (r["text"], r["n_chars"]) == (want, len(want))
 
 
@@ -351,10 +351,10 @@ def test_html_extraction_parts():
     <script>if (a < b) document.write("<p>x</p>")</script><p>Last &lt;b&gt; 5 < 6</p></div>
     <div class="comments"><p>{p * 6}</p></div><aside>{p}</aside></div><footer>{p * 3}</footer></body></html>"""
     one = " ".join(unescape(p).split())
-    assert html_text.main_text(page) == f"{one} {one}\nTwo lines {one}\nLast <b> 5 < 6"
+    assert html_text.main_text(page) == "\n\n".join([f"{one} {one}", f"Two lines {one}", "link one", "two", "Last <b> 5 < 6"])
     for odd in ("", "<", "<p", "<p>hi", "no markup", "<!-- x", "<script>x", "</p></div>", "<a href='x>y", "<p>a<p>b"):
         html_text.main_text(odd)
-    assert html_text.main_text("<p>a<p>b") == "a\nb"
+    assert html_text.main_text("<p>a<p>b") == "a\n\nb"
     assert html_text.main_text("<div>" * 5000 + "deep" + "</div>" * 5000) == "deep"
 
 
