@@ -32,7 +32,7 @@ from html import unescape
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, text_or_empty
+from .common import col, map_batches, text_or_empty
 
 # Element groups of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -261,7 +261,7 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
     Null and empty pages give the empty text; null ids and urls pass through;
     equal rows are extracted one by one; an empty table gives no row.
     """
-    src = df.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), text_or_empty(html_col).alias("html"))
+    src = df.select(col(id_col).alias("page_id"), col(url_col).alias("url"), text_or_empty(html_col).alias("html"))
 
     def run(cols: dict) -> dict:
         text = [main_text(h) for h in cols["html"]]

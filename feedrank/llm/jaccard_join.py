@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators.lineage import cut
-from .common import arrow_schema, lower_words, map_batches, text_bytes, text_or_empty, to_batch
+from .common import arrow_schema, col, lower_words, map_batches, text_bytes, text_or_empty, to_batch
 from .components import components
 
 WORDS_CACHE = 300_000        # word hashes kept by a worker
@@ -165,7 +165,7 @@ class SliceScheme:
 def members(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     """``(doc_id, text_hash, n_shingles, node)`` per row; ``node`` is the class key of its set."""
     key = df.schema[id_col].dataType.simpleString()
-    src = df.select(F.col(id_col).alias("doc_id"), _text_hash(text_col).alias("text_hash"), text_or_empty(text_col).alias("t"))
+    src = df.select(col(id_col).alias("doc_id"), _text_hash(text_col).alias("text_hash"), text_or_empty(text_col).alias("t"))
 
     def run(cols: dict) -> dict:
         sets = [shingle_set(t, size) for t in cols["t"]]
@@ -175,8 +175,8 @@ def members(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     return map_batches(src, run, f"doc_id {key}, text_hash long, n_shingles long, node long")
 
 
-def _text_hash(col: str) -> Column:
-    return F.xxhash64(text_or_empty(col))
+def _text_hash(text_col: str) -> Column:
+    return F.xxhash64(text_or_empty(text_col))
 
 
 def regions(df: DataFrame, text_col: str, size: int, scheme: SliceScheme) -> DataFrame:
@@ -324,7 +324,7 @@ def _distances(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _grouped(df: DataFrame, id_col: str, text_col: str, size: int, percent: int, first_pivots: int, pivots: int) -> DataFrame:
     """``(doc_id, text_hash, n_shingles, node, label, component_id)`` per row; ``label`` is its component's smallest node."""
-    src = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    src = df.select(col(id_col).alias("doc_id"), col(text_col).alias("text"))
     member = cut(members(src, "doc_id", "text", size), "members")
     classes = cut(member.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep")), "classes")
     region = cut(regions(src, "text", size, SliceScheme(percent)), "regions")
@@ -368,7 +368,8 @@ def keep_representatives(df: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Documents without words are kept.  Where a key is repeated, the row with
     the smallest text hash stays for its group; rows equal in key and text are
-    reduced to one.
+    reduced to one, the same in every run.  Null and empty texts are documents
+    without words; an empty table gives no row; columns may have any names.
     """
     found = _grouped(df, id_col, text_col, size, percent, FIRST_PIVOTS, PIVOTS)
     empty = found.filter("n_shingles = 0").select("doc_id", "text_hash")
@@ -376,6 +377,8 @@ def keep_representatives(df: DataFrame, id_col: str = "doc_id", text_col: str =
              .agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_hash"))).alias("m"))
              .select("m.doc_id", "m.text_hash"))
     keep = empty.unionByName(first).distinct().select(F.col("doc_id").alias("_keep_id"), F.col("text_hash").alias("_keep_hash"))
-    row = df.select(F.struct(*df.columns).alias("doc"), F.col(id_col).alias("_id"), _text_hash(text_col).alias("_hash"))
+    places = [f"_c{i}" for i in range(len(df.columns))]
+    row = df.select(col(id_col).alias("_id"), _text_hash(text_col).alias("_hash"), F.struct(*[col(c).alias(p) for c, p in zip(df.columns, places)]).alias("doc"))
     kept = row.join(keep, F.col("_id").eqNullSafe(F.col("_keep_id")) & (F.col("_hash") == F.col("_keep_hash")), "left_semi")
-    return kept.dropDuplicates(["_id", "_hash"]).select("doc.*")
+    one = kept.groupBy("_id", "_hash").agg(F.min_by("doc", F.xxhash64("doc")).alias("doc"))
+    return one.select("doc.*").toDF(*df.columns)

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.lineage import cut
-from .common import SharedFiles, arrow_schema, fold, lower_words, shared_folder, text_bytes, text_or_empty, to_batch
+from .common import SharedFiles, arrow_schema, col, fold, lower_words, shared_folder, text_bytes, text_or_empty, to_batch
 
 BUCKETS = 1 << 14
 GROUPS, BANDS = 5, 6
@@ -381,7 +381,7 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     held = F.coalesce(fold(id_col, folds) == held_out_fold, F.lit(False))
     group = F.col(group_col).cast("string") if group_col and group_col in df.columns else F.lit(None).cast("string")
     # a copy of its own gives every row a file whose dictionary serves it in each pass
-    cut_ = cut(df.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("t"), (~held).alias("learn"), group.alias("grp")), "lm-docs")
+    cut_ = cut(df.select(col(id_col).alias("id"), text_or_empty(text_col).alias("t"), (~held).alias("learn"), group.alias("grp")), "lm-docs")
     docs = cut_.withColumn("pid", F.col("_metadata.file_name"))
     files = max(1, len(cut_.inputFiles()))
     top = [r["grp"] for r in cut_.filter("learn and grp is not null").groupBy("grp").count().orderBy(F.desc("count"), "grp")

@@ -395,7 +395,7 @@ def encode_documents(df: DataFrame, model: str, id_col: str = "doc_id", text_col
     Null and empty texts have no ids; equal rows get equal ids; null keys are
     a key of their own; an empty table gives no row.
     """
-    src = df.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("t"))
+    src = df.select(F.col(f"`{id_col}`").alias("doc_id"), text_or_empty(text_col).alias("t"))
 
     def run(cols: dict) -> dict:
         enc = encoder(model, seed, rate)

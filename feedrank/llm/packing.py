@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, text_bytes, text_or_empty, to_batch
+from .common import arrow_schema, col, text_bytes, text_or_empty, to_batch
 from .wordbpe import encoder
 
 WINDOW = 2_048
@@ -154,8 +154,8 @@ def retrieval_pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     keys sort first; rows with equal keys are packed as separate documents in
     text order.  An empty table gives no piece.  Missing group columns are skipped.
     """
-    groups = [F.col(c).alias(f"g{i}") for i, c in enumerate(c for c in group_cols if c in df.columns)]
-    docs = df.select(*groups, F.col(id_col).alias("k"), text_or_empty(text_col).alias("t"))
+    groups = [col(c).alias(f"g{i}") for i, c in enumerate(c for c in group_cols if c in df.columns)]
+    docs = df.select(*groups, col(id_col).alias("k"), text_or_empty(text_col).alias("t"))
     keys = [c for c in docs.columns if c != "t"]
     n = max(1, -(-text_bytes(docs, "t") // shard_bytes))
     out = PIECE.format(key=df.schema[id_col].dataType.simpleString())

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, text_bytes, text_or_empty, to_batch
+from .common import arrow_schema, col, text_bytes, text_or_empty, to_batch
 
 CELLS = 8                    # cells a row of the smallest sketch
 LONG = 120                   # characters; longer lines are cut
@@ -190,7 +190,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     n = max(1, -(-text_bytes(df, text_col) // shard_bytes))
     kind = df.schema[id_col].dataType.simpleString()
-    src = df.select(F.col(id_col).alias("k"), text_or_empty(text_col).alias("t"))
+    src = df.select(col(id_col).alias("k"), text_or_empty(text_col).alias("t"))
     ids = src.select("k").filter("k is not null").repartitionByRange(n, F.col("k").desc())
     heads = sorted(r["head"] for r in ids.groupBy(F.spark_partition_id()).agg(F.max("k").alias("head")).collect())   # one a range
     last = max(0, len(heads) - 1)

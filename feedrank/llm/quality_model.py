@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, map_batches, text_or_empty, words
+from .common import col, fold, map_batches, text_or_empty, with_computed, words
 
 BUCKETS = 1 << 16
 DIM = 16
@@ -167,38 +167,28 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     """Learn from the labelled rows that pass ``learn`` (a condition on the labels' key).
 
     Null labels are skipped; a key labelled twice takes its largest label;
-    several documents of one key all count.  The driver receives at most
-    ``max_train`` labelled keys' sparse vectors.
+    several documents of one key all count, up to ``max_train`` documents in
+    all.  The driver receives at most ``max_train`` sparse vectors.
     """
-    keyed = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
+    keyed = labels.filter(col(label_col).isNotNull() & col(id_col).isNotNull())
     if learn is not None:
         keyed = keyed.filter(learn)
-    pick = (keyed.groupBy(F.col(id_col).alias("k")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
+    pick = (keyed.groupBy(col(id_col).alias("k")).agg(F.max(col(label_col).cast("int")).alias("y"))
             .orderBy(F.xxhash64("k"), "k").limit(max_train))
-    texts = df.select(F.col(id_col).alias("k"), text_or_empty(text_col).alias("t")).join(F.broadcast(pick), "k")
+    texts = df.select(col(id_col).alias("k"), text_or_empty(text_col).alias("t")).join(F.broadcast(pick), "k")
 
     def features(cols: dict) -> dict:
         got = [document_features(t) for t in cols["t"]]
         return {"k": [str(k) for k in cols["k"]], "y": cols["y"], "ids": [a.astype("<i4").tobytes() for a, _ in got],
                 "weight": [b.astype("<f4").tobytes() for _, b in got]}
 
-    rows = map_batches(texts, features, "k string, y int, ids binary, weight binary").collect()
+    rows = (map_batches(texts, features, "k string, y int, ids binary, weight binary")
+            .orderBy(F.xxhash64("k"), "k", "ids").limit(max_train).collect())
     rows.sort(key=lambda r: (r["k"], bytes(r["ids"])))
     return train([(np.frombuffer(r["ids"], "<i4").astype(np.int64), np.frombuffer(r["weight"], "<f4").astype(np.float64),
                    1 if r["y"] > 0 else 0) for r in rows if len(r["ids"])])
 
 
-def with_scores(df: DataFrame, model: QualityModel, text_col: str = "text") -> DataFrame:
-    """``(doc, score)``: every row's columns as one struct, and its score."""
-    src = df.select(F.struct(*df.columns).alias("doc"), text_or_empty(text_col).alias("t"))
-    shared = df.sparkSession.sparkContext.broadcast(model)          # BUCKETS doubles, whatever the input
-
-    def run(cols: dict) -> dict:
-        return {"doc": cols["doc"], "score": shared.value.scores(cols["t"])}
-
-    return map_batches(src, run, f"doc {src.schema['doc'].dataType.simpleString()}, score double")
-
-
 def score_documents(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     label_col: str = "quality", folds: int = 5, held_out_fold: int = 0, cutoff: float = 0.3) -> DataFrame:
     """``(doc_id, held_out, score, predicted)`` of every document.
@@ -209,7 +199,7 @@ def score_documents(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     without labels every score is 0.5; an empty table gives no row.
     """
     model = fit(df, labels, id_col, text_col, label_col, learn=fold(id_col, folds) != held_out_fold)
-    slim = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    slim = df.select(col(id_col).alias("doc_id"), col(text_col).alias("text"))
     src = slim.select("doc_id", text_or_empty("text").alias("t"))
     shared = df.sparkSession.sparkContext.broadcast(model)
 
@@ -224,6 +214,12 @@ def score_documents(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
 def keep_documents(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                    cutoff: float = 0.3) -> DataFrame:
-    """The documents with a score of at least ``cutoff``, with all their columns."""
+    """The documents with a score of at least ``cutoff``, with all their columns, whatever their names.
+
+    Null and empty texts get the learned prior; repeated rows stay or go
+    together; without labels every score is 0.5; an empty table gives no row.
+    """
     model = fit(df, labels, id_col, text_col)
-    return with_scores(df, model, text_col).filter(F.col("score") >= cutoff).select("doc.*")
+    shared = df.sparkSession.sparkContext.broadcast(model)          # BUCKETS doubles, whatever the input
+    rows, restore = with_computed(df, text_col, lambda texts: {"score": shared.value.scores(texts)}, "score double")
+    return restore(rows.filter(F.col("score") >= cutoff))

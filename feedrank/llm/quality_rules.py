@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..operators.joins import is_bounded, salted_join
 from ..operators.lineage import cut
-from .common import SPACES, map_batches, text_or_empty, words
+from .common import SPACES, col, text_or_empty, with_computed, words
 
 SYMBOLS = "#*$%&|<>"
 WINDOW_WORDS = 5
@@ -73,17 +73,8 @@ def measure(text: str) -> tuple[int, int, int, int, int, int]:
     return (len(w), chars, sum(map(text.count, SYMBOLS)), len(lines), len(lines) - len(set(lines)), repeated_words(w))
 
 
-def _measured(df: DataFrame, text_col: str, carry: Column) -> DataFrame:
-    """``(row, measures...)``: the carried columns as one struct beside the text's measures."""
-    src = df.select(carry.alias("row"), text_or_empty(text_col).alias("t"))
-    names = [x.split()[0] for x in MEASURES.split(", ")]
-    row = src.schema["row"].dataType.simpleString()
-
-    def run(cols: dict) -> dict:
-        got = list(zip(*map(measure, cols["t"])))
-        return {"row": cols["row"]} | dict(zip(names, got))
-
-    return map_batches(src, run, f"row {row}, {MEASURES}")
+def measures(texts: list[str]) -> dict:
+    return dict(zip((x.split()[0] for x in MEASURES.split(", ")), zip(*map(measure, texts))))
 
 
 def rate(name: str) -> Column:
@@ -143,7 +134,7 @@ def thresholds(sketch: DataFrame) -> DataFrame:
 
 def _with_keys(df: DataFrame, lang_col: str, source_col: str) -> tuple[Column, Column]:
     def key(c: str) -> Column:
-        return F.coalesce(F.col(c).cast("string"), F.lit("")) if c in df.columns else F.lit("")
+        return text_or_empty(c) if c in df.columns else F.lit("")
     return key(lang_col), key(source_col)
 
 
@@ -163,12 +154,11 @@ def judge(measured: DataFrame, limit: DataFrame) -> DataFrame:
         "kept", ~F.col("base_failed") & ~F.coalesce(over, F.lit(True)))
 
 
-def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
-    """Measures of every document (written, without texts) and the thresholds (written)."""
-    lang, source = _with_keys(df, lang_col, source_col)
-    keep = [F.col(c) for c in df.columns if c != text_col]
-    got = _measured(df, text_col, F.struct(*keep, lang.alias("_lang_key"), source.alias("_source_key")))
-    got = cut(got.withColumn("lang", F.col("row._lang_key")).withColumn("source", F.col("row._source_key")), "rules")
+def fit(slim: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of ``slim (text, lang, source, ...)`` without nulls in its keys: every row's measures (written, without texts) and the thresholds (written)."""
+    rows, _ = with_computed(slim, "text", measures, MEASURES)
+    kept = [F.col(f"_c{i}").alias(c) for i, c in enumerate(slim.columns) if c != "text"]
+    got = cut(rows.select(*kept, *[x.split()[0] for x in MEASURES.split(", ")]), "rules")
     return got, cut(thresholds(sketches(got)), "limits")
 
 
@@ -180,25 +170,30 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     or sources count as the empty string.  Rows with equal keys are judged
     one by one.  An empty table gives no row.
     """
-    slim = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"),
-                     *[k.alias(n) for k, n in zip(_with_keys(df, lang_col, source_col), ("lang", "source"))])
-    measured, limit = fit(slim)
+    lang, source = _with_keys(df, lang_col, source_col)
+    measured, limit = fit(df.select(col(id_col).alias("doc_id"), col(text_col).alias("text"), lang.alias("lang"), source.alias("source")))
     names = [x.split()[0] for x in MEASURES.split(", ")]
-    return judge(measured, limit).select(F.col("row.doc_id").alias("doc_id"), *names, "base_failed", "kept",
-                                         *[f"max_{r}" for r in RATES])
+    return judge(measured, limit).select("doc_id", *names, "base_failed", "kept", *[f"max_{r}" for r in RATES])
 
 
 def keep_documents(df: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """The documents that pass, with all their columns.
+    """The documents that pass, with all their columns, whatever their names.
 
-    Texts are measured again while the rows stream by, so no text is shuffled
-    to be joined with its verdict.
+    Null, empty and wordless texts fail the base rules; null languages and
+    sources count as the empty string; repeated rows stay or go together; an
+    empty table gives no row.  Texts are measured again while the rows stream
+    by, so no text is shuffled to be joined with its verdict.
     """
     lang, source = _with_keys(df, lang_col, source_col)
-    _, limit = fit(df.select(F.col(text_col).alias("text"), lang.alias("lang"), source.alias("source")))
-    carried = F.struct(F.struct(*df.columns).alias("doc"), lang.alias("lang"), source.alias("source"))
-    src = _measured(df, text_col, carried).withColumn("lang", F.col("row.lang")).withColumn("source", F.col("row.source"))
-    return judge(src, limit).filter("kept").select("row.doc.*")
+    _, limit = fit(df.select(col(text_col).alias("text"), lang.alias("lang"), source.alias("source")))
+    rows, restore = with_computed(df, text_col, measures, MEASURES)
+    place = {c: F.col(f"_c{i}") for i, c in enumerate(df.columns)}
+
+    def key(c: str) -> Column:
+        return F.coalesce(place[c].cast("string"), F.lit("")) if c in place else F.lit("")
+
+    rows = rows.withColumn("lang", key(lang_col)).withColumn("source", key(source_col))
+    return restore(judge(rows, limit).filter("kept"))
 
 
 _RATE_SQL = {"symbol": "n_symbols / n_words", "dup_line": "n_dup_lines / n_lines", "repeat": "n_repeat_words / n_words",

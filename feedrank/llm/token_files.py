@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.lineage import cut
-from .common import SharedFiles, arrow_schema, shared_folder, text_bytes, text_or_empty, to_batch
+from .common import SharedFiles, arrow_schema, col, shared_folder, text_bytes, text_or_empty, to_batch
 from .wordbpe import encoder
 
 MAGIC = b"EFTOK\x01\0\0"
@@ -148,7 +148,7 @@ def write_token_files(df: DataFrame, folder: str, tokenizer: str, id_col: str =
     shuffled.  An empty table gives no file.
     """
     n = max(1, -(-text_bytes(df, text_col) // shard_bytes))
-    docs = df.select(F.col(id_col).alias("k"), text_or_empty(text_col).alias("t"))
+    docs = df.select(col(id_col).alias("k"), text_or_empty(text_col).alias("t"))
     key_type = arrow_schema(f"k {docs.schema['k'].dataType.simpleString()}").field("k").type
     schema = arrow_schema(MANIFEST)
 

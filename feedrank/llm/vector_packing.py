@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from ..operators.joins import lookup_join
 from ..operators.lineage import cut
-from .common import arrow_schema, text_or_empty, to_batch
+from .common import arrow_schema, col, text_or_empty, to_batch
 from .spaced_bpe import spaced_encoder
 from .units import byte_slices
 
@@ -154,7 +154,7 @@ def encode_pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_co
 
     ``place`` counts the pieces of that length before it in the same task.
     """
-    docs = df.select(F.col(f"`{id_col}`").alias("k"), text_or_empty(f"`{text_col}`").alias("t"))
+    docs = df.select(col(id_col).alias("k"), text_or_empty(text_col).alias("t"))
     out = (f"k {df.schema[id_col].dataType.simpleString()}, piece int, start long, length long, ids binary, "
            "task int, place long")
     schema = arrow_schema(out)
