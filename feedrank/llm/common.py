@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
 from ..session import scratch_path
+from .units import forget_encoders
 
 # ASCII white space: the only separators of a word in this package
 # (words are runs of [^\x20\x09-\x0D]; ``bytes.split()`` splits on exactly these).
@@ -55,6 +56,7 @@ def map_batches(df: DataFrame, fn: Callable[[dict], dict], schema: str) -> DataF
     arrow = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_encoders()
         for b in batches:
             for part in parts(b):
                 yield to_batch(fn(part.to_pydict()), arrow)
@@ -82,6 +84,7 @@ def with_computed(df: DataFrame, text_col: str, fn: Callable[[list[str]], dict],
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
         types = to_arrow_schema(more)
+        forget_encoders()
         for b in batches:
             for part in parts(b):
                 got = fn([t or "" for t in part.column(k).to_pylist()])

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .units import UnitTable
+from .units import ENCODERS, UnitTable
 from .wordbpe import SIGNS
 
 LINE_UNITS = 1_000              # units encoded by one call
@@ -90,16 +90,13 @@ class SpacedEncoder:
         return ids, np.diff(stop[np.concatenate([[0], np.cumsum(count)])])
 
 
-_ENCODERS: dict[str, SpacedEncoder] = {}
-
-
 def spaced_encoder(path: str) -> SpacedEncoder:
     """One encoder per worker process and vocabulary file."""
-    if path not in _ENCODERS:
+    if ("spaced", path) not in ENCODERS:
         import os
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        _ENCODERS[path] = SpacedEncoder(path)
-    return _ENCODERS[path]
+        ENCODERS["spaced", path] = SpacedEncoder(path)
+    return ENCODERS["spaced", path]
 
 
 def word_bpe_path() -> str:

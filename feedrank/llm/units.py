@@ -15,10 +15,20 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHE_UNITS = 700_000           # units kept by a worker; beyond that only those met in two batches stay
+CACHE_UNITS = 500_000           # units kept by a worker; beyond that only those met in two batches stay
 BATCH_BYTES = 4 << 20           # text encoded at a time
 
 
+ENCODERS: dict = {}             # encoders of this worker process by kind and vocabulary file
+
+
+def forget_encoders() -> None:
+    """Free them; workers are used again by operators that do not encode."""
+    if ENCODERS:
+        ENCODERS.clear()
+        pa.default_memory_pool().release_unused()
+
+
 class Numbers(dict):
     """Unit -> number in order of appearance; new units are noted."""
 

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .units import UnitTable, byte_slices
+from .units import ENCODERS, UnitTable, byte_slices
 
 LINE_UNITS = 2_000          # new units encoded in one line
 SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"     # ASCII punctuation but the apostrophe, which may start a contraction
@@ -155,16 +155,13 @@ class UnitEncoder:
         return out
 
 
-_ENCODERS: dict[str, UnitEncoder] = {}
-
-
 def encoder(path: str) -> UnitEncoder:
     """One encoder per worker process and vocabulary file."""
-    if path not in _ENCODERS:
+    if ("byte", path) not in ENCODERS:
         import os
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        _ENCODERS[path] = UnitEncoder(path)
-    return _ENCODERS[path]
+        ENCODERS["byte", path] = UnitEncoder(path)
+    return ENCODERS["byte", path]
 
 
 def byte_bpe_path() -> str:
