@@ -14,7 +14,7 @@ from ..operators import knn, vectors
 from ..operators.lineage import cut
 from ..sources import tables as T
 from .registry import register
-from .sqlparts import ASSIGN, CENT, COR, LIB, PAPERS, PROFILE, density_sql, l2, tree_ctes
+from .sqlparts import ASSIGN, CENT, COR, LIB, PAPERS, PROFILE, PTEXT, density_sql, l2, tree_ctes
 
 # Fixed parameters of the checked queries.
 K_NEIGHBOURS = 10       # knn_exact
@@ -993,3 +993,102 @@ def cluster_pipeline(spark, sf):
                                     method="pca")
     sizes = labels.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n_members"))
     return sizes.join(cents.select("cluster_id", F.size("centroid").alias("dims")), "cluster_id", "left")
+
+
+# ======================================================================= caches and the daily run
+import uuid  # noqa: E402
+
+import pandas as pd  # noqa: E402
+
+from ..operators.store import ResultStore, cached_clusters, cached_results  # noqa: E402
+from ..session import scratch_path  # noqa: E402
+from .models import Models  # noqa: E402
+from .recommend import run_library  # noqa: E402
+
+LETTERS = "etaoinshrd"
+
+
+def letter_vectors(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A model that SQL can repeat: how often each of ten letters stands in a text, per thousand characters."""
+    size = pdf["text"].str.len().clip(lower=1)
+    return pd.DataFrame({"vector": [[float(t.count(c)) * 1000 / n for c in LETTERS] for t, n in zip(pdf["text"], size)]})
+
+
+def _letters_sql(text: str) -> str:
+    return "[" + ", ".join(f"((length({text}) - length(replace({text}, '{c}', ''))) * 1000.0 / greatest(length({text}), 1))::FLOAT" for c in LETTERS) + "]"
+
+
+@register("cached_embed", sql=f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+known AS (SELECT DISTINCT text FROM t JOIN labels USING (doc_id))
+SELECT doc_id, CASE WHEN k.text IS NULL THEN 'model' ELSE 'cache' END AS first_origin, 'cache' AS second_origin,
+       round(list_sum({_letters_sql('t.text')}::DOUBLE[]), 3) AS mass
+FROM t LEFT JOIN known k ON k.text = t.text
+""")
+def cached_embed(spark, sf):
+    """Vectors of labelled documents are stored; a run infers the other texts, a second run none."""
+    docs = T.read(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    texts = docs.withColumn("key", F.sha2("text", 256))
+    store = ResultStore(spark, scratch_path(spark, f"cached-embed/{uuid.uuid4().hex}"), "key string, vector array<float>", ["key"])
+    model = Models(embed=letter_vectors, retry={"embed": {"pacing": 0.0}})
+    infer = model.run("embed", letter_vectors, ["text"], "vector array<float>", ["key"])
+    known = T.read(spark, sf, "labels").select("doc_id").distinct()
+    store.append(infer(texts.join(known, "doc_id", "left_semi").dropDuplicates(["key"])))
+    first = cut(cached_results(texts, store, infer).select("doc_id", F.col("origin").alias("first_origin")), "first-run")
+
+    def never(rows):
+        raise RuntimeError("the second run must not infer")
+
+    second = cached_results(texts, store, never)
+    return second.select("doc_id", F.col("origin").alias("second_origin"), F.round(F.aggregate(
+        "vector", F.lit(0.0), lambda a, x: a + x.cast("double")), 3).alias("mass")).join(first, "doc_id")
+
+
+@register("cluster_cache", sql=f"""
+WITH lib AS ({LIB}), c AS ({CENT})
+SELECT l.entry_id, l.cluster_id, (SELECT count(*) FROM c) AS clusters, false AS first_hit, true AS again_hit, false AS changed_hit FROM lib l
+""")
+def cluster_cache(spark, sf):
+    """A clustering is computed once; the same vectors in another order hit, one changed vector misses."""
+    lib = T.library_vectors(spark, sf)
+    path = scratch_path(spark, f"cluster-cache/{uuid.uuid4().hex}")
+
+    def given(rows):
+        member = rows.join(lib.select("entry_id", "cluster_id"), "entry_id")
+        return member.select("entry_id", "cluster_id"), vectors.centroids(member)
+
+    def never(rows):
+        raise RuntimeError("an unchanged library must not be clustered again")
+
+    points = lib.select("entry_id", "vector")
+    _, _, first = cached_clusters(points, path, given, "labels")
+    labels, cents, again = cached_clusters(points.orderBy(F.desc("entry_id")), path, never, "labels")
+    least = F.col("entry_id") == points.agg(F.min("entry_id")).first()[0]
+    moved = points.withColumn("vector", F.when(least, F.transform("vector", lambda x: x + F.lit(1).cast("float"))).otherwise(F.col("vector")))
+    _, _, changed = cached_clusters(moved, path, given, "labels")
+    return labels.select("entry_id", "cluster_id", F.lit(cents.count()).alias("clusters"), F.lit(first).alias("first_hit"),
+                         F.lit(again).alias("again_hit"), F.lit(changed).alias("changed_hit"))
+
+
+@register("run_daily", sql=f"""
+WITH papers AS ({PAPERS}), pt AS (SELECT paper_id, text FROM ({PTEXT})),
+lib AS (SELECT paper_id, {_letters_sql('text')} AS v FROM pt WHERE paper_id % 10 = 0),
+cor AS (SELECT 'p' || paper_id AS paper_id, {_letters_sql('text')} AS v FROM pt WHERE paper_id % 10 <> 0),
+profile AS (SELECT list(m ORDER BY i) AS v FROM (SELECT i, avg(x) AS m FROM (
+  SELECT generate_subscripts(v, 1) AS i, unnest(v)::DOUBLE AS x FROM lib) GROUP BY i)),
+d AS (SELECT paper_id, {l2('profile.v', 'cor.v')} AS distance FROM cor, profile),
+r AS (SELECT *, row_number() OVER (ORDER BY round(distance, 9), paper_id) AS rank FROM d)
+SELECT 0 AS cluster_id, rank::INTEGER AS rank, paper_id, round(-distance, 4) AS score FROM r WHERE rank <= {TOPK}
+""")
+def daily_run(spark, sf):
+    """The run from texts to dated outputs with a user's embedding model, string ids and caches, twice; the second result."""
+    texts = T.papers(spark, sf).withColumn("text", X.paper_text("title", "abstract", F.array().cast("array<string>"))).filter("text <> ''")
+    lib = texts.filter(T.is_library("paper_id")).select(F.col("paper_id").cast("string").alias("entry_id"), F.col("paper_id").alias("src_pos"), "text")
+    papers = texts.filter(~T.is_library("paper_id")).select(
+        F.concat(F.lit("p"), F.col("paper_id").cast("string")).alias("paper_id"), "text", "title", F.array("source").alias("authors"),
+        F.col("lang").alias("category"))
+    base = scratch_path(spark, f"daily-run/{uuid.uuid4().hex}")
+    for name in ("first", "second"):
+        ranked = run_library(lib, papers, f"{base}/{name}", "2024-01-02", TOPK, cache_dir=f"{base}/cache",
+                             models=Models(embed=letter_vectors, retry={"embed": {"pacing": 0.0}}))
+    return ranked.select("cluster_id", "rank", "paper_id", F.round("score", 4).alias("score"))

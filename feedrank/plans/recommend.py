@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from ..operators import groups, knn, lexical, vectors
 from ..operators.lineage import cut
+from ..operators.store import cached_clusters
+from .models import DOCUMENT, QUERY, Models, embedded, explained, labelled, scored
 
 
 def flat_candidates(library: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
@@ -32,8 +34,12 @@ def rerank(cands: DataFrame, scores: DataFrame, group: list[str], k: int) -> Dat
 
 def recommend_flat(library: DataFrame, library_texts: DataFrame, corpus: DataFrame,
                    corpus_texts: DataFrame, collection: DataFrame, topk: int = 200,
-                   oversample: int = 4, use_rerank: bool = True) -> DataFrame:
-    """``(rank, paper_id, score, distance)`` for the single pseudo-cluster 0."""
+                   oversample: int = 4, use_rerank: bool = True, scorer=None) -> DataFrame:
+    """``(rank, paper_id, score, distance)`` for the single pseudo-cluster 0.
+
+    ``scorer(pairs, profiles, texts, group, cand)`` replaces the native scorer;
+    its profile is the first 8 library texts in the order of their ids.
+    """
     if not use_rerank:
         c = flat_candidates(library, corpus, topk)
         return c.select(F.col("crank").alias("rank"), "paper_id", (-F.col("distance")).alias("score"), "distance")
@@ -45,8 +51,12 @@ def recommend_flat(library: DataFrame, library_texts: DataFrame, corpus: DataFra
         F.lit(0).alias("group_id"), "text")
     cand_t = corpus_texts.select(F.col("paper_id").alias("cand_id"), "text")
     pairs = c.select("group_id", F.col("paper_id").alias("cand_id"))
-    sc = lexical.rerank_lexical(pairs, prof, cand_t, collection, "group_id", "cand_id").withColumnRenamed(
-        "cand_id", "paper_id")
+    if scorer is not None:
+        few = library.join(library_texts.withColumnRenamed("paper_id", "entry_id"), "entry_id").orderBy("entry_id").limit(8)
+        sc = scorer(pairs, few.select(F.lit(0).alias("group_id"), "text"), cand_t, "group_id", "cand_id")
+    else:
+        sc = lexical.rerank_lexical(pairs, prof, cand_t, collection, "group_id", "cand_id")
+    sc = sc.withColumnRenamed("cand_id", "paper_id")
     r = rerank(c, sc, ["group_id"], topk)
     return r.select("rank", "paper_id", "score", "distance")
 
@@ -67,7 +77,7 @@ def cluster_candidates(corpus: DataFrame, cents: DataFrame, k: int) -> DataFrame
 def recommend_clustered(library: DataFrame, library_texts: DataFrame, corpus: DataFrame,
                         corpus_texts: DataFrame, collection: DataFrame, topk: int = 200,
                         oversample: int = 4, use_rerank: bool = True,
-                        cents: DataFrame | None = None) -> DataFrame:
+                        cents: DataFrame | None = None, scorer=None) -> DataFrame:
     """``(cluster_id, rank, paper_id, score, distance)`` given cluster ids on ``library``."""
     cents = cents if cents is not None else vectors.centroids(library)
     if not use_rerank:
@@ -79,8 +89,9 @@ def recommend_clustered(library: DataFrame, library_texts: DataFrame, corpus: Da
     prof = cluster_samples(library, library_texts).select("cluster_id", "text")
     cand_t = corpus_texts.select(F.col("paper_id").alias("cand_id"), "text")
     pairs = c.select("cluster_id", F.col("paper_id").alias("cand_id"))
-    sc = lexical.rerank_lexical(pairs, prof, cand_t, collection, "cluster_id", "cand_id").withColumnRenamed(
-        "cand_id", "paper_id")
+    sc = (scorer(pairs, prof, cand_t, "cluster_id", "cand_id") if scorer is not None else
+          lexical.rerank_lexical(pairs, prof, cand_t, collection, "cluster_id", "cand_id"))
+    sc = sc.withColumnRenamed("cand_id", "paper_id")
     r = rerank(c, sc, ["cluster_id"], topk)
     return r.select("cluster_id", "rank", "paper_id", "score", "distance")
 
@@ -118,25 +129,19 @@ def _one_version(day: DataFrame) -> DataFrame:
 
 def run_daily(spark, bib_paths, feed: DataFrame, run_date: str | None, out_dir: str, topk: int = 200,
               oversample: int = 4, cluster: bool = False, categories=None, use_rerank: bool = False,
-              embed_dim: int = 256, min_cluster_size: int = 40, debug_limit: int | None = None):
-    """The whole daily run (PIPE3): bibliography + feed -> texts -> vectors ->
-    flat or clustered recommendation -> dated nested JSON and report rows.
+              embed_dim: int = 256, min_cluster_size: int = 40, debug_limit: int | None = None,
+              models: Models | None = None, cache_dir: str | None = None, cluster_method: str = "pca",
+              max_papers: int = 2000):
+    """The whole daily run (PIPE3): bibliography + feed -> :func:`run_library`.
 
     ``feed``: ``(paper_id, title, abstract, authors, published, category |
-    categories)``.  Vectors come from the native embedder fitted on both
-    sides' texts (one vector space); a user model plugs in through
-    ``operators.infer``.  Returns the long result ``(cluster_id, rank,
-    paper_id, score)``; an empty library or feed gives an empty result.
-
-    ``paper_id`` keeps the feed's type.  A paper listed several times counts
-    once, in its newest version; library entries with the same citation key
-    stay separate.  Clusters are labelled by the heaviest terms of their
-    samples.
+    categories)``; of the day's papers the ``max_papers`` newest take part.  A
+    paper listed several times counts once, in its newest version; library
+    entries with the same citation key stay separate.
     """
-    from .. import sinks
     from ..functions.text import paper_text
     from ..sources.bibtex import load_library
-    from ..sources.feed import feed_for_day
+    from ..sources.feed import feed_for_day, newest_first
 
     lib = load_library(spark, bib_paths, debug_limit=debug_limit)
     # an entry is its place in the files: two entries may carry the same citation key
@@ -144,33 +149,75 @@ def run_daily(spark, bib_paths, feed: DataFrame, run_date: str | None, out_dir:
     lib_t = lib.select(F.to_json(place).alias("entry_id"), place.alias("src_pos"),
                        paper_text("title", "abstract", "authors").alias("text")).filter(F.col("text") != "")
     lib_t = cut(lib_t, "run-library")          # one scan of the files numbers the entries
-    day = _one_version(feed_for_day(feed, run_date, categories))
-    feed_t = day.select("paper_id", paper_text("title", "abstract", "authors").alias("text")).filter(F.col("text") != "")
-    lib_t = lib_t.withColumn("doc_key", F.concat(F.lit("L:"), "entry_id"))
-    feed_t = feed_t.withColumn("doc_key", F.concat(F.lit("F:"), F.col("paper_id").cast("string")))
-    both = lib_t.select("doc_key", "text").unionByName(feed_t.select("doc_key", "text"))
-    vecs = cut(lexical.hashed_embedding(both, "doc_key", "text", dim=embed_dim), "run-vectors")
-    library = lib_t.select("entry_id", "src_pos", "doc_key").join(vecs, "doc_key").drop("doc_key")
-    corpus = feed_t.select("paper_id", "doc_key").join(vecs, "doc_key").select("paper_id", "vector")
+    day = newest_first(_one_version(feed_for_day(feed, run_date, categories)), max_papers).drop("rank")
+    papers = day.withColumn("text", paper_text("title", "abstract", "authors")).filter(F.col("text") != "")
+    return run_library(lib_t, cut(papers, "run-papers"), out_dir, run_date, topk, oversample, cluster, use_rerank, embed_dim,
+                       min_cluster_size, models, cache_dir, cluster_method)
+
+
+def run_library(lib_t: DataFrame, papers: DataFrame, out_dir: str, run_date: str | None, topk: int = 200, oversample: int = 4,
+                cluster: bool = False, use_rerank: bool = False, embed_dim: int = 256, min_cluster_size: int = 40,
+                models: Models | None = None, cache_dir: str | None = None, cluster_method: str = "pca"):
+    """Library and papers of the day -> vectors -> flat or clustered recommendation -> dated nested JSON and report rows.
+
+    ``lib_t (entry_id, src_pos, text)``, ``papers (paper_id, text, title,
+    authors, category)``.  Vectors, scores, labels and explanations come from
+    ``models`` where given, through the caches in ``cache_dir``, and else from
+    the native scorers; the native embedder is fitted on both sides' texts.
+    With ``cache_dir`` the clustering of an unchanged library is read back.
+    Returns ``(cluster_id, rank, paper_id, score)``; an empty library or feed
+    gives an empty result.
+    """
+    from .. import sinks
+
+    spark, models = lib_t.sparkSession, models or Models()
+    if (models.embed or models.label or models.explain) and not cache_dir:
+        raise ValueError("models need a cache_dir for their results")
+    lib_d = lib_t.withColumn("doc_key", F.concat(F.lit("L:"), "entry_id"))
+    feed_d = papers.select("paper_id", "text").withColumn("doc_key", F.concat(F.lit("F:"), F.col("paper_id").cast("string")))
+    both = lib_d.select("doc_key", "text").unionByName(feed_d.select("doc_key", "text"))
+    if models.embed is not None:
+        fine = lambda t, task: embedded(t, cache_dir, models, task).filter("vector is not null")
+        library = cut(fine(lib_t, QUERY).select("entry_id", "src_pos", "vector"), "run-vectors")
+        corpus = cut(fine(papers.select("paper_id", "text"), DOCUMENT).select("paper_id", "vector"), "run-vectors")
+    else:
+        vecs = cut(lexical.hashed_embedding(both, "doc_key", "text", dim=embed_dim), "run-vectors")
+        library = lib_d.select("entry_id", "src_pos", "doc_key").join(vecs, "doc_key").drop("doc_key")
+        corpus = feed_d.select("paper_id", "doc_key").join(vecs, "doc_key").select("paper_id", "vector")
     lib_texts = lib_t.select(F.col("entry_id").alias("paper_id"), "text")
-    corpus_texts = feed_t.select("paper_id", "text")
+    corpus_texts = papers.select("paper_id", "text")
     collection = both.withColumnRenamed("doc_key", "doc_id")
+    scorer = None
+    if models.score is not None:
+        scorer = lambda pairs, profiles, texts, group, cand: scored(pairs, profiles, texts, models, group, cand)
     if cluster:
-        labels, cents = cluster_library(library.select("entry_id", "vector"), min_cluster_size=min_cluster_size,
-                                        method="pca")
+        def compute(rows):
+            return cluster_library(rows, min_cluster_size=min_cluster_size, method=cluster_method)
+
+        given = library.select("entry_id", "vector")
+        if cache_dir:
+            labels, cents, _ = cached_clusters(given, f"{cache_dir}/clusters", compute, f"{cluster_method}-{min_cluster_size}")
+        else:
+            labels, cents = compute(given)
         lib_c = library.join(labels, "entry_id")
         ranked = recommend_clustered(lib_c, lib_texts, corpus, corpus_texts, collection, topk, oversample,
-                                     use_rerank, cents=cents)
+                                     use_rerank, cents=cents, scorer=scorer)
         clusters = cents.select("cluster_id")
-        named = lexical.top_terms(cluster_samples(lib_c, lib_texts), "cluster_id")
+        shown = cluster_samples(lib_c, lib_texts)
+        named = labelled(shown, cache_dir, models) if models.label is not None else lexical.top_terms(shown, "cluster_id")
     else:
         ranked = recommend_flat(library, lib_texts, corpus, corpus_texts, collection, topk, oversample,
-                                use_rerank).withColumn("cluster_id", F.lit(0))
+                                use_rerank, scorer=scorer).withColumn("cluster_id", F.lit(0))
         clusters = ranked.select("cluster_id").distinct()
         named = spark.createDataFrame([], "cluster_id int, label string")
     ranked = cut(ranked.select("cluster_id", "rank", "paper_id", "score"), "run-ranked")
-    hydrated = ranked.join(day.select("paper_id", "title", "authors", "category"), "paper_id")
-    nested = groups.nest_results(clusters, hydrated, ["paper_id", "title", "score"])
+    hydrated = ranked.join(papers.select("paper_id", "title", "authors", "category"), "paper_id")
+    items = ["paper_id", "title", "score"]
+    if models.explain is not None:                # once a recommended paper
+        wanted = corpus_texts.join(ranked.select("paper_id").distinct(), "paper_id", "left_semi")
+        hydrated = hydrated.join(explained(wanted, cache_dir, models), "paper_id", "left")
+        items.append("explanation")
+    nested = groups.nest_results(clusters, hydrated, items)
     labels_tbl = groups.attach_labels(clusters, named)
     sinks.write_nested_json(nested.join(labels_tbl, "cluster_id"), f"{out_dir}/json", run_date)
     sinks.write_report(sinks.report_lines(labels_tbl, hydrated), f"{out_dir}/report", run_date)
