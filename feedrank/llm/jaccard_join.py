@@ -17,9 +17,12 @@ so a few more slices are taken: of ``m`` slices ``m - k`` agree, and a set with
 fewer empty ones than that needs only its full slices.  The rare others also
 enter, for each empty slice, the regions of a second, independent slicing.
 
-**Recursion.**  Each region takes pivots (lowest key hashes), and the exact
-distance from every member to every pivot is computed.  Members within ``e``
-of a pivot are linked to it, hence in one component.  Every member belongs to
+**Recursion.**  Each region takes pivots (lowest key hashes), and the distance
+from every member to every pivot is computed on sketches: counts of a set's
+shingles in hash cells.  The weighted Jaccard distance of the counts is a metric
+and never above that of the sets, so windows hold for linked sets, and only pairs
+within ``e`` on sketches are compared whole.  Members that link to a pivot are in
+one component with it.  Every member belongs to
 the Voronoi cell of its nearest pivot, and is replicated to each other cell
 whose pivot is at most ``2e`` farther (the triangle inequality puts every
 partner of a cell's own members there).  In a cell only pairs with a member
@@ -28,7 +31,6 @@ outside the pivot's ball are open, and only within the window
 leave, and cells that still have open pairs are regions of the next round, with
 more pivots.  Each round removes its pivots, so the recursion ends with every
 linked pair connected: by an edge, or through a pivot that both link to.
-No round forms all pairs of a region.
 """
 
 from __future__ import annotations
@@ -53,6 +55,8 @@ FLUSH = 2_000_000            # signatures a task packs at a time
 SEEN = 1_000_000             # classes a task remembers, to emit a copy's signatures once
 LEAST_PERCENT = 75           # below, slices hold about one shingle and say too little
 FIRST_PIVOTS, PIVOTS = 1, 32  # pivots of a region in the first round, and in the second (four times more in each later one)
+CELLS = 512                  # cells of a sketch
+BROADCAST_BYTES = 32 << 20   # sketches or sets of one side of a join that may be broadcast
 MAX_ROUNDS = 40              # raises beyond; four-fold pivots outgrow any region long before
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -258,11 +262,12 @@ def _distinct_regions(r: DataFrame) -> DataFrame:
     return r.join(mark, "region", "left_semi")
 
 
-def link_classes(region: DataFrame, sets: DataFrame, percent: int,
+def link_classes(region: DataFrame, sets: DataFrame, sketches: DataFrame, percent: int,
                  first_pivots: int = FIRST_PIVOTS, pivots: int = PIVOTS) -> DataFrame:
     """Edges ``(src, dst)`` that connect exactly the components of the linked classes.
 
-    ``region (region, node)``: every linked pair shares one; ``sets (node, s)``: each node's shingles.
+    ``region (region, node)``: every linked pair shares one; ``sets (node, s)``:
+    each node's shingles; ``sketches (node, s)``: their cell counts.
     """
     eps = 1.0 - percent / 100.0
     slack = 1e-9                                   # windows are widened by rounding; links are tested on integers
@@ -278,9 +283,13 @@ def link_classes(region: DataFrame, sets: DataFrame, percent: int,
                      .select("region", F.col("node").alias("pivot"), F.col("r").alias("cell")), "pivots")
         pairs = state.join(chosen, "region").filter("node <> pivot")
         wanted = pairs.select("node", "pivot").distinct()
-        measured = cut(_distances(wanted, sets, percent), "distances")
-        new = measured.filter("linked").select(F.col("node").alias("src"), F.col("pivot").alias("dst"))
+        measured = cut(_distances(wanted, sketches), "distances")
+        # linked sets are within eps of one another in the sketches too; only those pairs are looked at whole
+        hit = cut(_linked(measured.filter(F.col("d") <= eps + slack).select("node", "pivot"), sets, percent), "links")
+        new = hit.select(F.col("node").alias("src"), F.col("pivot").alias("dst"))
         edges = new if edges is None else edges.unionByName(new)
+        measured = measured.join(hit.withColumn("linked", F.lit(True)), ["node", "pivot"], "left").withColumn(
+            "linked", F.coalesce("linked", F.lit(False)))
         # Voronoi cells: home at the nearest pivot, guests where the window of 2e reaches
         far = pairs.join(measured, ["node", "pivot"])
         if k > 1:
@@ -311,15 +320,52 @@ def link_classes(region: DataFrame, sets: DataFrame, percent: int,
     return edges
 
 
-def _distances(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Exact ``(node, pivot, d, linked)`` of every pair, from the whole sets."""
-    left = pairs.join(sets.select("node", F.col("s").alias("sx")), "node")
-    both = left.join(sets.select(F.col("node").alias("pivot"), F.col("s").alias("sy")), "pivot")
+def sketch(s: np.ndarray) -> bytes:
+    """How many shingles of a set fall into each of ``CELLS`` cells (bytes; two bytes a cell for very large sets)."""
+    counts = np.bincount((_mix(s + _C) & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
+    return counts.astype(np.uint8 if counts.max() < 256 else "<u2").tobytes()
+
+
+def _cells(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.uint8 if len(data) == CELLS else "<u2").astype(np.int32)
+
+
+def _beside(pairs: DataFrame, wide: DataFrame, key: str, new: str, size: Column) -> DataFrame:
+    """``pairs`` with the column ``s`` of ``wide (node, s)`` as ``new``; ``wide`` is broadcast only where what is
+    wanted of it is proven to be small."""
+    wanted = wide.join(pairs.select(F.col(key).alias("node")).distinct(), "node", "left_semi")
+    small = (wanted.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES
+    side = wanted.select(F.col("node").alias(key), F.col("s").alias(new))
+    return pairs.join(F.broadcast(side) if small else side, key)
+
+
+def _distances(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """``(node, pivot, d)``: weighted Jaccard distance of the cell counts, a metric that is never above the sets' distance."""
+    size = F.octet_length("s").cast("long")
+    both = _beside(_beside(pairs, sketches, "pivot", "sy", size), sketches, "node", "sx", size)
+    schema = arrow_schema("node long, pivot long, d double")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 2_000):
+                part = b.slice(at, 2_000)
+                d = []
+                for x, y in zip(part.column("sx").to_pylist(), part.column("sy").to_pylist()):
+                    x, y = _cells(x), _cells(y)
+                    common = int(np.minimum(x, y).sum())
+                    d.append(1 - common / (int(x.sum()) + int(y.sum()) - common))
+                yield to_batch({"node": part.column("node"), "pivot": part.column("pivot"), "d": d}, schema)
+
+    return both.select("node", "pivot", "sx", "sy").mapInArrow(run, "node long, pivot long, d double")
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``(node, pivot)`` that link, decided on the whole sets."""
+    size = 8 * F.size("s").cast("long")
+    both = _beside(_beside(pairs, sets, "node", "sx", size), sets, "pivot", "sy", size)
     inter = F.size(F.array_intersect("sx", "sy"))
     got = both.select("node", "pivot", inter.alias("i"), (F.size("sx") + F.size("sy")).alias("n"))
-    union = F.col("n") - F.col("i")
-    return got.select("node", "pivot", (1 - F.col("i") / union).alias("d"),
-                      (100 * F.col("i") >= percent * union).alias("linked"))
+    return got.filter(100 * F.col("i") >= percent * (F.col("n") - F.col("i"))).select("node", "pivot")
 
 
 def _grouped(df: DataFrame, id_col: str, text_col: str, size: int, percent: int, first_pivots: int, pivots: int) -> DataFrame:
@@ -332,14 +378,15 @@ def _grouped(df: DataFrame, id_col: str, text_col: str, size: int, percent: int,
 
     def sets_of(cols: dict) -> dict:
         got = [shingle_set(t, size) for t in cols["t"]]
-        return {"node": [set_digest(s) for s in got], "s": [s.view(np.int64) for s in got]}
+        return {"node": [set_digest(s) for s in got], "s": [s.view(np.int64) for s in got], "k": [sketch(s) for s in got]}
 
     texts = src.join(need.select(F.col("rep").alias("rep_id")).distinct(),
                      F.col("doc_id").eqNullSafe(F.col("rep_id")), "left_semi")
-    sets = map_batches(texts.select(text_or_empty("text").alias("t")), sets_of, "node long, s array<long>")
+    sets = map_batches(texts.select(text_or_empty("text").alias("t")), sets_of, "node long, s array<long>, k binary")
     # several rows may carry a representative's key; one set is kept for each class
     sets = cut(sets.join(need.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
-    label = components(link_classes(region, sets, percent, first_pivots, pivots))
+    sketches = sets.select("node", F.col("k").alias("s"))
+    label = components(link_classes(region, sets.select("node", "s"), sketches, percent, first_pivots, pivots))
     named = classes.join(label, "node").select("node", "rep", "label")
     least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
     # only classes with links can have another id than their own representative
