@@ -22,7 +22,8 @@ from every member to every pivot is computed on sketches: counts of a set's
 shingles in hash cells.  The weighted Jaccard distance of the counts is a metric
 and never above that of the sets, so windows hold for linked sets, and only pairs
 within ``e`` on sketches are compared whole.  Members that link to a pivot are in
-one component with it.  Every member belongs to
+one component with it; pivots and what links to them share a label, pairs of one
+label are not compared, and regions of one label are done.  Every member belongs to
 the Voronoi cell of its nearest pivot, and is replicated to each other cell
 whose pivot is at most ``2e`` farther (the triangle inequality puts every
 partner of a cell's own members there).  In a cell only pairs with a member
@@ -273,22 +274,39 @@ def link_classes(region: DataFrame, sets: DataFrame, sketches: DataFrame, percen
     slack = 1e-9                                   # windows are widened by rounding; links are tested on integers
     state = cut(_distinct_regions(region.select("region", "node", F.lit(True).alias("host"))), "regions")
     edges: DataFrame | None = None
+    labels: DataFrame | None = None                # (node, label) of nodes with links: equal labels are connected
     for round_ in range(MAX_ROUNDS):
         if state.limit(1).count() == 0:
             break
         k = first_pivots if round_ == 0 else pivots * 4 ** (round_ - 1)
         # pivots: the hosts of lowest hash; the group limit runs before the shuffle, so a hot region sends k rows a task
-        rank = F.row_number().over(Window.partitionBy("region").orderBy(F.xxhash64("node"), "node"))
-        chosen = cut(state.filter("host").select("region", "node").withColumn("r", rank).filter(F.col("r") <= k)
+        # those of a label that is rare in the region come first: when they leave, what is left is connected
+        hosts = state.filter("host").select("region", "node")
+        if labels is not None:
+            hosts = hosts.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+            hosts = hosts.join(hosts.groupBy("region", "label").agg(F.count(F.lit(1)).alias("same")), ["region", "label"])
+        else:
+            hosts = hosts.withColumn("same", F.lit(1))
+        rank = F.row_number().over(Window.partitionBy("region").orderBy("same", F.xxhash64("node"), "node"))
+        chosen = cut(hosts.withColumn("r", rank).filter(F.col("r") <= k)
                      .select("region", F.col("node").alias("pivot"), F.col("r").alias("cell")), "pivots")
         pairs = state.join(chosen, "region").filter("node <> pivot")
         wanted = pairs.select("node", "pivot").distinct()
         measured = cut(_distances(wanted, sketches), "distances")
         # linked sets are within eps of one another in the sketches too; only those pairs are looked at whole
-        hit = cut(_linked(measured.filter(F.col("d") <= eps + slack).select("node", "pivot"), sets, percent), "links")
+        near = measured.filter(F.col("d") <= eps + slack).select("node", "pivot")
+        known = None
+        if labels is not None:                     # connected already: nothing to look at
+            of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
+            near = near.join(of("node"), "node", "left").join(of("pivot"), "pivot", "left")
+            near = cut(near.select("node", "pivot", F.coalesce(F.col("node_label") == F.col("pivot_label"), F.lit(False)).alias("known")), "near")
+            known, near = near.filter("known").select("node", "pivot"), near.filter("not known").select("node", "pivot")
+        hit = cut(_linked(near, sets, percent), "links")
         new = hit.select(F.col("node").alias("src"), F.col("pivot").alias("dst"))
         edges = new if edges is None else edges.unionByName(new)
-        measured = measured.join(hit.withColumn("linked", F.lit(True)), ["node", "pivot"], "left").withColumn(
+        labels = cut(_labelled(hit, labels), "labels")
+        joined = hit if known is None else hit.unionByName(known)
+        measured = measured.join(joined.withColumn("linked", F.lit(True)), ["node", "pivot"], "left").withColumn(
             "linked", F.coalesce("linked", F.lit(False)))
         # Voronoi cells: home at the nearest pivot, guests where the window of 2e reaches
         far = pairs.join(measured, ["node", "pivot"])
@@ -311,7 +329,10 @@ def link_classes(region: DataFrame, sets: DataFrame, sketches: DataFrame, percen
                                             | (F.col("d") <= F.col("far_in_host") + eps + slack)))
                        | (F.col("linked") & (reach <= F.col("d") + eps + slack)))
                .select("region", "node", "host"))
-        live = nxt.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.max("host").alias("h")).filter("n > 1 and h")
+        # a region of one label is connected
+        nxt = nxt.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        live = nxt.groupBy("region").agg(F.min("label").alias("a"), F.max("label").alias("z"), F.max("host").alias("h")).filter("a <> z and h")
+        nxt = nxt.drop("label")
         state = cut(_distinct_regions(nxt.join(live.select("region"), "region", "left_semi")), "regions")
     else:
         raise RuntimeError(f"regions were still open after {MAX_ROUNDS} rounds")
@@ -320,6 +341,18 @@ def link_classes(region: DataFrame, sets: DataFrame, sketches: DataFrame, percen
     return edges
 
 
+def _labelled(links: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """``(node, label)`` after new links ``(node, pivot)``: a pivot and all that link to it take their least label."""
+    if labels is None:
+        star = links.select("pivot", F.col("node").alias("label")).unionByName(links.select("pivot", F.col("pivot").alias("label")))
+    else:
+        both = links.select("pivot", "node").unionByName(links.select("pivot", F.col("pivot").alias("node")).distinct())
+        star = both.join(labels, "node", "left").select("pivot", F.coalesce("label", "node").alias("label"))
+    least = star.groupBy("pivot").agg(F.min("label").alias("label"))
+    new = links.join(least, "pivot").select("node", "label").unionByName(least.select(F.col("pivot").alias("node"), "label"))
+    return (new if labels is None else new.unionByName(labels)).groupBy("node").agg(F.min("label").alias("label"))
+
+
 def sketch(s: np.ndarray) -> bytes:
     """How many shingles of a set fall into each of ``CELLS`` cells (bytes; two bytes a cell for very large sets)."""
     counts = np.bincount((_mix(s + _C) & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
