@@ -22,6 +22,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.joins import is_bounded
+from ..operators.lineage import cut
 from .common import col, fold, map_batches, text_or_empty, with_computed, words
 
 BUCKETS = 1 << 16
@@ -147,6 +149,7 @@ def train(samples: list[tuple[np.ndarray, np.ndarray, int]], visits: int = VISIT
         if step % n == 0:
             order = rng.permutation(n)
         ids, weight, y = samples[order[step % n]]
+        weight = weight.astype(np.float64)
         rate = RATE * (1 - step / visits)
         rows = vectors[ids]
         mean = weight @ rows
@@ -182,11 +185,18 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
         return {"k": [str(k) for k in cols["k"]], "y": cols["y"], "ids": [a.astype("<i4").tobytes() for a, _ in got],
                 "weight": [b.astype("<f4").tobytes() for _, b in got]}
 
-    rows = (map_batches(texts, features, "k string, y int, ids binary, weight binary")
-            .orderBy(F.xxhash64("k"), "k", "ids").limit(max_train).collect())
-    rows.sort(key=lambda r: (r["k"], bytes(r["ids"])))
-    return train([(np.frombuffer(r["ids"], "<i4").astype(np.int64), np.frombuffer(r["weight"], "<f4").astype(np.float64),
-                   1 if r["y"] > 0 else 0) for r in rows if len(r["ids"])])
+    rows = cut(map_batches(texts, features, "k string, y int, ids binary, weight binary"), "labelled-features")
+    if not is_bounded(rows, max_train):
+        rows = rows.orderBy(F.xxhash64("k"), "k", "ids").limit(max_train)
+    # two flat arrays, filled a partition at a time
+    flat, ends, marks = (bytearray(), bytearray()), [0], []
+    for r in rows.filter(F.octet_length("ids") > 0).orderBy("k", "ids").toLocalIterator():
+        flat[0].extend(r["ids"])
+        flat[1].extend(r["weight"])
+        ends.append(len(flat[0]) // 4)
+        marks.append(1 if r["y"] > 0 else 0)
+    ids, weight = np.frombuffer(flat[0], "<i4"), np.frombuffer(flat[1], "<f4")
+    return train([(ids[a:z], weight[a:z], y) for a, z, y in zip(ends, ends[1:], marks)])
 
 
 def score_documents(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
