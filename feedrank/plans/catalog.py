@@ -8,6 +8,8 @@ Floating results are rounded to 6 decimals and ranks ordered by
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import knn, vectors
@@ -377,6 +379,35 @@ def ingest_counts(spark, sf):
                  F.count_if(F.col("title") == "").alias("n_skipped"))
 
 
+# a value may hold no braces; a document's entry follows the definition of its journal's name
+_BIB_TITLE, _BIB_ABSTRACT = (f"coalesce(translate({c}, '{{}}', '()'), '')" for c in ("title", "abstract"))
+
+
+@register("bib_entries", sql=f"""
+WITH p AS ({PAPERS})
+SELECT 'd' || p.paper_id AS entry_id, 'article' AS entry_type, {_BIB_TITLE} AS title, md5({_BIB_ABSTRACT}) AS abstract_md5,
+       len({_BIB_ABSTRACT}) AS abstract_chars, coalesce(d.source, '') || ' papers' AS journal, CAST(p.paper_id AS VARCHAR) AS year
+FROM p JOIN documents d ON d.doc_id = p.paper_id WHERE {_BIB_TITLE} <> ''
+""")
+def bib_entries(spark, sf):
+    """All documents written as a bibliography - names, indented heads, remarks between entries - and read back."""
+    from ..session import scratch_path
+    from ..sources import bibtex
+    p = (T.papers(spark, sf).select("paper_id", "title", "abstract")
+         .join(T.read(spark, sf, "documents").select(F.col("doc_id").alias("paper_id"), "source"), "paper_id"))
+    folder = scratch_path(spark, f"bib/{uuid.uuid4().hex}")
+    p.select(F.concat(F.lit("@string{j"), "paper_id", F.lit(" = {"), F.coalesce("source", F.lit("")), F.lit("}}\nA remark, with one @ sign.\n  @article{d"),
+                      "paper_id", F.lit(",\n  title = {"), F.expr(_BIB_TITLE), F.lit("},\n  journal = j"), "paper_id",
+                      F.lit(' # " papers",\n  year = '), "paper_id", F.lit(",\n  abstract = {"), F.expr(_BIB_ABSTRACT),
+                      F.lit("}} and a remark behind it"))).write.text(folder)
+    raw = bibtex.scan_bib(spark, folder)
+    entries, _ = bibtex.library_entries(raw)
+    kept = raw.select(*bibtex.PLACE, bibtex.field("journal").alias("journal"))
+    return entries.join(kept, list(bibtex.PLACE)).select(
+        "entry_id", "entry_type", "title", F.md5("abstract").alias("abstract_md5"),
+        F.char_length("abstract").cast("bigint").alias("abstract_chars"), "journal", "year")
+
+
 @register("authors_split", sql=f"""
 WITH au AS ({_AUTHORS_SQL})
 SELECT conv_id, CAST(len(authors) AS INTEGER) AS n_authors, array_to_string(authors, '|') AS authors FROM au

@@ -140,12 +140,12 @@ def run_daily(spark, bib_paths, feed: DataFrame, run_date: str | None, out_dir:
     entries with the same citation key stay separate.
     """
     from ..functions.text import paper_text
-    from ..sources.bibtex import load_library
+    from ..sources.bibtex import PLACE, load_library
     from ..sources.feed import feed_for_day, newest_first
 
     lib = load_library(spark, bib_paths, debug_limit=debug_limit)
     # an entry is its place in the files: two entries may carry the same citation key
-    place = F.struct("src_file", "src_block", "src_row")
+    place = F.struct(*PLACE)
     lib_t = lib.select(F.to_json(place).alias("entry_id"), place.alias("src_pos"),
                        paper_text("title", "abstract", "authors").alias("text")).filter(F.col("text") != "")
     lib_t = cut(lib_t, "run-library")          # one scan of the files numbers the entries

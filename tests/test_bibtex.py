@@ -38,8 +38,8 @@ def _write(text, name="lib.bib"):
 def test_scan_entries_and_rejects(spark):
     raw = bibtex.scan_bib(spark, _write(BIB))
     entries, rejects = bibtex.library_entries(raw)
-    e = {r["entry_id"]: r for r in entries.collect()}
-    assert list(e) == ["smith2020", "noabs", "after", "paren"] or set(e) == {"smith2020", "noabs", "after", "paren"}
+    e = {r["entry_id"]: r for r in entries.orderBy(*bibtex.PLACE).collect()}
+    assert list(e) == ["smith2020", "noabs", "after", "paren"]
     s = e["smith2020"]
     assert s["title"] == "Deep {Learning} for Things"
     assert s["authors"] == ["John Smith", "Jane Doe"]
@@ -53,6 +53,64 @@ def test_scan_entries_and_rejects(spark):
     assert reasons == {"notitle": "empty title", "broken": "unbalanced braces"}
 
 
+ODD = """Notes before anything, mail me @ home.
+@string{jcs = "Journal of " # {Codes}}
+@string(long = jcs # ", long series")
+@article{one, title = {First}, journal = jcs, year = 2001} text after an entry
+   @article{two,
+     title = {Indented}, journal = long # { (reprint)}, month = jan}
+@article{three, title = {A value
+@ line and
+@twitter handle}, year = "2003"}  @misc{four, title = {Same line}}
+% a comment line
+@comment{@article{no, title = {Never}}}
+@string{jcs = {Renamed}}
+@article{five, title = {Later}, journal = JCS}
+@article{six, title = {Never closed,
+  @article{seven, title = {After the broken one}}
+"""
+
+
+def test_text_between_entries_indented_heads_and_string_names(spark):
+    raw = bibtex.scan_bib(spark, _write(ODD))
+    got = {r["entry_id"]: r for r in raw.orderBy(*bibtex.PLACE).collect()}
+    assert list(got) == ["one", "two", "three", "four", "five", "six", "seven"]
+    assert {k for k, r in got.items() if r["error"]} == {"six"}
+    assert got["one"]["fields"] == {"title": "First", "journal": "Journal of Codes", "year": "2001"}
+    assert got["two"]["fields"] == {"title": "Indented", "journal": "Journal of Codes, long series (reprint)", "month": "jan"}
+    assert got["three"]["fields"] == {"title": "A value\n@ line and\n@twitter handle", "year": "2003"}
+    assert got["five"]["fields"]["journal"] == "Renamed"
+    c = bibtex.ingest_counts(raw).first()
+    assert (c["n_raw"], c["n_processed"], c["n_skipped"]) == (7, 6, 1)
+
+
+def test_any_split_gives_the_same_entries(spark):
+    text = ODD.replace("one,", "zero,", 1) + "".join(
+        f"@article{{e{i}, title = {{Title {i}\n@ more\n@ and more}}, journal = jcs}}\n  @misc{{m{i}, title={{M}}}} tail\n" for i in range(40))
+    path = _write(text)
+
+    def entries():
+        rows = bibtex.scan_bib(spark, path).orderBy(*bibtex.PLACE).collect()
+        return [(r["entry_id"], r["fields"], r["error"]) for r in rows]
+
+    whole = entries()
+    assert len(whole) == 87 and whole[7][1] == {"title": "Title 0\n@ more\n@ and more", "journal": "Renamed"}
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in (64, 100, 333, 1000):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", 0)
+            assert entries() == whole, size
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_empty_file(spark):
+    assert bibtex.scan_bib(spark, _write("")).count() == 0
+    assert bibtex.scan_bib(spark, _write("no entries here, only @ signs\n")).count() == 0
+
+
 def test_counts_and_order(spark):
     raw = bibtex.scan_bib(spark, _write(BIB))
     c = bibtex.ingest_counts(raw).first()
