@@ -86,7 +86,7 @@ def test_text_between_entries_indented_heads_and_string_names(spark):
 
 def test_any_split_gives_the_same_entries(spark):
     text = ODD.replace("one,", "zero,", 1) + "".join(
-        f"@article{{e{i}, title = {{Title {i}\n@ more\n@ and more}}, journal = jcs}}\n  @misc{{m{i}, title={{M}}}} tail\n" for i in range(40))
+        f"@article{{e{i}, title = {{Title {i}\n@ more\n@ and more}}, journal = jcs}}\n  @misc{{m{i}, title={{M}}}} tail\n" for i in range(12))
     path = _write(text)
 
     def entries():
@@ -94,10 +94,10 @@ def test_any_split_gives_the_same_entries(spark):
         return [(r["entry_id"], r["fields"], r["error"]) for r in rows]
 
     whole = entries()
-    assert len(whole) == 87 and whole[7][1] == {"title": "Title 0\n@ more\n@ and more", "journal": "Renamed"}
+    assert len(whole) == 31 and whole[7][1] == {"title": "Title 0\n@ more\n@ and more", "journal": "Renamed"}
     before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
     try:
-        for size in (64, 100, 333, 1000):
+        for size in (90, 700):
             spark.conf.set("spark.sql.files.maxPartitionBytes", size)
             spark.conf.set("spark.sql.files.openCostInBytes", 0)
             assert entries() == whole, size
