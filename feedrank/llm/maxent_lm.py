@@ -5,31 +5,36 @@ that of its class given the context, times that of the word in its class::
 
     P(w | h) = softmax_k( b + W[f1(h)] + W[f2(h)] + W[f3(h)] + W[f4(h)] )[class(w)] * c(w) / N(class(w))
 
-The features are hashed into ``BUCKETS`` rows: the previous word, the two
+The features are hashed into the rows of a table: the previous word, the two
 previous words (n-grams), the word before the previous one (a skip), and the
-classes of the three previous words.  Classes are made from counts: a word's
+classes of the three previous words.  The table grows with the root of the
+training tokens (``table_rows``).  Classes are made from counts: a word's
 group is the value of ``group_col`` it is most frequent in (the ``GROUPS - 1``
 most frequent values have one each), its band the size of its count.  Words
 never seen in training share one class of their own; it is learned by leaving
 one out: in training a token's class is that of its count less one.  The
 classes' words and the unknown word sum to one for every context.
 
-Counting is exact and complete and never gathers the vocabulary in one place:
-each input file's distinct words, hashed to 64 bits, travel packed to the
-bucket of their hash, are summed there over all files, and return to each file
-that has them as its dictionary, written in the shared folder.  What moves
-grows with the files' distinct words.  Training is one pass of distributed
-gradient updates: every file's task takes AdaGrad steps from the common
-start, and the weights are mixed by a tree of sums, each row weighted by how
-often its features occurred; the driver receives one model.  Scoring is a map,
-in numpy batches of tokens that touch four rows of the weights each.
+Every text is turned into tokens once: the first pass writes the numbers of
+its words within a part (up to ``PART_TOKENS`` tokens of one task) to a table
+that training and scoring read.  Counting is exact and complete and never
+gathers the vocabulary in one place: each part's distinct words, hashed to 64
+bits, travel packed to the bucket of their hash, are summed there over all
+parts, and return to each part that has them as its dictionary, a file in the
+shared folder named after the part.  What moves grows with the parts' distinct
+words.  Training is one pass of distributed gradient updates: every task takes
+AdaGrad steps from the common start, the rows it touched travel to their range
+of the table, and each range mixes them, weighted by how often their features
+occurred, into a file.  A task learns from at least ``TOKENS_PER_ROW`` tokens
+for each row of the table, so what travels stays below a share of the input at
+every size.  Scoring is a map, in numpy batches of tokens that touch four rows
+of the weights each.  The driver holds the class counts and the bias alone.
 """
 
 from __future__ import annotations
 
 import math
 import pickle
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,22 +43,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.lineage import cut
-from .common import SharedFiles, arrow_schema, col, fold, lower_words, shared_folder, text_bytes, text_or_empty, to_batch
+from .common import SharedFiles, arrow_schema, col, fold, lower_words, parts, shared_folder, text_bytes, text_or_empty, to_batch
 
-BUCKETS = 1 << 14
 GROUPS, BANDS = 5, 6
 CLASSES = GROUPS * BANDS + 1
 UNSEEN = CLASSES - 1         # class of words without a count
 STEP_TOKENS = 4_096          # tokens of one gradient step
 RATE = 0.25                  # AdaGrad learning rate
-SOME_WORDS = 200_000         # distinct words a counting task holds at a time
+PART_WORDS = 200_000         # distinct words of a part, and
+PART_TOKENS = 4_000_000      # its tokens: the first to be passed ends it
 BUCKET_BYTES = 24 << 20      # text bytes per bucket of the counting shuffle
-TEXTS = 400                  # texts turned into tokens at a time
+TOKENS_PER_ROW = 64          # tokens a training task learns from, for each row of the table
+RANGE_ROWS = 1 << 13         # rows of the table in one range
 END_HASH = np.uint64(0x9D5C1F3B7A2E4860)      # stands for the end of a text
 START_HASH = np.uint64(0x51ED270B35A4C6D9)    # stands for what comes before a text
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-ENTRY = np.dtype([("h", "<u8"), ("c", "<u4"), ("g", "u1")])    # word hash, training count, group
+# word hash, training count, group, number in the part
+ENTRY = np.dtype([("h", "<u8"), ("c", "<i8"), ("g", "u1"), ("n", "<u4")])
+# row of the table, how often its features occurred, the change of its weights times that
+CHANGE = np.dtype([("r", "<i8"), ("s", "<f8"), ("w", "<f4", (CLASSES,))])
+BIAS = -1                    # the range that stands for the bias
 _U = np.uint64
 
 
@@ -62,10 +72,15 @@ def _hash_words(w: list[bytes]) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(x) for x in w), np.uint64, len(w))
 
 
-def _slot(x: np.ndarray, salt: int) -> np.ndarray:
+def _slot(x: np.ndarray, salt: int, bits: int) -> np.ndarray:
     x = (x + _U(salt)) * _A
     x = (x ^ (x >> _U(32))) * _B
-    return (x >> _U(64 - 14)).astype(np.int64)
+    return (x >> _U(64 - bits)).astype(np.int64)
+
+
+def table_rows(tokens: int) -> int:
+    """Rows of the table: the power of two from four times the root of the training tokens on."""
+    return 1 << max(12, math.ceil(math.log2(4 * math.sqrt(max(tokens, 1)))))
 
 
 def classes(count: np.ndarray, group: np.ndarray) -> np.ndarray:
@@ -76,83 +91,96 @@ def classes(count: np.ndarray, group: np.ndarray) -> np.ndarray:
 
 # -- counting ------------------------------------------------------------------
 
-def _file_words(docs: DataFrame, groups: list[str], buckets: int) -> DataFrame:
-    """``(bucket, pid, packed)``: each file's distinct words, packed ``ENTRY`` rows by bucket of their hash."""
+class _Numbers(dict):
+    """Numbers of words in the order they come; 0 is the end."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+def _tokenise(docs: DataFrame, kind: str, groups: list[str], buckets: int) -> DataFrame:
+    """``(pid, id, learn, numbers)`` of every text and ``(pid, bucket, packed)`` of each part's distinct words."""
     code = {g: i + 1 for i, g in enumerate(groups)}
-    out = "bucket int, pid string, packed binary"
+    out = f"pid long, id {kind}, learn boolean, numbers binary, bucket int, packed binary"
     schema = arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pid = None
-        seen: dict[int, Counter] = {}
-        other: set[bytes] = set()                  # words of texts that are not learned from
-        ends: Counter = Counter()
-
-        def flush() -> pa.RecordBatch | None:
-            rows = [np.zeros(0, ENTRY)]
-            for g, words in seen.items():
-                e = np.zeros(len(words) + 1, ENTRY)
-                e["h"] = np.append(_hash_words(list(words)), END_HASH)
-                e["c"] = np.append(np.fromiter(words.values(), np.uint32, len(words)), ends[g])
-                e["g"] = g
+        from pyspark import TaskContext
+        pid = TaskContext.get().partitionId() << 32
+        lut = _Numbers({b"": 0})
+        learned: dict[int, list[np.ndarray]] = {}
+        tokens = 0
+
+        def flush() -> pa.RecordBatch:
+            h = np.concatenate([[END_HASH], _hash_words(list(lut)[1:])])
+            rows, unseen = [], np.ones(len(h), bool)
+            for g, held in learned.items():
+                count = np.bincount(np.concatenate(held), minlength=len(h))
+                at = np.flatnonzero(count)
+                e = np.zeros(len(at), ENTRY)
+                e["h"], e["c"], e["g"], e["n"] = h[at], count[at], g, at
+                unseen[at] = False
                 rows.append(e)
-            rest = list(other)
-            e = np.zeros(len(rest), ENTRY)
-            e["h"] = _hash_words(rest)
-            rows.append(e)
-            seen.clear(), other.clear(), ends.clear()
-            every = np.concatenate(rows)
-            if not len(every):
-                return None
+            at = np.flatnonzero(unseen)            # words of texts that are not learned from
+            e = np.zeros(len(at), ENTRY)
+            e["h"], e["n"] = h[at], at
+            every = np.concatenate([*rows, e])
             at = (every["h"] >> _U(20)) % _U(buckets)
             order = np.argsort(at, kind="stable")
             every, at = every[order], at[order].astype(np.int64)
             cuts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1], [True]]))
-            return to_batch({"bucket": at[cuts[:-1]], "pid": [pid] * (len(cuts) - 1),
+            n = len(cuts) - 1
+            return to_batch({"pid": [pid] * n, "id": [None] * n, "learn": [None] * n, "numbers": [None] * n, "bucket": at[cuts[:-1]],
                              "packed": [every[a:z].tobytes() for a, z in zip(cuts, cuts[1:])]}, schema)
 
         for b in batches:
-            c = b.to_pydict()
-            for p, text, learn, group in zip(c["pid"], c["t"], c["learn"], c["grp"]):
-                if p != pid or len(other) + sum(map(len, seen.values())) > SOME_WORDS:
-                    if pid is not None and (got := flush()) is not None:
-                        yield got
-                    pid = p
-                w = lower_words(text)
-                if learn:
-                    g = code.get(group, 0)
-                    seen.setdefault(g, Counter()).update(w)
-                    ends[g] += 1
-                else:
-                    other.update(w)
-        if pid is not None and (got := flush()) is not None:
-            yield got
+            for part in parts(b):
+                c = part.to_pydict()
+                numbers = []
+                for text, learn, group in zip(c["t"], c["learn"], c["grp"]):
+                    w = lower_words(text)
+                    x = np.zeros(len(w) + 1, np.uint32)
+                    x[:-1] = np.fromiter(map(lut.__getitem__, w), np.uint32, len(w))
+                    numbers.append(x.tobytes())
+                    tokens += len(x)
+                    if learn:
+                        learned.setdefault(code.get(group, 0), []).append(x)
+                n = part.num_rows
+                yield to_batch({"pid": [pid] * n, "id": c["id"], "learn": c["learn"], "numbers": numbers, "bucket": [None] * n,
+                                "packed": [None] * n}, schema)
+                if tokens >= PART_TOKENS or len(lut) >= PART_WORDS:
+                    yield flush()
+                    pid, lut, tokens = pid + 1, _Numbers({b"": 0}), 0
+                    learned.clear()
+        if tokens:
+            yield flush()
 
     return docs.mapInArrow(run, out)
 
 
 def _sum_buckets(words: DataFrame, buckets: int) -> DataFrame:
-    """Sum the counts of each bucket over all files; ``(pid, packed, stats)`` gives every file its words back.
+    """Sum the counts of each bucket over all parts; ``(pid, packed, stats)`` gives every part its words back.
 
     One more row per bucket, with a null ``pid``, carries the bucket's totals:
-    words per class, counts per class and distinct trained words.
+    counts per class and distinct trained words.
     """
-    out = "pid string, packed binary, stats binary"
+    out = "pid long, packed binary, stats binary"
     schema = arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pids: list[str] = []
-        parts: list[np.ndarray] = []
+        pids: list[int] = []
+        held: list[np.ndarray] = []
         for b in batches:
             pids += b.column("pid").to_pylist()
-            parts += [np.frombuffer(x, ENTRY) for x in b.column("packed").to_pylist()]
-        if not parts:
+            held += [np.frombuffer(x, ENTRY) for x in b.column("packed").to_pylist()]
+        if not held:
             return
-        every = np.concatenate(parts)
-        size = np.array([len(x) for x in parts])
-        del parts
+        every = np.concatenate(held)
+        size = np.array([len(x) for x in held])
+        del held
         order = np.lexsort((every["g"], every["h"]))
-        h, g, c = every["h"][order], every["g"][order], every["c"][order].astype(np.int64)
+        h, g, c = every["h"][order], every["g"][order], every["c"][order]
         new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (g[1:] != g[:-1])]))
         h, g, c = h[new], g[new], np.add.reduceat(c, new)
         first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
@@ -162,36 +190,47 @@ def _sum_buckets(words: DataFrame, buckets: int) -> DataFrame:
         best = np.lexsort((g, -c, word))[first]
         h, g = h[first], g[best]
         k = classes(total, g)
-        stats = np.bincount(k, weights=total, minlength=CLASSES).astype(np.int64)
+        stats = np.zeros(CLASSES, np.int64)
+        np.add.at(stats, k, total)
         yield to_batch({"pid": [None], "packed": [b""],
                         "stats": [pickle.dumps((stats, int((total > 0).sum())))]}, schema)
-        known = np.zeros(len(h), ENTRY)
-        known["h"], known["c"], known["g"] = h, np.minimum(total, 0xFFFFFFFF), g
         at = np.concatenate([[0], np.cumsum(size)])
-        by: dict[str, list[int]] = {}
+        by: dict[int, list[int]] = {}
         for i, p in enumerate(pids):
             by.setdefault(p, []).append(i)
         for p, rows in by.items():
-            mine = np.unique(np.concatenate([every["h"][at[i]:at[i + 1]] for i in rows]))
-            yield to_batch({"pid": [p], "packed": [known[np.searchsorted(h, mine)].tobytes()], "stats": [None]}, schema)
+            mine = np.concatenate([every[at[i]:at[i + 1]] for i in rows])
+            mine = mine[np.unique(mine["n"], return_index=True)[1]]
+            where = np.searchsorted(h, mine["h"])
+            mine["c"], mine["g"] = total[where], g[where]
+            yield to_batch({"pid": [p], "packed": [mine.tobytes()], "stats": [None]}, schema)
 
     return words.repartition(buckets, "bucket").mapInArrow(run, out)
 
 
-def _write_dictionaries(rows: DataFrame, files: int, folder: str) -> dict[str, str]:
-    """One sorted dictionary file per input file; returns their names (one per file)."""
-    out = "pid string, file string"
+def _put(store: SharedFiles, name: str, data: bytes) -> None:
+    """A file of a known name; every attempt writes the same bytes, and it appears whole."""
+    draft, f = store.create(name, ".part")
+    f.write(data)
+    f.close()
+    try:
+        store.fs.move(f"{store.root}/{draft}", f"{store.root}/{name}")
+    except OSError:                               # stores that do not replace a file
+        with store.open(name):
+            store.fs.delete_file(f"{store.root}/{draft}")
+
+
+def _write_dictionaries(rows: DataFrame, tasks: int, folder: str) -> None:
+    """One dictionary file per part, in the order of its numbers."""
+    out = "pid long"
     schema = arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, held, last = SharedFiles(folder), [], None
 
         def write() -> pa.RecordBatch:
-            every = np.concatenate(held)
-            name, f = store.create("words", ".bin")
-            f.write(np.sort(every, order="h").tobytes())
-            f.close()
-            return to_batch({"pid": [last], "file": [name]}, schema)
+            _put(store, f"words-{last}", np.sort(np.concatenate(held), order="n").tobytes())
+            return to_batch({"pid": [last]}, schema)
 
         for b in batches:
             for p, x in zip(b.column("pid").to_pylist(), b.column("packed").to_pylist()):
@@ -203,8 +242,7 @@ def _write_dictionaries(rows: DataFrame, files: int, folder: str) -> dict[str, s
         if held:
             yield write()
 
-    done = rows.repartition(max(1, files), "pid").sortWithinPartitions("pid").mapInArrow(run, out)
-    return {r["pid"]: r["file"] for r in cut(done, "dictionaries").collect()}
+    cut(rows.repartition(tasks, "pid").sortWithinPartitions("pid").mapInArrow(run, out), "dictionaries")
 
 
 # -- tokens --------------------------------------------------------------------
@@ -212,42 +250,33 @@ def _write_dictionaries(rows: DataFrame, files: int, folder: str) -> dict[str, s
 class _Tokens:
     """Tokens of a batch of texts: hashes, counts, groups and where texts begin."""
 
-    def __init__(self, texts: list[str], known: np.ndarray):
-        split = [lower_words(t) for t in texts]
-        self.size = np.array([len(w) + 1 for w in split])
-        lut: dict[bytes, int] = {b"": 0}           # number 0: the end
-        ids: list[int] = []
-        for w in split:
-            ids += [lut.setdefault(x, len(lut)) for x in w]
-            ids.append(0)
-        number = np.array(ids, np.int64)
-        words = list(lut)[1:]
-        h = np.concatenate([[END_HASH], _hash_words(words)])
-        at = np.minimum(np.searchsorted(known["h"], h), max(len(known) - 1, 0))
-        hit = known["h"][at] == h if len(known) else np.zeros(len(h), bool)
-        count = np.where(hit, known["c"][at].astype(np.int64), 0) if len(known) else np.zeros(len(h), np.int64)
-        group = np.where(hit, known["g"][at], 0) if len(known) else np.zeros(len(h), np.int64)
-        self.hash, self.count, self.group = h[number], count[number], group[number]
-        self.number, self.word_count, self.word_group = number, count, group
-        self.cls = classes(count, group)[number]
+    def __init__(self, numbers: list[bytes], known: dict):
+        each = [np.frombuffer(x, np.uint32) for x in numbers]
+        self.size = np.array([len(x) for x in each])
+        self.number = np.concatenate(each)
+        self.word_count, self.word_group = known["c"], known["g"]
+        self.hash, self.count = known["h"][self.number], self.word_count[self.number]
+        self.cls = classes(self.word_count, self.word_group)[self.number]
         self.begin = np.cumsum(self.size) - self.size
-        self.place = np.arange(len(number)) - np.repeat(self.begin, self.size)
+        self.place = np.arange(len(self.number)) - np.repeat(self.begin, self.size)
 
     def _before(self, x: np.ndarray, k: int, fill) -> np.ndarray:
         out = np.concatenate([np.full(min(k, len(x)), fill, x.dtype), x[:-k] if k < len(x) else x[:0]])
         out[self.place < k] = fill
         return out
 
-    def features(self) -> np.ndarray:
-        """Rows of the weights that each token's context selects."""
+    def features(self, rows: int) -> np.ndarray:
+        """Rows of the weights (a table of ``rows``) that each token's context selects."""
+        bits = rows.bit_length() - 1
         p1, p2 = (self._before(self.hash, k, START_HASH) for k in (1, 2))
         c1, c2, c3 = (self._before(self.cls, k, CLASSES).astype(np.uint64) for k in (1, 2, 3))
         both = p1 * _A + (p2 ^ (p2 >> _U(31))) * _B
-        return np.stack([_slot(p1, 1), _slot(both, 2), _slot(p2, 3), _slot(c1 + c2 * _U(64) + c3 * _U(4096), 4)], axis=1)
+        context = c1 + c2 * _U(64) + c3 * _U(4096)
+        return np.stack([_slot(p1, 1, bits), _slot(both, 2, bits), _slot(p2, 3, bits), _slot(context, 4, bits)], axis=1)
 
 
 class MaxEntModel:
-    """Weights ``w`` (BUCKETS x CLASSES), bias ``b``, and the corpus totals."""
+    """Weights ``w`` (rows of the table x CLASSES), bias ``b``, and the corpus totals."""
 
     def __init__(self, w: np.ndarray, b: np.ndarray, class_count: np.ndarray, distinct: int):
         self.w, self.b, self.class_count, self.distinct = w, b, class_count, distinct
@@ -263,10 +292,10 @@ class MaxEntModel:
         z /= z.sum(axis=1, keepdims=True)
         return z
 
-    def score(self, texts: list[str], known: np.ndarray) -> dict:
+    def score(self, numbers: list[bytes], known: dict) -> dict:
         """Per text: tokens, known tokens, base score and model score (log10)."""
-        t = _Tokens(texts, known)
-        f = t.features()
+        t = _Tokens(numbers, known)
+        f = t.features(len(self.w))
         log = np.empty(len(t.hash))
         for a in range(0, len(log), STEP_TOKENS):
             p = self.class_probabilities(f[a:a + STEP_TOKENS])
@@ -279,92 +308,144 @@ class MaxEntModel:
 
 
 class _Trainer:
-    """AdaGrad steps of one task from the common start."""
+    """AdaGrad steps of one task from the common start: no weights, and a bias of the classes' shares."""
 
-    def __init__(self, model: MaxEntModel):
-        self.model = MaxEntModel(model.w.copy(), model.b.copy(), model.class_count, model.distinct)
-        self.start = model
-        self.power = np.full(BUCKETS, 1e-3, np.float32)
+    def __init__(self, rows: int, bias: np.ndarray):
+        none = np.zeros(CLASSES, np.int64)
+        self.model = MaxEntModel(np.zeros((rows, CLASSES), np.float32), bias.copy(), none, 0)
+        self.start = bias
+        self.power = np.full(rows, 1e-3, np.float32)
         self.bias_power = 1e-3
-        self.seen = np.zeros(BUCKETS)
+        self.seen = np.zeros(rows)
         self.tokens = 0
 
     def step(self, f: np.ndarray, target: np.ndarray) -> None:
         m = self.model
-        err = -m.class_probabilities(f)
-        err[np.arange(len(f)), target] += 1.0
         n = len(f)
+        err = m.class_probabilities(f)
+        np.negative(err, out=err)
+        err[np.arange(n), target] += 1.0
         bias = err.mean(axis=0)
         for k in range(f.shape[1]):
-            order = np.argsort(f[:, k], kind="stable")
-            rows = f[order, k]
+            # rows in order, places below them: one sort of whole numbers
+            key = np.sort(f[:, k] * STEP_TOKENS + np.arange(n))
+            rows = key // STEP_TOKENS
             first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-            g = np.add.reduceat(err[order], first, axis=0)
+            g = np.add.reduceat(err[key % STEP_TOKENS], first, axis=0)
             rows, count = rows[first], np.diff(np.append(first, n))
-            g /= np.sqrt(count)[:, None]
-            self.power[rows] += (g * g).sum(axis=1)
-            m.w[rows] += (RATE / np.sqrt(self.power[rows]))[:, None] * g
+            g /= np.sqrt(count, dtype=np.float32)[:, None]
+            power = self.power[rows] + np.einsum("ij,ij->i", g, g)
+            self.power[rows] = power
+            g *= (np.float32(RATE) / np.sqrt(power))[:, None]
+            m.w[rows] += g
             self.seen[rows] += count
         self.bias_power += float((bias * bias).sum())
         m.b += RATE / math.sqrt(self.bias_power) * 0.1 * bias
         self.tokens += n
 
-    def learn(self, texts: list[str], known: np.ndarray) -> None:
-        t = _Tokens(texts, known)
+    def learn(self, numbers: list[bytes], known: dict) -> None:
+        t = _Tokens(numbers, known)
         # leave one out: the class the token would have, had it not been seen here
         target = classes(np.maximum(t.word_count - 1, 0), t.word_group)[t.number]
-        f = t.features()
+        f = t.features(len(self.seen))
         for a in range(0, len(f), STEP_TOKENS):
             self.step(f[a:a + STEP_TOKENS], target[a:a + STEP_TOKENS])
 
-    def change(self) -> tuple:
-        """Weighted changes, ready to be added to those of other tasks."""
-        return ((self.model.w - self.start.w) * self.seen[:, None].astype(np.float32), self.seen,
-                (self.model.b - self.start.b) * self.tokens, self.tokens)
+    def changes(self) -> Iterator[tuple[int, bytes]]:
+        """``(range, packed)``: weighted changes of the rows touched, by range of the table, and of the bias."""
+        for a in range(0, len(self.seen), RANGE_ROWS):
+            rows = a + np.flatnonzero(self.seen[a:a + RANGE_ROWS])
+            if len(rows):
+                yield a // RANGE_ROWS, _changes(rows, self.seen[rows], self.model.w[rows])
+        yield BIAS, _changes(np.array([BIAS]), np.array([self.tokens]), (self.model.b - self.start)[None])
 
 
-def _dictionary(store: SharedFiles, names: dict[str, str], pid: str) -> np.ndarray:
-    if pid not in names:
-        return np.zeros(0, ENTRY)
-    with store.open(names[pid]) as f:
-        return np.frombuffer(f.read(), ENTRY)
+def _changes(rows: np.ndarray, seen: np.ndarray, w: np.ndarray) -> bytes:
+    e = np.zeros(len(rows), CHANGE)
+    e["r"], e["s"], e["w"] = rows, seen, w * seen[:, None]
+    return e.tobytes()
 
 
-def _by_file(batches: Iterator[pa.RecordBatch], folder: str, names: dict[str, str]) -> Iterator[tuple[dict, np.ndarray]]:
-    """Columns of up to ``TEXTS`` rows of one file, and its dictionary."""
+def _by_part(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[tuple[dict, dict]]:
+    """Columns of slices of rows of one part, and its dictionary."""
     store, pid, known = SharedFiles(folder), None, None
     for b in batches:
-        for a in range(0, b.num_rows, TEXTS):
-            c = b.slice(a, TEXTS).to_pydict()
+        for part in parts(b):
+            c = part.to_pydict()
             cuts = [0, *[i for i in range(1, len(c["pid"])) if c["pid"][i] != c["pid"][i - 1]], len(c["pid"])]
             for x, z in zip(cuts, cuts[1:]):
                 if c["pid"][x] != pid:
                     pid = c["pid"][x]
-                    known = _dictionary(store, names, pid)
+                    with store.open(f"words-{pid}") as f:
+                        known = np.frombuffer(f.read(), ENTRY)
+                    known = {k: np.ascontiguousarray(known[k]) for k in ("h", "c", "g")}
                 yield {k: v[x:z] for k, v in c.items()}, known
 
 
-def train(docs: DataFrame, names: dict[str, str], folder: str, start: MaxEntModel) -> MaxEntModel:
-    """One pass of gradient updates over all rows to learn from, mixed over the tasks."""
-    sc = docs.sparkSession.sparkContext
-    shared, dictionaries = sc.broadcast(start), sc.broadcast(names)       # the model's size is fixed
+def train(tokens: DataFrame, folder: str, rows: int, trained: int, bias: np.ndarray) -> np.ndarray:
+    """One pass of gradient updates over all texts to learn from; returns the bias.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = _Trainer(shared.value)
-        for c, known in _by_file(batches, folder, dictionaries.value):
-            t.learn(c["t"], known)
-        if t.tokens:
-            yield pa.RecordBatch.from_pydict({"change": [pickle.dumps(t.change())]})
+    The weights are written as one file for each range of the table that was touched.
+    """
+    out = "rng int, task int, packed binary"
+    schema = arrow_schema(out)
 
-    def add(a: tuple, b: tuple) -> tuple:
-        return tuple(x + y for x, y in zip(a, b))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+        task = TaskContext.get().partitionId()
+        t = None
+        for c, known in _by_part(batches, folder):
+            t = t or _Trainer(rows, bias)
+            t.learn(c["numbers"], known)
+        for rng, packed in t.changes() if t else ():
+            yield to_batch({"rng": [rng], "task": [task], "packed": [packed]}, schema)
+
+    tasks = max(1, trained // (TOKENS_PER_ROW * rows))
+    ranges = -(-rows // RANGE_ROWS)
+    changes = tokens.filter("learn").select("pid", "numbers").coalesce(tasks).mapInArrow(run, out)
+
+    def mix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, last, w, seen = SharedFiles(folder), None, None, None
+
+        def done() -> pa.RecordBatch:
+            mean = (w / np.maximum(seen, 1.0)[:, None]).astype(np.float32)
+            if last != BIAS:
+                _put(store, f"weights-{last}", mean.tobytes())
+            return to_batch({"rng": [last], "bias": [mean.tobytes() if last == BIAS else None]}, mixed_schema)
 
-    changes = docs.filter("learn").select("pid", "t").mapInArrow(run, "change binary").rdd.map(lambda r: pickle.loads(r[0]))
-    parts = changes.getNumPartitions()
-    zero = (np.zeros((BUCKETS, CLASSES), np.float32), np.zeros(BUCKETS), np.zeros(CLASSES), 0)
-    w, seen, b, tokens = changes.treeAggregate(zero, add, add, depth=max(2, math.ceil(math.log(max(parts, 2), 20))))
-    return MaxEntModel(start.w + w / np.maximum(seen, 1.0)[:, None].astype(np.float32), start.b + b / max(tokens, 1),
-                       start.class_count, start.distinct)
+        for b in batches:
+            for rng, x in zip(b.column("rng").to_pylist(), b.column("packed").to_pylist()):
+                if rng != last:
+                    if last is not None:
+                        yield done()
+                    n = 1 if rng == BIAS else min(RANGE_ROWS, rows)
+                    last, w, seen = rng, np.zeros((n, CLASSES)), np.zeros(n)
+                e = np.frombuffer(x, CHANGE)
+                at = e["r"] - (BIAS if rng == BIAS else rng * RANGE_ROWS)
+                w[at] += e["w"]
+                seen[at] += e["s"]
+        if last is not None:
+            yield done()
+
+    mixed_schema = arrow_schema("rng int, bias binary")
+    mixed = cut(changes.repartition(min(ranges + 1, 1_000), "rng").sortWithinPartitions("rng", "task")
+                .mapInArrow(mix, "rng int, bias binary"), "lm-weights")
+    change = mixed.filter("bias is not null").select("bias").collect()         # one row
+    return bias + np.frombuffer(change[0]["bias"], np.float32) if change else bias
+
+
+def _read_weights(folder: str, rows: int) -> np.ndarray:
+    store = SharedFiles(folder)
+    w = np.zeros((rows, CLASSES), np.float32)
+    for a in range(0, rows, RANGE_ROWS):
+        try:
+            f = store.open(f"weights-{a // RANGE_ROWS}")
+        except FileNotFoundError:                 # no feature of this range occurred
+            continue
+        with f:
+            part = np.frombuffer(f.read(), np.float32).reshape(-1, CLASSES)
+        w[a:a + len(part)] = part
+    return w
 
 
 def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_col: str | None = "lang",
@@ -379,31 +460,31 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark = df.sparkSession
     kind = df.schema[id_col].dataType.simpleString()
     held = F.coalesce(fold(id_col, folds) == held_out_fold, F.lit(False))
-    group = F.col(group_col).cast("string") if group_col and group_col in df.columns else F.lit(None).cast("string")
-    # a copy of its own gives every row a file whose dictionary serves it in each pass
-    cut_ = cut(df.select(col(id_col).alias("id"), text_or_empty(text_col).alias("t"), (~held).alias("learn"), group.alias("grp")), "lm-docs")
-    docs = cut_.withColumn("pid", F.col("_metadata.file_name"))
-    files = max(1, len(cut_.inputFiles()))
-    top = [r["grp"] for r in cut_.filter("learn and grp is not null").groupBy("grp").count().orderBy(F.desc("count"), "grp")
+    group = col(group_col).cast("string") if group_col and group_col in df.columns else F.lit(None).cast("string")
+    docs = df.select(col(id_col).alias("id"), text_or_empty(text_col).alias("t"), (~held).alias("learn"), group.alias("grp"))
+    top = [r["grp"] for r in docs.filter("learn and grp is not null").groupBy("grp").count().orderBy(F.desc("count"), "grp")
            .limit(GROUPS - 1).collect()]
-    buckets = max(1, -(-text_bytes(cut_, "t") // BUCKET_BYTES))
-    counted = cut(_sum_buckets(_file_words(docs.select("pid", "t", "learn", "grp"), top, buckets), buckets), "lm-counts")
+    buckets = max(1, -(-text_bytes(docs, "t") // BUCKET_BYTES))
+    first = cut(_tokenise(docs, kind, top, buckets), "lm-tokens")
+    tokens = first.filter("numbers is not null")
+    counted = cut(_sum_buckets(first.filter("packed is not null").select("pid", "bucket", "packed"), buckets), "lm-counts")
     totals = [pickle.loads(r[0]) for r in counted.filter("pid is null").select("stats").collect()]    # one row a bucket
     class_count = sum((t[0] for t in totals), np.zeros(CLASSES, np.int64))
     distinct = sum(t[1] for t in totals)
+    trained = int(class_count.sum())
+    rows = table_rows(trained)
     folder = shared_folder(spark, "lm-words")
-    names = _write_dictionaries(counted.filter("pid is not null").select("pid", "packed"), files, folder)
-    prior = np.log(np.maximum(class_count, 0.5) / max(class_count.sum(), 1))
-    start = MaxEntModel(np.zeros((BUCKETS, CLASSES), np.float32), prior.astype(np.float32), class_count, distinct)
-    model = train(docs, names, folder, start)
-    shared, dictionaries = spark.sparkContext.broadcast(model), spark.sparkContext.broadcast(names)
+    _write_dictionaries(counted.filter("pid is not null").select("pid", "packed"), buckets, folder)
+    prior = np.log(np.maximum(class_count, 0.5) / max(trained, 1)).astype(np.float32)
+    bias = train(tokens, folder, rows, trained, prior)
     out = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     schema = arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        for c, known in _by_file(batches, folder, dictionaries.value):
-            got = m.score(c["t"], known)
+        m = None
+        for c, known in _by_part(batches, folder):
+            m = m or MaxEntModel(_read_weights(folder, rows), bias, class_count, distinct)
+            got = m.score(c["numbers"], known)
             yield to_batch({"doc_id": c["id"], "held_out": [not x for x in c["learn"]], "train_tokens": [m.n] * len(c["id"])} | got, schema)
 
-    return docs.select("id", "pid", "t", "learn").mapInArrow(run, out)
+    return tokens.select("id", "pid", "learn", "numbers").mapInArrow(run, out)

@@ -431,9 +431,9 @@ def test_lm_probabilities_sum_to_one():
     r = np.random.default_rng(1)
     count = np.zeros(maxent_lm.CLASSES, np.int64)
     count[:-1] = r.integers(1, 50, maxent_lm.CLASSES - 1)
-    m = maxent_lm.MaxEntModel(r.normal(size=(maxent_lm.BUCKETS, maxent_lm.CLASSES)).astype(np.float32),
+    m = maxent_lm.MaxEntModel(r.normal(size=(4096, maxent_lm.CLASSES)).astype(np.float32),
                               r.normal(size=maxent_lm.CLASSES).astype(np.float32), count, 10)
-    p = m.class_probabilities(r.integers(0, maxent_lm.BUCKETS, (20, 4)))
+    p = m.class_probabilities(r.integers(0, 4096, (20, 4)))
     assert np.allclose(p.sum(axis=1), 1.0, atol=1e-5)
 
 
