@@ -35,6 +35,7 @@ from __future__ import annotations
 
 import math
 import pickle
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,14 +54,17 @@ RATE = 0.25                  # AdaGrad learning rate
 PART_WORDS = 200_000         # distinct words of a part, and
 PART_TOKENS = 4_000_000      # its tokens: the first to be passed ends it
 BUCKET_BYTES = 24 << 20      # text bytes per bucket of the counting shuffle
+SLICE_BYTES = 1 << 20        # bytes of token numbers learned from or scored at a time
 TOKENS_PER_ROW = 64          # tokens a training task learns from, for each row of the table
 RANGE_ROWS = 1 << 13         # rows of the table in one range
 END_HASH = np.uint64(0x9D5C1F3B7A2E4860)      # stands for the end of a text
 START_HASH = np.uint64(0x51ED270B35A4C6D9)    # stands for what comes before a text
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-# word hash, training count, group, number in the part
-ENTRY = np.dtype([("h", "<u8"), ("c", "<i8"), ("g", "u1"), ("n", "<u4")])
+# word hash, training count in the part, group, number in the part
+ENTRY = np.dtype([("h", "<u8"), ("c", "<u4"), ("g", "u1"), ("n", "<u4")])
+# what a part gets back: training count, group, number in the part
+BACK = np.dtype([("c", "<i8"), ("g", "u1"), ("n", "<u4")])
 # row of the table, how often its features occurred, the change of its weights times that
 CHANGE = np.dtype([("r", "<i8"), ("s", "<f8"), ("w", "<f4", (CLASSES,))])
 BIAS = -1                    # the range that stands for the bias
@@ -99,21 +103,24 @@ class _Numbers(dict):
         return n
 
 
-def _tokenise(docs: DataFrame, kind: str, groups: list[str], buckets: int) -> DataFrame:
-    """``(pid, id, learn, numbers)`` of every text and ``(pid, bucket, packed)`` of each part's distinct words."""
+def _tokenise(docs: DataFrame, kind: str, groups: list[str], buckets: int, folder: str) -> DataFrame:
+    """``(pid, id, learn, numbers)`` of every text and ``(pid, bucket, packed)`` of each part's distinct words.
+
+    The hashes of a part's words stay in a file; its name is the attempt's own, so numbers and hashes belong together.
+    """
     code = {g: i + 1 for i, g in enumerate(groups)}
-    out = f"pid long, id {kind}, learn boolean, numbers binary, bucket int, packed binary"
+    out = f"pid string, id {kind}, learn boolean, numbers binary, bucket int, packed binary"
     schema = arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-        pid = TaskContext.get().partitionId() << 32
+        store, pid = SharedFiles(folder), uuid.uuid4().hex
         lut = _Numbers({b"": 0})
         learned: dict[int, list[np.ndarray]] = {}
         tokens = 0
 
         def flush() -> pa.RecordBatch:
             h = np.concatenate([[END_HASH], _hash_words(list(lut)[1:])])
+            _put(store, f"hashes-{pid}", h.tobytes())
             rows, unseen = [], np.ones(len(h), bool)
             for g, held in learned.items():
                 count = np.bincount(np.concatenate(held), minlength=len(h))
@@ -151,7 +158,7 @@ def _tokenise(docs: DataFrame, kind: str, groups: list[str], buckets: int) -> Da
                                 "packed": [None] * n}, schema)
                 if tokens >= PART_TOKENS or len(lut) >= PART_WORDS:
                     yield flush()
-                    pid, lut, tokens = pid + 1, _Numbers({b"": 0}), 0
+                    pid, lut, tokens = uuid.uuid4().hex, _Numbers({b"": 0}), 0
                     learned.clear()
         if tokens:
             yield flush()
@@ -165,11 +172,11 @@ def _sum_buckets(words: DataFrame, buckets: int) -> DataFrame:
     One more row per bucket, with a null ``pid``, carries the bucket's totals:
     counts per class and distinct trained words.
     """
-    out = "pid long, packed binary, stats binary"
+    out = "pid string, packed binary, stats binary"
     schema = arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pids: list[int] = []
+        pids: list[str] = []
         held: list[np.ndarray] = []
         for b in batches:
             pids += b.column("pid").to_pylist()
@@ -180,7 +187,7 @@ def _sum_buckets(words: DataFrame, buckets: int) -> DataFrame:
         size = np.array([len(x) for x in held])
         del held
         order = np.lexsort((every["g"], every["h"]))
-        h, g, c = every["h"][order], every["g"][order], every["c"][order]
+        h, g, c = every["h"][order], every["g"][order], every["c"][order].astype(np.int64)
         new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (g[1:] != g[:-1])]))
         h, g, c = h[new], g[new], np.add.reduceat(c, new)
         first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
@@ -195,15 +202,16 @@ def _sum_buckets(words: DataFrame, buckets: int) -> DataFrame:
         yield to_batch({"pid": [None], "packed": [b""],
                         "stats": [pickle.dumps((stats, int((total > 0).sum())))]}, schema)
         at = np.concatenate([[0], np.cumsum(size)])
-        by: dict[int, list[int]] = {}
+        by: dict[str, list[int]] = {}
         for i, p in enumerate(pids):
             by.setdefault(p, []).append(i)
         for p, rows in by.items():
             mine = np.concatenate([every[at[i]:at[i + 1]] for i in rows])
             mine = mine[np.unique(mine["n"], return_index=True)[1]]
             where = np.searchsorted(h, mine["h"])
-            mine["c"], mine["g"] = total[where], g[where]
-            yield to_batch({"pid": [p], "packed": [mine.tobytes()], "stats": [None]}, schema)
+            back = np.zeros(len(mine), BACK)
+            back["c"], back["g"], back["n"] = total[where], g[where], mine["n"]
+            yield to_batch({"pid": [p], "packed": [back.tobytes()], "stats": [None]}, schema)
 
     return words.repartition(buckets, "bucket").mapInArrow(run, out)
 
@@ -222,14 +230,16 @@ def _put(store: SharedFiles, name: str, data: bytes) -> None:
 
 def _write_dictionaries(rows: DataFrame, tasks: int, folder: str) -> None:
     """One dictionary file per part, in the order of its numbers."""
-    out = "pid long"
+    out = "pid string"
     schema = arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, held, last = SharedFiles(folder), [], None
 
         def write() -> pa.RecordBatch:
-            _put(store, f"words-{last}", np.sort(np.concatenate(held), order="n").tobytes())
+            every = np.concatenate(held)
+            every = every[np.argsort(every["n"])]
+            _put(store, f"words-{last}", every["c"].tobytes() + every["g"].tobytes())
             return to_batch({"pid": [last]}, schema)
 
         for b in batches:
@@ -238,7 +248,7 @@ def _write_dictionaries(rows: DataFrame, tasks: int, folder: str) -> None:
                     yield write()
                     held.clear()
                 last = p
-                held.append(np.frombuffer(x, ENTRY))
+                held.append(np.frombuffer(x, BACK))
         if held:
             yield write()
 
@@ -370,15 +380,17 @@ def _by_part(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[tuple[d
     """Columns of slices of rows of one part, and its dictionary."""
     store, pid, known = SharedFiles(folder), None, None
     for b in batches:
-        for part in parts(b):
+        for part in parts(b, SLICE_BYTES):
             c = part.to_pydict()
             cuts = [0, *[i for i in range(1, len(c["pid"])) if c["pid"][i] != c["pid"][i - 1]], len(c["pid"])]
             for x, z in zip(cuts, cuts[1:]):
                 if c["pid"][x] != pid:
                     pid = c["pid"][x]
+                    with store.open(f"hashes-{pid}") as f:
+                        h = np.frombuffer(f.read(), np.uint64)
                     with store.open(f"words-{pid}") as f:
-                        known = np.frombuffer(f.read(), ENTRY)
-                    known = {k: np.ascontiguousarray(known[k]) for k in ("h", "c", "g")}
+                        words = f.read()
+                    known = {"h": h, "c": np.frombuffer(words, np.int64, len(h)), "g": np.frombuffer(words, np.uint8, offset=8 * len(h))}
                 yield {k: v[x:z] for k, v in c.items()}, known
 
 
@@ -465,7 +477,8 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     top = [r["grp"] for r in docs.filter("learn and grp is not null").groupBy("grp").count().orderBy(F.desc("count"), "grp")
            .limit(GROUPS - 1).collect()]
     buckets = max(1, -(-text_bytes(docs, "t") // BUCKET_BYTES))
-    first = cut(_tokenise(docs, kind, top, buckets), "lm-tokens")
+    folder = shared_folder(spark, "lm-words")
+    first = cut(_tokenise(docs, kind, top, buckets, folder), "lm-tokens")
     tokens = first.filter("numbers is not null")
     counted = cut(_sum_buckets(first.filter("packed is not null").select("pid", "bucket", "packed"), buckets), "lm-counts")
     totals = [pickle.loads(r[0]) for r in counted.filter("pid is null").select("stats").collect()]    # one row a bucket
@@ -473,7 +486,6 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     distinct = sum(t[1] for t in totals)
     trained = int(class_count.sum())
     rows = table_rows(trained)
-    folder = shared_folder(spark, "lm-words")
     _write_dictionaries(counted.filter("pid is not null").select("pid", "packed"), buckets, folder)
     prior = np.log(np.maximum(class_count, 0.5) / max(trained, 1)).astype(np.float32)
     bias = train(tokens, folder, rows, trained, prior)

@@ -437,6 +437,17 @@ def test_lm_probabilities_sum_to_one():
     assert np.allclose(p.sum(axis=1), 1.0, atol=1e-5)
 
 
+def test_lm_table_grows_and_counts_are_wide(spark):
+    sizes = [maxent_lm.table_rows(n) for n in (0, 10 ** 6, 10 ** 8, 10 ** 10, 10 ** 13)]
+    assert sizes == sorted(set(sizes)) and all(4 * math.sqrt(n) <= x for n, x in zip((0, 10 ** 6, 10 ** 8, 10 ** 10, 10 ** 13), sizes))
+    # two parts of one word whose counts pass 32 bits together
+    e = np.zeros(1, maxent_lm.ENTRY)
+    e["h"], e["c"], e["g"] = 5, 4_000_000_000, 1
+    words = spark.createDataFrame([("a", 0, e.tobytes()), ("b", 0, e.tobytes())], "pid string, bucket int, packed binary")
+    got = {r["pid"]: r["packed"] for r in maxent_lm._sum_buckets(words, 1).collect()}
+    assert np.frombuffer(got["a"], maxent_lm.BACK)["c"] == np.frombuffer(got["b"], maxent_lm.BACK)["c"] == 8_000_000_000
+
+
 def test_lm_scoring_odd_rows(spark):
     got = maxent_lm.score_documents(_docs(spark)).collect()
     assert len(got) == 11 and all(math.isfinite(r["score"]) for r in got)
