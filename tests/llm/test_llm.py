@@ -438,8 +438,8 @@ def test_lm_probabilities_sum_to_one():
 
 
 def test_lm_table_grows_and_counts_are_wide(spark):
-    sizes = [maxent_lm.table_rows(n) for n in (0, 10 ** 6, 10 ** 8, 10 ** 10, 10 ** 13)]
-    assert sizes == sorted(set(sizes)) and all(4 * math.sqrt(n) <= x for n, x in zip((0, 10 ** 6, 10 ** 8, 10 ** 10, 10 ** 13), sizes))
+    sizes = [maxent_lm.table_rows(n) for n in (0, 10 ** 7, 10 ** 8, 10 ** 10, 10 ** 13)]
+    assert sizes == sorted(set(sizes)) and all(4 * math.sqrt(n) <= x for n, x in zip((0, 10 ** 7, 10 ** 8, 10 ** 10, 10 ** 13), sizes))
     # two parts of one word whose counts pass 32 bits together
     e = np.zeros(1, maxent_lm.ENTRY)
     e["h"], e["c"], e["g"] = 5, 4_000_000_000, 1
