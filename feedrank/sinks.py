@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.dates import file_date
@@ -40,16 +40,31 @@ def write_nested_json(nested: DataFrame, path: str, run_date=None, mode: str = "
      .partitionBy("run_date").json(path))
 
 
+def _write_in_order(rows: DataFrame, order: list[str], path: str, run_date, kind: str, mode: str) -> None:
+    """Write one run date's folder as numbered parts that, put one after the other, are in ``order``.
+
+    The sort cuts the rows into ranges, so no task holds them all; the order should be total.
+    """
+    day = rows.sparkSession.range(1).select(file_date(run_date).alias("d")).first()["d"]
+    rows = rows.orderBy(*order)
+    rows = rows.select("line") if kind == "text" else rows
+    rows.write.mode(mode).format(kind).save(f"{path.rstrip('/')}/run_date={day}")
+
+
 def write_ranked_json(ranked: DataFrame, path: str, run_date=None, mode: str = "overwrite") -> None:
-    """Flat ranked list (SNK2): rows ordered by rank inside each file."""
-    out = ranked.withColumn("run_date", file_date(run_date)).sortWithinPartitions("rank")
-    (out.write.mode(mode).option("partitionOverwriteMode", "dynamic")
-     .partitionBy("run_date").json(path))
+    """Flat ranked list (SNK2), ordered by rank (then id) over all parts; other run dates stay."""
+    _write_in_order(ranked, ["rank", *[c for c in ("paper_id",) if c in ranked.columns]], path, run_date, "json", mode)
 
 
 def write_report(lines: DataFrame, path: str, run_date=None, mode: str = "overwrite") -> None:
-    """Report lines as text, one folder per run date, lines in cluster/line order."""
-    out = (lines.withColumn("run_date", file_date(run_date))
-           .repartition("run_date", "cluster_id").sortWithinPartitions("cluster_id", "line_no"))
-    (out.select("run_date", "line").write.mode(mode).option("partitionOverwriteMode", "dynamic")
-     .partitionBy("run_date").text(path))
+    """Report lines as text, one folder per run date, in cluster and line order over all parts."""
+    _write_in_order(lines, ["cluster_id", "line_no", "line"], path, run_date, "text", mode)
+
+
+def read_in_order(spark: SparkSession, folder: str, kind: str, schema: str | None = None) -> DataFrame:
+    """Rows of a folder written in order, with their place ``(_part, _block, _row)``: sort by it to get the order back."""
+    source = spark.read.schema(schema) if schema else spark.read
+    meta = F.col("_metadata")
+    return source.format(kind).load(folder).select(
+        "*", F.regexp_extract(meta["file_name"], r"^part-(\d+)", 1).cast("long").alias("_part"),
+        meta["file_block_start"].alias("_block"), F.monotonically_increasing_id().alias("_row"))

@@ -49,6 +49,33 @@ def test_flat_json_sink_is_dated_and_ordered(spark):
     assert os.path.isdir(folder)
 
 
+def test_parts_of_a_sink_follow_the_order(spark):
+    out = scratch_path(spark, f"test-sink/{uuid.uuid4().hex}")
+    n = 500
+    ranked = spark.range(n).select(((F.col("id") * 181) % n + 1).cast("int").alias("rank"), F.col("id").alias("paper_id")).repartition(7)
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", False)          # several parts even of few rows
+    try:
+        sinks.write_ranked_json(ranked, f"{out}/json", "2024-03-05")
+        lines = ranked.select((F.col("rank") % 3).alias("cluster_id"), F.col("rank").alias("line_no"),
+                              F.concat(F.lit("line "), "rank").alias("line"))
+        sinks.write_report(lines, f"{out}/text", "2024-03-05")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+    def joined(kind):
+        folder = f"{out}/{kind}".replace("file:", "") + "/run_date=20240305"
+        parts = sorted(f for f in os.listdir(folder) if f.startswith("part-"))
+        return len(parts), [x.rstrip("\n") for f in parts for x in open(f"{folder}/{f}")]
+
+    parts, got = joined("json")
+    assert parts > 1 and [json.loads(x)["rank"] for x in got] == list(range(1, n + 1))
+    parts, got = joined("text")
+    assert parts > 1 and got == [f"line {r}" for r in sorted(range(1, n + 1), key=lambda r: (r % 3, r))]
+    again = sinks.read_in_order(spark, f"{out}/text/run_date=20240305", "text").orderBy("_part", "_block", "_row")
+    assert [r["value"] for r in again.collect()] == got
+
+
 def test_report_lines_format(spark):
     labels = spark.createDataFrame([(0, "Cluster 0"), (1, "Vision")], "cluster_id int, label string")
     ranked = spark.createDataFrame([(0, 1, 2305.0, "T", ["A", "B"], "cs.CL", -0.12345)],
