@@ -393,17 +393,14 @@ def bib_entries(spark, sf):
     """All documents written as a bibliography - names, indented heads, remarks between entries - and read back."""
     from ..session import scratch_path
     from ..sources import bibtex
-    p = (T.papers(spark, sf).select("paper_id", "title", "abstract")
-         .join(T.read(spark, sf, "documents").select(F.col("doc_id").alias("paper_id"), "source"), "paper_id"))
+    p = T.papers(spark, sf)
     folder = scratch_path(spark, f"bib/{uuid.uuid4().hex}")
     p.select(F.concat(F.lit("@string{j"), "paper_id", F.lit(" = {"), F.coalesce("source", F.lit("")), F.lit("}}\nA remark, with one @ sign.\n  @article{d"),
                       "paper_id", F.lit(",\n  title = {"), F.expr(_BIB_TITLE), F.lit("},\n  journal = j"), "paper_id",
                       F.lit(' # " papers",\n  year = '), "paper_id", F.lit(",\n  abstract = {"), F.expr(_BIB_ABSTRACT),
                       F.lit("}} and a remark behind it"))).write.text(folder)
-    raw = bibtex.scan_bib(spark, folder)
-    entries, _ = bibtex.library_entries(raw)
-    kept = raw.select(*bibtex.PLACE, bibtex.field("journal").alias("journal"))
-    return entries.join(kept, list(bibtex.PLACE)).select(
+    entries, _ = bibtex.library_entries(bibtex.scan_bib(spark, folder), more=("journal",))
+    return entries.select(
         "entry_id", "entry_type", "title", F.md5("abstract").alias("abstract_md5"),
         F.char_length("abstract").cast("bigint").alias("abstract_chars"), "journal", "year")
 

@@ -332,9 +332,9 @@ def field(name: str):
     return F.try_element_at(F.col("fields"), F.lit(name))
 
 
-def library_entries(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+def library_entries(raw: DataFrame, more: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """``(entries LIBRARY_SCHEMA, rejects)``: parsed entries with a non-empty
-    title, and everything else with a reason."""
+    title (and the fields named in ``more``), and everything else with a reason."""
     ok = raw.filter(F.col("error").isNull())
     title = F.coalesce(field("title"), F.lit(""))
     abstract = F.coalesce(field("abstract"), field("annote"), F.lit(""))
@@ -342,7 +342,7 @@ def library_entries(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
                      split_authors(field("author"))).otherwise(F.array().cast("array<string>"))
     lib = ok.select("entry_id", title.alias("title"), abstract.alias("abstract"), authors.alias("authors"),
                     field("eprint").alias("arxiv_id"), field("doi").alias("doi"), field("url").alias("url"),
-                    field("year").alias("year"), "entry_type", *PLACE)
+                    field("year").alias("year"), "entry_type", *PLACE, *[field(m).alias(m) for m in more])
     entries = lib.filter(F.col("title") != "")
     rejects = (raw.filter(F.col("error").isNotNull()).select(*PLACE, "entry_id", F.col("error").alias("reason"))
                .unionByName(lib.filter(F.col("title") == "").select(
