@@ -67,6 +67,11 @@ def mutual_reachability_mst(points: DataFrame, core: DataFrame, id_col: str = "i
     lightest edges that points found in earlier rounds they bound what a
     component still has to look for, so far blocks are not scored
     (``balls.lightest_edges``).  ``counts`` receives the pairs scored a round.
+
+    A point looks for edges again only if it can hold its component's lightest:
+    no edge of it to another component weighs less than the ``low`` of its last
+    search, since components only grow, and an edge that was its lightest and
+    still leaves its component is its lightest.
     """
     spark = points.sparkSession
     pts = points.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec).cast("array<double>").alias("v")).join(
@@ -80,6 +85,7 @@ def mutual_reachability_mst(points: DataFrame, core: DataFrame, id_col: str = "i
     comp = pts.select("id", F.col("id").alias("comp"))
     cores = pts.select("id", "core")
     known = None                    # edges that bound the search: (query_id, neighbor_id, w)
+    last = cores.select("id", F.col("core").alias("low"), F.lit(None).cast("bigint").alias("to"))      # no edge is below its ends' cores
     if near is not None:
         of = lambda c, out: cores.select(F.col("id").alias(c), F.col("core").alias(out))
         known = cut(near.filter("query_id <> neighbor_id").select(F.col("query_id").cast("bigint"), F.col("neighbor_id").cast("bigint"), "distance")
@@ -101,9 +107,14 @@ def mutual_reachability_mst(points: DataFrame, core: DataFrame, id_col: str = "i
                         .select("query_id", "neighbor_id", "w", "comp"), "mst-known")
             far = known.groupBy("comp").agg(F.min("w").alias("far"))
             state = state.join(far, "comp", "left").withColumn("far", F.coalesce("far", F.lit(float("inf"))))
-        found = lightest_edges(blocks, state.select("id", "core", "comp", "far"), counts)
-        per_point = cut(found.groupBy("query_id").agg(lightest).select("e.*"), "mst-points-best")
-        fresh = per_point.join(q, "query_id")
+        leaves = last.join(comp.select(F.col("id").alias("to"), F.col("comp").alias("target")), "to", "left")
+        search = state.join(leaves, "id").select("id", "core", "comp", F.when(
+            (F.col("low") <= F.col("far")) & ~F.coalesce(F.col("target") != F.col("comp"), F.lit(False)), F.col("far")).otherwise(-1.0).alias("far"))
+        found = cut(lightest_edges(blocks, search, counts), "mst-points-best")
+        exact = F.when(F.col("w") == F.col("new_low"), F.col("neighbor_id"))
+        last = cut(last.join(found.select(F.col("query_id").alias("id"), "neighbor_id", "w", F.col("low").alias("new_low")), "id", "left").select(
+            "id", F.coalesce("new_low", "low").alias("low"), F.when(F.col("new_low").isNull(), F.col("to")).otherwise(exact).alias("to")), "mst-last")
+        fresh = found.filter(F.col("w") < float("inf")).select("query_id", "neighbor_id", "w").join(q, "query_id")
         both = fresh if known is None else fresh.unionByName(known)
         per_comp = both.groupBy("comp").agg(lightest).select("comp", "e.*")
         per_comp = cut(per_comp.join(t, "neighbor_id"), "mst-choice")
