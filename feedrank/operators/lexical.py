@@ -1,8 +1,9 @@
 """Model-free text scorers built from term joins (native defaults of INF1-INF4).
 
-All of them start from term frequencies ``(key..., term, tf)``: tokens are
-exploded and counted with a partial aggregation, so a long text never sits in
-one row of a shuffle.  Term weights are ``tf * idf`` with the smoothed
+All of them start from term frequencies ``(key..., term, tf)``.  Where a key has
+one text, its terms are counted within its row, so neither texts nor tokens are
+shuffled and a task holds one text's terms; where keys repeat, tokens are
+exploded and counted with a partial aggregation.  Term weights are ``tf * idf`` with the smoothed
 ``idf(t) = ln((1 + N) / (1 + df(t))) + 1`` over a reference collection.
 
 Joins against per-term tables (idf, a profile) are many-to-one on ``term``;
@@ -18,24 +19,33 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tokens import tokens
-from .joins import lookup_join
+from .joins import LOOKUP_BROADCAST_ROWS, is_bounded, lookup_join
 from .lineage import cut
 
 
 def term_counts(df: DataFrame, keys: list[str], text: str = "text", by_key: bool = False) -> DataFrame:
     """``(keys..., term, tf)`` for every token of every text.
 
-    ``by_key`` (for document-keyed input) hash-partitions the texts by key
-    before tokenising: that partitioning already satisfies the
-    ``(key, term)`` aggregation, so the one shuffle moves the raw text
-    instead of token pairs and tokenisation runs in parallel even when the
-    input has few splits.  Never used for group keys, where one group may be
-    a large share of all texts.
+    ``by_key`` says that every key has one row: equal tokens of the sorted text
+    are counted in place.  Never used for group keys, whose texts are summed.
     """
-    if by_key:
-        df = df.repartition(*keys)
-    ex = df.select(*keys, F.explode(tokens(text)).alias("term"))
-    return ex.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"))
+    if not by_key:
+        # outer: an inner explode would be given a filter that tokenises once more
+        ex = df.select(*keys, F.explode_outer(tokens(text)).alias("term")).filter("term is not null")
+        return ex.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"))
+    row = df.select(*keys, F.sort_array(tokens(text)).alias("_s"))
+    run = F.filter(F.sequence(F.lit(1), F.size("_s")),
+                   lambda i: F.coalesce(F.get("_s", i - 2) != F.get("_s", i - 1), F.lit(True)))
+    row = row.select(*keys, "_s", F.when(F.size("_s") > 0, run).otherwise(F.array().cast("array<int>")).alias("_at"))
+    each = F.transform("_at", lambda p, k: F.struct(F.get("_s", p - 1).alias("term"), (
+        F.coalesce(F.get("_at", k + 1), F.size("_s") + 1) - p).cast("bigint").alias("tf")))
+    return row.select(*keys, F.explode_outer(each).alias("_t")).select(*keys, "_t.term", "_t.tf").filter("term is not null")
+
+
+def _spread(df: DataFrame, source: DataFrame, key: str) -> DataFrame:
+    """``df`` dealt by key where its ``source`` has fewer splits than cores (and so no more than a few of them to move)."""
+    few = source.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(key) if few else df
 
 
 def idf_table(df: DataFrame, key: str, text: str = "text") -> tuple[DataFrame, int]:
@@ -45,9 +55,12 @@ def idf_table(df: DataFrame, key: str, text: str = "text") -> tuple[DataFrame, i
     the size checks and joins that follow read it instead of re-tokenising
     the collection.
     """
-    n_docs = df.select(key).distinct().count()
-    tf = term_counts(df, [key], text, by_key=True)
-    idf = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select(
+    n_docs, most = df.groupBy(key).count().agg(F.count(F.lit(1)), F.max("count")).first()
+    if (most or 0) <= 1:        # one text a key: its distinct terms, one row each
+        terms = _spread(df, df, key).select(F.explode_outer(F.array_distinct(tokens(text))).alias("term")).filter("term is not null")
+    else:
+        terms = term_counts(df, [key], text)
+    idf = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select(
         "term", (F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + 1.0).alias("idf"))
     return cut(idf, "idf"), n_docs
 
@@ -71,9 +84,13 @@ def cosine_scores(pairs: DataFrame, profile_w: DataFrame, cand_w: DataFrame,
     One aggregation over the candidate terms gives both the dot product and
     the candidate norm.  Pairs without shared terms score 0.0.
     """
+    return _cosine(pairs, profile_w, cand_w.join(pairs.select(group, cand), cand), group, cand)
+
+
+def _cosine(pairs: DataFrame, profile_w: DataFrame, paired_w: DataFrame, group: str, cand: str) -> DataFrame:
+    """``cosine_scores`` from the terms ``(group, cand, term, w)`` of paired candidates."""
     p_norm = profile_w.groupBy(group).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("pn"))
-    cw = cand_w.join(pairs.select(group, cand), cand)                      # terms of paired candidates
-    j = lookup_join(cw, profile_w.withColumnRenamed("w", "pw"), [group, "term"], "left")
+    j = lookup_join(paired_w, profile_w.withColumnRenamed("w", "pw"), [group, "term"], "left")
     agg = j.groupBy(group, cand).agg(F.sum(F.col("w") * F.coalesce(F.col("pw"), F.lit(0.0))).alias("dot"),
                                      F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("cn"))
     s = pairs.join(agg, [group, cand], "left").join(p_norm, group, "left")
@@ -92,10 +109,15 @@ def rerank_lexical(pairs: DataFrame, profiles: DataFrame, candidates: DataFrame,
     ``(cand, text)``; ``collection`` supplies the idf.
     """
     idf, n = idf_table(collection, collection_key, text)
-    pw = weights(term_counts(profiles, [group], text), idf, n)
-    needed = candidates.join(pairs.select(cand).distinct(), cand, "left_semi")
-    cw = weights(term_counts(needed, [cand], text, by_key=True), idf, n)
-    return cosine_scores(pairs, pw.select(group, "term", "w"), cw.select(cand, "term", "w"), group, cand)
+    pw = cut(weights(term_counts(profiles, [group], text), idf, n).select(group, "term", "w"), "profile-weights")
+    # candidates meet their groups as texts, one row a pair, before they are taken apart
+    wanted = pairs.select(group, cand).distinct()
+    if is_bounded(wanted, LOOKUP_BROADCAST_ROWS):
+        wanted = F.broadcast(wanted)
+    paired = candidates.select(cand, text).join(wanted, cand)
+    most = candidates.groupBy(cand).count().agg(F.max("count")).first()[0] or 0
+    cw = weights(term_counts(paired, [group, cand], text, by_key=most <= 1), idf, n)
+    return _cosine(pairs, pw, cw.select(group, cand, "term", "w"), group, cand)
 
 
 def top_terms(docs: DataFrame, group: str, n_terms: int = 3, text: str = "text") -> DataFrame:
@@ -122,16 +144,19 @@ def extractive_summary(docs: DataFrame, collection: DataFrame, key: str = "doc_i
     Returns ``(key, explanation, n_lines)`` for texts with at least one scored line.
     """
     idf, n = idf_table(collection, collection_key, text)
-    lines = docs.repartition(key).select(   # document-keyed: spread long texts by id
-        key, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("pos", "line"))
-    toks = lines.select(key, "pos", F.explode(tokens("line")).alias("term"))
+    split = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
+    lines = _spread(docs, collection, key).select(key, F.posexplode_outer(split).alias("pos", "line"))
+    toks = lines.select(key, "pos", F.explode_outer(tokens("line")).alias("term")).filter("term is not null")
     scored = (lookup_join(toks, idf, "term", "left")
               .withColumn("idf", F.coalesce(F.col("idf"), F.lit(unseen_idf(n))))
               .groupBy(key, "pos").agg(F.avg("idf").alias("score")))
     win = Window.partitionBy(key).orderBy(F.round("score", 9).desc(), F.col("pos"))
     best = scored.withColumn("r", F.row_number().over(win)).filter(F.col("r") <= n_lines)
-    chosen = best.join(lines, [key, "pos"])
-    agg = chosen.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("s"))
+    picks = best.groupBy(key).agg(F.collect_list("pos").alias("picks"))            # at most n_lines numbers
+    # the texts meet their few places; lines are not moved
+    chosen = docs.select(key, text).join(picks, key).select(key, F.filter(F.transform("picks", lambda p: F.struct(
+        p.alias("pos"), F.get(split, p).alias("line"))), lambda x: x["line"].isNotNull()).alias("s"))
+    agg = chosen.groupBy(key).agg(F.array_sort(F.flatten(F.collect_list("s"))).alias("s"))
     return agg.select(key, F.array_join(F.transform("s", lambda x: x["line"]), " ").alias("explanation"),
                       F.size("s").alias("n_lines"))
 
