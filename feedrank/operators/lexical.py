@@ -8,7 +8,8 @@ exploded and counted with a partial aggregation.  Term weights are ``tf * idf``
 
 Joins against per-term tables (idf, a profile) are many-to-one on ``term``;
 a frequent term is a hot key, so they go through ``lookup_join``: broadcast
-when the term table is proven small, salted otherwise.
+when the term table is proven small, salted otherwise.  Scoring lines looks up
+every token, so there the frequent terms are broadcast whatever the vocabulary.
 """
 
 from __future__ import annotations
@@ -70,6 +71,20 @@ def unseen_idf(n_docs: int) -> float:
     return math.log(1.0 + n_docs) + 1.0
 
 
+def by_frequency(idf: DataFrame, most: int) -> tuple[DataFrame, DataFrame | None]:
+    """``idf`` as its most frequent terms, at most ``most``, and the rest (None if there is none)."""
+    if is_bounded(idf, most):
+        return idf, None
+    level = F.floor(F.col("idf") * 4)           # a few dozen levels; the idf falls as the frequency rises
+    held, top = 0, -1
+    for r in idf.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).orderBy("level").collect():
+        held += r["n"]
+        if held > most:
+            break
+        top = r["level"]
+    return idf.filter(level <= top), idf.filter(level > top)
+
+
 def weights(tf: DataFrame, idf: DataFrame, n_docs: int) -> DataFrame:
     """Attach ``w = tf * idf``; terms unknown to the collection use df = 0."""
     j = lookup_join(tf, idf, "term", "left")
@@ -147,14 +162,20 @@ def extractive_summary(docs: DataFrame, collection: DataFrame, key: str = "doc_i
     split = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
     lines = _spread(docs, collection, key).select(key, F.posexplode_outer(split).alias("pos", "line"))
     toks = lines.select(key, "pos", F.explode_outer(tokens("line")).alias("term")).filter("term is not null")
-    scored = (lookup_join(toks, idf, "term", "left")
-              .withColumn("idf", F.coalesce(F.col("idf"), F.lit(unseen_idf(n))))
-              .groupBy(key, "pos").agg(F.avg("idf").alias("score")))
+    common, rare = by_frequency(idf, LOOKUP_BROADCAST_ROWS)
+    each = toks.join(F.broadcast(common), "term", "left")
+    unseen = F.coalesce(F.col("idf"), F.lit(unseen_idf(n)))
+    if rare is None:
+        each = each.select(key, "pos", unseen.alias("idf"), F.lit(1).alias("n"))
+    else:       # a token counts in its line where it stands; only the rare ones move, to fetch their idf
+        few = toks.join(F.broadcast(common.select("term")), "term", "left_anti").join(rare, "term", "left")
+        each = each.select(key, "pos", "idf", F.lit(1).alias("n")).unionByName(few.select(key, "pos", unseen.alias("idf"), F.lit(0).alias("n")))
+    scored = each.groupBy(key, "pos").agg((F.sum("idf") / F.sum("n")).alias("score"))
     win = Window.partitionBy(key).orderBy(F.round("score", 9).desc(), F.col("pos"))
     best = scored.withColumn("r", F.row_number().over(win)).filter(F.col("r") <= n_lines)
     picks = best.groupBy(key).agg(F.collect_list("pos").alias("picks"))            # at most n_lines numbers
-    # the texts meet their few places; lines are not moved
-    chosen = docs.select(key, text).join(picks, key).select(key, F.filter(F.transform("picks", lambda p: F.struct(
+    # the texts meet their few places, which are hashed, so texts stream past unsorted; lines are not moved
+    chosen = docs.select(key, text).join(picks.hint("shuffle_hash"), key).select(key, F.filter(F.transform("picks", lambda p: F.struct(
         p.alias("pos"), F.get(split, p).alias("line"))), lambda x: x["line"].isNotNull()).alias("s"))
     agg = chosen.groupBy(key).agg(F.array_sort(F.flatten(F.collect_list("s"))).alias("s"))
     return agg.select(key, F.array_join(F.transform("s", lambda x: x["line"]), " ").alias("explanation"),
