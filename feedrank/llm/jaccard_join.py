@@ -47,12 +47,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators.lineage import cut
-from .common import arrow_schema, col, lower_words, map_batches, text_bytes, text_or_empty, to_batch
+from .common import arrow_schema, col, lower_words, map_batches, parts, text_bytes, text_or_empty, to_batch
 from .components import components
 
 WORDS_CACHE = 300_000        # word hashes kept by a worker
-BUCKET_BYTES = 12 << 20       # text bytes per bucket of slice signatures
-FLUSH = 2_000_000            # signatures a task packs at a time
+BUCKET_BYTES = 6 << 20        # text bytes per bucket of slice signatures
+FLUSH = 250_000              # signatures a task packs at a time
 SEEN = 1_000_000             # classes a task remembers, to emit a copy's signatures once
 LEAST_PERCENT = 75           # below, slices hold about one shingle and say too little
 FIRST_PIVOTS, PIVOTS = 1, 32  # pivots of a region in the first round, and in the second (four times more in each later one)
@@ -211,25 +211,25 @@ def regions(df: DataFrame, text_col: str, size: int, scheme: SliceScheme) -> Dat
             return to_batch({"bucket": at[cuts[:-1]], "packed": [pairs[a:z].tobytes() for a, z in zip(cuts, cuts[1:])]}, out)
 
         held = 0
-        for b in batches:
-            for t in b.column("t").to_pylist():
-                s = shingle_set(t, size)
-                node = set_digest(s)
-                if node in seen or not node:
-                    continue
-                if len(seen) > SEEN:
-                    seen.clear()
-                seen.add(node)
-                sig = scheme.signatures(s)
-                if len(sig):
-                    sigs.append(sig)
-                    nodes.append(np.full(len(sig), node, dtype=np.int64))
-                    held += len(sig)
-                if held > FLUSH:
-                    yield packed()
-                    held = 0
+        for t in (t for b in batches for part in parts(b) for t in part.column("t").to_pylist()):
+            s = shingle_set(t, size)
+            node = set_digest(s)
+            if node in seen or not node:
+                continue
+            if len(seen) > SEEN:
+                seen.clear()
+            seen.add(node)
+            sig = scheme.signatures(s)
+            if len(sig):
+                sigs.append(sig)
+                nodes.append(np.full(len(sig), node, dtype=np.int64))
+                held += len(sig)
+            if held > FLUSH:
+                yield packed()
+                held = 0
         if held:
             yield packed()
+        pa.default_memory_pool().release_unused()       # the worker is used again
 
     found = arrow_schema("region long, node long")
 
@@ -241,6 +241,7 @@ def regions(df: DataFrame, text_col: str, size: int, scheme: SliceScheme) -> Dat
         del held
         order = np.lexsort((pairs[:, 1], pairs[:, 0]))
         sig, node = pairs[order, 0], pairs[order, 1]
+        del pairs, order
         new = np.concatenate([[True], (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])])
         sig, node = sig[new], node[new]                            # a class once a signature
         first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
@@ -249,6 +250,7 @@ def regions(df: DataFrame, text_col: str, size: int, scheme: SliceScheme) -> Dat
         sig, node = sig[keep], node[keep]
         for a in range(0, len(sig), 100_000):
             yield to_batch({"region": sig[a:a + 100_000], "node": node[a:a + 100_000]}, found)
+        pa.default_memory_pool().release_unused()
 
     src = df.select(text_or_empty(text_col).alias("t"))
     return (src.mapInArrow(emit, "bucket int, packed binary").repartition(buckets, "bucket")

@@ -474,3 +474,10 @@ def test_pipeline_stages(spark):
     assert all(quality.get(k, 1) == 1 for k in left)
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     _check_packing(corpus_pipeline.STAGES[3][1](spark, docs, SF_SMALL).collect(), texts)
+
+
+def test_a_task_holds_few_signatures_and_buckets_are_small():
+    # 16 bytes a signature, and about eight copies of them while they are packed or matched
+    from feedrank.llm import jaccard_join as J
+    assert 8 * 16 * J.FLUSH <= 32 << 20
+    assert J.BUCKET_BYTES <= 8 << 20
