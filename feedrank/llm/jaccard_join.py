@@ -17,6 +17,11 @@ so a few more slices are taken: of ``m`` slices ``m - k`` agree, and a set with
 fewer empty ones than that needs only its full slices.  The rare others also
 enter, for each empty slice, the regions of a second, independent slicing.
 
+**Hubs.**  Near copies meet in many regions, most of them alike.  A region's hub
+is its member with most neighbours over all regions (a text that others were
+edited from, as a rule); the regions of one hub are taken together, so a pair of
+neighbours stands in a few of them at most, and the hub is their first pivot.
+
 **Recursion.**  Each region takes pivots (lowest key hashes), and the distance
 from every member to every pivot is computed on sketches: counts of a set's
 shingles in hash cells.  The weighted Jaccard distance of the counts is a metric
@@ -30,7 +35,10 @@ partner of a cell's own members there).  In a cell only pairs with a member
 outside the pivot's ball are open, and only within the window
 ``|d(x,p) - d(y,p)| <= e``; members no such pair needs are dropped, the pivots
 leave, and cells that still have open pairs are regions of the next round, with
-more pivots.  Each round removes its pivots, so the recursion ends with every
+more pivots.  Regions of at most ``LEAF`` members are finished by a nested loop
+over blocks of them: what is within the pivot's window, of like size and of two
+labels is compared on sketches, a block pair in a task, and only pairs within
+``e`` are rows.  Each round removes its pivots, so the recursion ends with every
 linked pair connected: by an edge, or through a pivot that both link to.
 """
 
@@ -56,7 +64,10 @@ FLUSH = 250_000              # signatures a task packs at a time
 SEEN = 1_000_000             # classes a task remembers, to emit a copy's signatures once
 LEAST_PERCENT = 75           # below, slices hold about one shingle and say too little
 FIRST_PIVOTS, PIVOTS = 1, 32  # pivots of a region in the first round, and in the second (four times more in each later one)
+LEAF = 20_000                # members of a region that a nested loop finishes
+BLOCK = 512                  # members of a block of that loop
 CELLS = 512                  # cells of a sketch
+COARSE = 64                  # sums of cells, looked at first
 BROADCAST_BYTES = 32 << 20   # sketches or sets of one side of a join that may be broadcast
 MAX_ROUNDS = 40              # raises beyond; four-fold pivots outgrow any region long before
 
@@ -265,8 +276,17 @@ def _distinct_regions(r: DataFrame) -> DataFrame:
     return r.join(mark, "region", "left_semi")
 
 
+def _around_hubs(r: DataFrame) -> DataFrame:
+    """``(region, node)``: all members of the regions with one hub, under the hub's key."""
+    size = r.groupBy("region").agg(F.count(F.lit(1)).alias("n"))
+    degree = r.join(size, "region").groupBy("node").agg(F.sum("n").alias("degree"))
+    best = F.max(F.struct("degree", F.xxhash64("node").alias("h"), "node"))
+    hub = r.join(degree, "node").groupBy("region").agg(best.alias("best")).select("region", F.col("best.node").alias("hub"))
+    return r.join(hub, "region").select(F.col("hub").alias("region"), "node").distinct()
+
+
 def link_classes(region: DataFrame, sets: DataFrame, sketches: DataFrame, percent: int,
-                 first_pivots: int = FIRST_PIVOTS, pivots: int = PIVOTS) -> DataFrame:
+                 first_pivots: int = FIRST_PIVOTS, pivots: int = PIVOTS, leaf: int = LEAF) -> DataFrame:
     """Edges ``(src, dst)`` that connect exactly the components of the linked classes.
 
     ``region (region, node)``: every linked pair shares one; ``sets (node, s)``:
@@ -275,6 +295,7 @@ def link_classes(region: DataFrame, sets: DataFrame, sketches: DataFrame, percen
     eps = 1.0 - percent / 100.0
     slack = 1e-9                                   # windows are widened by rounding; links are tested on integers
     state = cut(_distinct_regions(region.select("region", "node", F.lit(True).alias("host"))), "regions")
+    state = cut(_around_hubs(state).withColumn("host", F.lit(True)), "regions")
     edges: DataFrame | None = None
     labels: DataFrame | None = None                # (node, label) of nodes with links: equal labels are connected
     for round_ in range(MAX_ROUNDS):
@@ -283,8 +304,11 @@ def link_classes(region: DataFrame, sets: DataFrame, sketches: DataFrame, percen
         k = first_pivots if round_ == 0 else pivots * 4 ** (round_ - 1)
         # pivots: the hosts of lowest hash; the group limit runs before the shuffle, so a hot region sends k rows a task
         # those of a label that is rare in the region come first: when they leave, what is left is connected
+        # the hub, whose key names the region, is the first pivot of the first round
         hosts = state.filter("host").select("region", "node")
-        if labels is not None:
+        if round_ == 0:
+            hosts = hosts.withColumn("same", (F.col("node") != F.col("region")).cast("int"))
+        elif labels is not None:
             hosts = hosts.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
             hosts = hosts.join(hosts.groupBy("region", "label").agg(F.count(F.lit(1)).alias("same")), ["region", "label"])
         else:
@@ -305,8 +329,12 @@ def link_classes(region: DataFrame, sets: DataFrame, sketches: DataFrame, percen
             known, near = near.filter("known").select("node", "pivot"), near.filter("not known").select("node", "pivot")
         hit = cut(_linked(near, sets, percent), "links")
         new = hit.select(F.col("node").alias("src"), F.col("pivot").alias("dst"))
+        if labels is None:                         # most links are those to hubs; their components are labels
+            labels = cut(components(new), "labels")
+            new = labels.select(F.col("node").alias("src"), F.col("label").alias("dst"))
+        else:
+            labels = cut(_labelled(hit, labels), "labels")
         edges = new if edges is None else edges.unionByName(new)
-        labels = cut(_labelled(hit, labels), "labels")
         joined = hit if known is None else hit.unionByName(known)
         measured = measured.join(joined.withColumn("linked", F.lit(True)), ["node", "pivot"], "left").withColumn(
             "linked", F.coalesce("linked", F.lit(False)))
@@ -330,12 +358,19 @@ def link_classes(region: DataFrame, sets: DataFrame, sketches: DataFrame, percen
                .filter((~F.col("linked") & (F.col("host") | F.col("near_out_host").isNotNull()
                                             | (F.col("d") <= F.col("far_in_host") + eps + slack)))
                        | (F.col("linked") & (reach <= F.col("d") + eps + slack)))
-               .select("region", "node", "host"))
+               .select("region", "node", "host", "d"))
         # a region of one label is connected
         nxt = nxt.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         live = nxt.groupBy("region").agg(F.min("label").alias("a"), F.max("label").alias("z"), F.max("host").alias("h")).filter("a <> z and h")
-        nxt = nxt.drop("label")
         state = cut(_distinct_regions(nxt.join(live.select("region"), "region", "left_semi")), "regions")
+        size = cut(state.groupBy("region").agg(F.count(F.lit(1)).alias("n")), "sizes")
+        near = _near_in_blocks(state.join(size.filter(F.col("n") <= leaf), "region"), sketches, eps + slack)
+        hit = cut(_linked(cut(near.distinct(), "near"), sets, percent), "links")
+        edges = edges.unionByName(hit.select(F.col("node").alias("src"), F.col("pivot").alias("dst")))
+        large = size.filter(F.col("n") > leaf)
+        if large.limit(1).count() == 0:
+            break
+        state = cut(state.join(large, "region", "left_semi").select("region", "node", "host"), "regions")
     else:
         raise RuntimeError(f"regions were still open after {MAX_ROUNDS} rounds")
     if edges is None:
@@ -394,6 +429,66 @@ def _distances(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return both.select("node", "pivot", "sx", "sy").mapInArrow(run, "node long, pivot long, d double")
 
 
+def _near_in_blocks(state: DataFrame, sketches: DataFrame, eps: float) -> DataFrame:
+    """Pairs ``(node, pivot)`` of one region and two labels within ``eps`` on sketches, at least one of them a host.
+
+    ``state (region, node, host, d, label, n)``: ``d`` is the distance to the region's pivot, ``n`` its
+    members.  A region is cut into blocks by hash, and a block pair is one row of its members.
+    """
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    rows = state.withColumn("b", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+    rows = rows.join(sketches, "node").withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    packed = rows.groupBy("region", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j")).agg(
+        F.collect_list(F.struct("node", "host", "d", "label", "b", "s")).alias("m")).filter("size(m) > 1").select("m")
+    schema = arrow_schema("node long, pivot long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (part for b in batches for part in parts(b)):
+            lists = part.column("m")
+            stop = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
+            flat = lists.flatten()
+            node, host, d, label, b = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("node", "host", "d", "label", "b"))
+            found = [(node[a:z][x], node[a:z][y]) for a, z in zip(np.append(0, stop[:-1]).tolist(), stop.tolist()) for x, y in
+                     [_near(flat.field("s")[a:z].to_pylist(), host[a:z], d[a:z], label[a:z], b[a:z], eps)] if len(x)]
+            if found:
+                x, y = (np.concatenate(c) for c in zip(*found))
+                yield to_batch({"node": np.minimum(x, y), "pivot": np.maximum(x, y)}, schema)
+        pa.default_memory_pool().release_unused()       # the worker is used again
+
+    return packed.mapInArrow(run, "node long, pivot long")
+
+
+def _near(data: list[bytes], host: np.ndarray, d: np.ndarray, label: np.ndarray, block: np.ndarray, eps: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places ``(x, y)`` of the pairs of a block pair (of a block, if there is one) that are within ``eps`` on sketches."""
+    wide = max(map(len, data)) > CELLS
+    cells = np.stack([np.frombuffer(s, np.uint8 if len(s) == CELLS else "<u2").astype("<u2" if wide else np.uint8, copy=False) for s in data])
+    total = cells.sum(axis=1, dtype=np.int64)
+    order = np.argsort(total, kind="stable")
+    cells, total, host, d, label, block = cells[order], total[order], host[order], d[order], label[order], block[order]
+    coarse = cells.reshape(len(cells), COARSE, -1).sum(axis=2, dtype=np.int32 if wide else np.uint16)
+    across = block.min() != block.max()
+    last = np.searchsorted(total, total / (1 - eps), side="right")      # a larger partner cannot be near
+    xs, ys = [], []
+    for i in range(len(cells) - 1):
+        j = slice(i + 1, last[i])
+        fit = (label[j] != label[i]) & (np.abs(d[j] - d[i]) <= eps)
+        if not host[i]:
+            fit &= host[j]
+        if across:
+            fit &= block[j] != block[i]
+        at = np.flatnonzero(fit) + i + 1
+        for grid in (coarse, cells):                   # sums of cells can only be more alike
+            if len(at):
+                common = np.minimum(grid[at], grid[i]).sum(axis=1, dtype=np.int64)
+                at = at[1 - common / (total[at] + total[i] - common) <= eps]
+        if len(at):
+            xs.append(np.full(len(at), i))
+            ys.append(at)
+    if not xs:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return order[np.concatenate(xs)], order[np.concatenate(ys)]
+
+
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs ``(node, pivot)`` that link, decided on the whole sets."""
     size = 8 * F.size("s").cast("long")
@@ -403,7 +498,8 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return got.filter(100 * F.col("i") >= percent * (F.col("n") - F.col("i"))).select("node", "pivot")
 
 
-def _grouped(df: DataFrame, id_col: str, text_col: str, size: int, percent: int, first_pivots: int, pivots: int) -> DataFrame:
+def _grouped(df: DataFrame, id_col: str, text_col: str, size: int, percent: int, first_pivots: int, pivots: int,
+             leaf: int = LEAF) -> DataFrame:
     """``(doc_id, text_hash, n_shingles, node, label, component_id)`` per row; ``label`` is its component's smallest node."""
     src = df.select(col(id_col).alias("doc_id"), col(text_col).alias("text"))
     member = cut(members(src, "doc_id", "text", size), "members")
@@ -421,7 +517,7 @@ def _grouped(df: DataFrame, id_col: str, text_col: str, size: int, percent: int,
     # several rows may carry a representative's key; one set is kept for each class
     sets = cut(sets.join(need.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
     sketches = sets.select("node", F.col("k").alias("s"))
-    label = components(link_classes(region, sets.select("node", "s"), sketches, percent, first_pivots, pivots))
+    label = components(link_classes(region, sets.select("node", "s"), sketches, percent, first_pivots, pivots, leaf))
     named = classes.join(label, "node").select("node", "rep", "label")
     least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
     # only classes with links can have another id than their own representative
@@ -433,7 +529,7 @@ def _grouped(df: DataFrame, id_col: str, text_col: str, size: int, percent: int,
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, percent: int = 90,
-                       first_pivots: int = FIRST_PIVOTS, pivots: int = PIVOTS) -> DataFrame:
+                       first_pivots: int = FIRST_PIVOTS, pivots: int = PIVOTS, leaf: int = LEAF) -> DataFrame:
     """Per row ``(doc_id, n_shingles, component_id)``.
 
     ``component_id`` is the smallest key reachable by links, the row's own
@@ -441,7 +537,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     nothing; equal rows are one class; a null key is a component's id only
     where every key of it is null; an empty table gives no row.
     """
-    return _grouped(df, id_col, text_col, size, percent, first_pivots, pivots).select("doc_id", "n_shingles", "component_id")
+    return _grouped(df, id_col, text_col, size, percent, first_pivots, pivots, leaf).select("doc_id", "n_shingles", "component_id")
 
 
 def keep_representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5,

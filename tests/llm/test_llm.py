@@ -236,6 +236,37 @@ def test_jaccard_join_equals_brute_force(spark, size, percent, pivots):
     assert got == _components(rows, size, percent)
 
 
+@pytest.mark.parametrize("leaf,block", [(3, 512), (1000, 4)])
+def test_jaccard_join_recursion_and_blocks_equal_brute_force(spark, monkeypatch, leaf, block):
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    rows = _families()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r[0]: (r[1], r[2]) for r in jaccard_join.jaccard_components(df, size=5, percent=80, leaf=leaf).collect()}
+    assert got == _components(rows, 5, 80)
+
+
+def test_unlinked_near_copies_are_not_joined_pair_by_pair(spark, monkeypatch):
+    # copies of one text, all alike and none linked: rows of pairs stay in proportion to the copies
+    r = random.Random(3)
+    base = [f"w{r.randrange(5000)}" for _ in range(300)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 150):
+        x = list(base)
+        for k in r.sample(range(300), 8):
+            x[k] = f"n{i}x{k}"
+        rows.append((i, " ".join(x)))
+    made = []
+    for name in ("_distances", "_linked"):
+        def counted(pairs, *args, _old=getattr(jaccard_join, name)):
+            made.append(pairs.count())
+            return _old(pairs, *args)
+        monkeypatch.setattr(jaccard_join, name, counted)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r[0]: (r[1], r[2]) for r in jaccard_join.jaccard_components(df, size=3, percent=90).collect()}
+    assert got == _components(rows, 3, 90)
+    assert sum(made) <= 12 * len(rows)
+
+
 def test_jaccard_join_odd_rows(spark):
     got = jaccard_join.jaccard_components(_docs(spark)).collect()
     assert len(got) == 11
