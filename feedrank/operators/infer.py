@@ -1,7 +1,7 @@
 """Batch inference with retry, pacing and rejects (INF0), and cached inference (INF1-4).
 
 ``batch_infer`` runs a user function over sub-batches of rows inside
-``mapInPandas``: Spark partitions the work, Arrow moves the rows, and the
+``mapInArrow``: Spark partitions the work, Arrow moves the rows, and the
 function (a model client, or a native scorer) sees pandas frames of at most
 ``batch_size`` rows.  Failures after the retry budget do not stop the job;
 they yield NULL outputs and an ``infer_error`` message so the caller can route
@@ -14,6 +14,7 @@ import time
 from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -57,20 +58,31 @@ def batch_infer(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], keys:
     schema = StructType(key_fields + out_fields + [StructField("infer_error", StringType(), True)])
     out_names = [f.name for f in out_fields]
 
+    def frame(part: pa.RecordBatch) -> pd.DataFrame:
+        pdf = part.to_pandas()
+        for name in pdf:
+            if isinstance(pdf[name].dtype, pd.DatetimeTZDtype):
+                pdf[name] = pdf[name].dt.tz_localize(None)
+        return pdf
+
     def run(batches):
+        from pyspark.sql.pandas.types import to_arrow_schema
+        types = to_arrow_schema(StructType(out_fields))
         first = True
-        for pdf in batches:
-            for start in range(0, len(pdf), batch_size):
-                part = pdf.iloc[start:start + batch_size]
+        for batch in batches:
+            # only the rows the model is shown become Python objects, however large a batch is
+            for start in range(0, batch.num_rows, batch_size):
+                part = batch.slice(start, batch_size)
+                shown = part.select(in_cols)
                 if not first and pacing > 0:
                     sleep(pacing)
                 first = False
                 result, error = None, None
                 for attempt in range(1, retries + 1):
                     try:
-                        result = fn(part[in_cols].reset_index(drop=True))
-                        if len(result) != len(part):
-                            raise ValueError(f"model returned {len(result)} rows for {len(part)}")
+                        result = fn(frame(shown))
+                        if len(result) != part.num_rows:
+                            raise ValueError(f"model returned {len(result)} rows for {part.num_rows}")
                         break
                     except Exception as exc:  # noqa: BLE001
                         error = f"{type(exc).__name__}: {exc}"
@@ -78,13 +90,14 @@ def batch_infer(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], keys:
                         if attempt == retries or not retryable(exc):
                             break
                         sleep(backoff(attempt))
-                out = part[keys].reset_index(drop=True).copy()
-                for name in out_names:
-                    out[name] = result[name].reset_index(drop=True) if result is not None else None
-                out["infer_error"] = None if result is not None else error
-                yield out
-
-    return df.mapInPandas(run, schema)
+                outs = [pa.array(result[f.name], type=f.type, from_pandas=True) if result is not None else pa.nulls(part.num_rows, f.type)
+                        for f in types]
+                errors = pa.array([None if result is not None else error] * part.num_rows, pa.string())
+                yield pa.RecordBatch.from_arrays([*part.select(keys).columns, *outs, errors], names=schema.names)
+        pa.default_memory_pool().release_unused()       # the worker is used again
+
+    asked = df.select(*[F.col("`" + c.replace("`", "``") + "`") for c in dict.fromkeys([*keys, *in_cols])])
+    return asked.mapInArrow(run, schema)
 
 
 def cached_inference(requests: DataFrame, cache: DataFrame, keys: list[str],

@@ -30,6 +30,19 @@ def test_retry_then_success(spark):
     assert sorted(r["score"] for r in rows) == [i / 10 for i in range(10)]
 
 
+def test_only_the_rows_of_a_call_become_python_objects(spark, monkeypatch):
+    # 4,000 texts of 5,000 characters come in one batch; as Python objects they would take 20 MB
+    df = spark.range(4000, numPartitions=1).select("id", F.repeat(F.lit("ab"), 2500).alias("text"), F.repeat(F.lit("x"), 100).alias("other"))
+
+    def live(pdf):
+        import gc
+        kept = max((len(x) for x in gc.get_objects() if isinstance(x, pd.DataFrame)), default=0)
+        return pd.DataFrame({"score": [float(kept)] * len(pdf)})
+
+    got = infer.batch_infer(df, live, ["id"], ["text"], OUT).collect()
+    assert len(got) == 4000 and max(r["score"] for r in got) <= 32
+
+
 def test_exhausted_budget_marks_rows(spark):
     df = spark.range(5).select("id", F.lit("x").alias("text"))
 
