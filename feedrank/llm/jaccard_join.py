@@ -54,13 +54,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators.lineage import cut
+from ..operators.lineage import by_key, cut, cut_by
 from .common import arrow_schema, col, lower_words, map_batches, parts, text_bytes, text_or_empty, to_batch
 from .components import components
 
 WORDS_CACHE = 300_000        # word hashes kept by a worker
 BUCKET_BYTES = 6 << 20        # text bytes per bucket of slice signatures
 FLUSH = 250_000              # signatures a task packs at a time
+SIG_BYTES = 5                # of a signature, beside its bucket
 SEEN = 1_000_000             # classes a task remembers, to emit a copy's signatures once
 LEAST_PERCENT = 75           # below, slices hold about one shingle and say too little
 FIRST_PIVOTS, PIVOTS = 1, 32  # pivots of a region in the first round, and in the second (four times more in each later one)
@@ -179,31 +180,40 @@ class SliceScheme:
 
 
 def members(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """``(doc_id, text_hash, n_shingles, node)`` per row; ``node`` is the class key of its set."""
+    """``(doc_id, text_hash, row_key, n_shingles, node)`` per row; ``node`` is the class key of its set."""
     key = df.schema[id_col].dataType.simpleString()
-    src = df.select(col(id_col).alias("doc_id"), _text_hash(text_col).alias("text_hash"), text_or_empty(text_col).alias("t"))
+    src = df.select(col(id_col).alias("doc_id"), _text_hash(text_col).alias("text_hash"), _row_key(id_col, text_col).alias("row_key"),
+                    text_or_empty(text_col).alias("t"))
 
     def run(cols: dict) -> dict:
         sets = [shingle_set(t, size) for t in cols["t"]]
-        return {"doc_id": cols["doc_id"], "text_hash": cols["text_hash"], "n_shingles": [len(s) for s in sets],
-                "node": [set_digest(s) for s in sets]}
+        return {"doc_id": cols["doc_id"], "text_hash": cols["text_hash"], "row_key": cols["row_key"],
+                "n_shingles": [len(s) for s in sets], "node": [set_digest(s) for s in sets]}
 
-    return map_batches(src, run, f"doc_id {key}, text_hash long, n_shingles long, node long")
+    return map_batches(src, run, f"doc_id {key}, text_hash long, row_key long, n_shingles long, node long")
 
 
 def _text_hash(text_col: str) -> Column:
     return F.xxhash64(text_or_empty(text_col))
 
 
+def _row_key(id_col: str, text_col: str) -> Column:
+    """Names a row by its key and text, so that a class's row is found again without another pass of Python."""
+    return F.xxhash64(col(id_col), _text_hash(text_col))
+
+
 def regions(df: DataFrame, text_col: str, size: int, scheme: SliceScheme) -> DataFrame:
     """``(region, node)``: classes that share a slice signature, where at least two do.
 
-    Signatures travel packed (16 bytes each, one binary per batch and bucket)
-    to the bucket of their hash, where one sort finds those with several
-    classes.  Copies repeat a class's signatures once a task at most.
+    Signatures travel packed (five bytes each beside their bucket, a class once
+    for its run of them) to the bucket of their hash, where one sort finds those
+    with several classes; two signatures that agree in bucket and bytes by chance
+    make one region of theirs, which costs comparisons and no link.  Copies
+    repeat a class's signatures once a task at most.
     """
     buckets = max(1, -(-text_bytes(df, text_col) // BUCKET_BYTES))
-    out = arrow_schema("bucket int, packed binary")
+    packs = "bucket int, sigs binary, nodes binary, runs binary"
+    out = arrow_schema(packs)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -214,12 +224,16 @@ def regions(df: DataFrame, text_col: str, size: int, scheme: SliceScheme) -> Dat
             sig, node = np.concatenate(sigs), np.concatenate(nodes)
             sigs.clear()
             nodes.clear()
-            at = ((sig >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
+            at = ((sig >> np.uint64(8 * SIG_BYTES)) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(at, kind="stable")
-            pairs = np.stack([sig.view(np.int64), node], axis=1)[order]
-            at = at[order]
+            at, node = at[order], node[order]
+            sig = np.ascontiguousarray(sig[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SIG_BYTES])
             cuts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1], [True]]))
-            return to_batch({"bucket": at[cuts[:-1]], "packed": [pairs[a:z].tobytes() for a, z in zip(cuts, cuts[1:])]}, out)
+            run = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (node[1:] != node[:-1]), [True]]))
+            first, length = node[run[:-1]], np.diff(run).astype("<u4")
+            runs = np.searchsorted(run, cuts)                      # a bucket starts a run
+            of = lambda x, c: [x[a:z].tobytes() for a, z in zip(c, c[1:])]
+            return to_batch({"bucket": at[cuts[:-1]], "sigs": of(sig, cuts), "nodes": of(first, runs), "runs": of(length, runs)}, out)
 
         held = 0
         for t in (t for b in batches for part in parts(b) for t in part.column("t").to_pylist()):
@@ -245,14 +259,21 @@ def regions(df: DataFrame, text_col: str, size: int, scheme: SliceScheme) -> Dat
     found = arrow_schema("region long, node long")
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [x for b in batches for x in b.column("packed").to_pylist()]
-        if not held:
+        sigs: list[np.ndarray] = []
+        nodes: list[np.ndarray] = []
+        for b in batches:
+            for bucket, sig, node, run in zip(*(b.column(c).to_pylist() for c in out.names)):
+                low = np.zeros((len(sig) // SIG_BYTES, 8), np.uint8)
+                low[:, :SIG_BYTES] = np.frombuffer(sig, np.uint8).reshape(-1, SIG_BYTES)
+                sigs.append(low.view("<i8").ravel() | np.int64(bucket << 8 * SIG_BYTES))
+                nodes.append(np.repeat(np.frombuffer(node, np.int64), np.frombuffer(run, "<u4")))
+        if not sigs:
             return
-        pairs = np.frombuffer(b"".join(held), np.int64).reshape(-1, 2)
-        del held
-        order = np.lexsort((pairs[:, 1], pairs[:, 0]))
-        sig, node = pairs[order, 0], pairs[order, 1]
-        del pairs, order
+        sig, node = np.concatenate(sigs), np.concatenate(nodes)
+        del sigs, nodes
+        order = np.lexsort((node, sig))
+        sig, node = sig[order], node[order]
+        del order
         new = np.concatenate([[True], (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])])
         sig, node = sig[new], node[new]                            # a class once a signature
         first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
@@ -264,7 +285,7 @@ def regions(df: DataFrame, text_col: str, size: int, scheme: SliceScheme) -> Dat
         pa.default_memory_pool().release_unused()
 
     src = df.select(text_or_empty(text_col).alias("t"))
-    return (src.mapInArrow(emit, "bucket int, packed binary").repartition(buckets, "bucket")
+    return (src.mapInArrow(emit, packs).repartition(buckets, "bucket")
             .mapInArrow(match, "region long, node long"))
 
 
@@ -289,8 +310,9 @@ def link_classes(region: DataFrame, sets: DataFrame, sketches: DataFrame, percen
                  first_pivots: int = FIRST_PIVOTS, pivots: int = PIVOTS, leaf: int = LEAF) -> DataFrame:
     """Edges ``(src, dst)`` that connect exactly the components of the linked classes.
 
-    ``region (region, node)``: every linked pair shares one; ``sets (node, s)``:
-    each node's shingles; ``sketches (node, s)``: their cell counts.
+    ``region (region, node)``: every linked pair shares one; ``sets (node, s, bytes)``:
+    each node's shingles; ``sketches (node, s, bytes)``: their cell counts.  Both are
+    read by ``node`` in every round, so they are best in buckets of it.
     """
     eps = 1.0 - percent / 100.0
     slack = 1e-9                                   # windows are widened by rounding; links are tested on integers
@@ -400,19 +422,20 @@ def _cells(data: bytes) -> np.ndarray:
     return np.frombuffer(data, np.uint8 if len(data) == CELLS else "<u2").astype(np.int32)
 
 
-def _beside(pairs: DataFrame, wide: DataFrame, key: str, new: str, size: Column) -> DataFrame:
-    """``pairs`` with the column ``s`` of ``wide (node, s)`` as ``new``; ``wide`` is broadcast only where what is
-    wanted of it is proven to be small."""
-    wanted = wide.join(pairs.select(F.col(key).alias("node")).distinct(), "node", "left_semi")
-    small = (wanted.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES
-    side = wanted.select(F.col("node").alias(key), F.col("s").alias(new))
-    return pairs.join(F.broadcast(side) if small else side, key)
+def _beside(pairs: DataFrame, wide: DataFrame, key: str, new: str) -> DataFrame:
+    """``pairs`` with the column ``s`` of ``wide (node, s, bytes)`` as ``new``; ``wide`` is broadcast only where what
+    is wanted of it is proven to be small (by ``bytes``, so that no ``s`` is read for it)."""
+    keys = pairs.select(F.col(key).alias("node")).distinct()
+    small = (wide.select("node", "bytes").join(keys, "node", "left_semi").agg(F.sum("bytes")).first()[0] or 0) <= BROADCAST_BYTES
+    side = wide.select(F.col("node").alias(key), F.col("s").alias(new))
+    if small:
+        return pairs.join(F.broadcast(side.join(pairs.select(key).distinct(), key, "left_semi")), key)
+    return pairs.join(side, key)
 
 
 def _distances(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     """``(node, pivot, d)``: weighted Jaccard distance of the cell counts, a metric that is never above the sets' distance."""
-    size = F.octet_length("s").cast("long")
-    both = _beside(_beside(pairs, sketches, "pivot", "sy", size), sketches, "node", "sx", size)
+    both = _beside(_beside(pairs, sketches, "pivot", "sy"), sketches, "node", "sx")
     schema = arrow_schema("node long, pivot long, d double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -437,7 +460,7 @@ def _near_in_blocks(state: DataFrame, sketches: DataFrame, eps: float) -> DataFr
     """
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     rows = state.withColumn("b", F.pmod(F.xxhash64("node"), blocks).cast("int"))
-    rows = rows.join(sketches, "node").withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = rows.join(sketches.drop("bytes"), "node").withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1)))
     packed = rows.groupBy("region", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j")).agg(
         F.collect_list(F.struct("node", "host", "d", "label", "b", "s")).alias("m")).filter("size(m) > 1").select("m")
     schema = arrow_schema("node long, pivot long")
@@ -491,8 +514,7 @@ def _near(data: list[bytes], host: np.ndarray, d: np.ndarray, label: np.ndarray,
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs ``(node, pivot)`` that link, decided on the whole sets."""
-    size = 8 * F.size("s").cast("long")
-    both = _beside(_beside(pairs, sets, "node", "sx", size), sets, "pivot", "sy", size)
+    both = _beside(_beside(pairs, sets, "node", "sx"), sets, "pivot", "sy")
     inter = F.size(F.array_intersect("sx", "sy"))
     got = both.select("node", "pivot", inter.alias("i"), (F.size("sx") + F.size("sy")).alias("n"))
     return got.filter(100 * F.col("i") >= percent * (F.col("n") - F.col("i"))).select("node", "pivot")
@@ -500,31 +522,36 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _grouped(df: DataFrame, id_col: str, text_col: str, size: int, percent: int, first_pivots: int, pivots: int,
              leaf: int = LEAF) -> DataFrame:
-    """``(doc_id, text_hash, n_shingles, node, label, component_id)`` per row; ``label`` is its component's smallest node."""
+    """``(doc_id, text_hash, n_shingles, digest, label, component_id)`` per row; ``label`` is its component's smallest node."""
     src = df.select(col(id_col).alias("doc_id"), col(text_col).alias("text"))
     member = cut(members(src, "doc_id", "text", size), "members")
-    classes = cut(member.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep")), "classes")
-    region = cut(regions(src, "text", size, SliceScheme(percent)), "regions")
-    need = region.select("node").distinct().join(classes, "node")
+    # a class is found again by the row of its smallest key, and is a node under that row's name from here on
+    rep = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_hash"), F.col("row_key"))).alias("m")
+    classes = cut(member.filter("n_shingles > 0").groupBy(F.col("node").alias("digest")).agg(rep)
+                  .select("digest", F.col("m.doc_id").alias("rep"), F.col("m.row_key").alias("node")), "classes")
+    found = regions(src, "text", size, SliceScheme(percent)).withColumnRenamed("node", "digest")
+    region = cut(found.join(classes.select("digest", "node"), "digest").select("region", "node"), "regions")
 
     def sets_of(cols: dict) -> dict:
         got = [shingle_set(t, size) for t in cols["t"]]
-        return {"node": [set_digest(s) for s in got], "s": [s.view(np.int64) for s in got], "k": [sketch(s) for s in got]}
-
-    texts = src.join(need.select(F.col("rep").alias("rep_id")).distinct(),
-                     F.col("doc_id").eqNullSafe(F.col("rep_id")), "left_semi")
-    sets = map_batches(texts.select(text_or_empty("text").alias("t")), sets_of, "node long, s array<long>, k binary")
-    # several rows may carry a representative's key; one set is kept for each class
-    sets = cut(sets.join(need.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
-    sketches = sets.select("node", F.col("k").alias("s"))
-    label = components(link_classes(region, sets.select("node", "s"), sketches, percent, first_pivots, pivots, leaf))
-    named = classes.join(label, "node").select("node", "rep", "label")
+        of = [sketch(s) for s in got]
+        return {"node": cols["node"], "s": [s.view(np.int64) for s in got], "k": of,
+                "s_bytes": [s.nbytes for s in got], "k_bytes": [len(k) for k in of]}
+
+    # texts move once, to the buckets in which their sets are written; rows equal in key and text are one
+    texts = by_key(src.select(_row_key("doc_id", "text").alias("node"), text_or_empty("text").alias("t")), "node")
+    texts = texts.join(region.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    sets = cut_by(map_batches(texts, sets_of, "node long, s array<long>, k binary, s_bytes long, k_bytes long"), "node", "sets")
+    sketches = sets.select("node", F.col("k").alias("s"), F.col("k_bytes").alias("bytes"))
+    sets = sets.select("node", "s", F.col("s_bytes").alias("bytes"))
+    label = components(link_classes(region, sets, sketches, percent, first_pivots, pivots, leaf))
+    named = classes.join(label, "node").select("digest", "rep", "label")
     least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
     # only classes with links can have another id than their own representative
-    linked = named.join(least, "label").select("node", "label", "component_id")
-    alone = classes.join(linked.select("node"), "node", "left_anti").select(
-        "node", F.col("node").alias("label"), F.col("rep").alias("component_id"))
-    return (member.join(linked.unionByName(alone), "node", "left")
+    linked = named.join(least, "label").select("digest", "label", "component_id")
+    alone = classes.join(linked.select("digest"), "digest", "left_anti").select(
+        "digest", F.col("node").alias("label"), F.col("rep").alias("component_id"))
+    return (member.withColumnRenamed("node", "digest").join(linked.unionByName(alone), "digest", "left")
             .withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))))
 
 
@@ -554,9 +581,16 @@ def keep_representatives(df: DataFrame, id_col: str = "doc_id", text_col: str =
     first = (found.filter("n_shingles > 0").groupBy("label")
              .agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_hash"))).alias("m"))
              .select("m.doc_id", "m.text_hash"))
-    keep = empty.unionByName(first).distinct().select(F.col("doc_id").alias("_keep_id"), F.col("text_hash").alias("_keep_hash"))
+    rows = found.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("_rows")).select(
+        F.col("doc_id").alias("_row_id"), F.col("text_hash").alias("_row_hash"), "_rows")
+    keep = empty.unionByName(first).distinct().join(
+        rows, F.col("doc_id").eqNullSafe(F.col("_row_id")) & (F.col("text_hash") == F.col("_row_hash")))
+    keep = cut(keep.select(F.col("doc_id").alias("_keep_id"), F.col("text_hash").alias("_keep_hash"), "_rows"), "keep")
     places = [f"_c{i}" for i in range(len(df.columns))]
     row = df.select(col(id_col).alias("_id"), _text_hash(text_col).alias("_hash"), F.struct(*[col(c).alias(p) for c, p in zip(df.columns, places)]).alias("doc"))
-    kept = row.join(keep, F.col("_id").eqNullSafe(F.col("_keep_id")) & (F.col("_hash") == F.col("_keep_hash")), "left_semi")
-    one = kept.groupBy("_id", "_hash").agg(F.min_by("doc", F.xxhash64("doc")).alias("doc"))
-    return one.select("doc.*").toDF(*df.columns)
+    same = F.col("_id").eqNullSafe(F.col("_keep_id")) & (F.col("_hash") == F.col("_keep_hash"))
+    one = row.join(keep.filter("_rows = 1"), same, "left_semi").select("doc")
+    # only rows equal in key and text are grouped
+    many = row.join(keep.filter("_rows > 1"), same, "left_semi").groupBy("_id", "_hash").agg(
+        F.min_by("doc", F.xxhash64("doc")).alias("doc")).select("doc")
+    return one.unionByName(many).select("doc.*").toDF(*df.columns)

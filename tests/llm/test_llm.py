@@ -267,6 +267,53 @@ def test_unlinked_near_copies_are_not_joined_pair_by_pair(spark, monkeypatch):
     assert sum(made) <= 12 * len(rows)
 
 
+def test_sets_of_the_join_are_written_in_buckets(spark, monkeypatch):
+    # a join on the node moves the pairs, never the sets or the sketches
+    seen = []
+    for name in ("_distances", "_linked"):
+        def kept(pairs, wide, *args, _old=getattr(jaccard_join, name)):
+            seen.append(wide)
+            return _old(pairs, wide, *args)
+        monkeypatch.setattr(jaccard_join, name, kept)
+    rows = _families()
+    jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), size=5, percent=80).collect()
+    assert len(seen) >= 3
+    for wide in seen:
+        joined = spark.range(9).withColumnRenamed("id", "node").hint("merge").join(wide, "node")
+        assert joined._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("feedrank_")]
+
+
+def test_documents_of_the_join_move_once_to_the_rows_that_are_kept(spark):
+    rows = [(i, t) for i, t in _families()] + [(0, _families()[0][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = jaccard_join.keep_representatives(df)
+    assert sorted(r[0] for r in kept.collect()) == sorted({c if n else i for i, (n, c) in _components(_families(), 5, 80).items()})
+    grouped = [x for x in kept._jdf.queryExecution().optimizedPlan().toString().split("\n") if "min_by" in x]
+    below = kept._jdf.queryExecution().optimizedPlan().toString().split(grouped[0])[1]
+    assert grouped and "_rows" in below             # only rows equal in key and text are grouped
+
+
+def test_signatures_that_agree_by_chance_link_nothing(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "SIG_BYTES", 1)
+    rows = _families()
+    got = {r[0]: (r[1], r[2]) for r in jaccard_join.jaccard_components(
+        spark.createDataFrame(rows, "doc_id long, text string"), size=5, percent=80).collect()}
+    assert got == _components(rows, 5, 80)
+
+
+def test_jaccard_join_of_rows_that_share_a_key(spark):
+    # two texts under one key are two classes, each with near copies of its own
+    a, b = ([f"{x}{k}" for k in range(60)] for x in "ab")
+    near = lambda w, i: " ".join([*w[:-1], f"end{i}"])
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (1, " ".join(b)), (2, near(a, 2)), (3, near(b, 3)), (None, near(b, 4)), (5, near(["c"] * 60, 5))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard_join.jaccard_components(df, size=3, percent=90).collect()
+    assert sorted((r[0] or 0, r[2]) for r in got) == [(0, 1), (1, 1), (1, 1), (1, 1), (2, 1), (3, 1), (5, 5)]
+    kept = jaccard_join.keep_representatives(df, size=3, percent=90)
+    assert sorted(r["text"] for r in kept.collect()) == sorted([rows[0][1], rows[1][1], rows[6][1]])
+
+
 def test_jaccard_join_odd_rows(spark):
     got = jaccard_join.jaccard_components(_docs(spark)).collect()
     assert len(got) == 11
