@@ -424,13 +424,16 @@ def _cells(data: bytes) -> np.ndarray:
 
 def _beside(pairs: DataFrame, wide: DataFrame, key: str, new: str) -> DataFrame:
     """``pairs`` with the column ``s`` of ``wide (node, s, bytes)`` as ``new``; ``wide`` is broadcast only where what
-    is wanted of it is proven to be small (by ``bytes``, so that no ``s`` is read for it)."""
+    is wanted of it is proven to be small (by ``bytes``, so that no ``s`` is read for it).  Else rows of ``wide``
+    are hashed or stream by, and are not sorted: keys are the hash side, or what they want where ``pairs`` are wide too."""
     keys = pairs.select(F.col(key).alias("node")).distinct()
     small = (wide.select("node", "bytes").join(keys, "node", "left_semi").agg(F.sum("bytes")).first()[0] or 0) <= BROADCAST_BYTES
     side = wide.select(F.col("node").alias(key), F.col("s").alias(new))
     if small:
         return pairs.join(F.broadcast(side.join(pairs.select(key).distinct(), key, "left_semi")), key)
-    return pairs.join(side, key)
+    if pairs.columns == ["node", "pivot"]:
+        return pairs.hint("shuffle_hash").join(side, key)
+    return pairs.join(side.join(keys.withColumnRenamed("node", key).hint("shuffle_hash"), key, "left_semi").hint("shuffle_hash"), key)
 
 
 def _distances(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -540,7 +543,7 @@ def _grouped(df: DataFrame, id_col: str, text_col: str, size: int, percent: int,
 
     # texts move once, to the buckets in which their sets are written; rows equal in key and text are one
     texts = by_key(src.select(_row_key("doc_id", "text").alias("node"), text_or_empty("text").alias("t")), "node")
-    texts = texts.join(region.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    texts = texts.join(region.select("node").distinct().hint("shuffle_hash"), "node", "left_semi").dropDuplicates(["node"])
     sets = cut_by(map_batches(texts, sets_of, "node long, s array<long>, k binary, s_bytes long, k_bytes long"), "node", "sets")
     sketches = sets.select("node", F.col("k").alias("s"), F.col("k_bytes").alias("bytes"))
     sets = sets.select("node", "s", F.col("s_bytes").alias("bytes"))
@@ -589,7 +592,7 @@ def keep_representatives(df: DataFrame, id_col: str = "doc_id", text_col: str =
     places = [f"_c{i}" for i in range(len(df.columns))]
     row = df.select(col(id_col).alias("_id"), _text_hash(text_col).alias("_hash"), F.struct(*[col(c).alias(p) for c, p in zip(df.columns, places)]).alias("doc"))
     same = F.col("_id").eqNullSafe(F.col("_keep_id")) & (F.col("_hash") == F.col("_keep_hash"))
-    one = row.join(keep.filter("_rows = 1"), same, "left_semi").select("doc")
+    one = row.join(keep.filter("_rows = 1").hint("shuffle_hash"), same, "left_semi").select("doc")     # texts stream by
     # only rows equal in key and text are grouped
     many = row.join(keep.filter("_rows > 1"), same, "left_semi").groupBy("_id", "_hash").agg(
         F.min_by("doc", F.xxhash64("doc")).alias("doc")).select("doc")
