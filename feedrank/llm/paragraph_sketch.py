@@ -10,8 +10,9 @@ count, the XOR of its keys and the XOR of their check hashes.
 Subtracting two versions' sketches cell by cell cancels what they share.  A
 cell left with count 1 or -1 whose check fits its key gives up one differing
 key and its side; taking that key out frees other cells, until all are empty
-(success) or none is pure.  Then both texts are sketched again with twice the
-cells, which must succeed in the end.  The likeness is the Jaccard similarity
+(success) or none is pure.  Then both texts are sketched again with other
+positions, and with twice the cells until there are plenty: keys that met in one
+try meet by chance only in the next, so some try succeeds.  The likeness is the Jaccard similarity
 of the key sets: with ``a`` and ``b`` keys and ``d`` differing ones it is ``s / (s + d)``
 where ``s = (a + b - d) / 2``.
 """
@@ -35,7 +36,10 @@ CELLS = 8                    # cells a row of the smallest sketch
 LONG = 120                   # characters; longer lines are cut
 CUT_WORDS = 12
 SHARD_BYTES = 8 << 20
+ROOM = 4                     # cells a row for each key, beyond which only the positions change
+SALT = 0x9E3779B97F4A7C15
 M64 = (1 << 64) - 1
+FINE = 1 << 20               # cells a row that 20 bits of a hash can name
 _C1, _C2 = 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53
 
 
@@ -84,16 +88,22 @@ def keys(text: str) -> np.ndarray:
     return np.unique(_mix_all(np.array(digest, np.uint64) + _mix_all(np.array(nth, np.uint64))))
 
 
+def _row_all(h: np.ndarray, r: int, m: int) -> np.ndarray:
+    """Hashes' cells of row ``r``: by the row's own 20 bits, or by a hash of its own where the rows have more cells."""
+    own = (h >> np.uint64(r * 20)) & np.uint64(0xFFFFF) if m <= FINE else _mix_all(h + np.uint64(r + 2))
+    return own % np.uint64(m) + np.uint64(r * m)
+
+
 class Sketch:
-    """Three rows of ``m`` cells over a key set."""
+    """Three rows of ``m`` cells over a key set; ``turn`` numbers the tries, which place keys differently."""
 
-    __slots__ = ("m", "n", "count", "key", "check")
+    __slots__ = ("m", "n", "turn", "count", "key", "check")
 
-    def __init__(self, k: np.ndarray, m: int):
-        self.m, self.n = m, len(k)
-        h = _mix_all(k)
-        # row r takes its own 20 bits of the hash; the check is the low 32 bits of a second hash
-        pos = np.concatenate([((h >> np.uint64(r * 20)) & np.uint64(0xFFFFF)) % np.uint64(m) + np.uint64(r * m) for r in range(3)]).astype(np.int64)
+    def __init__(self, k: np.ndarray, m: int, turn: int = 0):
+        self.m, self.n, self.turn = m, len(k), turn
+        h = _mix_all(k + np.uint64(turn * SALT & M64) if turn else k)
+        # the check is the low 32 bits of a second hash
+        pos = np.concatenate([_row_all(h, r, m) for r in range(3)]).astype(np.int64)
         check = _mix_all(h + np.uint64(1)) & np.uint64(0xFFFFFFFF)
         self.count = np.bincount(pos, minlength=3 * m)
         self.key, self.check = np.zeros(3 * m, np.uint64), np.zeros(3 * m, np.uint64)
@@ -113,7 +123,7 @@ class Sketch:
 
 def difference(a: Sketch, b: Sketch) -> tuple[list[int], list[int]] | None:
     """Keys only in ``a`` and only in ``b``, by peeling the subtracted cells (None: it stalls)."""
-    m = a.m
+    m, salt, fine = a.m, a.turn * SALT & M64, a.m <= FINE
     count = (a.count - b.count).tolist()
     key = (a.key ^ b.key).tolist()
     check = (a.check ^ b.check).tolist()
@@ -126,32 +136,31 @@ def difference(a: Sketch, b: Sketch) -> tuple[list[int], list[int]] | None:
         if c != 1 and c != -1:
             continue
         k = key[i]
-        h = _mix(k)
+        h = _mix(k + salt & M64) if salt else _mix(k)
         v = _mix(h + 1 & M64) & 0xFFFFFFFF
         if check[i] != v:
             continue
         (left if c == 1 else right).append(k)
         for r in range(3):
-            j = (h >> r * 20 & 0xFFFFF) % m + r * m
+            j = (h >> r * 20 & 0xFFFFF if fine else _mix(h + r + 2 & M64)) % m + r * m
             count[j] -= c
             key[j] ^= k
             check[j] ^= v
             if count[j] == 1 or count[j] == -1:
                 todo.append(j)
-    if any(count) or any(key):
+    if any(count) or any(key) or any(check):
         return None
     return left, right
 
 
 def likeness(x: np.ndarray, y: np.ndarray, sx: Sketch, sy: Sketch) -> float:
-    """Jaccard similarity of two key sets, from their sketches; larger ones are made while peeling stalls."""
-    m = sx.m
-    top = 64 * (CELLS + sx.n + sy.n)
+    """Jaccard similarity of two key sets, from their sketches; others are made while peeling stalls."""
+    m, turn = sx.m, 0
     while (found := difference(sx, sy)) is None:
-        m *= 2
-        if m > top:                          # two keys with one hash: out of reach for distinct digests
-            raise RuntimeError("sketches of two texts cannot be peeled")
-        sx, sy = Sketch(x, m), Sketch(y, m)
+        turn += 1
+        if m < ROOM * (CELLS + sx.n + sy.n):
+            m *= 2
+        sx, sy = Sketch(x, m, turn), Sketch(y, m, turn)
     d = len(found[0]) + len(found[1])
     shared = (sx.n + sy.n - d) // 2
     return shared / (shared + d) if shared + d else 1.0

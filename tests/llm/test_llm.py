@@ -559,3 +559,31 @@ def test_a_task_holds_few_signatures_and_buckets_are_small():
     from feedrank.llm import jaccard_join as J
     assert 8 * 16 * J.FLUSH <= 32 << 20
     assert J.BUCKET_BYTES <= 8 << 20
+
+
+def _unmixed(h):
+    """The key whose hash is ``h``: both factors are odd and a shift by 33 undoes itself."""
+    M = paragraph_sketch.M64
+    for c in (paragraph_sketch._C2, paragraph_sketch._C1):
+        h = (h ^ h >> 33) * pow(c, -1, M + 1) & M
+    return h ^ h >> 33
+
+
+def test_keys_that_share_every_cell_are_told_apart_by_another_try():
+    h = 0x0123456789ABCDEF
+    # equal in the 9 low bits of each row's 20 (every size that two keys were given), and equal in all 60
+    for other in (h ^ 1 << 15, h ^ 1 << 62):
+        x, y = (np.array([_unmixed(v)], np.uint64) for v in (h, other))
+        assert paragraph_sketch._mix(int(x[0])) == h
+        sx, sy = (paragraph_sketch.Sketch(k, paragraph_sketch.CELLS) for k in (x, y))
+        assert paragraph_sketch.difference(sx, sy) is None
+        assert paragraph_sketch.likeness(x, y, sx, sy) == 0.0
+
+
+def test_rows_of_more_cells_than_20_bits_name_are_used(monkeypatch):
+    monkeypatch.setattr(paragraph_sketch, "FINE", 16)
+    x, y = (paragraph_sketch.keys("\n".join(f"line {i}" for i in r)) for r in (range(300), range(100, 400)))
+    big = [paragraph_sketch.Sketch(k, 1_024, 3) for k in (x, y)]
+    assert len(np.flatnonzero(big[0].count[:1_024])) > 200
+    left, right = paragraph_sketch.difference(*big)
+    assert sorted(left) == sorted(set(x.tolist()) - set(y.tolist())) and sorted(right) == sorted(set(y.tolist()) - set(x.tolist()))
