@@ -108,8 +108,8 @@ def cluster_library(library: DataFrame, n_components: int = 50, n_neighbors: int
     if library.limit(1).count() == 0:
         raise ValueError("No vectors provided for clustering.")
     if method == "graph":
-        red = rd.reduce_graph(library, n_components, n_neighbors, random_state, n_epochs=n_epochs,
-                              id_col=id_col, vec=vec)
+        red = cut(rd.reduce_graph(library, n_components, n_neighbors, random_state, n_epochs=n_epochs,
+                                  id_col=id_col, vec=vec), "cluster-reduced")
     elif method == "pca":
         dim = library.select(F.max(F.size(vec))).first()[0]
         red = rd.reduce_pca(library, min(n_components, dim), id_col, vec)
@@ -130,7 +130,7 @@ def _one_version(day: DataFrame) -> DataFrame:
 def run_daily(spark, bib_paths, feed: DataFrame, run_date: str | None, out_dir: str, topk: int = 200,
               oversample: int = 4, cluster: bool = False, categories=None, use_rerank: bool = False,
               embed_dim: int = 256, min_cluster_size: int = 40, debug_limit: int | None = None,
-              models: Models | None = None, cache_dir: str | None = None, cluster_method: str = "pca",
+              models: Models | None = None, cache_dir: str | None = None, cluster_method: str = "graph",
               max_papers: int = 2000):
     """The whole daily run (PIPE3): bibliography + feed -> :func:`run_library`.
 
@@ -157,7 +157,7 @@ def run_daily(spark, bib_paths, feed: DataFrame, run_date: str | None, out_dir:
 
 def run_library(lib_t: DataFrame, papers: DataFrame, out_dir: str, run_date: str | None, topk: int = 200, oversample: int = 4,
                 cluster: bool = False, use_rerank: bool = False, embed_dim: int = 256, min_cluster_size: int = 40,
-                models: Models | None = None, cache_dir: str | None = None, cluster_method: str = "pca"):
+                models: Models | None = None, cache_dir: str | None = None, cluster_method: str = "graph"):
     """Library and papers of the day -> vectors -> flat or clustered recommendation -> dated nested JSON and report rows.
 
     ``lib_t (entry_id, src_pos, text)``, ``papers (paper_id, text, title,

@@ -43,3 +43,20 @@ def test_reductions_and_pipeline_are_given_all_vectors(spark, table, monkeypatch
         with pytest.raises(Stop):
             query(spark, folder)
     assert given == [len(X)] * 2
+
+
+def test_cluster_pipeline_reduces_by_the_neighbour_graph(spark, table, monkeypatch):
+    folder, X = table
+    given = {}
+
+    class Stop(Exception):
+        pass
+
+    def stop(points, n_components, n_neighbors, seed, **kwargs):
+        given.update(kwargs, n=points.count(), dims=n_components, neighbors=n_neighbors)
+        raise Stop
+
+    monkeypatch.setattr(catalog.RD, "reduce_graph", stop)
+    with pytest.raises(Stop):
+        catalog.cluster_pipeline(spark, folder)
+    assert (given["n"], given["dims"], given["neighbors"]) == (len(X), catalog.N_COMPONENTS, catalog.N_NEIGHBORS)
