@@ -23,6 +23,7 @@ from .joins import is_bounded
 from .knn import knn_join
 from .lineage import cut
 
+SEARCHED = 16                   # neighbours beyond the core's that are known before the tree is searched for
 FEW_BLOCKS = 32                 # below so many blocks every pair is scored
 
 
@@ -41,6 +42,18 @@ def core_distances(points: DataFrame, min_samples: int, id_col: str = "id", vec:
     return nn.groupBy(F.col("query_id").alias(id_col)).agg(F.sqrt(F.max("distance")).alias("core"))
 
 
+def neighbours_and_cores(points: DataFrame, min_samples: int, id_col: str = "id", vec: str = "vector") -> tuple[DataFrame, DataFrame]:
+    """``(near, core)``: some more than ``min_samples`` nearest points of every point, written, and core distances from them."""
+    near = cut(nearest(points, min_samples + SEARCHED, id_col, vec), "density-near")
+    core = near.filter(F.col("rank") <= min_samples).groupBy(F.col("query_id").alias(id_col)).agg(F.sqrt(F.max("distance")).alias("core"))
+    return near, core
+
+
+def _both_ways(edges: DataFrame) -> DataFrame:
+    """Edges ``(query_id, neighbor_id, w)`` of both their ends."""
+    return edges.unionByName(edges.select(F.col("query_id").alias("neighbor_id"), F.col("neighbor_id").alias("query_id"), "w")).distinct()
+
+
 def _jump_to_roots(parent: DataFrame) -> DataFrame:
     """Follow ``parent`` pointers to the roots by doubling: ``(node, parent)``."""
     cur = parent
@@ -63,15 +76,17 @@ def mutual_reachability_mst(points: DataFrame, core: DataFrame, id_col: str = "i
     component to another; every resulting tree has exactly one mutual pair,
     whose smaller id becomes the root, and pointer jumping merges the rest.
 
-    ``near (query_id, neighbor_id, distance)`` are known neighbours; with the
-    lightest edges that points found in earlier rounds they bound what a
-    component still has to look for, so far blocks are not scored
-    (``balls.lightest_edges``).  ``counts`` receives the pairs scored a round.
-
-    A point looks for edges again only if it can hold its component's lightest:
-    no edge of it to another component weighs less than the ``low`` of its last
-    search, since components only grow, and an edge that was its lightest and
-    still leaves its component is its lightest.
+    ``near (query_id, neighbor_id, distance)`` are the nearest neighbours of every
+    point, as many as there are; with the lightest edges that points found in
+    earlier rounds they bound what a component still has to look for, so far
+    blocks are not scored (``balls.lightest_edges``).  ``counts`` receives the
+    pairs scored a round.
+
+    A point looks for edges only if it can hold its component's lightest beside
+    the known ones: an edge to a point that is not among its nearest is as long as
+    the farthest of these; no edge of it to another component weighs less than
+    the ``low`` of its last search, since components only grow, and an edge that
+    was its lightest and still leaves its component is its lightest.
     """
     spark = points.sparkSession
     pts = points.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec).cast("array<double>").alias("v")).join(
@@ -88,9 +103,13 @@ def mutual_reachability_mst(points: DataFrame, core: DataFrame, id_col: str = "i
     last = cores.select("id", F.col("core").alias("low"), F.lit(None).cast("bigint").alias("to"))      # no edge is below its ends' cores
     if near is not None:
         of = lambda c, out: cores.select(F.col("id").alias(c), F.col("core").alias(out))
-        known = cut(near.filter("query_id <> neighbor_id").select(F.col("query_id").cast("bigint"), F.col("neighbor_id").cast("bigint"), "distance")
-                    .join(of("query_id", "a"), "query_id").join(of("neighbor_id", "b"), "neighbor_id")
-                    .select("query_id", "neighbor_id", F.greatest(F.sqrt("distance"), "a", "b").alias("w")), "mst-known")
+        known = near.filter("query_id <> neighbor_id").select(F.col("query_id").cast("bigint"), F.col("neighbor_id").cast("bigint"), "distance")
+        known = cut(_both_ways(known.join(of("query_id", "a"), "query_id").join(of("neighbor_id", "b"), "neighbor_id")
+                               .select("query_id", "neighbor_id", F.greatest(F.sqrt("distance"), "a", "b").alias("w"))), "mst-known")
+        # neighbours are ordered by distances rounded to 9 digits: one that is not listed may be nearer by that much
+        reach = near.groupBy(F.col("query_id").cast("bigint").alias("id")).agg(F.max("distance").alias("d"))
+        last = cut(last.join(reach, "id", "left").select("id", F.greatest(
+            "low", F.sqrt(F.greatest(F.col("d") - 2e-9, F.lit(0.0)))).alias("low"), "to"), "mst-last")
     n_comp, edges = n_pts, None
     order = F.struct("w", F.least("query_id", "neighbor_id"), F.greatest("query_id", "neighbor_id"))
     lightest = F.min_by(F.struct("query_id", "neighbor_id", "w"), order).alias("e")
@@ -108,14 +127,19 @@ def mutual_reachability_mst(points: DataFrame, core: DataFrame, id_col: str = "i
             far = known.groupBy("comp").agg(F.min("w").alias("far"))
             state = state.join(far, "comp", "left").withColumn("far", F.coalesce("far", F.lit(float("inf"))))
         leaves = last.join(comp.select(F.col("id").alias("to"), F.col("comp").alias("target")), "to", "left")
-        search = state.join(leaves, "id").select("id", "core", "comp", F.when(
-            (F.col("low") <= F.col("far")) & ~F.coalesce(F.col("target") != F.col("comp"), F.lit(False)), F.col("far")).otherwise(-1.0).alias("far"))
-        found = cut(lightest_edges(blocks, search, counts), "mst-points-best")
-        exact = F.when(F.col("w") == F.col("new_low"), F.col("neighbor_id"))
-        last = cut(last.join(found.select(F.col("query_id").alias("id"), "neighbor_id", "w", F.col("low").alias("new_low")), "id", "left").select(
-            "id", F.coalesce("new_low", "low").alias("low"), F.when(F.col("new_low").isNull(), F.col("to")).otherwise(exact).alias("to")), "mst-last")
-        fresh = found.filter(F.col("w") < float("inf")).select("query_id", "neighbor_id", "w").join(q, "query_id")
-        both = fresh if known is None else fresh.unionByName(known)
+        search = cut(state.join(leaves, "id").select("id", "core", "comp", F.when(
+            (F.col("low") <= F.col("far")) & ~F.coalesce(F.col("target") != F.col("comp"), F.lit(False)), F.col("far")).otherwise(-1.0).alias("far")), "mst-search")
+        if search.filter("far >= 0").limit(1).count():
+            found = cut(lightest_edges(blocks, search, counts), "mst-points-best")
+            exact = F.when(F.col("w") == F.col("new_low"), F.col("neighbor_id"))
+            last = cut(last.join(found.select(F.col("query_id").alias("id"), "neighbor_id", "w", F.col("low").alias("new_low")), "id", "left").select(
+                "id", F.coalesce("new_low", "low").alias("low"), F.when(F.col("new_low").isNull(), F.col("to")).otherwise(exact).alias("to")), "mst-last")
+            fresh = found.filter(F.col("w") < float("inf")).select("query_id", "neighbor_id", "w").join(q, "query_id")
+            both = fresh if known is None else fresh.unionByName(known)
+        else:       # every component's lightest edge is known
+            both = known
+            if counts is not None:
+                counts.setdefault("scored", []).append(0)
         per_comp = both.groupBy("comp").agg(lightest).select("comp", "e.*")
         per_comp = cut(per_comp.join(t, "neighbor_id"), "mst-choice")
         chosen = per_comp.select(F.least("query_id", "neighbor_id").alias("u"),
@@ -130,7 +154,7 @@ def mutual_reachability_mst(points: DataFrame, core: DataFrame, id_col: str = "i
         roots = _jump_to_roots(parent)
         comp = cut(comp.join(roots.select(F.col("node").alias("comp"), "parent"), "comp")
                    .select("id", F.col("parent").alias("comp")), "mst-comp")
-        known = both.select("query_id", "neighbor_id", "w").distinct()
+        known = _both_ways(both.select("query_id", "neighbor_id", "w"))
         n_comp = comp.select("comp").distinct().count()
     else:
         raise RuntimeError(f"the spanning tree did not close in {max_rounds} rounds")
@@ -151,7 +175,6 @@ def density_cluster(points: DataFrame, min_cluster_size: int = 40, min_samples:
                        "density-ids")
         found = density_cluster(numbered, min_cluster_size, min_samples, "_node", vec, band_edges)
         return numbered.join(found, "_node").select(id_col, "cluster_id")
-    near = cut(nearest(points, min_samples or min_cluster_size, id_col, vec), "density-near")
-    core = near.groupBy(F.col("query_id").alias(id_col)).agg(F.sqrt(F.max("distance")).alias("core"))
+    near, core = neighbours_and_cores(points, min_samples or min_cluster_size, id_col, vec)
     mst = mutual_reachability_mst(points, core, id_col, vec, near=near)
     return label_points(points.select(id_col), mst, min_cluster_size, id_col, band_edges)

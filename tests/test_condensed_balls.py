@@ -102,3 +102,16 @@ def test_spanning_tree_over_near_blocks(spark, islands, monkeypatch):
         assert sum(r["w"] for r in mst) == pytest.approx(want, rel=1e-12)
         if known is not None:
             assert max(counts["scored"]) < 0.5 * len(X) ** 2
+
+
+def test_known_neighbours_spare_the_first_rounds_their_search(spark):
+    """Points whose lightest edges are among their known neighbours are not searched for; the tree is the same."""
+    rng = np.random.default_rng(8)
+    X = rng.normal(0, 1, (400, 16))
+    df = spark.createDataFrame([(i, [float(v) for v in x]) for i, x in enumerate(X)], "id bigint, vector array<double>").repartition(4).cache()
+    near, core = density.neighbours_and_cores(df, 3)
+    assert near.count() == (3 + density.SEARCHED) * len(X)
+    counts = {}
+    mst = density.mutual_reachability_mst(df, core, near=near, counts=counts).collect()
+    assert len(mst) == len(X) - 1 and sum(r["w"] for r in mst) == pytest.approx(sum(w for _, _, w in _tree(X, 3)), rel=1e-12)
+    assert counts["scored"][0] == 0
